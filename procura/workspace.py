@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -79,3 +83,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_object(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Send an object of known small size to the executors; the result reads it there.
+
+    It travels as bytes that carry the code of this package's classes, which
+    the executors need not have installed.
+    """
+    payload = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(payload.value)
