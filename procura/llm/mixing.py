@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.workspace import materialise
@@ -30,6 +30,11 @@ BLOCK_ROWS = 4096
 EPS = 1e-9
 
 
+def row_hash(doc_id: Column, text: Column, source: Column) -> Column:
+    """With the id, this names a row in the results of ``mix``."""
+    return F.xxhash64(doc_id, text, source)
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
     """(source, source_size, n_docs, target), one row a source.
 
@@ -158,7 +163,7 @@ def mix(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
-            F.xxhash64(F.col(id_col), text, F.col(source_col)).alias("h"),
+            row_hash(F.col(id_col), text, F.col(source_col)).alias("h"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "mix-sizes",

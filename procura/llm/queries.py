@@ -6,18 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from procura.llm.ann import op8_ann
 from procura.llm.chat_format import OP4_SQL, op4_chat_format
+from procura.llm.decontamination import OP5_SQL, op5_decontamination
+from procura.llm.html_extract import op6_html_extract
+from procura.llm.language_id import op3_language_id
 from procura.llm.mixing import op9_mixing
+from procura.llm.secret_scan import op10_secret_scan
 from procura.llm.sharding import op2_sharding
+from procura.llm.simhash import op7_simhash
+from procura.llm.substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_sharding": op2_sharding,
+        "op3_language_id": op3_language_id,
         "op4_chat_format": op4_chat_format,
+        "op5_decontamination": op5_decontamination,
+        "op6_html_extract": op6_html_extract,
+        "op7_simhash": op7_simhash,
+        "op8_ann": op8_ann,
         "op9_mixing": op9_mixing,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_decontamination": OP5_SQL}
