@@ -5,11 +5,306 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from procura import constants as C
+from procura.functions.similarity import token_sort_ratio_col
+from procura.functions.text import contractor_name, jaccard, words
+from procura.operators import cluster, graph, items, patterns, resolve, risk, stats, stores, suppliers
+from procura.operators.components import connected_components
+from procura.operators.explain import explain
+from procura.plans import oracle, results
+from procura.plans.analysis import analyse
+from procura.sources.report import report_rows
+from procura.sources.tables import items_view
+from procura.streaming import events as streams
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+NAME, BRAND = ["name"], ["name", "brand"]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _priced(spark, d) -> DataFrame:
+    return items_view(spark, d).withColumn("price", stats.effective_price())
+
+
+def _flags(df: DataFrame) -> DataFrame:
+    return df.withColumn("flags", F.array_join("flags", ","))
+
+
+def procurement_items(spark, d):
+    return items_view(spark, d).drop("ordinal")
+
+
+def group_price_stats(spark, d):
+    out = stats.group_stats(_priced(spark, d), NAME, F.col("price")).drop("cv")
+    return out.withColumn("mean", F.round("mean", 4)).withColumn("stdev", F.round("stdev", 4))
+
+
+def document_price_stats(spark, d):
+    return stats.group_stats(_priced(spark, d), ["source_file"], F.col("price")).select("source_file", "n", "median", "q1", "q3", "iqr", "insufficient_for_iqr")
+
+
+def outlier_counts(spark, d):
+    classes = stats.classify_prices(items_view(spark, d), NAME)
+    return classes.groupBy("name", "classification").agg(
+        F.count(F.lit(1)).alias("n_items"), F.round(F.max(F.abs(F.col("price") - F.col("s.median"))), 2).alias("max_away")
+    )
+
+
+def price_trend(spark, d):
+    return stats.price_trend(items_view(spark, d), NAME).drop("avg_first", "avg_last")
+
+
+def total_anomalies(spark, d):
+    return stats.total_anomalies(items_view(spark, d), BRAND).select("name", "brand", "total_price", "source_file")
+
+
+def _scored(spark, d, keys):
+    return risk.score_groups(items_view(spark, d), keys)
+
+
+def score_groups(spark, d):
+    return _flags(_scored(spark, d, BRAND)).select("name", "brand", "n_items", "score", "risk_level", "flags")
+
+
+def risk_distribution(spark, d):
+    return _scored(spark, d, BRAND).groupBy("risk_level").agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+def top_risks(spark, d):
+    return _flags(results.top_risks(_scored(spark, d, NAME))).select("name", "score", "risk_level", "flags")
+
+
+def results_filter(spark, d):
+    return results.filter_results(_scored(spark, d, BRAND).drop("contractors").withColumn("contractors", F.array().cast("array<string>")), contractor="1", min_score=40, max_score=90).select(
+        "name", "brand", "score"
+    )
+
+
+def auto_cases(spark, d):
+    return stores.auto_cases(_scored(spark, d, BRAND)).withColumn("total", F.round("total", 2))
+
+
+def explained_groups(spark, d):
+    return explain(_scored(spark, d, BRAND)).select("name", "brand", "score", "explanation", F.size("flags_explained").alias("n_explained"))
+
+
+def split_purchases(spark, d):
+    return patterns.split_purchases(items_view(spark, d).withColumn("canonical_name", F.col("name"))).where("severity = 'high'")
+
+
+def repeated_amounts(spark, d):
+    return patterns.repeated_amounts(items_view(spark, d).withColumn("canonical_name", F.col("name")))
+
+
+def suspicious_intervals(spark, d):
+    return patterns.suspicious_intervals(items_view(spark, d).withColumn("canonical_name", F.concat("name", "brand")))
+
+
+def round_totals(spark, d):
+    return patterns.round_totals(items_view(spark, d).withColumn("total_price", F.floor(F.col("total_price") / 1000) * 1000))
+
+
+def pattern_summary(spark, d):
+    return patterns.pattern_summary(patterns.all_patterns(items_view(spark, d).withColumn("canonical_name", F.col("name"))))
+
+
+def supplier_shares(spark, d):
+    return suppliers.supplier_shares(items_view(spark, d)).withColumn("total", F.round("total", 2)).withColumn("share_pct", F.round("share_pct", 6))
+
+
+def supplier_concentration(spark, d):
+    return suppliers.concentration(items_view(spark, d)).withColumn("hhi", F.round("hhi", 6)).withColumn("top_share_pct", F.round("top_share_pct", 6))
+
+
+def department_concentration(spark, d):
+    return suppliers.department_concentration(items_view(spark, d)).withColumn("hhi", F.round("hhi", 6))
+
+
+def supplier_changes(spark, d):
+    return suppliers.supplier_changes(items_view(spark, d), BRAND).drop("suppliers")
+
+
+def supplier_switches(spark, d):
+    return suppliers.switches(items_view(spark, d), BRAND)
+
+
+def dominant_suppliers(spark, d):
+    vertices, edges = graph.build_graph(items_view(spark, d))
+    return graph.dominant_suppliers(vertices, edges).withColumn("total", F.round("total", 2)).drop("centrality")
+
+
+def graph_edges(spark, d):
+    return graph.build_graph(items_view(spark, d))[1].withColumn("weight", F.round("weight", 2))
+
+
+def graph_stats(spark, d):
+    return graph.graph_stats(*graph.build_graph(items_view(spark, d))).drop("high_centrality", "max_centrality")
+
+
+def graph_components(spark, d):
+    edges = graph.build_graph(items_view(spark, d))[1].where("type = 'supplies'")
+    return connected_components(edges, "src", "dst").agg(F.countDistinct("component").cast("int").alias("n_components"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+def _supply_graph(spark, d):
+    """Items, contractors and departments, without the documents."""
+    return graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")))
+
+
+def shortest_path(spark, d):
+    table = items_view(spark, d).where("brand = 'Brand#11'").withColumns({"department": F.lit(""), "source_file": F.lit("")})
+    vertices, edges = graph.build_graph(table)
+    ends = edges.where("type = 'supplies'").agg(F.min("src").alias("s"), F.max("src").alias("t")).first()
+    return graph.shortest_path(vertices, edges, ends["s"], ends["t"]).agg(F.count(F.lit(1)).alias("n_steps"))
+
+
+def betweenness(spark, d):
+    vertices, edges = _supply_graph(spark, d)
+    return graph.betweenness(vertices, edges)
+
+
+def communities(spark, d):
+    vertices, edges = _supply_graph(spark, d)
+    return graph.communities(vertices, edges)
+
+
+def filtered_graph(spark, d):
+    vertices, edges = graph.build_graph(items_view(spark, d), _scored(spark, d, NAME))
+    return graph.export_json(*graph.filter_graph(vertices, edges, ("item", "contractor"), 40))
+
+
+def _raw(spark, d) -> DataFrame:
+    line = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    order = F.col("l_orderkey")
+    return line.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.concat(F.lit("  "), "p_name", F.lit("  10 шт")).alias("name"),
+        F.when(order % 5 != 0, F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
+        F.when(order % 3 == 0, "ШТ.").when(order % 3 == 1, "kg").otherwise("услуга").alias("unit"),
+        F.when(order % 7 != 0, F.floor("l_extendedprice").cast("string")).alias("total_price"),
+        F.when(order % 2 == 0, "-5").otherwise(F.col("l_partkey").cast("string")).alias("unit_price"),
+        F.when(order % 4 == 0, "1.2.2024").when(order % 4 == 1, "2024/03/05").when(order % 4 == 2, "31.02.2024").otherwise("07-11-2023").alias("date"),
+        F.when(order % 6 == 0, "не указан").otherwise(F.concat(F.lit("ООО «"), F.col("l_suppkey").cast("string"), F.lit("»"))).alias("contractor"),
+    )
+
+
+def normalised_items(spark, d):
+    out = items.normalise_items(_raw(spark, d))
+    codes = lambda code: F.size(F.filter("parse_warnings", lambda w: w["code"] == code))
+    return out.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.regexp_replace("name", " 10 шт", "  10 шт").alias("name"), "canonical_name", "unit", "date", "contractor",
+        F.round("quantity", 2).alias("quantity"), F.floor("unit_price").cast("double").alias("unit_price"), F.floor("total_price").cast("double").alias("total_price"),
+        codes("restored").alias("n_restored"), (codes("mismatch") > 0).alias("mismatch"),
+    )
+
+
+def quality_report(spark, d):
+    return items.quality_report(items.normalise_items(_raw(spark, d)))
+
+
+def contractor_names(spark, d):
+    return _table(spark, d, "supplier").select("s_suppkey", contractor_name(F.concat(F.lit("ООО «"), "s_name", F.lit("»"))).alias("normalised"))
+
+
+def name_overlaps(spark, d):
+    names = _table(spark, d, "part").select(F.col("p_name").alias("text")).distinct().withColumn("id", F.col("text"))
+    pairs = cluster.word_pairs(names, 0.3)
+    score = F.round(jaccard(words(F.col("x")), words(F.col("y"))), 6)
+    return pairs.select("x", "y", score.alias("jaccard")).where("jaccard >= 0.3")
+
+
+def name_clusters(spark, d):
+    return cluster.cluster_names(items_view(spark, d))
+
+
+def matched_groups(spark, d):
+    return cluster.match_names(items_view(spark, d).withColumn("canonical_name", F.lower("name")))
+
+
+def token_sort_scores(spark, d):
+    names = _table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    pairs = names.alias("a").join(names.alias("b"), F.col("a.name") < F.col("b.name")).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
+    return pairs.withColumn("score", F.round(token_sort_ratio_col(F.col("x"), F.col("y")), 4))
+
+
+def resolved_contractors(spark, d):
+    table = items_view(spark, d)
+    spelled = F.when(F.col("quantity") > 25, F.concat(F.lit("ООО «"), "contractor", F.lit("»"))).otherwise(F.upper("contractor"))
+    return resolve.resolve_contractors(table.withColumn("contractor", spelled))[0]
+
+
+def _log(spark, d) -> DataFrame:
+    part = _table(spark, d, "part")
+    e = _table(spark, d, "events").join(part, F.col("p_partkey") == F.col("event_id") % 150 + 1)
+    kinds = F.array(*[F.lit(v) for v in C.VERDICTS])
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("p_name").alias("item_name"), F.get(kinds, (F.col("event_id") % 3).cast("int")).alias("verdict"),
+        F.array(F.concat(F.lit("flag_"), (F.col("event_id") % 4).cast("string")), F.concat(F.lit("flag_"), (F.col("user_id") % 3).cast("string"))).alias("flags"),
+    )
+
+
+def last_verdicts(spark, d):
+    return stores.last_verdicts(_log(spark, d))
+
+
+def flag_recommendations(spark, d):
+    return stores.flag_recommendations(_log(spark, d))
+
+
+def feedback_suppression(spark, d):
+    return stores.suppress(_scored(spark, d, NAME), _log(spark, d)).select("name", "score", "user_verdict", "risk_level")
+
+
+def historical_prices(spark, d):
+    out = stores.historical_summary(stores.price_history(items_view(spark, d)))
+    return out.withColumn("mean", F.round("mean", 4)).withColumn("stdev", F.round("stdev", 4))
+
+
+def invalid_case_steps(spark, d):
+    status = F.get(F.array(*[F.lit(s) for s in C.STATUS_STEPS]), (F.col("event_id") % 5).cast("int"))
+    e = _table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("case_id"), F.lit("status").alias("kind"), status.alias("status"))
+    return stores.invalid_steps(e).where("before is not null").groupBy("before", "now").agg(F.count(F.lit(1)).alias("n"))
+
+
+def context_scores(spark, d):
+    return stores.score_in_context(_scored(spark, d, BRAND)).select("name", "brand", "category", "score", "context_score", "context_risk_level")
+
+
+def event_windows(spark, d):
+    return streams.windowed_counts(_table(spark, d, "events")).withColumn("sum_value", F.round("sum_value", 4))
+
+
+def event_sessions(spark, d):
+    return streams.sessions(_table(spark, d, "events")).withColumn("sum_value", F.round("sum_value", 4))
+
+
+def report_table(spark, d):
+    return report_rows(explain(_scored(spark, d, NAME)))
+
+
+def full_analysis(spark, d):
+    raw = items_view(spark, d).withColumn("date", F.col("date").cast("string"))
+    return analyse(raw).groups.select("group_key", "name", "n_items", "score", "risk_level", "explanation")
+
+
+QUERIES: tuple[Query, ...] = (
+    procurement_items, group_price_stats, document_price_stats, outlier_counts, price_trend, total_anomalies, score_groups, risk_distribution, top_risks,
+    results_filter, auto_cases, explained_groups, split_purchases, repeated_amounts, suspicious_intervals, round_totals, pattern_summary, supplier_shares,
+    supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
+    shortest_path, betweenness, communities, filtered_graph, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
+    matched_groups, token_sort_scores, resolved_contractors, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
+    invalid_case_steps, context_scores, event_windows, event_sessions, report_table, full_analysis,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracles()
