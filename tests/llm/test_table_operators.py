@@ -1,0 +1,286 @@
+"""Shards, mixtures, neighbours, pages and the pipeline against brute force and on odd rows."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from procura.llm import ann, html_extract, mixing, sharding
+from procura.llm.queries import queries
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, h string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None, 1, 2, "clash") for i, t, s in rows], DOCS)
+
+
+ODD = [(1, None, "a"), (2, "", None), (3, "x", "a"), (3, "x", "a"), (None, "no id", None), (5, "w " * 50_000, "b"), (6, "漢 字", "ä"), (7, " \n", "a")]
+
+
+# --- shards -------------------------------------------------------------------
+
+
+def check_shards(rows, n_shards, biggest):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert set(by) <= set(range(n_shards))
+    for own in by.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    target = sum(r["size"] for r in rows) / n_shards
+    assert all(abs(sum(r["size"] for r in by[s]) - target) <= 1.02 * biggest + 0.02 * target for s in range(n_shards))
+
+
+def test_shards_of_the_documents(spark, sf_dir):
+    rows = queries()["op2_sharding"](spark, sf_dir).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
+    check_shards(rows, 24, max(r["size"] for r in rows))
+
+
+def test_equal_texts_stay_together_where_sizes_allow(spark):
+    rows = [(i, f"text {i % 50} " + "y" * 200, "a") for i in range(1000)]
+    out = sharding.shard_by_bytes(docs_of(spark, rows), 5, group_slack=0.2).collect()
+    homes = defaultdict(set)
+    for r in out:
+        homes[r["text_crc32"]].add(r["shard"])
+    assert all(len(h) == 1 for h in homes.values())
+    hot = sharding.shard_by_bytes(docs_of(spark, [(i, "same", "a") for i in range(600)]), 24).collect()
+    assert set(Counter(r["shard"] for r in hot).values()) == {25}
+
+
+def test_shards_of_odd_rows(spark):
+    out = sharding.shard_by_bytes(docs_of(spark, ODD), 3).collect()
+    assert len(out) == len(ODD) and {r["size"] for r in out if r["id"] in (1, 2)} == {8}
+    assert sharding.shard_by_bytes(docs_of(spark, []), 3).count() == 0
+
+
+# --- mixture ------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(names)}
+    out, open_, left = {}, list(names), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level >= 3 * sizes[s]]
+        if not full:
+            return out | {s: weight[s] * level for s in open_}
+        for s in full:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out
+
+
+def test_mixture_of_the_documents(spark, sf_dir):
+    rows = queries()["op9_mixing"](spark, sf_dir).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in docs.items()}
+    sums, taken = Counter(), Counter()
+    for i, r in docs.items():
+        sums[r["source"]] += size[i]
+    target = brute_targets(sums)
+    assert len(rows) == len(docs)
+    for r in rows:
+        source = docs[r["doc_id"]]["source"]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == sums[source] and r["target"] == pytest.approx(target[source])
+        assert r["taken"] <= 3 * r["size"]
+        taken[source] += r["taken"]
+    for source in sums:
+        biggest = max(size[i] for i, r in docs.items() if r["source"] == source)
+        assert abs(taken[source] - target[source]) <= 1.5 * biggest
+    again = queries()["op9_mixing"](spark, sf_dir).collect()
+    assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in again}
+
+
+def test_flight_keeps_both_balances():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 2000, 3000).astype(float)
+    prob = np.full(3000, 0.37)
+    out = mixing.flight(prob, size, rng)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert out.sum() == pytest.approx(prob.sum()) and (out * size).sum() == pytest.approx((prob * size).sum())
+
+
+def test_inclusion_probabilities_hold():
+    size = np.array([5.0, 9, 1, 30, 30, 2, 7, 11])
+    prob = np.array([0.2, 0.5, 0.9, 0.3, 0.3, 0.7, 0.5, 0.1])
+    hits = np.zeros(8)
+    for seed in range(3000):
+        rng = np.random.default_rng(seed)
+        hits += mixing.land(mixing.flight(prob, size, rng), size, rng)
+    assert np.abs(hits / 3000 - prob).max() < 0.04
+
+
+def test_blocks_meet_the_target(spark):
+    rows = [(i, "w " * (1 + (i * 7919) % 60), "ab"[i % 3 == 0]) for i in range(12_000)]
+    out = mixing.mix(docs_of(spark, rows)).withColumn("taken", F.col("copies") * F.col("size")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("goal")).collect()
+    assert all(abs(r["t"] - r["goal"]) <= 120 for r in out)
+
+
+def test_mixture_of_odd_rows(spark):
+    out = mixing.mix(docs_of(spark, ODD)).collect()
+    assert len(out) == len(ODD) and all(r["copies"] <= 3 for r in out)
+    assert [r["size"] for r in out if r["id"] in (1, 2, 7)] == [0, 0, 0]
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+
+
+# --- neighbours ---------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, id string, part string"
+
+
+def brute_nearest(rows, every, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    out = {}
+    for i, v in rows:
+        if i % every == 0:
+            score = (x * np.array(v, dtype=np.float64)).sum(axis=1)
+            order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+            out[i] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+def test_small_tables_are_searched_exactly(spark, sf_dir):
+    got = defaultdict(list)
+    for r in sorted(queries()["op8_ann"](spark, sf_dir).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = brute_nearest(table, 20, 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(a[1] == pytest.approx(b[1], abs=1e-12) for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_recall_with_learned_partitions(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 24)) * 2
+    x = (centres[rng.integers(0, 12, 6000)] + rng.standard_normal((6000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2500] = x[0]  # a third of the table is one vector
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x", "y") for i, v in enumerate(x)], VECTORS)
+    want = brute_nearest([(i, v) for i, v in enumerate(x)], 100, 10)
+    got = defaultdict(list)
+    for r in ann.search(df, 100, 10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    found = sum(len({i for i, _ in want[q]} & {i for _, i in got[q]}) for q in want)
+    assert found >= 0.9 * sum(map(len, want.values()))
+    assert [i for _, i in sorted(got[0])] == list(range(1, 11))  # ties go to the smaller id
+
+
+def test_vectors_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [nan, 1.0]), (100, [inf, 1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, []), (3, [1.0, 2.0, 3.0]), (120, [0.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], VECTORS)
+    got = sorted(tuple(r) for r in ann.search(df, 20, 20).collect())
+    assert got == [(0, 1, 1, 0.5), (0, 2, 120, 0.0), (120, 1, 1, 1.0), (120, 2, 0, 0.0)]
+    assert ann.search(df.limit(0), 20, 20).count() == 0
+
+
+# --- pages --------------------------------------------------------------------
+
+
+def test_labeller_on_unseen_layouts():
+    net, rng = html_extract.trained_labeller(), np.random.default_rng(12345)
+    right = total = 0
+    for _ in range(300):
+        page, labels = html_extract.training_page(rng)
+        found = html_extract.blocks(page)
+        kept = net.label([html_extract.vectors(found, {}, {})])[0]
+        right += sum(bool(k) == bool(labels.get(t, 0)) for (_, t, _), k in zip(found, kept, strict=True))
+        total += len(found)
+    assert right >= 0.98 * total
+
+
+def test_gradients():
+    net, rng = html_extract.BlockLabeller(1), np.random.default_rng(0)
+    x = rng.standard_normal((5, 3, html_extract.DIM)).astype(np.float32) * 0.3
+    mask = np.ones((5, 3), np.float32)
+    mask[3:, 1] = 0
+    y = (rng.random((5, 3)) < 0.5).astype(np.float32)
+    grad, _ = net.gradients(x, mask, y)
+    for name in net.p:
+        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
+        keep, step = net.p[name][at], 1e-2
+        net.p[name][at] = keep + step
+        up = net.gradients(x, mask, y)[1]
+        net.p[name][at] = keep - step
+        down = net.gradients(x, mask, y)[1]
+        net.p[name][at] = keep
+        assert grad[name][at] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-4)
+
+
+def test_pages_of_the_table(spark, sf_dir):
+    rows = {r["page_id"]: r for r in queries()["op6_html_extract"](spark, sf_dir).collect()}
+    import html
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        body = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
+        body = re.sub(r"<[^>]+>", " ", re.sub(r"</?(?:b|a)\b[^>]*>", "", body))
+        assert rows[p["page_id"]]["text"] == " ".join(html.unescape(body).split())
+
+
+def test_blocks_of_odd_markup():
+    said = lambda page: [t for _, t, _ in html_extract.blocks(page)]
+    assert said("<p>a<b>b</b>c<br>d&nbsp;&amp;<p>e") == ["abc", "d &", "e"]
+    assert said("x<script>if (a < b) '<p>no</p>'</script>y<!-- <p>no -->z") == ["xyz"]
+    assert said("<head><title>t</title></head><body>b") == ["b"]
+    assert said("<ul><li>1<li>2</ul></div></p>3") == ["1", "2", "3"]
+    assert said("< 5 > 4 <a href='>'>l</a>") == ["< 5 > 4 l"]
+    assert said("<p title=\"un closed>text</p><p>more") and said("<") == ["<"] and said("") == []
+
+
+def test_pages_on_odd_rows(spark):
+    long = "<article>" + "".join(f"<p>paragraph number {i} of a very long page.</p>" for i in range(5000)) + "</article>"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, long), (4, "<nav><a>menu</a></nav>")], "page_id long, html string")
+    net = html_extract.trained_labeller()
+    got = {r[0]: r[1] for r in df.select("page_id", html_extract.main_text(F.col("html"), net, spark)).collect()}
+    assert got[1] == got[2] == got[4] == "" and got[3].count("paragraph") == 5000
+    assert df.limit(0).select(html_extract.main_text(F.col("html"), net, spark)).count() == 0
+
+
+# --- pipeline -----------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+    from test_text_operators import brute_components, brute_fingerprint
+
+    from procura.llm.queries import oracle_sql  # noqa: F401
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34", "en", "src0", 5)], docs.schema)
+    docs = docs.unionByName(own).unionByName(docs.limit(3)).withColumn("__extra", F.lit(1)).withColumn("h", F.lit("clash"))
+    known = {r["doc_id"] for r in docs.collect()}
+    kept = cp.identify_language(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == known - {10**6, 10**6 + 1}
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    single = cp.drop_near_copies(spark, kept, sf_dir)
+    want = set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values())
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(want) and single.columns == docs.columns
+    clean = cp.decontaminate(spark, single, sf_dir)
+    bad = {r["doc_id"] for r in queries()["op5_decontamination"](spark, sf_dir).where("contaminated").collect()}
+    assert {r["doc_id"] for r in clean.collect()} == want - bad and clean.columns == docs.columns
+    mixed = cp.mix_sources(spark, clean, sf_dir)
+    copies = {r["id"]: r["copies"] for r in mixing.mix(clean).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == copies and mixed.columns == docs.columns
+    cut = cp.cut_shards(spark, mixed, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in cut) == copies
+    check_shards(cut, 24, max(r["size"] for r in cut))
+
+
+def test_pipeline_on_empty_documents(spark, sf_dir, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
