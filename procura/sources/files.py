@@ -138,7 +138,9 @@ def table_start(rows: Rows) -> tuple[Rows, int] | None:
     for i, row in enumerate(rows):
         seen = {int(n) for n in (number_of(c) for c in [c for c in row if c is not None][:8]) if n is not None and n == int(n) and 1 <= n <= 10}
         if {1, 2, 3} <= seen:
-            return rows[max(0, i - 6) : i], i + 1
+            above = rows[max(0, i - 6) : i]
+            # A line of two cells tells something about the document, not the columns.
+            return [r for r in above if sum(c is not None for c in r) > 2] or above, i + 1
     for i, row in enumerate(rows[:30]):
         if any(w in text_of(c).lower() for c in row for w in ("наименование", "вид работ")):
             return [row], i + 1

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, on a time zone aware column; a table as it is."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events, users and value per type and window; works on a stream and on a table."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     users = F.approx_count_distinct("user_id") if events.isStreaming else F.countDistinct("user_id")
     return marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("n_events"), users.alias("n_users"), F.sum("value").alias("sum_value")
@@ -17,7 +24,7 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """A user's events closer than ``gap`` as one session; works on a stream and on a table."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     return marked.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("sum_value")).select(
         "user_id", F.col("s.start").alias("session_start"), "n_events", "sum_value"
     )
