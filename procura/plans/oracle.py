@@ -115,7 +115,7 @@ VERDICTS = """log AS (
 def oracles() -> dict[str, str]:
     by_name, by_brand = _scored("name"), _scored("name, brand")
     split = ", ".join(f"({t})" for t in C.SPLIT_THRESHOLDS)
-    return {
+    out = {
         "procurement_items": f"WITH {ITEMS} SELECT name, contractor, department, source_file, quantity, unit_price, total_price, date, unit, brand FROM items",
         "group_price_stats": f"""WITH {ITEMS}, {_stats("name", "unit_price")}
             SELECT name, n, round(mean, 4) AS mean, median, s[1] AS min, s[n] AS max, round(sd, 4) AS stdev, q1, q3, iqr, soft_lo AS fence_soft_lo,
@@ -213,3 +213,11 @@ def oracles() -> dict[str, str]:
             s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
             SELECT user_id, min(ts) AS session_start, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM s GROUP BY user_id, k""",
     }
+    hasty = out["suspicious_intervals"].replace("name || brand AS name", "name")
+    even = out["round_totals"].replace("floor(total_price / 1000) * 1000 AS v", "total_price AS v")
+    n = {k: f"(SELECT count(*) FROM ({q}))" for k, q in (("split", out["split_purchases"]), ("amounts", out["repeated_amounts"]), ("hasty", hasty), ("even", even))}
+    out["pattern_summary"] = f"""SELECT high + medium + low AS pattern_count, CAST(0 AS BIGINT) AS critical, high, medium, low, false AS has_critical, high > 0 AS has_high
+        FROM (SELECT {n["split"]} AS high, {n["amounts"]} AS medium, {n["hasty"]} + {n["even"]} AS low)"""
+    # The names are in no category, so the weights are the plain ones.
+    out["context_scores"] = f"""WITH {by_brand} SELECT name, brand, 'default' AS category, score, score AS context_score, {_level("score")} AS context_risk_level FROM scored"""
+    return out

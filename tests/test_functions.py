@@ -62,6 +62,12 @@ def test_ratios(a, b):
     assert sim.token_sort_ratio(a, " ".join(reversed(a.split()))) == 100
 
 
+def test_ratios_in_sql(spark):
+    sim.register(spark)
+    row = spark.sql("SELECT indel_ratio('abcd', 'abxd') a, token_sort_ratio('b a', 'a b') b, partial_ratio('bc', 'abcd') c, match_score('', 'a') d").first()
+    assert tuple(row) == (75.0, 100.0, 100.0, 0.0)
+
+
 def quartiles(s):
     s = sorted(s)
     half = len(s) // 2

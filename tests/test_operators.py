@@ -266,6 +266,10 @@ def test_feedback(spark, tmp_path):
     scored = spark.createDataFrame([("x", 80), ("y", 80)], "name string, score int")
     assert {r["name"]: (r["score"], r["risk_level"]) for r in stores.suppress(scored, log).collect()} == {"x": (15, "LOW"), "y": (80, "CRITICAL")}
     assert stores.feedback_stats(log).first()["total"] == 9
+    later = stores.record_verdict(log, "x", "valid", flags=["f1"])
+    assert later.agg(F.max("seq")).first()[0] == 9 and stores.false_positives(later).isEmpty()
+    with pytest.raises(ValueError):
+        stores.record_verdict(log, "x", "maybe")
     assert [r["seq"] for r in stores.feedback_page(log, limit=2, offset=1).collect()] == [2, 1]
 
 
@@ -273,6 +277,10 @@ def test_context(spark):
     log = spark.createDataFrame([(1, "ООО Ромашка", None, "trusted", [], None, None), (2, "Ромашка", None, "blacklisted", [], None, None), (3, "Бета", "77", "neutral", [], None, None)], stores.CONTRACTOR)
     df = table(spark, [{"name": "x", "contractor": c} for c in ("ЗАО «Ромашка»", "Бета", "нет такого")])
     assert [r["contractor_status"] for r in stores.contractor_status(df, log).orderBy("ordinal").collect()] == ["blacklisted", "neutral", "unknown"]
+    market = spark.createDataFrame([(1, "X", None, None, 1.0, 3.0, 2.0, None, None), (2, "x ", None, None, 1.0, 3.0, 2.5, None, None)], stores.MARKET_PRICE)
+    known = stores.item_context(df, log, market, stores.price_history(df)).first()
+    assert (known["market_ref_price"], known["historical_ref_price"], known["historical_n"], known["category"]) == (2.5, 10, 3, "default")
+    assert tuple(stores.context_summary(log, market, stores.price_history(df)).first())[:4] == (2, 1, 1, 1)
     row = spark.range(1).select(stores.category(F.lit("Ремонт кровли")).alias("c"), stores.effective_weights(F.lit("строительство"), F.lit(1.0))["duplicate_3_plus"].alias("w"), stores.effective_weights(F.lit("?"), F.lit(9.0))["duplicate_3_plus"].alias("m")).first()
     assert tuple(row) == ("строительство", 32, 100)
 
