@@ -33,9 +33,9 @@ from procura.workspace import broadcast_object, materialise
 
 #: Bounds of the sample that is fitted: vectors, and numbers in them.
 SAMPLE_ROWS, SAMPLE_VALUES = 8192, 4_000_000
-ROWS_PER_PARTITION = 1024
+ROWS_PER_PARTITION = 4096
 MAX_PARTITIONS = 256
-TARGET = 0.97
+TARGET = 0.95
 BLOCK_VALUES = 1 << 20
 GRAPH_DEGREE = 10
 
