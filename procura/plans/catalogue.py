@@ -198,7 +198,7 @@ def normalised_items(spark, d):
     codes = lambda code: F.size(F.filter("parse_warnings", lambda w: w["code"] == code))
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.regexp_replace("name", " 10 шт", "  10 шт").alias("name"), "canonical_name", "unit", "date", "contractor",
-        F.round("quantity", 2).alias("quantity"), F.floor("unit_price").cast("double").alias("unit_price"), F.floor("total_price").cast("double").alias("total_price"),
+        F.floor("quantity").cast("double").alias("quantity"), F.floor("unit_price").cast("double").alias("unit_price"), F.floor("total_price").cast("double").alias("total_price"),
         codes("restored").alias("n_restored"), (codes("mismatch") > 0).alias("mismatch"),
     )
 

@@ -190,7 +190,7 @@ def oracles() -> dict[str, str]:
             c AS (SELECT *, u IS NULL AND t <> 0 AND q > 0 AS ru FROM b), d AS (SELECT * REPLACE (CASE WHEN ru THEN round(t / q, 2) ELSE u END AS u) FROM c),
             e AS (SELECT *, q IS NULL AND t <> 0 AND u > 0 AND round(t / u, 4) BETWEEN 0.0001 AND 1000000 AS rq FROM d), f AS (SELECT * REPLACE (CASE WHEN rq THEN round(t / u, 4) ELSE q END AS q) FROM e),
             g AS (SELECT *, coalesce(t <> 0 AND q > 0 AND round(u * q, 2) > 0 AND abs(round(u * q, 2) - t) / round(u * q, 2) > 0.05, false) AS mm FROM f)
-            SELECT l_orderkey, l_linenumber, l_partkey, name, trim(regexp_replace(name, '10 шт', '')) AS canonical_name, unit, date, contractor, round(q, 2) AS quantity, floor(u) AS unit_price, floor(t) AS total_price,
+            SELECT l_orderkey, l_linenumber, l_partkey, name, trim(regexp_replace(name, '10 шт', '')) AS canonical_name, unit, date, contractor, floor(q) AS quantity, floor(u) AS unit_price, floor(t) AS total_price,
               (coalesce(rt, false)::INT + coalesce(ru, false)::INT + coalesce(rq, false)::INT) AS n_restored, mm AS mismatch FROM g""",
         "contractor_names": "SELECT s_suppkey, trim(regexp_replace(replace(lower(s_name), '#', ' '), '\\s+', ' ', 'g')) AS normalised FROM supplier",
         "name_overlaps": """WITH w AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS t FROM part)
