@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="procura-"))
+    own = tempfile.mkdtemp(prefix="procura-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)
 
 
