@@ -11,7 +11,7 @@ each stage does with null or empty text, ties and repeated rows is said there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.llm import decontamination, language_id, mixing, sharding, simhash
@@ -22,6 +22,15 @@ N_SHARDS = 24
 MIN_SHARE = 0.3
 
 
+#: Columns that join a decision to its row and, with the same exchange, find repeated rows.
+ROW_KEY = ["__id", "__no_id", "__h"]
+
+
+def _row_key(doc_id: Column, digest: Column) -> list[Column]:
+    """An id, null included, and a hash, as columns that are never null."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), digest.alias("__h")]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language: null, without a letter, or spread over all languages.
 
@@ -47,12 +56,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("component")
         .agg(F.min(F.struct("id", "h")).alias("k"))
-        .select(F.col("k.id").alias("__id"), F.col("k.h").alias("__of"))
-        .distinct()
+        .select(*_row_key(F.col("k.id"), F.col("k.h")))
     )
-    marked = docs.withColumn("__h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of"))
-    return marked.join(stays, same, "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
+    marked = docs.select("*", *_row_key(F.col("doc_id"), F.xxhash64("text")))
+    return marked.join(stays, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).drop(*ROW_KEY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,13 +84,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .groupBy("id", "h")
         .agg(F.sum("copies").alias("__copies"))
         .where("__copies > 0")
-        .select(F.col("id").alias("__id"), F.col("h").alias("__of"), "__copies")
+        .select(*_row_key(F.col("id"), F.col("h")), "__copies")
     )
-    marked = docs.withColumn("__h", mixing.row_hash(F.col("doc_id"), F.col("text"), F.col("source")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of"))
-    taken = marked.join(copies, same).dropDuplicates(["doc_id", "__h"])
+    of_row = mixing.row_hash(F.col("doc_id"), F.col("text"), F.col("source"))
+    marked = docs.select("*", *_row_key(F.col("doc_id"), of_row))
+    taken = marked.join(copies, ROW_KEY).dropDuplicates(ROW_KEY)
     each = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return each.drop("__id", "__of", "__copies", "__h", "__copy")
+    return each.drop(*ROW_KEY, "__copies", "__copy")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
