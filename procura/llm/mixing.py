@@ -5,9 +5,10 @@ times its own words. A document enters floor(target / size) times for certain
 and once more with the fractional rest as inclusion probability. The flight
 phase moves those probabilities through the null space of two balancing
 constraints, words and documents, block by block, until at most two units of a
-block are undecided; these leftovers meet again in later rounds, and only when
-a source has come down to one block does the landing phase decide its last two
-by the linear programme that keeps their probabilities.
+block are undecided. These leftovers and a dozen units that wait meet again in
+later rounds. When a source has come down to one block, the landing phase
+decides the last units, fourteen at most, by the subset nearest to both totals;
+all other units keep their inclusion probabilities exactly.
 
 Defined results: a null text or one without words has size 0 and is taken with
 0 words; a null source is a source of its own and sorts last; sources without a
@@ -28,6 +29,8 @@ from procura.workspace import materialise
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_ROWS = 4096
 EPS = 1e-9
+#: Units of a block that wait for the landing.
+LANDING = 12
 
 
 def row_hash(doc_id: Column, text: Column, source: Column) -> Column:
@@ -98,6 +101,7 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def _direction(held: list[int], sizes: list[float]) -> list[tuple[int, float]] | None:
+    """u with sum(u) = 0 and sum(u * size) = 0, on two units of equal size or on three."""
     for i, a in enumerate(held):
         for b in held[i + 1 :]:
             if sizes[a] == sizes[b]:
@@ -110,39 +114,45 @@ def _direction(held: list[int], sizes: list[float]) -> list[tuple[int, float]] |
     return [(i, u / scale) for i, u in move if u]
 
 
-def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide the last two units or fewer.
+def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of all ways to decide the few units left, the one nearest to both totals, words first.
 
-    Of all joint laws with these probabilities, the linear programme over the
-    chance that both enter has its least expected squared error of words at one
-    end: as rarely together as possible.
+    At most ``LANDING`` units and two: all subsets are tried.
     """
     out = prob.copy()
     open_ = np.flatnonzero((out > 0) & (out < 1))
-    draw = rng.random()
-    if len(open_) == 1:
-        out[open_[0]] = float(draw < out[open_[0]])
-    elif len(open_) == 2:
-        p, q = out[open_]
-        both = max(0.0, p + q - 1)
-        ends = np.cumsum([both, p - both, q - both])
-        out[open_] = [(1, 1), (1, 0), (0, 1), (0, 0)][int(np.searchsorted(ends, draw, side="right"))]
+    if len(open_):
+        ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        off = ways - out[open_]
+        cost = np.abs(off @ size[open_]) / max(1.0, size.mean()) + 0.05 * np.abs(off.sum(axis=1))
+        out[open_] = ways[cost.argmin()]
     return out
 
 
+def decide(prob: np.ndarray, size: np.ndarray, last: bool, rng: np.random.Generator) -> np.ndarray:
+    """One block's flight and, in a source's last block, its landing.
+
+    The units come in random order. The first ``LANDING`` wait: subsets of them make
+    up for what the flight leaves undecided, which may be large.
+    """
+    waits = np.arange(len(prob)) < LANDING
+    flying = np.flatnonzero(~waits)
+    # Large units first; next to its equals a large unit would hardly move, so
+    # the order within a power of two stays random.
+    flying = flying[np.argsort(-np.floor(np.log2(size[flying] + 1.0)), kind="stable")]
+    out = prob.copy()
+    out[flying] = flight(out[flying], size[flying], rng)
+    return land(out, size) if last else out
+
+
 def _decide(seed: int):
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Large documents fly first: what is left for later rounds and the landing is small.
-        pdf = pdf.sort_values(["size", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(pdf["round"][0]), int(pdf["block"][0]), len(pdf)])
-        size = pdf["size"].to_numpy(dtype="float64")
-        prob = flight(pdf["prob"].to_numpy(dtype="float64"), size, rng)
-        if pdf["blocks"][0] == 1:
-            prob = land(prob, size, rng)
-        pdf["prob"] = prob
-        return pdf
-
-    return decide
+        prob, size = pdf["prob"].to_numpy(dtype="float64"), pdf["size"].to_numpy(dtype="float64")
+        return pdf.assign(prob=decide(prob, size, bool(pdf["blocks"][0] == 1), rng))
+
+    return block
 
 
 def mix(
