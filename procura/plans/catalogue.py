@@ -227,8 +227,8 @@ def matched_groups(spark, d):
 
 
 def token_sort_scores(spark, d):
-    names = _table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    pairs = names.alias("a").join(names.alias("b"), F.col("a.name") < F.col("b.name")).select(F.col("a.name").alias("x"), F.col("b.name").alias("y"))
+    names = _table(spark, d, "part").select(F.col("p_name").alias("text")).distinct().withColumn("id", F.col("text"))
+    pairs = cluster.word_pairs(names, 0.2).select("x", "y")
     return pairs.withColumn("score", F.round(token_sort_ratio_col(F.col("x"), F.col("y")), 4))
 
 
