@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procura.functions.text import number_or_zero  # noqa: F401  (callers parse with it)
+from procura.workspace import materialise
 
 
 def _at(rank: Column) -> Column:
@@ -25,17 +25,20 @@ def _middle(first: Column, count: Column) -> Column:
     return (_at(low) + _at(high)) / 2
 
 
-def _counted(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+def _counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    return df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
     return counts.withColumn("hi", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
 
 
 def group_median(df: DataFrame, keys: list[str], value: Column, name: str = "median") -> DataFrame:
     """(keys, name): the exact median of the non-null values."""
     n = F.col("n")
-    return _counted(df, keys, value).groupBy(*keys).agg(_middle(F.lit(0), n).alias(name))
+    return _ranked(_counts(df, keys, value), keys).groupBy(*keys).agg(_middle(F.lit(0), n).alias(name))
 
 
 def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -49,7 +52,9 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """
     n = F.col("n")
     half = F.floor(n / 2)
-    counted = _counted(df.where(value > 0), keys, value).withColumn(
+    # Written once: the rare groups without a spread read the counts again.
+    counts = materialise(_counts(df.where(value > 0), keys, value), "price-counts")
+    counted = _ranked(counts, keys).withColumn(
         "mean", F.sum(F.col("v") * F.col("c")).over(Window.partitionBy(*keys)) / n
     )
     base = counted.groupBy(*keys).agg(
@@ -64,16 +69,8 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         (F.min(F.round("v", 2)) == F.max(F.round("v", 2))).alias("same"),
     )
     flat = base.where("q3 <= q1 and not same").select(*keys, "median")
-    distance = counted.select(*keys, "v", "c").join(flat, keys)
-    whole = Window.partitionBy(*keys)
-    near = (
-        distance.groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
-        .agg(F.sum("c").alias("c"))
-        .withColumn("hi", F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("n", F.sum("c").over(whole))
-        .groupBy(*keys)
-        .agg(_middle(F.lit(0), n).alias("mad"))
-    )
+    away = counts.join(flat, keys).groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
+    near = _ranked(away, keys).groupBy(*keys).agg(_middle(F.lit(0), n).alias("mad"))
     spread = (
         F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1"))
         .when(F.col("same"), 0.0)
