@@ -3,11 +3,15 @@
 A gear rolling hash over the last 16 bytes is read at every word end. A chunk
 ends where that hash is smaller than at all other word ends within ``REACH``
 bytes. The rule looks at nothing but the bytes nearby, so an insertion moves
-the chunk ends around it and no others. Chunks are compared by a 64-bit digest;
-one that two documents share is repeated. Runs of adjacent repeated chunks of
-``min_bytes`` or more are the repeated passages.
-
-Exact copies of a text are chunked again but looked up once: within a task
+the chunk ends around it and no others. Windows are the fewest adjacent chunks
+of ``min_bytes`` or more, from each chunk on and up to each chunk that ends none
+of those; so the windows within a shared run of chunks cover all of it.
+Windows are compared by a 64-bit digest; one that two documents share is
+repeated. Repeated windows that touch, have the same first holder and follow
+one another there as they do here make a passage. Passages of different first
+holders may overlap; a window that its holder repeats may start a new one.
+
+Exact copies of a text are cut again but looked up once: within a task
 only the first copy of a text goes on to the join, and passages are handed to
 the other copies through the hash of the text.
 
@@ -90,21 +94,31 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunk_digests(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Starts, lengths and digests of the chunks of a UTF-8 text that isn't empty."""
+def windows(raw: bytes, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Starts, lengths, first chunks, numbers of chunks and digests of the windows of a UTF-8 text that isn't empty."""
     ends = chunk_ends(np.frombuffer(raw, dtype=np.uint8))
-    starts = np.concatenate(([0], ends[:-1]))
+    edges = np.concatenate(([0], ends))
+    n = len(ends)
+    last = np.searchsorted(edges, edges[:-1] + min_bytes)
+    first = np.arange(n)[last <= n]
+    last = last[last <= n]
+    ended = np.zeros(n + 1, dtype=bool)
+    ended[last] = True
+    bare = np.flatnonzero(~ended & (edges >= min_bytes))
+    first = np.concatenate((first, np.searchsorted(edges, edges[bare] - min_bytes, side="right") - 1))
+    last = np.concatenate((last, bare))
+    starts, stops = edges[first], edges[last]
     digest = xxhash.xxh3_64_intdigest
-    return starts, ends - starts, [digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return starts, stops - starts, first, last - first, [digest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-CHUNKS = pa.schema(
-    [("digest", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("fresh", pa.bool_())]
+WINDOWS = pa.schema(
+    [("digest", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("fresh", pa.bool_())]
 )
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, id, h, start, length, fresh) of documents (id, h, raw)."""
+def cut_windows(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(digest, id, h, start, length, chunk, n, fresh) of documents (id, h, raw)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,8 +126,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             parts: list[tuple] = []
             size = 0
             for key, h, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                start, length, digest = chunk_digests(raw)
-                parts.append((np.array(digest, dtype=np.uint64).view(np.int64), key, h, start, length, h not in seen))
+                *places, digest = windows(raw, min_bytes)
+                parts.append((np.array(digest, dtype=np.uint64).view(np.int64), key, h, *places, h not in seen))
                 seen.add(h)
                 size += len(digest)
                 if size > 200_000:
@@ -122,7 +136,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             if parts:
                 yield _pack(parts)
 
-    return docs.mapInArrow(cut, "digest long, id long, h long, start int, length int, fresh boolean")
+    return docs.mapInArrow(cut, "digest long, id long, h long, start int, length int, chunk int, n int, fresh boolean")
 
 
 def _pack(parts: list[tuple]) -> pa.RecordBatch:
@@ -131,11 +145,10 @@ def _pack(parts: list[tuple]) -> pa.RecordBatch:
         np.concatenate([p[0] for p in parts]),
         np.repeat(np.array([p[1] for p in parts], dtype=np.int64), counts),
         np.repeat(np.array([p[2] for p in parts], dtype=np.int64), counts),
-        np.concatenate([p[3] for p in parts]).astype(np.int32),
-        np.concatenate([p[4] for p in parts]).astype(np.int32),
-        np.repeat(np.array([p[5] for p in parts], dtype=bool), counts),
+        *(np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (3, 4, 5, 6)),
+        np.repeat(np.array([p[7] for p in parts], dtype=bool), counts),
     ]
-    return pa.record_batch([pa.array(x) for x in joined], schema=CHUNKS)
+    return pa.record_batch([pa.array(x) for x in joined], schema=WINDOWS)
 
 
 def find_repeats(
@@ -143,37 +156,47 @@ def find_repeats(
 ) -> DataFrame:
     """(id, start_byte, n_bytes, n_chunks, first_id): the repeated passages of every document.
 
-    Offsets count UTF-8 bytes; ``first_id`` is the smallest id that holds any of
-    the passage's chunks. A document that holds all of them first is listed too,
-    with itself as ``first_id``.
+    Offsets count UTF-8 bytes; ``first_id`` is the smallest id that holds each of
+    the passage's windows, and it holds the whole passage in one piece. The first
+    holder is listed too, with itself as ``first_id``.
     """
     rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("raw")
     )
-    cut = materialise(chunks(rows), "chunks")
+    cut = materialise(cut_windows(rows, min_bytes), "windows")
+    # A text's hash above the offset in it, and pairs of numbers, as one long each: the shuffles carry every window.
+    text, low = F.col("h").bitwiseAND(0x7FFFFFFF), F.lit(0xFFFFFFFF)
+    pack = lambda high, part: F.shiftleft(F.col(high).cast("long"), 32) + F.col(part)
     shared = (
-        cut.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id <> last_id")
-    )
-    repeated = (
-        cut.where("fresh")
-        .select("digest", "h", "start", "length")
-        .join(shared.select("digest", "first_id"), "digest")
-        .select("h", "start", "length", "first_id")
+        cut.groupBy("digest")
+        .agg(F.min(F.struct("id", (F.shiftleft(text, 32) + F.col("start")).alias("at"))).alias("first"), F.max("id").alias("last_id"))
+        .where("first.id <> last_id")
+        .select("digest", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
     )
+    repeated = cut.where("fresh").select("digest", "h", pack("start", "chunk").alias("place"), pack("length", "n").alias("size")).join(shared, "digest")
     # Several tasks may have met the same text.
-    once = repeated.groupBy("h", "start").agg(F.max("length").alias("length"), F.min("first_id").alias("first_id"))
-    order = Window.partitionBy("h").orderBy("start")
-    runs = once.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")).cast("int"))
+    once = repeated.groupBy("h", "place", "size").agg(F.min("first_id").alias("first_id"), F.min("first_at").alias("first_at"))
+    once = once.select(
+        "h", "first_id", "first_at",
+        *(F.shiftright(c, 32).alias(n) for c, n in (("place", "start"), ("size", "length"))),
+        *(F.col(c).bitwiseAND(low).alias(n) for c, n in (("place", "chunk"), ("size", "n"))),
+    )
+    order = Window.partitionBy("h").orderBy("start", "length")
+    before = lambda c: F.lag(c).over(order)
+    same_holder = before("first_id") == F.col("first_id")
+    own_text = F.shiftright("first_at", 32) == text
+    in_step = (own_text & (F.shiftright(before("first_at"), 32) == text)) | (before(F.col("first_at") - F.col("start")) == F.col("first_at") - F.col("start"))
+    touches = before(F.col("start") + F.col("length")) >= F.col("start")
+    runs = once.withColumn("new", (~F.coalesce(same_holder & in_step & touches, F.lit(False))).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order))
     passages = (
         runs.groupBy("h", "run")
         .agg(
             F.min("start").alias("start_byte"),
-            F.sum("length").alias("n_bytes"),
-            F.count(F.lit(1)).alias("n_chunks"),
+            (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("n_bytes"),
+            (F.max(F.col("chunk") + F.col("n")) - F.min("chunk")).cast("long").alias("n_chunks"),
             F.min("first_id").alias("first_id"),
         )
-        .where(F.col("n_bytes") >= min_bytes)
         .drop("run")
     )
     holders = rows.select("id", "h").distinct()

@@ -251,6 +251,36 @@ def test_removal_keeps_the_first_holder(spark, words):
     assert out[3] is None and out[4] == "clean text"
 
 
+def test_a_chunk_held_earlier_does_not_name_the_passage(spark, words):
+    """Copies 5 and 9, of which doc 1 holds a phrase and doc 2 a passage."""
+    say = lambda a, b: " ".join(words[a:b])
+    copy = f"{say(0, 60)} {say(100, 112)} {say(60, 90)} {say(200, 240)} {say(90, 100)}"
+    rows = [(1, f"{say(300, 330)} {say(100, 112)} {say(330, 360)}"), (2, f"{say(400, 420)} {say(200, 240)} {say(420, 440)}"), (5, copy), (9, copy)]
+    docs, texts = docs_of(spark, rows), {i: t.encode() for i, t in rows}
+    repeats = substring_dedup.find_repeats(docs)
+    for r in repeats.collect():
+        assert texts[r["id"]][r["start_byte"] : r["start_byte"] + r["n_bytes"]] in texts[r["first_id"]]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs, repeats).collect()}
+    assert out[1] == rows[0][1] and out[2] == rows[1][1] and out[9] == ""
+    assert say(0, 60) in out[5] and say(60, 90) in out[5] and say(205, 235) not in out[5]
+
+
+def test_chunks_of_many_holders_still_make_a_passage(spark, words):
+    """Each chunk of the copies' text stands alone in an earlier document; windows cover shared runs to their ends."""
+    raw = " ".join(words[:120]).encode()
+    ends = substring_dedup.chunk_ends(np.frombuffer(raw, dtype=np.uint8)).tolist()
+    pieces = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+    rows = [(i, f"{' '.join(words[1000 + 40 * i : 1020 + 40 * i])} {p}{' '.join(words[1020 + 40 * i : 1040 + 40 * i])}") for i, p in enumerate(pieces)]
+    got = substring_dedup.find_repeats(docs_of(spark, rows + [(5000, raw.decode()), (9000, raw.decode())])).collect()
+    assert {(r["id"], r["start_byte"], r["n_bytes"], r["n_chunks"], r["first_id"]) for r in got} == {(i, 0, len(raw), len(ends), 5000) for i in (5000, 9000)}
+    for a in range(0, len(ends) - 12):
+        for b in range(a + 12, len(ends), 5):
+            start, length, *_ = substring_dedup.windows(raw, 96)
+            low, high = ends[a], ends[b]
+            inside = [(x, x + y) for x, y in zip(start.tolist(), length.tolist()) if low <= x and x + y <= high]
+            assert min(x for x, _ in inside) == low and max(y for _, y in inside) == high
+
+
 def test_repeats_on_odd_rows(spark):
     assert substring_dedup.find_repeats(docs_of(spark, ODD)).count() == 0
     assert substring_dedup.find_repeats(docs_of(spark, [])).count() == 0
