@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import decontamination, language_id, mixing, sharding, simhash
+from procura.llm import decontamination, language_id, mixing, sharding, similar
 from procura.workspace import materialise
 
 N_SHARDS = 24
@@ -47,10 +47,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays, once.
 
-    Texts without words are one group. If several texts share that id, the one
+    Near copies share 0.8 or more of their five-word shingles, over any number of
+    steps. Texts without words are one group. If several texts share that id, the one
     with the smallest hash stays; a group without any id keeps one row.
     """
-    rows, classes = simhash.near_duplicates(docs)
+    rows, classes = similar.near_copies(docs)
     stays = (
         rows.join(classes, "f")
         .where(F.col("id").eqNullSafe(F.col("component_id")))

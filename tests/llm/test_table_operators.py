@@ -281,6 +281,50 @@ def test_pipeline_stages(spark, sf_dir):
     check_shards(cut, 24, max(r["size"] for r in cut))
 
 
+def shingle_components(texts, n=5):
+    sets = {}
+    for i, text in texts.items():
+        w = (text or "").encode().lower().split()
+        sets[i] = {b" ".join(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("pairs", [2, 0])
+def test_near_copies_share_four_fifths_of_their_shingles(spark, sf_dir, monkeypatch, pairs):
+    """Near copies of any similarity, a chain, and texts that repeat one line; with and without rounds."""
+    import corpus_pipeline as cp
+    from procura.llm import similar
+
+    monkeypatch.setattr(similar, "PAIRS", pairs)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} if pairs else {}
+    for k in range(60):
+        own = list(base) if k < 30 else [f"v{i}" for i in rng.integers(0, 5000, 300)]
+        for copy in range(2):
+            texts[1000 + 2 * k + copy] = " ".join(own)
+            for at in rng.choice(len(own), 2 + k % 12, replace=False):
+                own[at] = f"new{k}x{at}"
+    line = "the same line stands here again and again "
+    texts |= {2000 + i: line * 30 + " ".join(f"z{i}y{j}" for j in range(40)) for i in range(4)}
+    docs = docs_of(spark, [(i, t, "a") for i, t in texts.items()])
+    want = shingle_components(texts)
+    assert len({want[i] for i in range(2000, 2004)}) == 4
+    assert sorted(r["doc_id"] for r in cp.drop_near_copies(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
+
+
 def test_pipeline_on_empty_documents(spark, sf_dir, tmp_path):
     import corpus_pipeline as cp
 
