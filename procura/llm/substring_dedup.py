@@ -4,16 +4,21 @@ A gear rolling hash over the last 16 bytes is read at every word end. A chunk
 ends where that hash is smaller than at all other word ends within ``REACH``
 bytes. The rule looks at nothing but the bytes nearby, so an insertion moves
 the chunk ends around it and no others. Windows are the fewest adjacent chunks
-of ``min_bytes`` or more, from each chunk on and up to each chunk that ends none
-of those; so the windows within a shared run of chunks cover all of it.
+of ``WINDOW_BYTES`` or more, from each chunk on and up to each chunk that ends
+none of those; so the windows within a shared run of chunks cover all of it.
 Windows are compared by a 64-bit digest; one that two documents share is
 repeated. Repeated windows that touch, have the same first holder and follow
-one another there as they do here make a passage. Passages of different first
-holders may overlap; a window that its holder repeats may start a new one.
-
-Exact copies of a text are cut again but looked up once: within a task
-only the first copy of a text goes on to the join, and passages are handed to
-the other copies through the hash of the text.
+one another there as they do here make a passage, if they cover ``min_bytes``
+or more. Passages of different first holders may overlap; a window that its
+holder repeats may start a new one. Two windows at least, in step, make most
+passages, so a chance agreement of two digests makes none by itself.
+
+Windows meet once, by digest. Before that, a task looks at ``FLUSH`` windows
+together: exact copies of a text are cut once and passages are handed to the
+other copies through the hash of the text; of a digest that stands there more
+than ``CROWD`` times only the first holder's window goes on, and the others
+learn the result in a join that spreads each such digest over ``SALTS`` keys.
+So a passage that a third of all documents share is a few rows of a task.
 
 A text without white space is cut where characters of three or more UTF-8
 bytes begin, and every chunk of more than ``LONGEST`` bytes is split.
@@ -38,9 +43,12 @@ from pyspark.sql import functions as F
 
 from procura.workspace import materialise
 
-REACH = 16
+REACH = 24
 LONGEST = 4096
-MIN_BYTES = 96
+WINDOW_BYTES = 96
+MIN_BYTES = 128
+#: Windows that a task looks at together, occurrences of a digest among them that still travel one by one, and keys that share the others.
+FLUSH, CROWD, SALTS = 400_000, 4, 16
 #: The gear table: 16 random bits for each byte.
 GEAR = np.random.default_rng(20240501).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -113,42 +121,73 @@ def windows(raw: bytes, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 WINDOWS = pa.schema(
-    [("digest", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("fresh", pa.bool_())]
+    [("digest", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("many", pa.bool_()), ("crowd", pa.bool_()), ("spare", pa.bool_())]
 )
 
 
-def cut_windows(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(digest, id, h, start, length, chunk, n, fresh) of documents (id, h, raw)."""
+def cut_windows(docs: DataFrame) -> DataFrame:
+    """(digest, id, h, start, length, chunk, n, many, crowd, spare) of documents (id, h, raw).
+
+    ``many``: two documents at least were seen to hold the window. ``spare``: a row marked ``crowd``
+    stands for this one when first holders are sought.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        parts: list[tuple] = []
+        place: dict[int, int] = {}  # of a text among the parts
+        size = 0
         for batch in batches:
-            parts: list[tuple] = []
-            size = 0
             for key, h, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                *places, digest = windows(raw, min_bytes)
-                parts.append((np.array(digest, dtype=np.uint64).view(np.int64), key, h, *places, h not in seen))
-                seen.add(h)
+                if h in place:
+                    low, high, *rest = parts[place[h]]
+                    parts[place[h]] = (min(low, key), max(high, key), *rest)
+                    continue
+                *places, digest = windows(raw, WINDOW_BYTES)
+                place[h] = len(parts)
+                parts.append((key, key, h, np.array(digest, dtype=np.uint64).view(np.int64), *places))
                 size += len(digest)
-                if size > 200_000:
-                    yield _pack(parts)
-                    parts, size = [], 0
-            if parts:
-                yield _pack(parts)
+                if size > FLUSH:
+                    yield from _pack(parts)
+                    parts, place, size = [], {}, 0
+        if size:
+            yield from _pack(parts)
+
+    return docs.mapInArrow(cut, "digest long, id long, h long, start int, length int, chunk int, n int, many boolean, crowd boolean, spare boolean")
+
+
+def _pack(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The windows of some texts, with a digest's crowd marked; in batches, as each is copied into the JVM whole."""
+    counts = [len(p[3]) for p in parts]
+    low, high, h = (np.repeat(np.array([p[i] for p in parts], dtype=np.int64), counts) for i in range(3))
+    digest, *places = (np.concatenate([p[i] for p in parts]) for i in range(3, 8))
+    many, crowd, spare = low != high, np.zeros(len(digest), dtype=bool), np.zeros(len(digest), dtype=bool)
+    order = np.lexsort((places[0], h, low, digest))
+    starts = np.flatnonzero(np.concatenate(([True], digest[order][1:] != digest[order][:-1])))
+    sizes = np.diff(np.append(starts, len(order)))
+    for at in np.flatnonzero(sizes > CROWD).tolist():
+        own = order[starts[at] : starts[at] + sizes[at]]
+        many[own[0]] = many[own].any() or low[own[0]] != low[own[-1]]
+        crowd[own[0]] = spare[own[1:]] = True
+    columns = [digest, low, h, *(x.astype(np.int32) for x in places), many, crowd, spare]
+    for at in range(0, len(digest), 50_000):
+        yield pa.record_batch([pa.array(x[at : at + 50_000]) for x in columns], schema=WINDOWS)
+
+
+#: Bits of a window's place in one long: start, length, chunk (the low bits of its number) and number of chunks.
+LENGTH_BITS, CHUNK_BITS, N_BITS = 13, 12, 7
+
 
-    return docs.mapInArrow(cut, "digest long, id long, h long, start int, length int, chunk int, n int, fresh boolean")
+def _pack_place() -> Column:
+    out = F.col("start").cast("long")
+    for name, bits in (("length", LENGTH_BITS), ("chunk", CHUNK_BITS), ("n", N_BITS)):
+        out = F.shiftleft(out, bits).bitwiseOR(F.col(name).cast("long").bitwiseAND((1 << bits) - 1))
+    return out
 
 
-def _pack(parts: list[tuple]) -> pa.RecordBatch:
-    counts = [len(p[0]) for p in parts]
-    joined = [
-        np.concatenate([p[0] for p in parts]),
-        np.repeat(np.array([p[1] for p in parts], dtype=np.int64), counts),
-        np.repeat(np.array([p[2] for p in parts], dtype=np.int64), counts),
-        *(np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (3, 4, 5, 6)),
-        np.repeat(np.array([p[7] for p in parts], dtype=bool), counts),
-    ]
-    return pa.record_batch([pa.array(x) for x in joined], schema=WINDOWS)
+def _place(name: str) -> Column:
+    shift = {"n": 0, "chunk": N_BITS, "length": N_BITS + CHUNK_BITS, "start": N_BITS + CHUNK_BITS + LENGTH_BITS}[name]
+    bits = {"n": N_BITS, "chunk": CHUNK_BITS, "length": LENGTH_BITS, "start": 31}[name]
+    return F.shiftright("place", shift).bitwiseAND((1 << bits) - 1)
 
 
 def find_repeats(
@@ -163,40 +202,43 @@ def find_repeats(
     rows = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("raw")
     )
-    cut = materialise(cut_windows(rows, min_bytes), "windows")
-    # A text's hash above the offset in it, and pairs of numbers, as one long each: the shuffles carry every window.
-    text, low = F.col("h").bitwiseAND(0x7FFFFFFF), F.lit(0xFFFFFFFF)
-    pack = lambda high, part: F.shiftleft(F.col(high).cast("long"), 32) + F.col(part)
+    cut = materialise(cut_windows(rows), "windows")
+    met = cut.where("not spare").select("digest", "id", "h", _pack_place().alias("place"), "many", "crowd")
+    same = Window.partitionBy("digest").orderBy("id", "h", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shared = (
-        cut.groupBy("digest")
-        .agg(F.min(F.struct("id", (F.shiftleft(text, 32) + F.col("start")).alias("at"))).alias("first"), F.max("id").alias("last_id"))
-        .where("first.id <> last_id")
-        .select("digest", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
+        met.withColumns({"first_id": F.first("id").over(same), "first_h": F.first("h").over(same), "first_place": F.first("place").over(same)})
+        .withColumns({"last_id": F.last("id").over(same), "any_many": F.max("many").over(same)})
+        .where("any_many or first_id <> last_id")
     )
-    repeated = cut.where("fresh").select("digest", "h", pack("start", "chunk").alias("place"), pack("length", "n").alias("size")).join(shared, "digest")
-    # Several tasks may have met the same text.
-    once = repeated.groupBy("h", "place", "size").agg(F.min("first_id").alias("first_id"), F.min("first_at").alias("first_at"))
-    once = once.select(
-        "h", "first_id", "first_at",
-        *(F.shiftright(c, 32).alias(n) for c, n in (("place", "start"), ("size", "length"))),
-        *(F.col(c).bitwiseAND(low).alias(n) for c, n in (("place", "chunk"), ("size", "n"))),
-    )
+    kept = ["h", "place", "first_id", "first_h", "first_place"]
+    # Written once: the windows themselves and the digests whose crowds still wait.
+    shared = materialise(shared.select("digest", "crowd", *kept), "shared-windows")
+    spare = cut.where("spare").select("digest", "h", _pack_place().alias("place"), F.pmod("h", F.lit(SALTS)).alias("salt"))
+    told = shared.where("crowd").groupBy("digest").agg(*[F.min(c).alias(c) for c in kept[2:]])
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    # Several tasks may have met the same text. Every row of a digest names the same first holder.
+    once = shared.select(*kept).unionByName(spare.join(told, ["digest", "salt"]).select(*kept)).groupBy("h", "place").agg(*[F.min(c).alias(c) for c in kept[2:]])
+    once = once.select("h", "first_id", "first_h", *[_place(c).alias(c) for c in ("start", "length", "chunk", "n")], "first_place")
+    shift = N_BITS + CHUNK_BITS + LENGTH_BITS
+    once = once.withColumn("away", F.shiftright("first_place", shift) - F.col("start"))
     order = Window.partitionBy("h").orderBy("start", "length")
     before = lambda c: F.lag(c).over(order)
-    same_holder = before("first_id") == F.col("first_id")
-    own_text = F.shiftright("first_at", 32) == text
-    in_step = (own_text & (F.shiftright(before("first_at"), 32) == text)) | (before(F.col("first_at") - F.col("start")) == F.col("first_at") - F.col("start"))
+    same_holder = (before("first_id") == F.col("first_id")) & (before("first_h") == F.col("first_h"))
+    # In the holder itself windows follow one another; elsewhere they must lie equally far from their places there.
+    in_step = (F.col("first_h") == F.col("h")) | (before("away") == F.col("away"))
     touches = before(F.col("start") + F.col("length")) >= F.col("start")
     runs = once.withColumn("new", (~F.coalesce(same_holder & in_step & touches, F.lit(False))).cast("int"))
+    runs = runs.withColumn("on", F.when(F.col("new") == 0, F.pmod(F.col("chunk") - before("chunk"), F.lit(1 << CHUNK_BITS))).otherwise(0))
     runs = runs.withColumn("run", F.sum("new").over(order))
     passages = (
         runs.groupBy("h", "run")
         .agg(
             F.min("start").alias("start_byte"),
             (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("long").alias("n_bytes"),
-            (F.max(F.col("chunk") + F.col("n")) - F.min("chunk")).cast("long").alias("n_chunks"),
+            (F.sum("on") + F.max_by("n", F.struct("start", "length"))).cast("long").alias("n_chunks"),
             F.min("first_id").alias("first_id"),
         )
+        .where(F.col("n_bytes") >= min_bytes)
         .drop("run")
     )
     holders = rows.select("id", "h").distinct()

@@ -281,6 +281,54 @@ def test_chunks_of_many_holders_still_make_a_passage(spark, words):
             assert min(x for x, _ in inside) == low and max(y for _, y in inside) == high
 
 
+def brute_repeats(texts):
+    """(id, start, bytes, chunks, first id) from all windows of all texts in one dictionary."""
+    holders, own = {}, {}
+    for i, text in sorted(texts.items()):
+        start, length, first, n, digest = substring_dedup.windows(text.encode(), substring_dedup.WINDOW_BYTES)
+        own[i] = sorted(zip(start.tolist(), length.tolist(), digest, first.tolist(), n.tolist(), strict=True))
+        for at, _, key, _, _ in own[i]:
+            holders.setdefault(key, []).append((i, at))
+    out = set()
+    for i, found in own.items():
+        runs = []
+        for at, length, key, chunk, n in found:
+            least, most = min(holders[key]), max(holders[key])
+            if least[0] == most[0]:
+                continue
+            last = runs[-1] if runs else None
+            in_step = last and last["first"] == least[0] and at <= last["end"] and (texts[i] == texts[least[0]] or last["away"] == least[1] - at)
+            if not in_step:
+                last = {"start": at, "chunk": chunk, "first": least[0]}
+                runs.append(last)
+            last |= {"end": at + length, "to": chunk + n, "away": least[1] - at}
+        out |= {(i, r["start"], r["end"] - r["start"], r["to"] - r["chunk"], r["first"]) for r in runs if r["end"] - r["start"] >= substring_dedup.MIN_BYTES}
+    return out
+
+
+def test_repeats_of_the_documents_match_brute_force(spark, monkeypatch):
+    """With one flush a task, and with flushes of a few texts, so that a digest's occurrences are dealt otherwise."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_repeats({r["doc_id"]: r["text"] for r in table.collect()})
+    assert len(want) > 300
+    for flush in (substring_dedup.FLUSH, 3000):
+        monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+        got = substring_dedup.op1_substring_dedup(spark, "/root/testdata/sf0.01")
+        assert {(r["doc_id"], r["start_byte"], r["n_bytes"], r["n_chunks"], r["first_doc_id"]) for r in got.collect()} == want
+
+
+def test_a_passage_of_every_third_document(spark, words):
+    """A hot passage, a hot copy and a line below the least size, that one document repeats as well."""
+    rng = random.Random(2)
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    hot, copy, line = said(70), said(120), " ".join(words[:12])
+    texts = {i: copy if i % 5 == 0 else f"{said(30)} {hot} {said(30)}" if i % 3 == 0 else f"{said(40)} {line} {said(20)}" for i in range(600)}
+    texts[601] = " ".join([said(5), line] * 40)
+    got = substring_dedup.find_repeats(docs_of(spark, list(texts.items()))).collect()
+    assert {(r["id"], r["start_byte"], r["n_bytes"], r["n_chunks"], r["first_id"]) for r in got} == brute_repeats(texts)
+    assert {r["id"] for r in got} == {i for i in texts if i % 5 == 0 or i % 3 == 0}
+
+
 def test_repeats_on_odd_rows(spark):
     assert substring_dedup.find_repeats(docs_of(spark, ODD)).count() == 0
     assert substring_dedup.find_repeats(docs_of(spark, [])).count() == 0
