@@ -1,16 +1,21 @@
 """Conversations of many layouts as one canonical turn list and one text.
 
 A layout is recognised by its schema: the nested field paths, sorted, are
-hashed, and the hash selects a declarative mapping. Everything runs as
-DataFrame functions.
+hashed, and the hash selects a declarative mapping. A table whose columns
+reproduce several fingerprints chooses by row: the layout of whose paths most
+are filled, of equals the one with more paths, then the one listed first.
+Everything runs as DataFrame functions.
 
 The text: every turn is ``### role: text</turn>`` and a line feed. Inside role
 and text the control strings are replaced by codes that begin with a backslash,
 and so is the backslash, so that the replacement can be undone.
 
-Defined results: null text and null role are empty; turns are ordered by turn,
-then role and text, a null turn first; repeated rows are turns of their own; a
-null conversation id is one conversation; an empty table gives an empty result;
+Defined results: null text and null role are empty; turn rows keep their roles
+as they are, other layouts' names of roles become ours (``ROLE_NAMES``); turns
+are ordered by turn, then role and text, a null turn first; repeated rows are
+turns of their own, and so are those that several layouts give one conversation;
+a null or empty list of messages has no turn; a null conversation id is one
+conversation; an empty table gives an empty result;
 columns that the mapping does not name are ignored. One conversation becomes
 one string and so must fit Spark's 2 GB for a value.
 """
@@ -86,15 +91,14 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
     return found
 
 
-def recognise(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout with the most paths whose fingerprint the schema's own paths reproduce."""
+def recognise(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> list[Layout]:
+    """The layouts whose fingerprints the schema's own paths reproduce, those with the most paths first."""
     paths = schema_paths(schema)
-    known = {layout.fingerprint: layout for layout in layouts}
-    for layout in sorted(layouts, key=lambda x: -len(x.paths)):
-        found = known.get(fingerprint(paths & set(layout.paths)))
-        if found is layout:
-            return layout
-    raise ValueError(f"no layout for the paths {sorted(paths)}")
+    found = [x for x in sorted(layouts, key=lambda x: -len(x.paths)) if x.fingerprint == fingerprint(paths & set(x.paths))]
+    if not found:
+        raise ValueError(f"no layout for the paths {sorted(paths)}")
+    # One that has only some of the paths of another can't fill more of them.
+    return [x for x in found if not any(set(x.paths) < set(y.paths) for y in found)]
 
 
 def escape(text: Column) -> Column:
@@ -121,12 +125,31 @@ def _text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def _filled(layout: Layout, id_col: str) -> Column:
+    """How many of a layout's paths a row fills; a list of messages fills all of its own."""
+    given = [F.col(p.split("[]")[0]).isNotNull().cast("int") for p in layout.paths if p != id_col]
+    return sum(given, F.lit(0))
+
+
 def canonical_turns(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(conv_id, turn, role, text) rows of any known layout."""
-    layout = recognise(df.schema, layouts)
+    """(conv_id, turn, role, text) rows of any known layouts, each row by its own."""
+    known = recognise(df.schema, layouts)
+    if len(known) == 1:
+        return _turns(df, id_col, known[0])
+    filled = [_filled(x, id_col) for x in known]
+    most = F.greatest(*filled)
+    choice = F.coalesce(*[F.when(n == most, i) for i, n in enumerate(filled)])
+    out = None
+    for i, layout in enumerate(known):
+        mine = _turns(df.where(choice == i), id_col, layout)
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def _turns(df: DataFrame, id_col: str, layout: Layout) -> DataFrame:
     if layout.kind == "rows":
         return df.select(
-            F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"), _role(F.col("role")).alias("role"), _text(F.col("text")).alias("text")
+            F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"), _text(F.col("role")).alias("role"), _text(F.col("text")).alias("text")
         )
     if layout.kind == "array":
         array, (role, text) = layout.paths[0].split("[]")[0], (p.split("[].")[1] for p in layout.paths)

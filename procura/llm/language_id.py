@@ -3,12 +3,15 @@
 Each learned language is a distribution over hashed byte trigrams of letters.
 A document is a mixture of languages: expectation-maximisation finds the
 proportions that make its trigrams most likely, and the set of languages is the
-one with the best likelihood after a penalty for each further language. The
+one with the best likelihood after a penalty for each further language: it
+grows by falling proportion until two further languages in turn don't pay. The
 predicted language has the largest proportion, which is also the score.
 
 The model is fitted on a bounded sample: about ``docs_per_language`` training
 documents of each language, chosen by a hash of id and text. Languages count
-over all training documents. Text alone is the input of a prediction.
+over all training documents; of more than ``MAX_LANGUAGES`` labels the most
+frequent are learned, of equally frequent ones those that sort first. Text alone
+is the input of a prediction.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0
 and no proportions, and so does every text if no language could be learned;
@@ -37,8 +40,9 @@ DOCS_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 512
 #: Overlapping trigrams say the same thing about three times.
 DEPENDENCE = 3.0
-SET_SIZE = 4
 ROUNDS = 12
+#: Numbers in the tables of one step of inference: features of its texts times languages.
+STEP_VALUES = 16_000_000
 
 #: Letters to lower case, other ASCII to a space; bytes of other scripts stay.
 LETTER_BYTES = bytes(
@@ -76,9 +80,7 @@ def fit(
     """Learn from the rows that aren't held out and have a text and a language."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = usable.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    found = {r["lang"]: r["count"] for r in counts.limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = {r["lang"]: r["count"] for r in counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not found:
         return LanguageModel((), np.zeros((1 << BITS, 0)))
     languages = tuple(sorted(found))
@@ -150,9 +152,10 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     best[np.arange(len(rows)), single.argmax(axis=1)] = 1.0
     value = single.max(axis=1) / DEPENDENCE - penalty
     order = np.argsort(-share, axis=1, kind="stable")
-    for k in range(2, min(SET_SIZE, n_lang) + 1):
+    paid = np.ones(len(rows), dtype=int)  # the largest set that gained
+    for k in range(2, n_lang + 1):
         # Only documents whose k-th language has a share at all can gain from it.
-        able = np.flatnonzero(share[np.arange(len(rows)), order[:, k - 1]] > 0.005)
+        able = np.flatnonzero((share[np.arange(len(rows)), order[:, k - 1]] > 0.005) & (k - paid <= 2))
         if not len(able):
             break
         chosen = np.zeros((len(able), n_lang))
@@ -169,6 +172,7 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
         better = gain > value[able]
         best[able[better]] = found[better]
         value[able[better]] = gain[better]
+        paid[able[better]] = k
     out[rows] = best
     had = np.zeros(len(texts), dtype=bool)
     had[rows] = True
@@ -189,10 +193,10 @@ def identify(text: Column, model: LanguageModel, spark) -> Column:
             rows = []
             texts = [bytes(r) if r is not None and ok else b"" for r, ok in zip(raw, has_letter, strict=True)]
             at = 0
-            while at < len(texts):  # about 4 MB at a time
+            while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
-                    size += len(texts[end])
+                while end < len(texts) and (end == at or (size + len(texts[end])) * len(names) < STEP_VALUES):
+                    size += min(len(texts[end]), 1 << BITS)
                     end += 1
                 shares, had = infer(learned, texts[at:end])
                 for share, ok in zip(shares, had, strict=True):

@@ -19,6 +19,8 @@ on the seed only, so reruns agree.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +33,13 @@ BLOCK_ROWS = 4096
 EPS = 1e-9
 #: Units of a block that wait for the landing.
 LANDING = 12
+#: Swaps after the landing end when the words are this near to their target, as a share of it.
+NEAR = 2e-5
 
 
 def row_hash(doc_id: Column, text: Column, source: Column) -> Column:
-    """With the id, this names a row in the results of ``mix``."""
-    return F.xxhash64(doc_id, text, source)
+    """With the id, this names a row in the results of ``mix``. A hash alone would pass over nulls."""
+    return F.xxhash64(doc_id, text, source, text.isNull(), source.isNull())
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
@@ -129,8 +133,38 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def decide(prob: np.ndarray, size: np.ndarray, last: bool, rng: np.random.Generator) -> np.ndarray:
-    """One block's flight and, in a source's last block, its landing.
+def swap(prob: np.ndarray, out: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
+    """Exchange taken units for others, one pair at a time, while that brings the words nearer to their total.
+
+    ``prob`` are the probabilities before the block was decided; ``goal`` is the source's target,
+    the measure of near. The number of taken units stays.
+    """
+    out = out.copy()
+    free = (prob > EPS) & (prob < 1 - EPS)
+    off = float(((out - prob) * size).sum())
+    for _ in range(len(prob)):
+        if abs(off) <= NEAR * goal:
+            break
+        taken, left = np.flatnonzero(free & (out == 1.0)), np.flatnonzero(free & (out == 0.0))
+        if not len(taken) or not len(left):
+            break
+        left = left[np.argsort(size[left], kind="stable")]
+        # For every taken unit the other unit whose size comes nearest to taking up the difference.
+        wish = size[taken] - off
+        at = np.searchsorted(size[left], wish)
+        near = np.stack([np.clip(at - 1, 0, len(left) - 1), np.clip(at, 0, len(left) - 1)])
+        after = np.abs(off - size[taken] + size[left][near])
+        way, which = np.unravel_index(after.argmin(), after.shape)
+        if after[way, which] >= abs(off) - EPS:
+            break
+        gone, come = taken[which], left[near[way, which]]
+        out[gone], out[come] = 0.0, 1.0
+        off += float(size[come] - size[gone])
+    return out
+
+
+def decide(prob: np.ndarray, size: np.ndarray, last: bool, rng: np.random.Generator, goal: float = 0.0) -> np.ndarray:
+    """One block's flight and, in a source's last block, its landing and swaps.
 
     The units come in random order. The first ``LANDING`` wait: subsets of them make
     up for what the flight leaves undecided, which may be large.
@@ -142,19 +176,32 @@ def decide(prob: np.ndarray, size: np.ndarray, last: bool, rng: np.random.Genera
     flying = flying[np.argsort(-np.floor(np.log2(size[flying] + 1.0)), kind="stable")]
     out = prob.copy()
     out[flying] = flight(out[flying], size[flying], rng)
-    return land(out, size) if last else out
+    return swap(prob, land(out, size), size, goal) if last else out
 
 
 def _decide(seed: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng([seed, int(pdf["round"][0]), int(pdf["block"][0]), len(pdf)])
+        pdf = pdf.sort_values(["h", "size", "id", "copy"], kind="stable").reset_index(drop=True)
+        name = zlib.crc32(repr(pdf["source"][0]).encode())
+        rng = np.random.default_rng([seed, name, int(pdf["round"][0]), int(pdf["block"][0]), len(pdf)])
         prob, size = pdf["prob"].to_numpy(dtype="float64"), pdf["size"].to_numpy(dtype="float64")
-        return pdf.assign(prob=decide(prob, size, bool(pdf["blocks"][0] == 1), rng))
+        return pdf.assign(prob=decide(prob, size, bool(pdf["blocks"][0] == 1), rng, float(pdf["target"][0])))
 
     return block
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows with a number ``copy`` that tells equal rows apart, whichever task reads them.
+
+    Equal rows are counted and written out again, at most ``BLOCK_ROWS`` of them in one piece.
+    """
+    last = F.col("n") - 1
+    pieces = sized.groupBy("id", "source", "h", "size").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK_ROWS)))).repartition("h", "piece")
+    first = F.col("piece") * BLOCK_ROWS
+    return pieces.withColumn("copy", F.explode(F.sequence(first, F.least(first + (BLOCK_ROWS - 1), last)))).drop("n", "piece")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -169,15 +216,13 @@ def mix(
     ``h`` is a hash of id, text and source: with it the decision finds its row again.
     """
     text = F.col(text_col)
-    sized = materialise(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            row_hash(F.col(id_col), text, F.col(source_col)).alias("h"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
+    sized = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        row_hash(F.col(id_col), text, F.col(source_col)).alias("h"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    sized = materialise(_numbered(sized), "mix-sizes")
     targets = source_targets(sized, weights, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(ratio + EPS)
@@ -191,12 +236,12 @@ def mix(
     undecided = (F.col("prob") > 0) & (F.col("prob") < 1)
     parts = [rows.where(~undecided).drop("n_docs")]
     pending = rows.where(undecided).withColumn("n", F.col("n_docs")).drop("n_docs")
-    kept = ["id", "source", "h", "size", "source_size", "target", "base", "prob"]
+    kept = ["id", "source", "h", "copy", "size", "source_size", "target", "base", "prob"]
     for round_ in range(12):
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).cast("long")
         dealt = (
             pending.withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("h", F.lit(round_)), F.col("blocks")))
+            .withColumn("block", F.pmod(F.xxhash64("h", "copy", F.lit(round_)), F.col("blocks")))
             .withColumn("round", F.lit(round_))
             .select(*kept, "blocks", "block", "round")
         )
@@ -214,7 +259,7 @@ def mix(
     out = parts[0].select(*kept)
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("copies", (F.col("base") + F.round("prob")).cast("int")).drop("base", "prob")
+    return out.withColumn("copies", (F.col("base") + F.round("prob")).cast("int")).drop("base", "prob", "copy")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

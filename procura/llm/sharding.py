@@ -41,12 +41,14 @@ def shard_by_bytes(
         F.xxhash64(text).alias("h"),
     )
     # Written before the range exchange, which reads its input twice, and after
-    # it, so that every later step sees the same partitions.
-    narrow = materialise(rows, "shard-rows")
+    # it, so that every later step sees the same partitions. The salt deals rows
+    # that agree in all else, which may be a third of the table, to many partitions.
+    narrow = materialise(rows, "shard-rows").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     ordered = materialise(
-        narrow.repartitionByRange(shuffle_partitions(spark), "h", "id", "size")
+        narrow.repartitionByRange(shuffle_partitions(spark), "h", "id", "size", "salt")
         .sortWithinPartitions("h", "id", "size")
-        .withColumn("part", F.spark_partition_id()),
+        .withColumn("part", F.spark_partition_id())
+        .drop("salt"),
         "shard-order",
     )
     whole_line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

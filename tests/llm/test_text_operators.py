@@ -196,6 +196,43 @@ def test_language_on_odd_rows(spark):
     assert {r[0] for r in df.select(language_id.identify(F.col("text"), blank, spark)["lang"]).collect()} == {"und"}
 
 
+def test_more_labels_than_languages_are_learned(spark, monkeypatch):
+    rows = [(i, f"text number {i} of label {i % 7}", f"l{i % 7}") for i in range(100)] + [(200 + i, "more of this one", "l6") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    model = language_id.fit(df)
+    assert len(model.languages) == 3 and "l6" in model.languages
+    many = spark.createDataFrame([(i, chr(97 + i % 26) * 3 + chr(97 + i // 26 % 26) * 3, f"x{i:04}") for i in range(1200)], "doc_id long, text string, lang string")
+    monkeypatch.undo()
+    model = language_id.fit(many)
+    assert len(model.languages) == language_id.MAX_LANGUAGES and model.languages[0] == "x0000"
+    assert many.limit(40).select(language_id.identify(F.col("text"), model, spark)["lang"]).distinct().count() > 1
+
+
+def test_mixtures_of_five_languages_keep_all_five():
+    """The chosen set grows as long as it pays; each language here has trigrams of its own."""
+    rng = np.random.default_rng(6)
+    alphabets = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "zäöü"]
+    say = lambda k, n: " ".join("".join(rng.choice(list(alphabets[k]), 4)) for _ in range(n))
+    counts = np.full((1 << language_id.BITS, 6), 0.5)
+    for k in range(6):
+        counts[:, k] += np.bincount(language_id.trigrams(say(k, 4000).encode()), minlength=1 << language_id.BITS)
+    model = language_id.LanguageModel(tuple("abcdef"), np.log(counts / counts.sum(axis=0)))
+    share, _ = language_id.infer(model, [" ".join(say(k, 60) for k in range(5)).encode(), say(2, 60).encode()])
+    assert (share[0, :5] > 0.15).all() and share[0, 5] == 0 and share[1].tolist() == [0, 0, 1, 0, 0, 0]
+
+
+def test_likelihood_never_falls_during_the_rounds():
+    """Expectation-maximisation against a grid of proportions: no mixture of the two is likelier."""
+    rng = np.random.default_rng(9)
+    like, weight = rng.random((40, 2)) + 0.01, rng.integers(1, 9, 40).astype(float)
+    owner, starts = np.zeros(40, dtype=int), np.array([0])
+    seen = [language_id._mixture(like, weight, owner, starts, np.full((1, 2), 0.5), n)[1][0] for n in range(0, 200, 20)]
+    assert all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False))
+    grid = max((weight * np.log(like @ np.array([p, 1 - p]))).sum() for p in np.linspace(0, 1, 401))
+    assert seen[-1] >= grid - 1e-3
+
+
 # --- repeated passages ----------------------------------------------------------
 
 
@@ -409,4 +446,30 @@ def test_layouts_give_the_same_turns(spark):
         assert [(r["role"], r["text"]) for r in got] == want
     with pytest.raises(ValueError):
         chat_format.recognise(spark.range(1).schema)
-    assert duckdb.__version__
+
+
+def test_rows_of_several_layouts_in_one_table(spark):
+    schema = "conv_id long, prompt string, response string, messages array<struct<role:string,content:string>>, turn long, role string, text string"
+    rows = [
+        (1, "hi", "yo", None, None, None, None),
+        (2, None, None, [("human", "hi"), ("gpt", "yo")], None, None, None),
+        (3, None, None, None, 0, "human", "hi"),
+        (3, None, None, None, 1, "gpt", "yo"),
+        (4, "hi", None, None, None, None, None),
+        (5, None, None, [], None, None, None),
+    ]
+    got = {}
+    for r in chat_format.canonical_turns(spark.createDataFrame(rows, schema)).orderBy("turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    said = [("user", "hi"), ("assistant", "yo")]
+    assert got == {1: said, 2: said, 3: [("human", "hi"), ("gpt", "yo")], 4: [("user", "hi"), ("assistant", "")]}
+
+
+def test_chat_digests_of_odd_roles_match_sql(spark, tmp_path):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, None, None), (2, None, "assistant", "c: ###"), (3, 0, "User ", "x"), (3, 1, "assistant", ""), (3, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    # A null turn comes first, as in Spark.
+    want = con.execute(oracle_sql()["op4_chat_format"].replace("ORDER BY turn,", "ORDER BY turn NULLS FIRST,")).fetchall()
+    assert {tuple(r) for r in queries()["op4_chat_format"](spark, str(tmp_path)).collect()} == set(want)
