@@ -5,8 +5,9 @@ it kept. All but the last return the columns of ``docs``, whatever they are;
 the last returns each row's shard and place.
 
 Defined results, for every stage: an empty table stays empty; a null id, null
-source or null language doesn't drop a row; other columns pass through. What
-each stage does with null or empty text, ties and repeated rows is said there.
+source or null language doesn't drop a row; other columns pass through, whatever
+their names. What each stage does with null or empty text, ties and repeated
+rows is said there.
 """
 
 from __future__ import annotations
@@ -15,20 +16,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.llm import decontamination, language_id, mixing, sharding, similar
-from procura.workspace import materialise
+from procura.workspace import keep, scratch
 
 N_SHARDS = 24
 #: A text in which no language reaches this share is in none of the learned ones.
 MIN_SHARE = 0.3
 
 
-#: Columns that join a decision to its row and, with the same exchange, find repeated rows.
-ROW_KEY = ["__id", "__no_id", "__h"]
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column's name begins with, in any case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
-def _row_key(doc_id: Column, digest: Column) -> list[Column]:
-    """An id, null included, and a hash, as columns that are never null."""
-    return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__no_id"), digest.alias("__h")]
+def _row_key(prefix: str, doc_id: Column, digest: Column) -> list[Column]:
+    """An id, null included, and a hash, as columns that are never null: they join a decision to its row."""
+    return [F.coalesce(doc_id, F.lit(0)).alias(f"{prefix}id"), doc_id.isNull().alias(f"{prefix}no_id"), digest.alias(f"{prefix}h")]
+
+
+def _key_names(prefix: str) -> list[str]:
+    return [f"{prefix}{c}" for c in ("id", "no_id", "h")]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +48,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs)
     if not model.languages:
         return docs
-    found = docs.withColumn("__language", language_id.identify(F.col("text"), model, spark))
-    kept = (F.col("__language.lang") != language_id.UNKNOWN) & (F.col("__language.score") >= MIN_SHARE)
-    return found.where(kept).drop("__language")
+    name = _free(docs) + "language"
+    found = docs.withColumn(name, language_id.identify(F.col("text"), model, spark))
+    kept = (F.col(name)["lang"] != language_id.UNKNOWN) & (F.col(name)["score"] >= MIN_SHARE)
+    return found.where(kept).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +62,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest hash stays; a group without any id keeps one row.
     """
     rows, classes = similar.near_copies(docs)
+    prefix = _free(docs)
+    key = _key_names(prefix)
     stays = (
         rows.join(classes, "f")
         .where(F.col("id").eqNullSafe(F.col("component_id")))
         .groupBy("component")
         .agg(F.min(F.struct("id", "h")).alias("k"))
-        .select(*_row_key(F.col("k.id"), F.col("k.h")))
+        .select(*_row_key(prefix, F.col("k.id"), F.col("k.h")))
     )
-    marked = docs.select("*", *_row_key(F.col("doc_id"), F.xxhash64("text")))
-    return marked.join(stays, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).drop(*ROW_KEY)
+    marked = docs.select("*", *_row_key(prefix, F.col("doc_id"), F.xxhash64("text")))
+    return marked.join(stays, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +81,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Text that is null or has no word isn't contaminated. Repeated rows fare alike.
     """
     automata = decontamination.build_automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = docs.withColumn("__hits", decontamination.measure(F.col("text"), automata, spark))
-    n_hit = decontamination.hit_words(F.col("__hits"))
-    return found.where(~decontamination.is_contaminated(n_hit, F.col("__hits.n_words"))).drop("__hits")
+    name = _free(docs) + "hits"
+    found = docs.withColumn(name, decontamination.measure(F.col("text"), automata, spark))
+    n_hit = decontamination.hit_words(F.col(name))
+    return found.where(~decontamination.is_contaminated(n_hit, F.col(name)["n_words"])).drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,18 +93,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with equal id, text and source are interchangeable: their copies are
     copies of one of them.
     """
-    copies = (
-        mixing.mix(docs)
-        .groupBy("id", "h")
-        .agg(F.sum("copies").alias("__copies"))
-        .where("__copies > 0")
-        .select(*_row_key(F.col("id"), F.col("h")), "__copies")
-    )
+    prefix = _free(docs)
+    key, n = _key_names(prefix), f"{prefix}copies"
+    copies = mixing.mix(docs).groupBy("id", "h").agg(F.sum("copies").alias(n)).where(F.col(n) > 0).select(*_row_key(prefix, F.col("id"), F.col("h")), n)
     of_row = mixing.row_hash(F.col("doc_id"), F.col("text"), F.col("source"))
-    marked = docs.select("*", *_row_key(F.col("doc_id"), of_row))
-    taken = marked.join(copies, ROW_KEY).dropDuplicates(ROW_KEY)
-    each = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return each.drop(*ROW_KEY, "__copies", "__copy")
+    taken = docs.select("*", *_row_key(prefix, F.col("doc_id"), of_row)).join(copies, key).dropDuplicates(key)
+    each = taken.withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    return each.drop(*key, n, f"{prefix}copy")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -115,8 +123,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each result is written and read again.
+
+    A stage's own tables go as soon as its result is written, and so does the result before.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, last):
+            last = []
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}", last)
     return docs

@@ -13,7 +13,7 @@ import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark import cloudpickle
@@ -66,6 +66,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 _registered: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -80,10 +81,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         _registered.add(root)
         atexit.register(_delete, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, others: list[str]) -> Iterator[None]:
+    """At the end of a block that doesn't fail, delete the tables that ``materialise`` wrote in it, and some others.
+
+    What is still to be read must be written by ``keep``.
+    """
+    own = list(others)
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+    for path in own:
+        _delete(spark, path)
+
+
+def keep(df: DataFrame, label: str, paths: list[str]) -> DataFrame:
+    """``materialise``, for longer than the current block; the path goes to ``paths``."""
+    _scopes.append(paths)
+    try:
+        return materialise(df, label)
+    finally:
+        _scopes.pop()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
