@@ -1,14 +1,22 @@
 """Groups of documents whose sets of word shingles are similar, each link checked on the shingles.
 
-Candidates: texts that agree in one of ``BANDS`` bands of ``DEPTH`` minimum
-hashes; a pair of similarity 0.8 does with probability 1 - (1 - 0.8**5)**25 =
-0.99995, a more similar one more surely. A pair is linked if the Jaccard
-similarity of its sets of five-word shingles is 0.8 or more.
-
-Texts of one shingle set count as one. While the pairs that the buckets still
-hold between different groups are too many, one member of every bucket is
-compared with all its members of other groups and leaves; what is linked by
-then needs no comparison. So a bucket of any size ends with its groups and no
+The near-copy rule on shingle sets: five words, Jaccard similarity 0.8 or more.
+A SimHash of 64 bits can't find these pairs at a bounded cost: at similarity 0.8
+two fingerprints differ in ten bits on the average, and covering masks for that
+radius are some thousand tables for each row. So candidates are texts that agree
+in one of ``BANDS`` bands of ``DEPTH`` minimum hashes; a pair of similarity 0.8
+does with probability 1 - (1 - 0.8**5)**25 = 0.99995, a more similar one more
+surely.
+
+Families of texts with a similarity of, say, 0.6 share many bands and would
+cost all their pairs. They go beforehand, without loss: a text that has more
+than a fifth of its shingles for itself alone, among all candidates, is similar
+to no other. Of the rest each text is first compared with the one text of its
+buckets that has the smallest share of shingles for itself, which in a family is
+the text that the others were copied from; what is linked by then needs no
+comparison. While the pairs that the buckets still hold between different groups
+are too many, one member of every bucket is compared with all its members of
+other groups and leaves. So a bucket of any size ends with its groups and no
 pair of different groups goes unchecked.
 
 Defined results: as in ``simhash``, with the hash of the shingle set in place of
@@ -21,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,27 +72,45 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, f, bands): f is the hash of the shingle set, 0 without words."""
+    """(id, h, f, size, bands): f is the hash of the shingle set, 0 without words; size counts its shingles."""
 
     factors, summands = FACTORS, SUMMANDS
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            sets = [shingles(x) for x in part]
-            prints = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) if len(s) else 0 for s in sets]
-            yield pd.DataFrame({"f": pd.Series(prints, dtype="int64"), "bands": [bands(s, factors, summands) for s in sets]})
+            rows = []
+            for text in part:
+                own = shingles(text)
+                rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63) if len(own) else 0, len(own), bands(own, factors, summands)))
+            yield pd.DataFrame(rows, columns=["f", "size", "bands"]).astype({"f": "int64", "size": "int64"})
 
-    found = F.pandas_udf(batches, "f long, bands array<long>")(F.col(text_col).cast("binary"))
+    found = F.pandas_udf(batches, "f long, size long, bands array<long>")(F.col(text_col).cast("binary"))
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found.alias("s"))
-    return materialise(out.select("id", "h", "s.f", "s.bands"), "similar-rows")
+    return materialise(out.select("id", "h", "s.f", "s.size", "s.bands"), "similar-rows")
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """(f, alone): how many shingles of a text stand in no other."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingles(raw).view(np.int64)
+                for at in range(0, len(own), 100_000):
+                    part = own[at : at + 100_000]
+                    yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), f, dtype=np.int64))], names=["shingle", "f"])
+
+    each = texts.select("f", "raw").mapInArrow(spread, "shingle long, f long")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f")).where("n = 1")
+    return once.groupBy("f").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
 
     def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[bytes, np.ndarray] = {}
         for left, right in parts:
-            known: dict[bytes, np.ndarray] = {}
             out = []
             for a, b in zip(left, right, strict=True):
                 if a not in known:
@@ -91,8 +118,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(similar(known[a], shingles(b)))
             yield pd.Series(out, dtype="bool")
 
-    both = pairs.join(texts.select(F.col("f").alias("a"), F.col("raw").alias("x")), "a").join(
-        texts.select(F.col("f").alias("b"), F.col("raw").alias("y")), "b"
+    both = pairs.join(texts.select(F.col("f").alias("b"), F.col("raw").alias("y")), "b").join(
+        texts.select(F.col("f").alias("a"), F.col("raw").alias("x")), "a"
     )
     return both.where(F.pandas_udf(batches, "boolean")("x", "y")).select("a", "b")
 
@@ -100,45 +127,57 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _labelled(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets that still hold several groups, with their group; and the groups."""
     component = materialise(connected_components(edges), "similar-components")
-    named = members.join(component, members["f"] == component["node"], "left").select("band", "key", "f", F.coalesce("component", "f").alias("c"))
+    named = members.drop("c").join(component, members["f"] == component["node"], "left").select("band", "key", "share", "f", F.coalesce("component", "f").alias("c"))
     mixed = named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    return named.join(mixed, ["band", "key"]), component
+    return materialise(named.join(mixed, ["band", "key"]), "similar-members"), component
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The similar ones of the pairs, and what earlier rounds linked."""
+    found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+    if component is not None:
+        found = found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return materialise(found, "similar-edges")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes) as ``simhash.near_duplicates`` gives them, f being the hash of the shingle set."""
     rows = _signed(docs, id_col, text_col)
-    prints = materialise(rows.groupBy("f").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.first("bands").alias("bands")), "similar-distinct")
+    prints = rows.groupBy("f").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    prints = materialise(prints, "similar-distinct")
     n_prints = prints.count()
     spread = prints.select("f", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    members = materialise(spread.join(shared, ["band", "key"]).withColumn("c", F.col("f")), "similar-members")
-    wanted = prints.join(members.select("f").distinct(), "f", "left_semi").select("f", "h")
+    members = materialise(spread.join(shared, ["band", "key"]), "similar-members")
+    wanted = prints.join(members.select("f").distinct(), "f", "left_semi").select("f", "h", "size")
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("raw")).join(wanted, "h")
     texts = materialise(texts.dropDuplicates(["f"]), "similar-texts")
-    edges, component = None, None
+    share = F.coalesce("alone", F.lit(0)) / F.col("size")
+    able = texts.select("f", "size").join(_alone(texts), "f", "left").select("f", share.alias("share")).where(F.col("share") <= 1 - SIMILARITY + 1e-9)
+    members = materialise(members.join(able, "f").withColumn("c", F.col("f")), "similar-members")
+    bucket = ["band", "key"]
+    first = F.struct("share", "f")
+    # Each text with the best of the first members of its buckets.
+    heads = members.groupBy(*bucket).agg(F.min(first).alias("head"))
+    best = members.join(heads, bucket).where("f <> head.f").groupBy("f").agg(F.min("head").alias("head"))
+    edges = _linked(best.select(F.col("f").alias("a"), F.col("head.f").alias("b")), texts, None)
     while True:
-        sizes = members.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"))
-        across = sizes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        members, component = _labelled(members, edges)
+        sizes = members.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"))
+        across = sizes.groupBy(*bucket).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "c")).alias("most"))
         left = across.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if edges is not None and not left:
+        if not left:
             break
-        last = left <= PAIRS * n_prints
-        if last:
-            first = members.select("band", "key", F.col("f").alias("a"), F.col("c").alias("ca"))
-            met = first.join(members, ["band", "key"]).where("a < f and ca <> c")
-        else:
-            leader = members.groupBy("band", "key").agg(F.min(F.struct("f", "c")).alias("l")).select("band", "key", F.col("l.f").alias("a"), F.col("l.c").alias("ca"))
-            met = members.join(leader, ["band", "key"])
-            rest = met.where("a <> f").select("band", "key", "f")
-            met = met.where("ca <> c")
-        found = _verified(met.select("a", F.col("f").alias("b")).distinct(), texts)
-        edges = materialise(found if component is None else found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))), "similar-edges")
-        if last:
-            component = materialise(connected_components(edges), "similar-components")
+        if left <= PAIRS * n_prints:
+            # Members outside a bucket's largest group meet all others; inside it nobody meets.
+            minor = members.join(across.select(*bucket, F.col("most.c").alias("most")), bucket).where("c <> most").select(*bucket, F.col("f").alias("a"), F.col("c").alias("ca"))
+            met = minor.join(members, bucket).where("ca <> c").select("a", F.col("f").alias("b"))
+            component = materialise(connected_components(_linked(met, texts, component)), "similar-components")
             break
-        members, component = _labelled(rest, edges)
-        members = materialise(members, "similar-members")
+        heads = members.groupBy(*bucket).agg(F.min(F.struct("share", "f", "c")).alias("head"))
+        met = members.join(heads, bucket)
+        edges = _linked(met.where("head.c <> c").select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, component)
+        members = met.where("head.f <> f").drop("head")
     named = prints.join(component, prints["f"] == component["node"], "left").select("f", "first_id", F.coalesce("component", "f").alias("component"))
     named = materialise(named, "similar-named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -292,20 +292,20 @@ def test_pages_on_odd_rows(spark):
 
 
 def test_pipeline_stages(spark, sf_dir):
+    """Each stage against brute force, on a table with repeated rows and columns named as a stage might name its own."""
     import corpus_pipeline as cp
-    from test_text_operators import brute_components, brute_fingerprint
-
-    from procura.llm.queries import oracle_sql  # noqa: F401
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "12 34", "en", "src0", 5)], docs.schema)
-    docs = docs.unionByName(own).unionByName(docs.limit(3)).withColumn("__extra", F.lit(1)).withColumn("h", F.lit("clash"))
+    docs = docs.unionByName(own).unionByName(docs.limit(3))
+    clash = ("h", "id", "f", "size", "__id", "__no_id", "__h", "__copies", "__copy", "__language", "__hits", "___h", "component", "copies")
+    docs = docs.withColumns({c: F.lit(f"clash {c}") for c in clash})
     known = {r["doc_id"] for r in docs.collect()}
     kept = cp.identify_language(spark, docs, sf_dir)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == known - {10**6, 10**6 + 1}
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     single = cp.drop_near_copies(spark, kept, sf_dir)
-    want = set(brute_components({i: brute_fingerprint(t) for i, t in texts.items()}).values())
+    want = set(shingle_components(texts).values())
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(want) and single.columns == docs.columns
     clean = cp.decontaminate(spark, single, sf_dir)
     bad = {r["doc_id"] for r in queries()["op5_decontamination"](spark, sf_dir).where("contaminated").collect()}
@@ -313,11 +313,28 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = cp.mix_sources(spark, clean, sf_dir)
     copies = {r["id"]: r["copies"] for r in mixing.mix(clean).collect() if r["copies"]}
     assert Counter(r["doc_id"] for r in mixed.collect()) == copies and mixed.columns == docs.columns
+    assert all(r[c] == f"clash {c}" for r in mixed.collect() for c in clash)
     cut = cp.cut_shards(spark, mixed, sf_dir).collect()
     assert Counter(r["doc_id"] for r in cut) == copies
     check_shards(cut, 24, max(r["size"] for r in cut))
 
 
+def test_pipeline_run_leaves_only_its_result(spark, sf_dir, tmp_path):
+    """Every stage's tables go once the next one's result is written; the result is that of the stages in turn."""
+    import os
+
+    import corpus_pipeline as cp
+    from procura.workspace import shared_dir
+
+    rows = cp.run(spark, sf_dir)
+    root = f"{shared_dir(spark).removeprefix('file:')}/procura-{spark.sparkContext.applicationId}"
+    assert [f.split("-")[1] for f in os.listdir(root) if f.startswith("pipeline-")] == ["sharding"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def shingle_components(texts, n=5):
     sets = {}
     for i, text in texts.items():
