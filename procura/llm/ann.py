@@ -5,7 +5,14 @@ balanced partitioning of that graph, and a small classifier that learns to
 tell a vector's partition. The number of partitions a query visits is the
 smallest that reaches ``TARGET`` recall on vectors kept from the fitting.
 
-Searching: the classifier puts every vector into one partition and routes each
+A table of more than ``MAX_PARTITIONS`` partitions' worth of vectors has two
+levels: the rows of each partition are partitioned again, by a classifier of
+their own that a task fits on a bounded sample of them, and a query visits the
+most probable inner partitions of each outer one it is routed to. So partitions
+keep their size up to ``MAX_PARTITIONS`` squared of them; the levels share the
+recall target between them.
+
+Searching: the classifiers put every vector into one partition and route each
 query to its most probable ones. Partitions are dealt in blocks of rows and
 queries in blocks of queries, both of bounded size, so a partition that holds a
 third of all vectors is many tasks. Each task scores its block and keeps k
@@ -20,7 +27,8 @@ returned; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +42,9 @@ from procura.workspace import broadcast_object, materialise
 #: Bounds of the sample that is fitted: vectors, and numbers in them.
 SAMPLE_ROWS, SAMPLE_VALUES = 8192, 4_000_000
 ROWS_PER_PARTITION = 4096
-MAX_PARTITIONS = 256
-TARGET = 0.95
+#: Partitions of one level, at least and at most; of a sample too small for that, one for every 24 vectors.
+MIN_PARTITIONS, MAX_PARTITIONS = 4, 256
+TARGET = 0.97
 BLOCK_VALUES = 1 << 20
 GRAPH_DEGREE = 10
 
@@ -147,10 +156,10 @@ def train_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hi
     return Router(*p, scale, 1)
 
 
-def fit_router(x: np.ndarray, n_rows: int, k: int, seed: int = 7) -> Router:
+def fit_router(x: np.ndarray, n_rows: int, k: int, seed: int = 7, target: float | None = None) -> Router:
     """A router for a table of ``n_rows`` vectors from a sample of them."""
-    dim = x.shape[1]
-    parts = int(min(MAX_PARTITIONS, max(1, round(n_rows / ROWS_PER_PARTITION)), max(1, len(x) // 24)))
+    dim, goal = x.shape[1], TARGET if target is None else target
+    parts = int(min(MAX_PARTITIONS, max(MIN_PARTITIONS, round(n_rows / ROWS_PER_PARTITION)), max(1, len(x) // 24)))
     if parts == 1:
         return Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0, 1)
     rng = np.random.default_rng(seed)
@@ -172,12 +181,75 @@ def fit_router(x: np.ndarray, n_rows: int, k: int, seed: int = 7) -> Router:
         rank = np.argsort(np.argsort(-router.logits(asked), axis=1, kind="stable"), axis=1)
         reached = np.take_along_axis(rank, home[best], axis=1)
         for probes in range(1, parts + 1):
-            if (reached < probes).mean() >= TARGET:
+            if (reached < probes).mean() >= goal:
                 router.probes = probes
                 break
     return router
 
 
+@dataclass
+class Cells:
+    """An outer router and, in tables of two levels, the routers inside its partitions."""
+
+    outer: Router
+    inner: dict[int, Router]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The partition of each vector."""
+        part = self.outer.nearest(x, 1)[:, 0]
+        cell = part * MAX_PARTITIONS
+        for one, router in self.inner.items():
+            mine = part == one
+            if mine.any():
+                cell[mine] += router.nearest(x[mine], 1)[:, 0]
+        return cell.astype(np.int32)
+
+    def near(self, x: np.ndarray) -> list[list[int]]:
+        """The partitions that each vector asks."""
+        parts = self.outer.nearest(x, self.outer.probes)
+        out: list[list[int]] = [[] for _ in x]
+        for one in np.unique(parts).tolist():
+            mine = np.flatnonzero((parts == one).any(axis=1))
+            router = self.inner.get(one)
+            inside = router.nearest(x[mine], router.probes) if router else np.zeros((len(mine), 1), dtype=int)
+            for i, row in zip(mine.tolist(), (inside + one * MAX_PARTITIONS).tolist(), strict=True):
+                out[i] += row
+        return out
+
+
+INDEX = "id long, cell int, x array<double>"
+
+
+def _placing(shared: Callable[[], Cells], dim: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
+                yield pa.record_batch([batch.column(0), pa.array(own.of(x)), batch.column(1).cast(pa.list_(pa.float64()))], names=["id", "cell", "x"])
+
+    return place
+
+
+def _fit_inner(outer: DataFrame, wanted: int, k: int, seed: int, target: float) -> dict[int, Router]:
+    """A router for each outer partition, each fitted by a task on about ``wanted`` of its vectors.
+
+    There are at most ``MAX_PARTITIONS`` of them, each of a hidden layer's size.
+    """
+    sizes = {r["cell"]: r["count"] for r in outer.groupBy("cell").count().collect()}
+    share = F.create_map(*[F.lit(v) for cell, n in sizes.items() for v in (cell, int(min(1.0, wanted / n) * (1 << 30)))])
+    drawn = outer.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < share[F.col("cell")])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = int(pdf["cell"].iloc[0])
+        # Rows that repeat one id are drawn together; the bound holds for them too.
+        found = fit_router(np.stack(pdf["x"].iloc[: 2 * wanted].to_numpy()), sizes[cell], k, seed, target)
+        return pd.DataFrame({"cell": [cell], "router": [pickle.dumps(tuple(vars(found).values()))]})
+
+    fitted = drawn.groupBy("cell").applyInPandas(fit, "cell int, router binary").collect()
+    return {r["cell"] // MAX_PARTITIONS: Router(*pickle.loads(bytes(r["router"]))) for r in fitted}
+
+
 def _usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return vector.isNotNull() & ~bad & F.exists(vector, lambda c: c != 0)
@@ -197,52 +269,44 @@ def search(
     dim, n_rows = sizes["dim"], sizes["count"]
     rows = rows.where(F.size("x") == dim)
     wanted = min(SAMPLE_ROWS, max(64, SAMPLE_VALUES // dim))
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, wanted / n_rows) * (1 << 30))
-    sample = rows.where(draw).select("x").limit(2 * wanted).toPandas()["x"]
+    levels = 1 if n_rows <= MAX_PARTITIONS * ROWS_PER_PARTITION else 2
+    target = TARGET ** (1 / levels)
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    sample = rows.where(draw < int(min(1.0, wanted / n_rows) * (1 << 30))).select("x").limit(2 * wanted).toPandas()["x"]
     sample = np.array(sample.tolist(), dtype=np.float64).reshape(-1, dim)
-    router = fit_router(sample, n_rows, k, seed) if len(sample) else fit_router(np.ones((1, dim)), 1, k, seed)
-    shared = broadcast_object(spark, router)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared()
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-                part = own.nearest(x, 1)[:, 0]
-                yield pa.record_batch([batch.column(0), pa.array(part.astype(np.int32)), batch.column(1).cast(pa.list_(pa.float64()))], names=["id", "part", "x"])
+    router = fit_router(sample, n_rows, k, seed, target) if len(sample) else fit_router(np.ones((1, dim)), 1, k, seed)
+    inner: dict[int, Router] = {}
+    if levels == 2:
+        outer = materialise(rows.mapInArrow(_placing(broadcast_object(spark, Cells(router, {})), dim), INDEX), "ann-outer")
+        inner = _fit_inner(outer, wanted, k, seed, target)
+    shared = broadcast_object(spark, Cells(router, inner))
+    index = materialise(rows.mapInArrow(_placing(shared, dim), INDEX), "ann-index")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared()
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-                near = own.nearest(x, own.probes).astype(np.int32)
-                parts = pa.array(near.tolist(), pa.list_(pa.int32()))
-                yield pa.record_batch([batch.column(0), parts, batch.column(1).cast(pa.list_(pa.float64()))], names=["id", "parts", "x"])
+                cells = pa.array(own.near(x), pa.list_(pa.int32()))
+                yield pa.record_batch([batch.column(0), cells, batch.column(1).cast(pa.list_(pa.float64()))], names=["id", "cells", "x"])
 
-    index = materialise(rows.mapInArrow(place, "id long, part int, x array<double>"), "ann-index")
     asking = rows.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("x").alias("x"))
     asked = materialise(
-        asking.mapInArrow(route, "id long, parts array<int>, x array<double>").select("id", "x", F.explode("parts").alias("part")), "ann-queries"
+        asking.mapInArrow(route, "id long, cells array<int>, x array<double>").select("id", "x", F.explode("cells").alias("cell")), "ann-queries"
     )
     block = max(256, BLOCK_VALUES // dim)
+    count = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    # One row a partition that holds rows and is asked: MAX_PARTITIONS squared at most.
+    blocks = index.groupBy("cell").agg(count.alias("row_blocks")).join(asked.groupBy("cell").agg(count.alias("query_blocks")), "cell")
+    blocks = F.broadcast(materialise(blocks, "ann-blocks"))
 
-    def blocks(frame: DataFrame) -> Column:
-        """Blocks of each partition, as a map: one entry a partition."""
-        counts = {r["part"]: -(-r["count"] // block) for r in frame.groupBy("part").count().collect()}
-        return F.create_map(*[F.lit(v).cast("int") for p in range(router.parts) for v in (p, counts.get(p, 1))])
-
-    of_rows, of_queries = blocks(index), blocks(asked)
-    part = F.col("part")
-
-    def dealt(frame: DataFrame, own: Column, other: Column, names: tuple[str, str]) -> DataFrame:
+    def dealt(frame: DataFrame, own: str, other: str) -> DataFrame:
         """A row goes to its own block, together with each block of the other side."""
-        return frame.withColumn(names[0], F.pmod(F.xxhash64("id"), own[part]).cast("int")).withColumn(
-            names[1], F.explode(F.sequence(F.lit(0), other[part] - 1))
-        )
+        each = frame.join(blocks, "cell").withColumn(own[:1] + "b", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        each = each.withColumn(other[:1] + "b", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return each.select("cell", "rb", "qb", "id", "x")
 
-    left = dealt(index, of_rows, of_queries, ("rb", "qb"))
-    right = dealt(asked, of_queries, of_rows, ("qb", "rb"))
+    left, right = dealt(index, "row_blocks", "query_blocks"), dealt(asked, "query_blocks", "row_blocks")
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids, asks = a["id"].to_numpy(), b["id"].to_numpy()
@@ -258,7 +322,7 @@ def search(
                 out.append(_best(own[q], y[at + q], rough[q], ids, x, k))
         return pd.DataFrame(np.concatenate(out)) if out else None
 
-    found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInPandas(score, "query_id long, vec_id long, score double")
+    found = left.groupBy("cell", "rb", "qb").cogroup(right.groupBy("cell", "rb", "qb")).applyInPandas(score, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

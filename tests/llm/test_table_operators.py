@@ -215,6 +215,50 @@ def test_recall_with_learned_partitions(spark):
     assert [i for _, i in sorted(got[0])] == list(range(1, 11))  # ties go to the smaller id
 
 
+def recall_of_the_query(spark, path, x):
+    """Of the 20 nearest by brute force, the share that the registered query returns; and its rows."""
+    x = x.astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    got = defaultdict(dict)
+    for r in queries()["op8_ann"](spark, str(path)).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    x = x.astype(np.float64)
+    asks = np.arange(0, len(x), 20)
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    assert all(abs(s - score[q // 20, i]) < 1e-9 for q, own in got.items() for i, s in own.items())
+    return np.mean([len(set(b.tolist()) & set(got[int(q)])) / 20 for q, b in zip(asks, best, strict=True)]), sum(map(len, got.values()))
+
+
+def clustered(rng, n, dim, centres):
+    middle = rng.standard_normal((centres, dim)) * 2
+    x = middle[rng.integers(0, centres, n)] + rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "alike in all directions"])
+def test_recall_of_the_registered_query(spark, tmp_path, kind):
+    rng = np.random.default_rng(11)
+    x = clustered(rng, 50_000, 32, 200) if kind == "clustered" else clustered(rng, 50_000, 32, 50_000)
+    recall, n = recall_of_the_query(spark, tmp_path, x)
+    assert recall >= 0.96 and n == 20 * 2500
+
+
+def test_clustered_vectors_need_few_partitions():
+    x = clustered(np.random.default_rng(12), 8192, 32, 200)
+    router = ann.fit_router(x, 400_000, 20)
+    assert router.parts == 98 and router.probes <= 40
+
+
+def test_recall_with_two_levels(spark, tmp_path, monkeypatch):
+    """Small partitions and few of them a level, so that a small table needs two levels."""
+    monkeypatch.setattr(ann, "MAX_PARTITIONS", 8)
+    monkeypatch.setattr(ann, "ROWS_PER_PARTITION", 400)
+    recall, n = recall_of_the_query(spark, tmp_path, clustered(np.random.default_rng(13), 12_000, 24, 60))
+    assert recall >= 0.94 and n == 20 * 600
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [nan, 1.0]), (100, [inf, 1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, []), (3, [1.0, 2.0, 3.0]), (120, [0.0, 2.0])]
