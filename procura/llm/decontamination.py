@@ -7,34 +7,41 @@ item words, or a whole item that is shorter) are hit. Texts are cut beforehand
 at words or word pairs that no item has; the automaton falls back to a match of
 at most one word there, so the cut changes nothing.
 
-Only the automaton goes to the executors. Its size is bounded: items are
-counted first and dealt to blocks of at most ``BLOCK_WORDS`` words, one
-automaton each, and the texts stream through one after the other.
+Only automata go to the executors, as arrays of some 80 bytes an item word.
+Items are counted first and dealt to blocks of at most ``BLOCK_WORDS`` words,
+one automaton each, built on the driver one after the other. Texts pass through
+``PASS_BLOCKS`` of them at a time; a larger benchmark takes further passes, each
+of which adds its spans to the ones before. So the memory of the driver and of a
+worker stays the same however large the benchmark is.
 
 Defined results: a null or wordless text has no words, no hits and isn't
 contaminated; a null or wordless item takes no part, and neither does a null
 item id; repeated items count once by id; an empty benchmark hits nothing;
 an empty table gives an empty result; other columns are kept by
-``measure`` and ignored by the query.
+``measured`` and ignored by the query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procura.workspace import broadcast_object
+from procura.workspace import broadcast_object, materialise
 
 WINDOW = 13
 #: A-Z become a-z; all other ASCII but digits and letters separates words.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-BLOCK_WORDS = 200_000
+#: Item words of one automaton, and automata of one pass over the texts.
+BLOCK_WORDS, PASS_BLOCKS = 200_000, 8
 MEASURE = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, longest int"
 
 
@@ -54,8 +61,8 @@ class ItemAutomaton:
             if words:
                 sequences.append((name, [self.vocab.setdefault(w, len(self.vocab)) for w in words]))
         self.width = len(self.vocab) + 1
-        self.next: dict[int, int] = {}  # state * width + word -> state
-        self.link, self.length = [-1], [0]
+        self.next: dict[int, int] = {}  # state * width + word -> state, while building
+        self.link, self.length = array("i", [-1]), array("i", [0])
         leaving: list[list[int]] = [[]]  # words that leave each state
         for _, words in sequences:
             last = 0
@@ -65,17 +72,33 @@ class ItemAutomaton:
         pairs = {a * self.width + b for _, words in sequences for a, b in zip(words, words[1:], strict=False)}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.least = min([window, *(len(words) for _, words in sequences)])
-        self.window_items: dict[int, set[str]] = {}
+        self.names = [name for name, _ in sequences]
+        ending: set[tuple[int, int]] = set()  # (state, item) of the items' windows
         self.short_items: dict[int, list[tuple[int, str]]] = {}
-        for name, words in sequences:
+        for item, (name, words) in enumerate(sequences):
             state = 0
             for at, word in enumerate(words):
                 state = self.next[state * self.width + word]
                 if at + 1 >= window:
                     state = self.floor(state)
-                    self.window_items.setdefault(state, set()).add(name)
+                    ending.add((state, item))
             if len(words) < window:
                 self.short_items.setdefault(state, []).append((len(words), name))
+        self.window_states, self.window_items = (array("i", x) for x in zip(*sorted(ending), strict=True)) if ending else (array("i"), array("i"))
+        self.keys = array("q", sorted(self.next))
+        self.targets = array("i", [self.next[k] for k in self.keys])
+        self.next = {}
+
+    def follow(self, state: int, word: int) -> int | None:
+        """The state that a word leads to."""
+        key = state * self.width + word
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else None
+
+    def items_at(self, state: int) -> set[str]:
+        """The items with a window that ends in a state."""
+        own = slice(bisect_left(self.window_states, state), bisect_right(self.window_states, state))
+        return {self.names[i] for i in self.window_items[own]}
 
     def _extend(self, last: int, word: int, leaving: list[list[int]]) -> int:
         width, follow, link, length = self.width, self.next, self.link, self.length
@@ -149,25 +172,29 @@ class ItemAutomaton:
     def scan(self, raw: bytes | None) -> tuple[int, list[tuple[int, int]], set[str], int]:
         """Number of words, hit spans (start, end), items found, and the longest match."""
         words = words_of(raw)
+        return len(words), *self.scan_words(words)
+
+    def scan_words(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+        """Hit spans (start, end), items found, and the longest match."""
         get = self.vocab.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int32)
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         longest = 0
-        follow, width, link, length, window = self.next, self.width, self.link, self.length, self.window
+        follow, link, length, window = self.follow, self.link, self.length, self.window
         for a, b in self.stretches(ids):
             state, n = 0, 0
             for at, word in enumerate(ids[a:b].tolist(), a + 1):
-                to = follow.get(state * width + word)
+                to = follow(state, word)
                 while to is None and state:
                     state = link[state]
                     n = length[state]
-                    to = follow.get(state * width + word)
+                    to = follow(state, word)
                 state, n = (0, 0) if to is None else (to, n + 1)
                 longest = max(longest, n)
                 back = 0
                 if n >= window:
-                    items |= self.window_items.get(self.floor(state), set())
+                    items |= self.items_at(self.floor(state))
                     back = window
                 if self.short_items and state:
                     for end, size, name in self.shorts(state):
@@ -182,10 +209,10 @@ class ItemAutomaton:
                             spans[-1] = (spans[-1][0], end)
                     else:
                         spans.append((at - back, at))
-        return len(words), spans, items, longest
+        return spans, items, longest
 
 
-def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[ItemAutomaton]:
+def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[ItemAutomaton]:
     """One automaton for each block of items; the number of words decides how many blocks."""
     raw = F.col(text_col).cast("binary")
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -193,27 +220,32 @@ def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     )
     size = items.agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator take two bytes at least
-    out = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("name", "raw"), F.lit(blocks)) == block).select("name", "raw").distinct()
         found = ItemAutomaton([(r["name"], bytes(r["raw"])) for r in mine.collect()])
         if found.vocab:
-            out.append(found)
-    return out
+            yield found
+
 
+def measure(text: Column, automata: Iterable[ItemAutomaton], spark, before: Column | None = None) -> Column:
+    """struct(n_words, spans, items, longest) of a string column; spans count words.
 
-def measure(text: Column, automata: list[ItemAutomaton], spark) -> Column:
-    """struct(n_words, spans, items, longest) of a string column; spans count words."""
+    ``before`` is what another pass found in the same text, for this one to add to.
+    """
     shared = [broadcast_object(spark, a) for a in automata]
+    none = F.lit(None).cast(f"struct<{MEASURE.replace(' ', ':').replace(',:', ',')}>")
 
-    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         own = [get() for get in shared]
-        for part in parts:
+        for texts, earlier in parts:
             rows = []
-            for raw in part:
-                n, spans, items, longest = None, [], set(), 0
+            for raw, known_spans, known_items, known_longest in zip(texts, earlier["spans"], earlier["items"], earlier["longest"], strict=True):
+                words = words_of(raw)
+                spans, items, longest = [], set(), 0
+                if known_spans is not None:
+                    spans, items, longest = [(x["start"], x["end"]) for x in known_spans], set(known_items), int(known_longest)
                 for automaton in own:
-                    n, more, names, most = automaton.scan(raw)
+                    more, names, most = automaton.scan_words(words)
                     spans, items, longest = spans + more, items | names, max(longest, most)
                 merged: list[tuple[int, int]] = []
                 for a, b in sorted(spans):
@@ -221,11 +253,22 @@ def measure(text: Column, automata: list[ItemAutomaton], spark) -> Column:
                         merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
                     else:
                         merged.append((a, b))
-                n = len(words_of(raw)) if n is None else n
-                rows.append((n, [{"start": a, "end": b} for a, b in merged], sorted(items), longest))
+                rows.append((len(words), [{"start": a, "end": b} for a, b in merged], sorted(items), longest))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "longest"])
 
-    return F.pandas_udf(batches, MEASURE)(text.cast("binary"))
+    return F.pandas_udf(batches, MEASURE)(text.cast("binary"), none if before is None else before)
+
+
+def measured(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name`` of ``measure``, over as many passes as the benchmark needs."""
+    automata = build_automata(benchmark)
+    before, batch = None, list(islice(automata, PASS_BLOCKS))
+    while True:
+        found = docs.withColumn(name, measure(F.col(text_col), batch, docs.sparkSession, before))
+        batch = list(islice(automata, PASS_BLOCKS))
+        if not batch:
+            return found
+        docs, before = materialise(found, "decontamination-pass"), F.col(name)
 
 
 def hit_words(measured: Column) -> Column:
@@ -263,8 +306,7 @@ def strip_spans(text: Column, measured: Column) -> Column:
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """Hits and the verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    automata = build_automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = docs.select("doc_id", measure(F.col("text"), automata, spark).alias("m"))
+    found = measured(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "m")
     n_hit = hit_words(F.col("m"))
     return found.select(
         "doc_id",

@@ -147,10 +147,25 @@ def test_automaton_against_windows(words):
         assert found == names
 
 
+def test_passes_over_a_large_benchmark_add_up(spark, sf_dir, monkeypatch, words):
+    """Blocks of a few items, two automata a pass: as many passes as one automaton would take none of."""
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(40)]
+    bench = spark.createDataFrame([*items, (90, "short item")], "item_id long, text string")
+    rows = [(i, f"intro {t} outro short  ITEM") for i, t in items] + [(100, f"{items[3][1]} {items[30][1]}"), (101, None), (102, "clean words")]
+    get = lambda: {r["doc_id"]: r["m"] for r in decontamination.measured(docs_of(spark, rows), bench, "m").collect()}
+    want = get()
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(decontamination, "PASS_BLOCKS", 2)
+    assert len(list(decontamination.build_automata(bench))) > 4
+    assert get() == want
+    assert want[100]["items"] == ["3", "30"] and want[0]["items"] == ["0", "90"] and want[101]["n_words"] == 0 and want[102]["spans"] == []
+
+
 def test_contamination_on_odd_rows(spark, words):
     item = " ".join(words[:20])
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, item), (4, "Zebra quagga")], "item_id long, text string")
-    automata = decontamination.build_automata(bench)
+    automata = list(decontamination.build_automata(bench))
     rows = [*ODD, (20, f"Before. {item.upper()}! After"), (21, "a ZEBRA, Quagga b"), (22, f"{item} {LONG}")]
     df = docs_of(spark, rows).withColumn("m", decontamination.measure(F.col("text"), automata, spark))
     clean = decontamination.strip_spans(F.col("text"), F.col("m"))
@@ -160,8 +175,8 @@ def test_contamination_on_odd_rows(spark, words):
     assert (got[21]["n"], got[21]["clean"], got[21]["m"]["items"]) == (2, "a  b", ["4"])
     assert got[22]["n"] == 20 and got[22]["m"]["n_words"] == 60_020
     assert got[1]["m"]["n_words"] == 0 and got[1]["clean"] is None and got[5]["n"] == 0
-    none = decontamination.build_automata(bench.limit(0))
-    assert docs_of(spark, rows).select(decontamination.measure(F.col("text"), none, spark)["n_words"]).count() == len(rows)
+    none = decontamination.measured(docs_of(spark, rows), bench.limit(0), "m")
+    assert none.select("m.n_words").count() == len(rows) and none.where("size(m.spans) > 0").isEmpty()
 
 
 # --- language -----------------------------------------------------------------
