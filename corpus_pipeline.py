@@ -80,9 +80,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Text that is null or has no word isn't contaminated. Repeated rows fare alike.
     """
-    automata = decontamination.build_automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     name = _free(docs) + "hits"
-    found = docs.withColumn(name, decontamination.measure(F.col("text"), automata, spark))
+    found = decontamination.measured(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name)
     n_hit = decontamination.hit_words(F.col(name))
     return found.where(~decontamination.is_contaminated(n_hit, F.col(name)["n_words"])).drop(name)
 
