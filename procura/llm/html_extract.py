@@ -136,7 +136,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 # --- vectors --------------------------------------------------------------
 
-PATH_DIM, WORD_DIM, NUMBERS = 96, 24, 8
+PATH_DIM, WORD_DIM, NUMBERS = 160, 24, 8
 DIM = PATH_DIM + WORD_DIM + NUMBERS
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -146,7 +146,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     for depth, label in enumerate(path):
         last = depth == len(path) - 1
         name, _, rest = label.partition(" ")
-        words = [f"<{name}>"] + [f".{w}" for w in SPLIT.split(rest) if len(w) > 1]
+        words = [f"<{name}>"] + [f".{w}" for w in SPLIT.split(rest) if len(w) > 1 and w.isalpha()]  # made-up names have digits
         for word in words + ([f"leaf <{name}>"] if last else []):
             code = zlib.crc32(word.encode())
             for k in range(2):
@@ -300,10 +300,10 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages -------------------------------------------------------
 
-N_PAGES = 700
+N_PAGES = 1500
 #: Class and id words that pages use for what isn't main text, by kind.
 FRAME_WORDS = {
-    "menu": "menu nav navbar navigation breadcrumb topbar tabs toolbar main-menu links",
+    "menu": "menu nav navbar navigation breadcrumb topbar tabs toolbar site-nav links",
     "side": "sidebar side widget related rail aside more trending recommended",
     "ad": "ad ads advert advertisement banner sponsor promo sponsored adbox",
     "notice": "cookie cookies notice consent gdpr alert popup modal privacy",
@@ -312,7 +312,13 @@ FRAME_WORDS = {
     "foot": "footer foot copyright bottom legal credits",
     "share": "share social sharing tags meta byline author pagination pager",
 }
-BODY_WORDS = "content post entry story article-body main-content post-content text page-body entry-content article prose"
+FRAME_ROLES = {"menu": "navigation", "side": "complementary", "ad": "complementary", "notice": "alert", "form": "search", "foot": "contentinfo"}
+BODY_WORDS = (
+    "content post entry story article-body main-content post-content text page-body entry-content article prose main primary "
+    "main-column single detail post-body the-content"
+)
+#: Words that say nothing about what is inside.
+NEUTRAL_WORDS = "wrap wrapper container row col col-8 inner outer box block panel grid page site layout left center right clearfix section"
 
 
 def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
@@ -345,6 +351,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
     def named(kind: str, tags: tuple[str, ...], always: bool = False) -> tuple[str, str]:
         tag = pick(tags)
         word = pick(FRAME_WORDS[kind].split())
+        if kind in FRAME_ROLES and chance(0.12):
+            return f'<{tag} role="{FRAME_ROLES[kind]}">', f"</{tag}>"
         if tag in ("div", "section", "ul", "p") or always or chance(0.5):
             return f'<{tag} {pick(("class", "class", "id"))}="{word}{pick(("", "", "-1", " box"))}">', f"</{tag}>"
         return f"<{tag}>", f"</{tag}>"
@@ -353,10 +361,32 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
         items = [f'<li><a href="/{i}">{mark(text(1, 3, 0.1), 0)}</a>' + pick(("</li>", "</li>", "</li>", "")) for i in range(n)]
         return pick(("<ul>", '<ul class="list">')) + "".join(items) + "</ul>"
 
+    def link_lines(n: int) -> str:
+        return "".join(f'<a href="/{i}">{mark(text(1, 3, 0), 0)}</a>{pick(("<br>", "<br>", "<br><br>"))}' for i in range(n))
+
+    def neutral() -> str:
+        """A class that is a common word or what a build tool made up."""
+        made_up = "css-" + "".join(pick("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+        return pick((pick(NEUTRAL_WORDS.split()), pick(NEUTRAL_WORDS.split()), made_up))
+
+    def wrapped(inner: str, p: float) -> str:
+        while chance(p):
+            name = pick((f' class="{neutral()}"', f' id="{neutral()}"', ""))
+            inner = f"<div{name}>{inner}</div>"
+            p *= 0.6
+        return inner
+
     def menu() -> str:
         a, b = named("menu", ("nav", "nav", "div", "header"))
+        if chance(0.15):  # links alone say what it is
+            a, b = f'<div class="{neutral()}">', "</div>"
+            return a + pick((link_list, link_lines))(int(rng.integers(3, 9))) + b
         return a + (link_list(int(rng.integers(2, 9))) if chance(0.8) else "".join(f'<a href="#">{mark(text(1, 2, 0), 0)}</a><br>' for _ in range(4))) + b
 
+    def heading(low: int, high: int, p: float) -> str:
+        tag = pick(("h2", "h3", "h3", "h4", "h5", "strong"))
+        return f"<{tag}>{mark(text(low, high, 0), 0)}</{tag}>" if chance(p) else ""
+
     def ad() -> str:
         a, b = named("ad", ("div", "div", "aside", "section"), always=True)
         return a + pick(("", "<p>")) + mark(text(2, 30), 0) + b
@@ -371,15 +401,15 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
 
     def side() -> str:
         a, b = named("side", ("aside", "aside", "div", "section"))
-        inner = f"<h3>{mark(text(1, 4, 0), 0)}</h3>" * chance(0.7)
+        inner = heading(1, 4, 0.7)
         inner += link_list(int(rng.integers(1, 6))) if chance(0.6) else "".join(f"<p>{mark(text(4, 50), 0)}</p>" for _ in range(int(rng.integers(1, 4))))
         return a + inner + b
 
     def talk() -> str:
         a, b = named("talk", ("section", "div", "ol"), always=True)
-        each = [f'<{pick(("div", "article", "li"))} class="comment"><p>{mark(text(3, 60), 0)}</p>' for _ in range(int(rng.integers(1, 5)))]
+        each = [f'<{pick(("div", "article", "li"))} {pick(("class", "class", "id"))}="{pick(("comment", "comment", "reply", "comment-body"))}"><p>{mark(text(3, 60), 0)}</p>' for _ in range(int(rng.integers(1, 5)))]
         ends = [f"</{e[1:].split(' ')[0]}>" for e in each]
-        return a + f"<h3>{mark(text(1, 3, 0), 0)}</h3>" * chance(0.6) + "".join(x + y for x, y in zip(each, ends, strict=True)) + b
+        return a + heading(1, 3, 0.7) + "".join(x + y for x, y in zip(each, ends, strict=True)) + b
 
     def foot() -> str:
         a, b = named("foot", ("footer", "footer", "footer", "div"), always=False)
@@ -393,7 +423,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
     def paragraph() -> str:
         long = chance(0.75)
         said = mark(text(12, 140) if long else text(1, 10), 1)
-        form_ = int(rng.integers(0, 14))
+        form_ = int(rng.integers(0, 19))
         if form_ == 0:
             return f"<h{int(rng.integers(2, 4))}>{mark(text(1, 6, 0), 1)}</h{2}><p>{said}</p>"
         if form_ == 1:
@@ -410,15 +440,27 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
             return f"<pre>{said}</pre>"
         if form_ == 7:
             return f"<p>{said}"
+        if form_ == 8:
+            return f"<p>{said}<ul>" + "".join(f"<li>{mark(text(2, 25), 1)}" for _ in range(int(rng.integers(2, 6)))) + "</ul>"
+        if form_ == 9:
+            return f"<div{pick(('', f' class={chr(34)}{neutral()}{chr(34)}'))}>{said}</div>"
+        if form_ == 10:
+            return f"{said}<br><br>"
+        if form_ == 11:
+            return f"<dl><dt>{mark(text(1, 4, 0), 1)}</dt><dd>{said}</dd></dl>"
+        if form_ == 12:
+            return f"<figure><img src=x><figcaption>{mark(text(3, 20), 1)}</figcaption></figure><p>{said}</p>"
         return f"<p>{said}</p>"
 
     def body() -> str:
-        way = int(rng.integers(0, 10))
+        way = int(rng.integers(0, 15))
         word = pick(BODY_WORDS.split())
         a, b = [
             ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
             (f'<div class="{word}">', "</div>"), (f'<div id="{word}">', "</div>"), (f'<section class="{word}">', "</section>"),
-            (f'<article class="{word}">', "</article>"), (f'<div class="wrap"><div class="{word}">', "</div></div>"), ("", ""),
+            (f'<article class="{word}">', "</article>"), (f'<div class="{neutral()}"><div class="{word}">', "</div></div>"), ("", ""),
+            ('<div role="main">', "</div>"), (f'<{pick(("main", "section", "div"))} role="main" class="{neutral()}">', "</div>"),
+            (f'<div class="{neutral()}">', "</div>"), (f'<div class="{neutral()}">', "</div>"), (f'<div class="{word} {neutral()}">', "</div>"),
         ][way]
         title = mark(text(2, 12, 0.3), 1)
         head = pick((f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>" if a.endswith("article>") else f"<h1>{title}</h1>"))
@@ -432,14 +474,24 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
     after = [f() for f, p in ((share, 0.2), (talk, 0.35), (side, 0.35), (ad, 0.25), (foot, 0.85), (notice, 0.1)) if chance(p)]
     top = "<header>" + before.pop(0) + "</header>" if before and chance(0.25) else ""
     page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a='<p>';</script></head><body>"
-    page += top + "".join(before) + "<!-- x -->" + body() + "".join(after) + pick(("</body></html>", ""))
+    if chance(0.12):  # a table as the frame of the page
+        links = pick((link_list, link_lines))(int(rng.integers(3, 9)))
+        named_cells = chance(0.3)
+        plain = lambda: pick(("", " valign=top", f" class={neutral()}", " width=150"))
+        cells = [f"<td{' class=' + pick(FRAME_WORDS['menu'].split()) if named_cells else plain()}>" + links]
+        cells.append(f"<td{' class=' + pick(('body', *BODY_WORDS.split())) if named_cells else plain()}>" + body())
+        cells += ["<td>" + link_list(int(rng.integers(2, 6)))] * chance(0.3)
+        inner = top + "<table" + pick(("", ' width="100%"')) + "><tr>" + "</td>".join(cells) + "</td></tr></table>" + "".join(after)
+    else:
+        inner = top + wrapped("".join(before), 0.2) + "<!-- x -->" + wrapped(body(), 0.4) + wrapped("".join(after), 0.15)
+    page += wrapped(inner, 0.25) + pick(("</body></html>", ""))
     return page, labels
 
 
 _trained: dict[tuple[int, int], BlockLabeller] = {}
 
 
-def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 40) -> BlockLabeller:
+def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 28) -> BlockLabeller:
     """Fit by Adam until 99.9 % of the blocks are right or the epochs are used up."""
     if (seed, n_pages) in _trained:
         return _trained[seed, n_pages]
