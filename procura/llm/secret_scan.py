@@ -6,9 +6,15 @@ expressions; the forest becomes one nested CASE expression for each tree. So
 scanning is a projection and a filter: no shuffle and no Python on the
 executors.
 
+What a word looks like comes from the vocabulary file of a public tokenizer, a
+parameter that the driver reads: its ``DICTIONARY_WORDS`` most frequent words
+are the dictionary, and all its words give the chances of one letter after
+another. A candidate's runs of letters count as covered if they are a word of
+the dictionary or two in a row.
+
 The forest is fitted on the driver from ``N_FINDINGS`` labelled findings that
 ``labelled_findings`` writes by rule; their features come from the same column
-expressions as those of the texts.
+expressions as those of the texts. ``fit`` takes other labelled findings.
 
 Defined results: a null or empty text has no findings; repeated rows give
 repeated findings; a null id is kept; an empty table gives an empty result;
@@ -20,6 +26,7 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +43,9 @@ CANDIDATE = f"({NAMED})({VALUE})|({TOKEN}|{HEADER})"
 MARK = "\x01"
 
 BEFORE, AFTER = 60, 40
-WORDS = (
-    "the|and|ing|tion|ent|est|example|sample|test|dummy|placeholder|changeme|your|name|user|file|path|data|value|config|"
-    "default|secret|password|token|http|www|com|org|index|image|html|node|class|module|version|main|build|release|here"
-)
+#: Lines of a token in base64 and its rank. Words below are tokens of lower-case letters that begin with a space.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+DICTIONARY_WORDS, LEAST_LETTERS, MOST_LETTERS = 3000, 3, 32
 NAMES = "token|secret|key|passw|pwd|auth|bearer|credential"
 HARMLESS = (
     "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|rev|build|ref|id|isbn|example|sample|dummy|"
@@ -48,8 +54,51 @@ HARMLESS = (
 PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|-----BEGIN"
 
 
-def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
+@cache
+def vocabulary(path: str = VOCABULARY) -> tuple[tuple[str, ...], tuple[float, ...]]:
+    """The dictionary, and for each pair of letters how much likelier the second is after the first than by chance, as a logarithm."""
+    words = []
+    with open(path, "rb") as lines:
+        for token, rank in map(bytes.split, lines):
+            text = base64.b64decode(token).decode("utf-8", "replace")
+            word = text[1:]
+            if text[:1] == " " and len(word) >= LEAST_LETTERS and word.isascii() and word.isalpha() and word.islower():
+                words.append((int(rank), word))
+    pairs = np.full((26, 26), 1.0)
+    for _, word in words:
+        codes = np.frombuffer(word.encode(), dtype=np.uint8) - ord("a")
+        np.add.at(pairs, (codes[:-1], codes[1:]), 1.0)
+    gain = np.log(pairs / pairs.sum(axis=1, keepdims=True)) + np.log(26)
+    return tuple(w for _, w in sorted(words)[:DICTIONARY_WORDS]), tuple(np.round(gain.ravel(), 3).tolist())
+
+
+def coverage(value: Column, words: tuple[str, ...]) -> Column:
+    """The share of characters in runs of letters that are one or two words of the dictionary."""
+    runs = F.split(F.lower(F.regexp_replace(value, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    runs = F.filter(runs, lambda r: F.char_length(r).between(LEAST_LETTERS, MOST_LETTERS))
+
+    def known(run: Column) -> Column:
+        cuts = F.sequence(F.lit(LEAST_LETTERS), F.char_length(run))
+        return F.exists(cuts, lambda i: F.forall(F.array(F.left(run, i), F.substr(run, i + 1)), lambda w: (w == "") | w.isin(*words)))
+
+    letters = F.aggregate(F.filter(runs, known), F.lit(0), lambda n, r: n + F.char_length(r))
+    return letters / F.char_length(value)
+
+
+def transitions(value: Column, gain: tuple[float, ...]) -> Column:
+    """The mean gain over the value's pairs of neighbouring letters, 0 without one."""
+    low = F.lower(value)
+    table = F.array(*[F.lit(g) for g in gain])
+    code = lambda i: F.ascii(F.substr(low, i, F.lit(1))) - ord("a")
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(value) - 1, F.lit(1))), lambda i: F.struct(code(i).alias("a"), code(i + 1).alias("b")))
+    pairs = F.filter(places, lambda x: x["a"].between(0, 25) & x["b"].between(0, 25))
+    total = F.aggregate(pairs, F.lit(0.0), lambda t, x: t + F.element_at(table, x["a"] * 26 + x["b"] + 1))
+    return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(0.0)
+
+
+def features(value: Column, before: Column, after: Column, path: str = VOCABULARY) -> dict[str, Column]:
     """Numbers that describe a candidate, its inside and its neighbours."""
+    words, gain = vocabulary(path)
     n = F.char_length(value)
     low, left, right = F.lower(value), F.lower(before), F.lower(after)
 
@@ -67,8 +116,9 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "turns": F.regexp_count(value, F.lit("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
         "kinds": F.size(F.array_distinct(F.split(value, ""))) / n,
         "hex": flag(value, "^[0-9a-fA-F]+$"),
-        "words": 1 - F.char_length(F.regexp_replace(low, WORDS, "")) / n,
-        "syllables": F.regexp_count(low, F.lit("[aeiou][bcdfghjklmnpqrstvwxz]")) / n,
+        "words": coverage(value, words),
+        "transitions": transitions(value, gain),
+        "letters": F.char_length(F.regexp_replace(low, "[^a-z]", "")).cast("double"),
         "named": flag(left, f"({NAMES})[a-z_-]*[\"']?\\s*[:=]+>?\\s*[\"']?$"),
         "near_name": flag(left, f"({NAMES})"),
         "assigned": flag(left, "[:=]\\s*[\"']?$"),
@@ -90,9 +140,10 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX, BASE64 = "0123456789abcdef", LETTERS + LETTERS.upper() + "0123456789+/"
 
 
-def labelled_findings(seed: int = 11, n: int = N_FINDINGS) -> list[tuple[str, str, str, int]]:
+def labelled_findings(seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULARY) -> list[tuple[str, str, str, int]]:
     """(before, value, after, label), half of them secrets, in contexts that text and code have."""
     rng = np.random.default_rng(seed)
+    known = vocabulary(path)[0]
 
     def pick(options):
         return options[int(rng.integers(len(options)))]
@@ -101,6 +152,8 @@ def labelled_findings(seed: int = 11, n: int = N_FINDINGS) -> list[tuple[str, st
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), count))
 
     def word() -> str:
+        if rng.random() < 0.7:
+            return pick(known)
         return "".join(pick(("th", "er", "an", "re", "tion", "ble", "en", "ou", "ie", "qu", "st", "la", "mo")) for _ in range(int(rng.integers(1, 5))))
 
     def prose() -> str:
@@ -209,20 +262,25 @@ def fit_forest(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int
     return Forest(names, tuple(grow(rng.integers(0, len(y), len(y)), depth) for _ in range(trees)))
 
 
-_fitted: dict[tuple[int, int], Forest] = {}
+_fitted: dict[tuple[int, int, str], Forest] = {}
 
 
-def trained_forest(spark: SparkSession, seed: int = 11, n: int = N_FINDINGS) -> Forest:
-    if (seed, n) not in _fitted:
-        text = json.dumps([dict(zip(("before", "value", "after", "label"), f, strict=True)) for f in labelled_findings(seed, n)])
-        rows = spark.range(1).select(
-            F.inline(F.from_json(F.lit(text), "array<struct<before:string,value:string,after:string,label:int>>"))
-        )
-        columns = features(F.col("value"), F.col("before"), F.col("after"))
-        table = rows.select("label", *[c.alias(name) for name, c in columns.items()]).collect()  # n rows
-        data = np.array([list(r) for r in table], dtype=float)
-        _fitted[seed, n] = fit_forest(data[:, 1:], data[:, 0], tuple(columns))
-    return _fitted[seed, n]
+def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]], path: str = VOCABULARY) -> Forest:
+    """A forest from labelled findings (before, value, after, label), a bounded list."""
+    text = json.dumps([dict(zip(("before", "value", "after", "label"), f, strict=True)) for f in findings])
+    rows = spark.range(1).select(
+        F.inline(F.from_json(F.lit(text), "array<struct<before:string,value:string,after:string,label:int>>"))
+    )
+    columns = features(F.col("value"), F.col("before"), F.col("after"), path)
+    table = rows.select("label", *[c.alias(name) for name, c in columns.items()]).collect()  # one row a finding
+    data = np.array([list(r) for r in table], dtype=float)
+    return fit_forest(data[:, 1:], data[:, 0], tuple(columns))
+
+
+def trained_forest(spark: SparkSession, seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULARY) -> Forest:
+    if (seed, n, path) not in _fitted:
+        _fitted[seed, n, path] = fit(spark, labelled_findings(seed, n, path), path)
+    return _fitted[seed, n, path]
 
 
 # --- scanning -------------------------------------------------------------
@@ -234,22 +292,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = F.regexp_replace(F.translate(text, MARK, " "), F.lit(CANDIDATE), F.lit(f"$1{MARK}$2$3{MARK}"))
     found = docs.where(F.rlike(text, F.lit(CANDIDATE))).select(F.col(id_col).alias("id"), F.split(marked, MARK, -1).alias("p"))
 
+    # Places of all pieces; then neighbours from as many pieces as can fill them, candidates of eight characters or more among them.
+    ends = F.aggregate("p", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x))))
+    left, right = 2 * (BEFORE // 8) + 3, 2 * (AFTER // 8) + 3
+
     def one(i: Column) -> Column:
+        first = F.greatest(i - left, F.lit(0))
         return F.struct(
-            F.char_length(F.array_join(F.slice("p", 1, i), "")).cast("long").alias("start"),
+            F.get("ends", i).alias("start"),
             F.get("p", i).alias("value"),
-            F.right(F.get("p", i - 1), F.lit(BEFORE)).alias("before"),
-            F.left(F.get("p", i + 1), F.lit(AFTER)).alias("after"),
+            F.right(F.array_join(F.slice("p", first + 1, i - first), ""), F.lit(BEFORE)).alias("before"),
+            F.left(F.array_join(F.slice("p", i + 2, F.lit(right)), ""), F.lit(AFTER)).alias("after"),
         )
 
+    found = found.withColumn("ends", ends)
     return found.select("id", F.inline(F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), one)))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, forest: Forest | None = None, path: str = VOCABULARY
+) -> DataFrame:
     """(id, start, length, kind, value, score) of the candidates that the forest keeps."""
-    forest = trained_forest(docs.sparkSession)
+    forest = forest or trained_forest(docs.sparkSession, path=path)
     found = candidates(docs, id_col, text_col)
-    columns = features(F.col("value"), F.col("before"), F.col("after"))
+    columns = features(F.col("value"), F.col("before"), F.col("after"), path)
     scored = found.select("id", "start", "value", *[c.alias(f"f_{name}") for name, c in columns.items()])
     header = F.col("value").startswith("-----BEGIN")
     kind = F.when(header, "private_key").when(F.col("f_named") > 0, "assigned").otherwise("token")
