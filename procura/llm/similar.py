@@ -9,15 +9,20 @@ does with probability 1 - (1 - 0.8**5)**25 = 0.99995, a more similar one more
 surely.
 
 Families of texts with a similarity of, say, 0.6 share many bands and would
-cost all their pairs. They go beforehand, without loss: a text that has more
-than a fifth of its shingles for itself alone, among all candidates, is similar
-to no other. Of the rest each text is first compared with the one text of its
+cost all their pairs. Most of them go beforehand, without loss: a text that has
+more than a fifth of its shingles for itself alone, among all candidates, is
+similar to no other. Of the rest each text is compared with the one text of its
 buckets that has the smallest share of shingles for itself, which in a family is
-the text that the others were copied from; what is linked by then needs no
-comparison. While the pairs that the buckets still hold between different groups
-are too many, one member of every bucket is compared with all its members of
-other groups and leaves. So a bucket of any size ends with its groups and no
-pair of different groups goes unchecked.
+the text that the others were copied from; then those outside a bucket's largest
+group with that group's first text. What is linked by then needs no comparison.
+
+Texts of buckets that still hold several groups meet once more, at shingles:
+with shingles in one order, rarest first, two sets of similarity 0.8 share one
+of the first size - ceil(0.8 * size) + 1 of each. A shingle that many texts
+offer is mostly one group's, inside which nobody meets. This step loses no pair
+either, and a family's texts that differ offer what they don't share. So a
+bucket of any size ends with its groups and no pair of different groups goes
+unchecked.
 
 Defined results: as in ``simhash``, with the hash of the shingle set in place of
 the fingerprint.
@@ -31,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.llm.simhash import SEED, shingle_digests
@@ -45,9 +50,8 @@ BANDS, DEPTH = 25, 5
 _RNG = np.random.default_rng(20240601)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SUMMANDS = _RNG.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64)
-#: Shingles hashed at once, and pairs compared at once for each text.
-BLOCK = 4096
-PAIRS = 2
+#: Shingles hashed at once, and pairs of one text that a task compares.
+BLOCK, PAIRS = 4096, 512
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -89,8 +93,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(out.select("id", "h", "s.f", "s.size", "s.bands"), "similar-rows")
 
 
-def _alone(texts: DataFrame) -> DataFrame:
-    """(f, alone): how many shingles of a text stand in no other."""
+def _each_shingle(texts: DataFrame) -> DataFrame:
+    """(shingle, f) of texts (f, raw)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +104,34 @@ def _alone(texts: DataFrame) -> DataFrame:
                     part = own[at : at + 100_000]
                     yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), f, dtype=np.int64))], names=["shingle", "f"])
 
-    each = texts.select("f", "raw").mapInArrow(spread, "shingle long, f long")
-    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f")).where("n = 1")
+    return texts.select("f", "raw").mapInArrow(spread, "shingle long, f long")
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """(f, alone): how many shingles of a text stand in no other."""
+    once = _each_shingle(texts).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f")).where("n = 1")
     return once.groupBy("f").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def _rare_pairs(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): pairs of different groups (f, size, c) that may be similar, by the rarest shingles of each."""
+    each = materialise(_each_shingle(texts.join(groups.select("f"), "f", "left_semi")), "similar-shingles")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A shingle of one text alone comes first in the order, takes its place and meets nobody.
+    shared = each.join(counts, "shingle").join(groups, "f")
+    order = Window.partitionBy("f").orderBy("n", "shingle")
+    single = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("f"))
+    first = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    offered = shared.withColumn("r", F.row_number().over(order) + single).where(F.col("r") <= first).select("shingle", "f", "c", "size")
+    offered = materialise(offered, "similar-offered")
+    sizes = offered.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("shingle").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    most = most.select("shingle", F.col("most.c").alias("most"))
+    minor = offered.join(most, "shingle").where("c <> most").select("shingle", F.col("f").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
+    near = (F.least("size", "sa") >= SIMILARITY * F.greatest("size", "sa") - 1e-9) & (F.col("ca") != F.col("c"))
+    return minor.join(offered, "shingle").where(near).select("a", F.col("f").alias("b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
 
@@ -118,9 +145,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(similar(known[a], shingles(b)))
             yield pd.Series(out, dtype="bool")
 
-    both = pairs.join(texts.select(F.col("f").alias("b"), F.col("raw").alias("y")), "b").join(
-        texts.select(F.col("f").alias("a"), F.col("raw").alias("x")), "a"
-    )
+    # A text of many pairs goes to several tasks, ``PAIRS`` to each about.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts"))
+    left = texts.join(parts, texts["f"] == parts["a"]).select("a", F.col("raw").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+    both = dealt.join(texts.select(F.col("f").alias("b"), F.col("raw").alias("y")), "b").join(left, ["a", "part"])
     return both.where(F.pandas_udf(batches, "boolean")("x", "y")).select("a", "b")
 
 
@@ -133,8 +162,9 @@ def _labelled(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, component: DataFrame | None) -> DataFrame:
-    """The similar ones of the pairs, and what earlier rounds linked."""
-    found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts)
+    """The similar ones of the pairs (a, b), and what earlier rounds linked."""
+    wanted = materialise(pairs.distinct(), "similar-pairs")
+    found = _verified(wanted, texts)
     if component is not None:
         found = found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return materialise(found, "similar-edges")
@@ -145,7 +175,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = _signed(docs, id_col, text_col)
     prints = rows.groupBy("f").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.max("size").alias("size"), F.first("bands").alias("bands"))
     prints = materialise(prints, "similar-distinct")
-    n_prints = prints.count()
     spread = prints.select("f", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     members = materialise(spread.join(shared, ["band", "key"]), "similar-members")
@@ -160,24 +189,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Each text with the best of the first members of its buckets.
     heads = members.groupBy(*bucket).agg(F.min(first).alias("head"))
     best = members.join(heads, bucket).where("f <> head.f").groupBy("f").agg(F.min("head").alias("head"))
-    edges = _linked(best.select(F.col("f").alias("a"), F.col("head.f").alias("b")), texts, None)
-    while True:
-        members, component = _labelled(members, edges)
-        sizes = members.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"))
-        across = sizes.groupBy(*bucket).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "c")).alias("most"))
-        left = across.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        if left <= PAIRS * n_prints:
-            # Members outside a bucket's largest group meet all others; inside it nobody meets.
-            minor = members.join(across.select(*bucket, F.col("most.c").alias("most")), bucket).where("c <> most").select(*bucket, F.col("f").alias("a"), F.col("c").alias("ca"))
-            met = minor.join(members, bucket).where("ca <> c").select("a", F.col("f").alias("b"))
-            component = materialise(connected_components(_linked(met, texts, component)), "similar-components")
-            break
-        heads = members.groupBy(*bucket).agg(F.min(F.struct("share", "f", "c")).alias("head"))
-        met = members.join(heads, bucket)
-        edges = _linked(met.where("head.c <> c").select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, component)
-        members = met.where("head.f <> f").drop("head")
+    edges = _linked(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, None)
+    members, component = _labelled(members, edges)
+    # Those outside a bucket's largest group with the first text of that group, the best of all their buckets.
+    sizes = members.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("head"))
+    most = sizes.groupBy(*bucket).agg(F.max(F.struct("n", "c", "head")).alias("most")).select(*bucket, F.col("most.c").alias("most"), F.col("most.head").alias("head"))
+    best = members.join(most, bucket).where("c <> most").groupBy("f").agg(F.min("head").alias("head"))
+    edges = _linked(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, component)
+    members, component = _labelled(members, edges)
+    groups = materialise(members.select("f", "c").distinct().join(prints.select("f", "size"), "f"), "similar-groups")
+    if not groups.isEmpty():
+        pairs = _rare_pairs(texts, groups)
+        component = materialise(connected_components(_linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, component)), "similar-components")
     named = prints.join(component, prints["f"] == component["node"], "left").select("f", "first_id", F.coalesce("component", "f").alias("component"))
     named = materialise(named, "similar-named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -399,16 +399,16 @@ def shingle_components(texts, n=5):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("pairs", [2, 0])
+@pytest.mark.parametrize("pairs", [512, 2])
 def test_near_copies_share_four_fifths_of_their_shingles(spark, sf_dir, monkeypatch, pairs):
-    """Near copies of any similarity, a chain, and texts that repeat one line; with and without rounds."""
+    """Near copies of any similarity, a chain, and texts that repeat one line; a text's pairs in one task and in many."""
     import corpus_pipeline as cp
     from procura.llm import similar
 
     monkeypatch.setattr(similar, "PAIRS", pairs)
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} if pairs else {}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} if pairs > 2 else {}
     for k in range(60):
         own = list(base) if k < 30 else [f"v{i}" for i in rng.integers(0, 5000, 300)]
         for copy in range(2):
@@ -423,6 +423,25 @@ def test_near_copies_share_four_fifths_of_their_shingles(spark, sf_dir, monkeypa
     assert sorted(r["doc_id"] for r in cp.drop_near_copies(spark, docs, sf_dir).collect()) == sorted(set(want.values()))
 
 
+def test_a_large_family_of_near_copies(spark):
+    """One text and 300 copies with more and fewer changes, drawn from few new words: many links, and many pairs just below."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 150)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 300):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            own[at] = f"n{rng.integers(0, 6)}"
+        texts[i] = " ".join(own)
+    texts |= {1000 + i: " ".join(texts[i].split()[:120]) for i in range(0, 60, 3)}
+    want = shingle_components(texts)
+    assert 10 < len(set(want.values())) < 200
+    docs = docs_of(spark, [(i, t, "a") for i, t in texts.items()])
+    assert sorted(r["doc_id"] for r in cp.drop_near_copies(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
 def test_pipeline_on_empty_documents(spark, sf_dir, tmp_path):
     import corpus_pipeline as cp
 
