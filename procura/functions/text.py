@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +11,9 @@ from procura import constants as C
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form. Python, so gate it with ``needs_nfkc``."""
-
-    def batch(part: pd.Series) -> pd.Series:
-        return part.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
-
-    return F.pandas_udf(batch, "string")(text)
+    """Unicode compatibility form, by the Unicode library that Spark itself uses for collations."""
+    form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.isNotNull(), form)
 
 
 def needs_nfkc(text: Column) -> Column:
@@ -39,7 +34,8 @@ def canonical(text: Column) -> Column:
 
 def clean(text: Column, junk: tuple[str, ...] = C.JUNK_VALUES) -> Column:
     """Trimmed, single spaces, and empty for null and for words that say nothing."""
-    s = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    tidy = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    s = F.when(F.rlike(text, F.lit(r"(?U)^\s|\s$|\s\s|[^\S ]")), tidy).otherwise(text)
     return F.when(text.isNull() | F.lower(s).isin(*junk), "").otherwise(s)
 
 
@@ -80,8 +76,11 @@ def _spaceless(text: Column) -> Column:
 
 def number_or_null(text: Column) -> Column:
     """Digits, dot and minus are kept; garbage and negative values are null."""
-    v = F.regexp_replace(_spaceless(text.cast("string")), r"[^0-9.\-]", "").try_cast("double")
-    return F.when(v >= 0, v)
+    return not_negative(F.regexp_replace(_spaceless(text.cast("string")), r"[^0-9.\-]", "").try_cast("double"))
+
+
+def not_negative(value: Column) -> Column:
+    return F.when((value >= 0) & ~F.isnan(value), value)
 
 
 def cell_number(text: Column) -> Column:
@@ -170,6 +169,18 @@ def money(value: Column) -> Column:
     return F.concat(F.replace(F.format_number(F.bround(value, 0), 0), F.lit(","), F.lit(" ")), F.lit(" руб."))
 
 
+def general(value: Column) -> Column:
+    """A number to six significant digits, without zeros at the end; an exponent from a million on and below a ten thousandth."""
+    size = F.floor(F.log10(F.nullif(F.abs(value), F.lit(0.0))))
+    # The digits that rounding adds to a number just below a power of ten.
+    size = F.when(F.abs(value) / F.pow(F.lit(10.0), size) >= 9.999995, size + 1).otherwise(size)
+    tidy = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.coalesce(*[F.when(size == n, tidy(F.format_string(f"%.{5 - n}f", value))) for n in range(-4, 6)])
+    mantissa = tidy(F.format_string("%.5f", value / F.pow(F.lit(10.0), size)))
+    exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    return F.when(value == 0, "0").when(size.between(-4, 5), plain).otherwise(F.concat(mantissa, exponent))
+
+
 def percent(value: Column) -> Column:
     return F.concat(F.format_string("%.1f", value.cast("double")), F.lit("%"))
 

@@ -1,16 +1,27 @@
 """Robust statistics of groups of prices.
 
 Values are first counted per group and distinct value, map-side. The order
-statistics then come from running counts over the distinct values, so a group
-of any size is streamed in order and never gathered into an array.
+statistics then come from running counts over the distinct values in sorted
+order. Groups and values are sorted together over all partitions, and a group
+that lies in several takes its count before each from the partitions' totals;
+so a group of any size, even one that holds most rows, spreads over all tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procura.workspace import materialise
+from procura.workspace import materialise, shuffle_partitions
+
+
+def on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on group keys in which null is a key like any other."""
+    named = right.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"__key{i}" for i in range(len(keys))])
 
 
 def _at(rank: Column) -> Column:
@@ -29,10 +40,19 @@ def _counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("hi", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
+def _ranked(counts: DataFrame, keys: list[str], *sums: str) -> DataFrame:
+    """The counts with ``hi``, how many values a group has up to this one, ``n``, its values, and the sums of some columns over the group."""
+    spark = counts.sparkSession
+    sorted_ = counts.repartitionByRange(shuffle_partitions(spark), *keys, "v").withColumn("part", F.spark_partition_id())
+    sorted_ = materialise(sorted_, "ranked-counts")
+    # One row for each group and partition it lies in: about as many as groups.
+    totals = sorted_.groupBy(*keys, "part").agg(F.sum("c").alias("in_part"), *[F.sum(x).alias(f"sum_{x}") for x in sums])
+    group = Window.partitionBy(*keys)
+    before = F.sum("in_part").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_part")
+    totals = totals.select(*keys, "part", before.alias("before"), F.sum("in_part").over(group).alias("n"), *[F.sum(f"sum_{x}").over(group).alias(f"sum_{x}") for x in sums])
+    upto = Window.partitionBy("part", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sorted_.withColumn("inside", F.sum("c").over(upto))
+    return on_keys(placed, totals, ["part", *keys]).withColumn("hi", F.col("inside") + F.col("before")).drop("part", "inside", "before")
 
 
 def group_median(df: DataFrame, keys: list[str], value: Column, name: str = "median") -> DataFrame:
@@ -53,10 +73,8 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     n = F.col("n")
     half = F.floor(n / 2)
     # Written once: the rare groups without a spread read the counts again.
-    counts = materialise(_counts(df.where(value > 0), keys, value), "price-counts")
-    counted = _ranked(counts, keys).withColumn(
-        "mean", F.sum(F.col("v") * F.col("c")).over(Window.partitionBy(*keys)) / n
-    )
+    counts = materialise(_counts(df.where(value > 0), keys, value).withColumn("vc", F.col("v") * F.col("c")), "price-counts")
+    counted = _ranked(counts, keys, "vc").withColumn("mean", F.col("sum_vc") / n)
     base = counted.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max("mean").alias("mean"),
@@ -69,7 +87,7 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         (F.min(F.round("v", 2)) == F.max(F.round("v", 2))).alias("same"),
     )
     flat = base.where("q3 <= q1 and not same").select(*keys, "median")
-    away = counts.join(flat, keys).groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
+    away = on_keys(counts, flat, keys).groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
     near = _ranked(away, keys).groupBy(*keys).agg(_middle(F.lit(0), n).alias("mad"))
     spread = (
         F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1"))
@@ -77,7 +95,7 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         .when(F.col("mad") > 0, F.col("mad") * 1.4826)
         .otherwise(F.col("median") * 0.1)
     )
-    out = base.join(near, keys, "left").withColumn("iqr", F.when(n < 2, 0.0).otherwise(spread))
+    out = on_keys(base, near, keys, "left").withColumn("iqr", F.when(n < 2, 0.0).otherwise(spread))
     return out.select(
         *keys, "n", "mean", "median", "min", "max", "stdev", "q1", "q3", "iqr",
         (F.col("q1") - 1.5 * F.col("iqr")).alias("fence_soft_lo"),
@@ -136,7 +154,7 @@ def classify_prices(items: DataFrame, keys: list[str]) -> DataFrame:
     away = F.abs(price - s["median"])
     return (
         items.withColumn("price", effective_price())
-        .join(packed, keys)
+        .transform(on_keys, packed, keys)
         .where((price > 0) & (s["n"] >= 2))
         .withColumn("classification", price_class(price, s))
         .withColumn("iqr_position", price_position(price, s))
@@ -184,8 +202,7 @@ def group_price_analysis(items: DataFrame, keys: list[str]) -> DataFrame:
     stats = group_stats(items.withColumn("price", effective_price()), keys, F.col("price"))
     trend = price_trend(items, keys).select(*keys, "direction", "change_pct")
     return (
-        stats.join(classes, keys, "left")
-        .join(trend, keys, "left")
+        on_keys(on_keys(stats, classes, keys, "left"), trend, keys, "left")
         .fillna(0, ["outlier_count", "deviation_count"])
         .withColumn("cv_signal", F.col("cv") > 30)
     )
@@ -196,7 +213,7 @@ def total_anomalies(items: DataFrame, keys: list[str]) -> DataFrame:
     positive = items.where("total_price > 0")
     n = positive.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_totals")).where("n_totals >= 3")
     median = group_median(positive, keys, F.col("total_price"), "median_total")
-    return positive.join(n, keys).join(median, keys).where("total_price > 3 * median_total").drop("n_totals")
+    return on_keys(on_keys(positive, n, keys), median, keys).where("total_price > 3 * median_total").drop("n_totals")
 
 
 def inconsistent_items(items: DataFrame) -> DataFrame:

@@ -14,12 +14,15 @@ def _marked(events: DataFrame, late: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events, users and value per type and window; works on a stream and on a table."""
+    """Events, users and value per type and window.
+
+    ``n_users`` is exact, on a table; a stream can't count distinct users exactly and has
+    ``n_users_approx`` instead.
+    """
     marked = _marked(events, late)
-    users = F.approx_count_distinct("user_id") if events.isStreaming else F.countDistinct("user_id")
-    return marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n_events"), users.alias("n_users"), F.sum("value").alias("sum_value")
-    ).select(F.col("w.start").alias("window_start"), "event_type", "n_events", "n_users", "sum_value")
+    users = F.approx_count_distinct("user_id").alias("n_users_approx") if events.isStreaming else F.countDistinct("user_id").alias("n_users")
+    counted = marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), users, F.sum("value").alias("sum_value"))
+    return counted.withColumn("window_start", F.col("w.start")).drop("w")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:

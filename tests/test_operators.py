@@ -1,12 +1,14 @@
 """Items, flags, patterns, entities, graph and stores on small made-up tables."""
 
 import datetime as dt
-from decimal import Decimal
+import json
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from procura.operators import cluster, components, explain, graph, items, patterns, resolve, risk, stores, suppliers
+from procura.functions.text import general
+from procura.operators import cluster, components, explain, graph, items, patterns, resolve, risk, stats, stores, suppliers
 from procura.plans import analysis, results
 
 ITEM = "ordinal long, name string, contractor string, department string, source_file string, quantity double, unit_price double, total_price double, date date, unit string, canonical_name string"
@@ -239,12 +241,84 @@ def test_communities(spark):
 
 
 def test_graph_of_items(spark):
-    df = table(spark, [{"name": "x", "contractor": "c1"}, {"name": "x", "contractor": "н/д", "department": "Не определён"}, {"name": "y", "contractor": "c1"}])
+    df = table(spark, [{"name": "x", "contractor": "c1"}, {"name": "x", "contractor": " Не указан", "department": "Не определён"}, {"name": "y", "contractor": "c1", "department": "неизвестный отдел"}])
     vertices, edges = graph.build_graph(df)
-    assert {r["id"] for r in vertices.collect()} == {"item:x", "item:y", "contractor:c1", "department:d", "document:f"}
-    assert {(r["src"], r["dst"], r["weight"]) for r in edges.where("type = 'bought'").collect()} == {("department:d", "item:x", 1.0), ("department:d", "item:y", 1.0)}
+    assert {r["id"] for r in vertices.collect()} == {"item:x", "item:y", "contractor:c1", "dept:d", "doc:f"}
+    assert {(r["src"], r["dst"], r["weight"]) for r in edges.where("type = 'bought'").collect()} == {("dept:d", "item:x", 1.0)}
     kept, own = graph.filter_graph(vertices, edges, ("item", "contractor"))
     assert kept.count() == 3 and own.count() == 2 and graph.export_json(kept, own).count() == 5
+    central = graph.betweenness(vertices, edges)
+    told = {}
+    for r in graph.export_json(vertices, edges, central, include_stats=True).collect():
+        told.setdefault(r["kind"], []).append(json.loads(r["json"]))
+    assert {n["id"]: n["color"] for n in told["node"]} == {"item:x": "#3dd68c", "item:y": "#3dd68c", "contractor:c1": "#009688", "dept:d": "#2196f3", "doc:f": "#795548"}
+    assert {e["type"]: e["label"] for e in told["edge"]} == {"bought": "купил", "supplies": "поставляет", "contains": "содержит"}
+    assert told["stats"][0]["n_nodes"] == 5 and told["dominant_supplier"][0]["contractor"] == "c1"
+    assert {r["id"] for r in graph.graph_context(vertices, central).collect()} == {"item:x", "item:y"}
+
+
+def test_a_long_path(spark):
+    vertices, edges = nodes_edges(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)])
+    assert [r["id"] for r in graph.shortest_path(vertices, edges, "n000", "n040").collect()] == [f"n{i:03}" for i in range(41)]
+
+
+def test_suppliers_that_are_none(spark):
+    """Unnamed contractors, as the resolution of names writes them, supply nothing."""
+    rows = [("x", "A"), ("x", "Не указан"), ("y", "A"), ("y", "-"), ("y", "B"), ("z", ""), ("z", "Не указан "), ("w", "A"), ("w", "B"), ("w", "C"), ("w", None)]
+    df = table(spark, [{"name": n, "contractor": c} for n, c in rows])
+    changes = [(r["name"], r["suppliers"], r["severity"]) for r in suppliers.supplier_changes(df, ["name"]).collect()]
+    assert changes == [("w", ["A", "B", "C"], "high"), ("y", ["A", "B"], "medium")]
+    shares = {r["contractor"]: r["share_pct"] for r in suppliers.supplier_shares(df).collect()}
+    assert set(shares) == {"A", "B", "C"} and sum(shares.values()) == pytest.approx(100)
+    assert suppliers.concentration(df).first()["n_suppliers"] == 3
+    assert suppliers.department_concentration(df).first()["n_suppliers"] == 3
+    assert {r["name"]: r["switches"] for r in suppliers.switches(df.withColumn("date", F.lit(day("2024-01-01"))), ["name"]).collect()} == {"x": 0, "y": 1, "w": 2}
+
+
+def test_pairs_of_hasty_purchases(spark):
+    rows = [("x", "2024-01-01"), ("x", "2024-01-01"), ("x", "2024-01-08"), ("x", "2024-01-16"), ("y", "2024-01-01"), ("y", "2024-01-02")]
+    df = table(spark, [{"name": n, "date": day(d)} for n, d in rows])
+    got = {(r["name"], r["interval_days"], str(r["date1"]), str(r["date2"])) for r in patterns.interval_pairs(df).collect()}
+    assert got == {("x", 7, "2024-01-01", "2024-01-08"), ("y", 1, "2024-01-01", "2024-01-02")}
+
+
+def test_numbers_to_six_digits(spark):
+    values = [0.0, 5.0, 12.5, 1234.5678, 999999.6, 1e6, 1234567.0, 0.00012345678, 0.00001, 123456.0, 99999.96, -2.50, 1e10]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", general(F.col("v")).alias("g")).collect()
+    assert {r["v"]: r["g"] for r in got} == {v: f"{v:g}" for v in values}
+
+
+def test_facts_that_list_dates_and_quantities(spark):
+    rows = [{"name": "x", "quantity": q, "date": day(f"2024-01-0{d}")} for q, d in ((3.0, 1), (1.0, 2), (1.0, 2), (2.5, 3), (7.0, 4), (8.0, 5), (9.0, 6), (10.0, 7))]
+    got = explain.explain(risk.score_groups(table(spark, rows), ["name"])).first()
+    facts = {f["flag"]: f["facts"] for f in got["flags_explained"]}
+    assert facts["temporal_clustering"] == "Даты закупок: " + ", ".join(f"2024-01-0{d}" for d in range(1, 7)) + "…"
+    assert facts["quantity_deviation_50"] == "Объёмы по документам: 1 / 1 / 2.5 / 3 / 7 / 8 шт"
+    odd = risk.score_groups(table(spark, rows), ["name"]).withColumn("flags", F.array(F.lit("new_flag"), F.lit("single_occurrence")))
+    told = explain.explain(odd).first()
+    assert [f["flag"] for f in told["flags_explained"]] == ["single_occurrence", "new_flag"]
+    assert told["flags_explained"][1]["deviation"] == "Требует ручной проверки" and told["explanation"].endswith(" | Флаг: new_flag")
+
+
+def test_groups_without_a_key_are_groups(spark):
+    df = table(spark, [{"name": "x"}, {"name": "x", "unit_price": 30.0}, {"name": None}, {"name": None, "unit_price": 50.0}, {"name": None}])
+    got = {r["name"]: (r["n"], r["median"]) for r in stats.group_stats(df, ["name"], F.col("unit_price")).collect()}
+    assert got == {"x": (2, 20), None: (3, 10)}
+    assert {r["name"]: r["n_items"] for r in risk.score_groups(df, ["name"]).collect()} == {"x": 2, None: 3}
+
+
+def test_order_statistics_of_a_hot_group(spark):
+    """Nine tenths of the values in one group: it lies in several partitions and is counted across them."""
+    values = [("hot", float((i * 7919) % 5003)) for i in range(9000)] + [(f"g{i % 50}", float(i)) for i in range(1000)]
+    df = spark.createDataFrame(values, "k string, v double")
+    counts = stats._counts(df, ["k"], F.col("v"))
+    ranked = stats._ranked(counts, ["k"])
+    assert ranked.where("k = 'hot'").agg(F.max("hi"), F.max("n")).first() == (9000, 9000)
+    got = {r["k"]: (r["median"], r["q1"], r["q3"]) for r in stats.group_stats(df, ["k"], F.col("v")).collect()}
+    for k in ("hot", "g7"):
+        own = sorted(v for g, v in values if g == k and v > 0)
+        half = len(own) // 2
+        assert got[k] == (statistics.median(own), statistics.median(own[:half]), statistics.median(own[len(own) - half :]))
 
 
 # --- stores -----------------------------------------------------------------------
@@ -261,6 +335,7 @@ def test_feedback(spark, tmp_path):
     assert [r["item_name"] for r in stores.false_positives(log).collect()] == ["x"]
     advice = {r["flag"]: r["recommendation"] for r in stores.flag_recommendations(log).collect()}
     assert advice == {"f1": "suppress", "f2": "suppress", "f3": "amplify"}
+    assert [r["flag"] for r in stores.ordered_recommendations(log).collect()] == ["f1", "f2", "f3"]
     assert {r["flag"]: r["multiplier"] for r in stores.adjusted_multipliers(log).collect()} == {"f1": 0.9, "f2": 0.9, "f3": 1.1}
     assert {r["flag"]: r["multiplier"] for r in stores.adjusted_multipliers(log, True).collect()}["f1"] == pytest.approx(0.5314)
     scored = spark.createDataFrame([("x", 80), ("y", 80)], "name string, score int")
@@ -290,6 +365,17 @@ def test_cases(spark):
     link = [("x", 75, "CRITICAL", None, None, None)]
     log = new(1, "a", "created", title="A", status="new", items=link).unionByName(new(2, "a", "status", status="confirmed")).unionByName(new(3, "b", "created", title="B")).unionByName(new(4, "b", "delete"))
     assert [(r["before"], r["now"]) for r in stores.invalid_steps(log).collect()] == [("new", "confirmed")]
+    results = spark.createDataFrame([("x", 75, "CRITICAL", "c", "d", "f"), ("y", 30, "MEDIUM", "c", "d", "f")], "name string, score int, risk_level string, contractor string, department string, source_file string")
+    made = stores.create_case(log, "n", " New ", results, ["x", "none"], author="me", initial_comment="look ")
+    made = stores.update_status(stores.add_comment(made, "n", "again"), "n", "in_review", author="you", text="why")
+    case = stores.get_case(made, "n").first()
+    assert (case["title"], case["status"], [i["item_name"] for i in case["items"]], [c["text"] for c in case["comments"]]) == ("New", "in_review", ["x"], ["look", "again"])
+    assert [(c["from_status"], c["to_status"], c["analyst"], c["note"]) for c in case["status_history"]] == [("new", "in_review", "you", "why")]
+    for events, case_id, status in ((made, "n", "gone"), (log, "a", "new")):
+        with pytest.raises(ValueError):
+            stores.update_status(events, case_id, status)
+    with pytest.raises(KeyError):
+        stores.get_case(made, "b")
     cases = stores.fold_cases(log)
     assert [(r["case_id"], r["status"], r["priority"], r["max_score"]) for r in cases.collect()] == [("a", "confirmed", "critical", 75)]
     assert stores.filter_cases(cases, priority="critical", min_score=70).count() == 1 and stores.case_stats(cases).first()["open"] == 1
@@ -315,4 +401,3 @@ def test_analysis(spark):
     from procura.sources.report import generate_report
 
     assert generate_report(out.groups, ["f.xlsx"])[:2] == b"PK"
-    assert isinstance(Decimal(1), Decimal)
