@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+import random
 import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from procura.functions.similarity import match_score, token_sort_ratio
 from procura.functions.text import general
 from procura.operators import cluster, components, explain, graph, items, patterns, resolve, risk, stats, stores, suppliers
 from procura.plans import analysis, results
@@ -234,6 +237,64 @@ def test_betweenness_and_paths(spark):
     assert apart.count() == 0
 
 
+def test_matching_in_blocks_is_the_same(spark, monkeypatch):
+    """Names that go through several blocks join the leaders that one sequential pass gives them."""
+    rng = random.Random(3)
+    words = ["болт", "гайка", "шайба", "кабель", "труба", "лист", "профиль", "анкер", "винт", "м6", "м8", "м10", "медный", "стальной"]
+    names = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) + rng.choice(("", " а", "1")) for _ in range(120)))
+    df = table(spark, [{"name": n} for n in names])
+    leaders, want = [], {}
+    for name in names:
+        best, key = 0.0, None
+        for leader in leaders:
+            score = match_score(name, leader)
+            if score > best:
+                best, key = score, leader
+        if key is None or best < 90:
+            leaders.append(name)
+            key = name
+        want[name] = key
+    assert 1 < len(leaders) < len(names)
+    for block in (2000, 25):
+        monkeypatch.setattr(cluster, "MATCH_BLOCK", block)
+        assert {r["canonical_name"]: r["group_key"] for r in cluster.match_names(df).collect()} == want
+    assert cluster.match_names(df.limit(0)).count() == 0
+
+
+def test_pairs_by_sorted_word_ratio_match_brute_force(spark):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcd  ") for _ in range(rng.randint(3, 14))).strip() for _ in range(80)} | {"steel bolt", "steell bolts", "bolt steel"})
+    df = spark.createDataFrame([(n,) for n in names if n], "text string")
+    for least in (60.0, 85.0):
+        want = {(a, b) for a in names for b in names if a and a < b and token_sort_ratio(a, b) >= least}
+        assert {(r["x"], r["y"]) for r in cluster.ratio_pairs(df, least).collect()} == want and want
+
+
+def plain_modularity(n, links):
+    """Every merge by looking at all pairs."""
+    m = len(links)
+    share, parts = [Fraction(sum(i in e for e in links), 2 * m) for i in range(n)], {i: {i} for i in range(n)}
+    while True:
+        best = None
+        for a in parts:
+            for b in parts:
+                between = sum((x in parts[a] and y in parts[b]) or (x in parts[b] and y in parts[a]) for x, y in links)
+                if a < b and between:
+                    gain = Fraction(between, m) - 2 * sum(share[i] for i in parts[a]) * sum(share[i] for i in parts[b])
+                    if best is None or gain > best[0]:
+                        best = (gain, a, b)
+        if best is None or best[0] <= 0:
+            return sorted(sorted(p) for p in parts.values())
+        parts[best[1]] |= parts.pop(best[2])
+
+
+def test_greedy_modularity_matches_plain_search():
+    for seed in range(6):
+        rng = random.Random(seed)
+        links = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(24)})
+        assert sorted(graph.greedy_modularity(14, links)) == plain_modularity(14, links)
+
+
 def test_communities(spark):
     links = [(x, y) for g in ("abcd", "wxyz") for x in g for y in g if x < y] + [("d", "w")]
     got = [r["nodes"] for r in graph.communities(*nodes_edges(spark, links)).collect()]
