@@ -102,6 +102,11 @@ def plain_number(text: Column) -> Column:
     return F.replace(text.cast("string"), F.lit(","), F.lit(".")).try_cast("double")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as a binary number, halves to even: 2313.575 is a little less than it looks, so 2313.57."""
+    return F.rint(value * 10.0**digits) / 10.0**digits
+
+
 def round_multiple(value: Column, least: int) -> Column:
     """At least ``least`` and a multiple of it."""
     return (value >= least) & (value % least == 0)

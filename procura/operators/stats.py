@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procura.functions.text import rounded
 from procura.workspace import materialise, shuffle_partitions
 
 
@@ -115,7 +116,7 @@ def effective_price(median_quantity: Column | None = None) -> Column:
     total = F.coalesce("total_price", F.lit(0.0))
     return (
         F.when(F.coalesce("unit_price", F.lit(0.0)) > 0, F.col("unit_price"))
-        .when((total > 0) & (quantity > 0), F.round(total / F.nullif(quantity, F.lit(0.0)), 2))
+        .when((total > 0) & (quantity > 0), rounded(total / F.nullif(quantity, F.lit(0.0)), 2))
         .otherwise(0.0)
     )
 
@@ -145,9 +146,12 @@ def price_position(price: Column, s: Column) -> Column:
 STATS = ["n", "mean", "median", "min", "max", "stdev", "q1", "q3", "iqr", "fence_soft_lo", "fence_soft_hi", "fence_hard_lo", "fence_hard_hi", "cv", "insufficient_for_iqr"]
 
 
-def classify_prices(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Every item with a price, its class, position, z-score and distance from the group's median."""
-    stats = group_stats(items.withColumn("price", effective_price()), keys, F.col("price"))
+def classify_prices(items: DataFrame, keys: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """Every item with a price, its class, position, z-score and distance from the group's median.
+
+    ``stats`` are the groups' statistics, if they are known.
+    """
+    stats = group_stats(items.withColumn("price", effective_price()), keys, F.col("price")) if stats is None else stats
     packed = stats.select(*keys, F.struct(*STATS).alias("s"))
     s, price = F.col("s"), F.col("price")
     known = (s["n"] >= 2) & (price > 0)
@@ -193,13 +197,13 @@ def price_trend(items: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def group_price_analysis(items: DataFrame, keys: list[str]) -> DataFrame:
+def group_price_analysis(items: DataFrame, keys: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Statistics, number of outliers and deviations, trend and spread signal of every group."""
-    classes = classify_prices(items, keys).groupBy(*keys).agg(
+    stats = group_stats(items.withColumn("price", effective_price()), keys, F.col("price")) if stats is None else stats
+    classes = classify_prices(items, keys, stats).groupBy(*keys).agg(
         F.count_if(F.col("classification") == "strong_outlier").alias("outlier_count"),
         F.count_if(F.col("classification") == "moderate_deviation").alias("deviation_count"),
     )
-    stats = group_stats(items.withColumn("price", effective_price()), keys, F.col("price"))
     trend = price_trend(items, keys).select(*keys, "direction", "change_pct")
     return (
         on_keys(on_keys(stats, classes, keys, "left"), trend, keys, "left")

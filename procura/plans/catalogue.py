@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura import constants as C
-from procura.functions.similarity import token_sort_ratio_col
 from procura.functions.text import contractor_name, jaccard, words
 from procura.operators import cluster, graph, items, patterns, resolve, risk, stats, stores, suppliers
 from procura.operators.components import connected_components
@@ -20,6 +19,8 @@ from procura.sources.tables import items_view
 from procura.streaming import events as streams
 
 NAME, BRAND = ["name"], ["name", "brand"]
+#: A word of a category for the last figure of a brand.
+CATEGORY_WORDS = {"1": "ремонт", "2": "лицензия", "3": "аудит", "4": "бумага"}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +32,12 @@ def _priced(spark, d) -> DataFrame:
     return items_view(spark, d).withColumn("price", stats.effective_price())
 
 
+def _partly_unnamed(items: DataFrame) -> DataFrame:
+    """Some contractors are words that name none."""
+    q = F.col("quantity")
+    return items.withColumn("contractor", F.when(q == 7, C.UNNAMED_CONTRACTOR).when(q == 13, "-").when(q == 20, " ").otherwise(F.col("contractor")))
+
+
 def _flags(df: DataFrame) -> DataFrame:
     return df.withColumn("flags", F.array_join("flags", ","))
 
@@ -40,7 +47,7 @@ def procurement_items(spark, d):
 
 
 def group_price_stats(spark, d):
-    out = stats.group_stats(_priced(spark, d), NAME, F.col("price")).drop("cv")
+    out = stats.group_stats(_priced(spark, d), NAME, F.col("price"))
     return out.withColumn("mean", F.round("mean", 4)).withColumn("stdev", F.round("stdev", 4))
 
 
@@ -50,11 +57,21 @@ def document_price_stats(spark, d):
 
 def outlier_counts(spark, d):
     classes = stats.classify_prices(items_view(spark, d), NAME)
-    return classes.groupBy("name", "classification").agg(
-        F.count(F.lit(1)).alias("n_items"), F.round(F.max(F.abs(F.col("price") - F.col("s.median"))), 2).alias("max_away")
+    return classes.groupBy("name", "classification", "iqr_position").agg(
+        F.count(F.lit(1)).alias("n_items"), F.max("abs_deviation").alias("max_away"), F.max("pct_deviation").alias("max_pct"), F.max("z_score").alias("max_z")
     )
 
 
+def price_analysis(spark, d):
+    out = stats.group_price_analysis(items_view(spark, d), BRAND)
+    return out.select("name", "brand", "n", "outlier_count", "deviation_count", "direction", "change_pct", "cv_signal")
+
+
+def inconsistent_items(spark, d):
+    off = items_view(spark, d).withColumn("total_price", F.when(F.col("quantity") % 5 == 0, F.col("total_price") * 1.25).otherwise(F.col("total_price")))
+    return stats.inconsistent_items(off).groupBy("name", "brand").agg(F.count(F.lit(1)).alias("n_items"), F.min("diff_pct").alias("diff_pct"))
+
+
 def price_trend(spark, d):
     return stats.price_trend(items_view(spark, d), NAME).drop("avg_first", "avg_last")
 
@@ -80,9 +97,7 @@ def top_risks(spark, d):
 
 
 def results_filter(spark, d):
-    return results.filter_results(_scored(spark, d, BRAND).drop("contractors").withColumn("contractors", F.array().cast("array<string>")), contractor="1", min_score=40, max_score=90).select(
-        "name", "brand", "score"
-    )
+    return results.filter_results(_scored(spark, d, [*BRAND, "source_file"]), contractor="1", min_score=5, max_score=90).select("name", "brand", "source_file", "score")
 
 
 def auto_cases(spark, d):
@@ -90,11 +105,32 @@ def auto_cases(spark, d):
 
 
 def explained_groups(spark, d):
-    return explain(_scored(spark, d, BRAND)).select("name", "brand", "score", "explanation", F.size("flags_explained").alias("n_explained"))
+    order = F.array_join(F.transform("flags_explained", lambda e: e["flag"]), ",")
+    said = F.transform("flags_explained", lambda e: F.struct(e["deviation"].alias("d"), e["interpretation"].alias("i")))
+    plain = F.array_join(F.transform(F.filter(said, lambda x: ~F.rlike(x["d"], F.lit("[0-9]+[.,][0-9]|руб"))), lambda x: F.concat(x["d"], F.lit(": "), x["i"])), "; ")
+    return explain(_scored(spark, d, BRAND)).select("name", "brand", "score", F.size("flags_explained").alias("n_explained"), order.alias("flag_order"), plain.alias("said"), F.size(F.split("explanation", r" \| ")).alias("n_parts"))
+
+
+def odd_flags(spark, d):
+    """Flags on missing prices and quantities, vague names, listed contractors and central items."""
+    q, items_ = F.col("quantity"), items_view(spark, d)
+    odd = items_.withColumns(
+        {
+            "name": F.when(q == 4, "Прочие работы").otherwise(F.col("name")),
+            "unit_price": F.when(q == 1, 0.0).otherwise(F.col("unit_price")),
+            "quantity": F.when(q == 2, 0.0).when(q == 3, None).otherwise(q),
+        }
+    )
+    listed = _table(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_name").alias("contractor"))
+    central = _table(spark, d, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_name").startswith("s"), 0.2).otherwise(0.05).alias("centrality")).distinct()
+    found = risk.score_groups(odd, ["name", "brand", "contractor"], listed, central)
+    wanted = F.array(*[F.lit(f) for f in ("vague_item", "contractor_blacklist", "graph_central", "volume_without_price", "zero_quantity", "price_without_volume")])
+    return found.select("name", "brand", "contractor", "n_items", F.array_join(F.array_intersect("flags", wanted), ",").alias("flags"))
 
 
 def split_purchases(spark, d):
-    return patterns.split_purchases(items_view(spark, d).withColumn("canonical_name", F.col("name"))).where("severity = 'high'")
+    keyed = items_view(spark, d).withColumn("canonical_name", F.concat_ws("/", "name", "brand", "department"))
+    return patterns.split_purchases(keyed.withColumn("date", F.when(F.col("quantity") > 46, F.col("date"))))
 
 
 def repeated_amounts(spark, d):
@@ -105,6 +141,11 @@ def suspicious_intervals(spark, d):
     return patterns.suspicious_intervals(items_view(spark, d).withColumn("canonical_name", F.concat("name", "brand")))
 
 
+def interval_pairs(spark, d):
+    keyed = items_view(spark, d).withColumn("canonical_name", F.concat_ws("/", "name", "brand", "unit"))
+    return patterns.interval_pairs(keyed.withColumn("name", F.col("source_file"))).withColumnsRenamed({"name": "item_key"})
+
+
 def round_totals(spark, d):
     return patterns.round_totals(items_view(spark, d).withColumn("total_price", F.floor(F.col("total_price") / 1000) * 1000))
 
@@ -114,23 +155,23 @@ def pattern_summary(spark, d):
 
 
 def supplier_shares(spark, d):
-    return suppliers.supplier_shares(items_view(spark, d)).withColumn("total", F.round("total", 2)).withColumn("share_pct", F.round("share_pct", 6))
+    return suppliers.supplier_shares(_partly_unnamed(items_view(spark, d))).withColumn("total", F.round("total", 2)).withColumn("share_pct", F.round("share_pct", 6))
 
 
 def supplier_concentration(spark, d):
-    return suppliers.concentration(items_view(spark, d)).withColumn("hhi", F.round("hhi", 6)).withColumn("top_share_pct", F.round("top_share_pct", 6))
+    return suppliers.concentration(_partly_unnamed(items_view(spark, d))).withColumn("hhi", F.round("hhi", 6)).withColumn("top_share_pct", F.round("top_share_pct", 6))
 
 
 def department_concentration(spark, d):
-    return suppliers.department_concentration(items_view(spark, d)).withColumn("hhi", F.round("hhi", 6))
+    return suppliers.department_concentration(_partly_unnamed(items_view(spark, d))).withColumn("hhi", F.round("hhi", 6))
 
 
 def supplier_changes(spark, d):
-    return suppliers.supplier_changes(items_view(spark, d), BRAND).drop("suppliers")
+    return suppliers.supplier_changes(_partly_unnamed(items_view(spark, d)), BRAND).drop("suppliers")
 
 
 def supplier_switches(spark, d):
-    return suppliers.switches(items_view(spark, d), BRAND)
+    return suppliers.switches(_partly_unnamed(items_view(spark, d)), BRAND)
 
 
 def dominant_suppliers(spark, d):
@@ -147,35 +188,47 @@ def graph_stats(spark, d):
 
 
 def graph_components(spark, d):
-    edges = graph.build_graph(items_view(spark, d))[1].where("type = 'supplies'")
-    return connected_components(edges, "src", "dst").agg(F.countDistinct("component").cast("int").alias("n_components"), F.count(F.lit(1)).alias("n_nodes"))
-
-
-def _supply_graph(spark, d):
-    """Items, contractors and departments, without the documents."""
-    return graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")))
+    """Documents that share an item of one name, brand, kind and supplier, over any number of steps."""
+    label = F.concat_ws("/", "name", "brand", "unit", "contractor", F.year("date").cast("string"))
+    edges = graph.build_graph(items_view(spark, d).withColumn("name", label))[1].where("type = 'contains'")
+    sizes = connected_components(edges, "src", "dst").groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sizes.groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_components"))
 
 
 def shortest_path(spark, d):
-    table = items_view(spark, d).where("brand = 'Brand#11'").withColumns({"department": F.lit(""), "source_file": F.lit("")})
-    vertices, edges = graph.build_graph(table)
-    ends = edges.where("type = 'supplies'").agg(F.min("src").alias("s"), F.max("src").alias("t")).first()
-    return graph.shortest_path(vertices, edges, ends["s"], ends["t"]).agg(F.count(F.lit(1)).alias("n_steps"))
+    """From the first document to the last one, over the whole network."""
+    vertices, edges = graph.build_graph(items_view(spark, d))
+    ends = vertices.where("type = 'document'").agg(F.min("id").alias("s"), F.max("id").alias("t")).first()
+    return graph.shortest_path(vertices, edges, ends["s"], ends["t"]).agg(F.count(F.lit(1)).alias("n_steps"), F.min_by("id", "step").alias("first"), F.max_by("id", "step").alias("last"))
 
 
 def betweenness(spark, d):
-    vertices, edges = _supply_graph(spark, d)
+    vertices, edges = graph.build_graph(items_view(spark, d))
     return graph.betweenness(vertices, edges)
 
 
+def supply_betweenness(spark, d):
+    """The network without its documents is small, so the sum runs over all sources."""
+    vertices, edges = graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")))
+    return graph.betweenness(vertices, edges, exact_nodes=10_000)
+
+
 def communities(spark, d):
-    vertices, edges = _supply_graph(spark, d)
+    vertices, edges = graph.build_graph(items_view(spark, d))
     return graph.communities(vertices, edges)
 
 
 def filtered_graph(spark, d):
     vertices, edges = graph.build_graph(items_view(spark, d), _scored(spark, d, NAME))
-    return graph.export_json(*graph.filter_graph(vertices, edges, ("item", "contractor"), 40))
+    nodes, links = graph.filter_graph(vertices, edges, ("item", "contractor"), 80)
+    return nodes.select("id", F.lit(None).cast("string").alias("target"), "risk_score", "risk_level", F.round("total_price", 2).alias("total")).unionByName(
+        links.select(F.col("src").alias("id"), F.col("dst").alias("target"), F.lit(None).cast("int").alias("risk_score"), F.col("type").alias("risk_level"), F.round("weight", 2).alias("total"))
+    )
+
+
+def graph_export(spark, d):
+    vertices, edges = graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")), _scored(spark, d, NAME))
+    return graph.export_json(vertices, edges, graph.betweenness(vertices, edges, exact_nodes=10_000), include_stats=True)
 
 
 def _raw(spark, d) -> DataFrame:
@@ -184,10 +237,12 @@ def _raw(spark, d) -> DataFrame:
     return line.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         F.concat(F.lit("  "), "p_name", F.lit("  10 шт")).alias("name"),
+        F.when(order % 11 == 0, F.col("l_partkey").cast("string")).alias("price"),
+        F.when(order % 22 == 0, (F.col("l_partkey") + 7).cast("string")).alias("amount"),
         F.when(order % 5 != 0, F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
         F.when(order % 3 == 0, "ШТ.").when(order % 3 == 1, "kg").otherwise("услуга").alias("unit"),
-        F.when(order % 7 != 0, F.floor("l_extendedprice").cast("string")).alias("total_price"),
-        F.when(order % 2 == 0, "-5").otherwise(F.col("l_partkey").cast("string")).alias("unit_price"),
+        F.when((order % 7 != 0) & (order % 11 != 0), F.floor("l_extendedprice").cast("string")).alias("total_price"),
+        F.when((order % 2 == 0) | (order % 11 == 0), "-5").otherwise(F.col("l_partkey").cast("string")).alias("unit_price"),
         F.when(order % 4 == 0, "1.2.2024").when(order % 4 == 1, "2024/03/05").when(order % 4 == 2, "31.02.2024").otherwise("07-11-2023").alias("date"),
         F.when(order % 6 == 0, "не указан").otherwise(F.concat(F.lit("ООО «"), F.col("l_suppkey").cast("string"), F.lit("»"))).alias("contractor"),
     )
@@ -198,13 +253,12 @@ def normalised_items(spark, d):
     codes = lambda code: F.size(F.filter("parse_warnings", lambda w: w["code"] == code))
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.regexp_replace("name", " 10 шт", "  10 шт").alias("name"), "canonical_name", "unit", "date", "contractor",
-        F.floor("quantity").cast("double").alias("quantity"), F.floor("unit_price").cast("double").alias("unit_price"), F.floor("total_price").cast("double").alias("total_price"),
-        codes("restored").alias("n_restored"), (codes("mismatch") > 0).alias("mismatch"),
+        "quantity", "unit_price", "total_price", codes("restored").alias("n_restored"), (codes("mismatch") > 0).alias("mismatch"), codes("ambiguous").alias("n_ambiguous"), "confidence",
     )
 
 
 def quality_report(spark, d):
-    return items.quality_report(items.normalise_items(_raw(spark, d)))
+    return items.quality_report(items.normalise_items(_raw(spark, d))).withColumn("by_code", F.to_json("by_code"))
 
 
 def contractor_names(spark, d):
@@ -227,9 +281,9 @@ def matched_groups(spark, d):
 
 
 def token_sort_scores(spark, d):
-    names = _table(spark, d, "part").select(F.col("p_name").alias("text")).distinct().withColumn("id", F.col("text"))
-    pairs = cluster.word_pairs(names, 0.2).select("x", "y")
-    return pairs.withColumn("score", F.round(token_sort_ratio_col(F.col("x"), F.col("y")), 4))
+    """All pairs of names that score 40 or more; the filter before the score loses none."""
+    names = _table(spark, d, "part").select(F.col("p_name").alias("text")).distinct()
+    return cluster.ratio_pairs(names, 40.0).withColumn("score", F.round("score", 4))
 
 
 def resolved_contractors(spark, d):
@@ -272,7 +326,13 @@ def invalid_case_steps(spark, d):
 
 
 def context_scores(spark, d):
-    return stores.score_in_context(_scored(spark, d, BRAND)).select("name", "brand", "category", "score", "context_score", "context_risk_level")
+    """Names of several categories; one department weighs half as much again."""
+    kinds = F.create_map(*[F.lit(x) for pair in CATEGORY_WORDS.items() for x in pair])
+    table = items_view(spark, d).withColumn("name", F.concat("name", F.lit(" "), F.coalesce(kinds[F.right("brand", F.lit(1))], F.lit("прибор"))))
+    departments = _table(spark, d, "customer").select(F.col("c_mktsegment").alias("department")).distinct()
+    heavier = departments.withColumn("multiplier", F.when(F.col("department") == "BUILDING", 1.5).otherwise(1.0))
+    scored = stores.score_in_context(risk.score_groups(table, BRAND), heavier)
+    return scored.select("name", "brand", "category", "score", "context_score", "context_risk_level")
 
 
 def event_windows(spark, d):
@@ -284,19 +344,22 @@ def event_sessions(spark, d):
 
 
 def report_table(spark, d):
-    return report_rows(explain(_scored(spark, d, NAME)))
+    return report_rows(explain(_scored(spark, d, NAME))).withColumn("explained", F.col("explanation") != "").drop("explanation")
 
 
 def full_analysis(spark, d):
     raw = items_view(spark, d).withColumn("date", F.col("date").cast("string"))
-    return analyse(raw).groups.select("group_key", "name", "n_items", "score", "risk_level", "explanation")
+    return analyse(raw).groups.select(
+        "group_key", "name", "n_items", "score", "risk_level", "explanation", "category", "contractor_status", "consistency_errors", "price_anomalies", "has_anomalies",
+        F.col("price_analysis.outlier_count").alias("outlier_count"), F.col("price_analysis.direction").alias("direction"),
+    )
 
 
 QUERIES: tuple[Query, ...] = (
-    procurement_items, group_price_stats, document_price_stats, outlier_counts, price_trend, total_anomalies, score_groups, risk_distribution, top_risks,
-    results_filter, auto_cases, explained_groups, split_purchases, repeated_amounts, suspicious_intervals, round_totals, pattern_summary, supplier_shares,
+    procurement_items, group_price_stats, document_price_stats, outlier_counts, price_analysis, inconsistent_items, price_trend, total_anomalies, score_groups, risk_distribution, top_risks,
+    results_filter, auto_cases, explained_groups, odd_flags, split_purchases, repeated_amounts, suspicious_intervals, interval_pairs, round_totals, pattern_summary, supplier_shares,
     supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
-    shortest_path, betweenness, communities, filtered_graph, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
+    shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
     matched_groups, token_sort_scores, resolved_contractors, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
     invalid_case_steps, context_scores, event_windows, event_sessions, report_table, full_analysis,
 )

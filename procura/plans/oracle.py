@@ -15,6 +15,10 @@ ITEMS = """items AS (
 )"""
 
 
+#: Items whose contractor is one; some are words that name none.
+NAMED = ITEMS.replace("items AS (", "every AS (", 1) + ", items AS (SELECT * FROM every WHERE quantity NOT IN (7, 13, 20))"
+
+
 def _mid(array: str, first: str, count: str) -> str:
     """The median of ``count`` values of a sorted list from a 0-based place on."""
     return f"(({array}[{first} + ({count} + 1) // 2] + {array}[{first} + ({count}) // 2 + 1]) / 2)"
@@ -48,7 +52,7 @@ def _level(score: str) -> str:
     return "CASE " + " ".join(f"WHEN {score} >= {least} THEN '{name}'" for least, name in C.RISK_LEVELS) + " ELSE 'LOW' END"
 
 
-def _scored(keys: str) -> str:
+def _scored(keys: str, items: str = ITEMS) -> str:
     """CTEs up to scored: first item, flags, score and level of every group."""
     on = " AND ".join(f"g.{k} = {{0}}.{k}" for k in keys.split(", "))
     held = {
@@ -74,19 +78,20 @@ def _scored(keys: str) -> str:
     held["round_number"] = f"NOT ({off_price}) AND ((tp >= 100000 AND tp % 100000 = 0) OR (up >= 100000 AND up % 100000 = 0))"
     flags = ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in held.items())
     weights = " + ".join(f"CASE WHEN {c} THEN {C.FLAG_WEIGHTS[f]} ELSE 0 END" for f, c in held.items())
+    own_file = "" if "source_file" in keys else "arg_min(source_file, ordinal) AS source_file,"
     gap = f"SELECT {keys}, min(gap) AS gap FROM (SELECT {keys}, date - lag(date) OVER (PARTITION BY {keys} ORDER BY date) AS gap FROM items) GROUP BY ALL"
-    return f"""{ITEMS}, {_stats(keys, "unit_price")}, grouped AS (
+    return f"""{items}, {_stats(keys, "unit_price")}, grouped AS (
   SELECT {keys}, count(*) AS n_items, count(DISTINCT department) AS nd, count(DISTINCT contractor) AS nc, count(DISTINCT unit) AS nu,
     min(quantity) AS qmin, max(quantity) AS qmax, list(total_price ORDER BY total_price) AS t, min(ordinal) AS first_ordinal,
-    arg_min(contractor, ordinal) AS contractor, arg_min(source_file, ordinal) AS source_file, arg_min(quantity, ordinal) AS q,
+    arg_min(contractor, ordinal) AS contractor, {own_file} arg_min(department, ordinal) AS department, bool_or(contains(contractor, '1')) AS any1, arg_min(quantity, ordinal) AS q,
     arg_min(unit_price, ordinal) AS up, arg_min(total_price, ordinal) AS tp
   FROM items GROUP BY {keys}
-), same AS (SELECT {keys}, source_file, count(*) AS same_source FROM items GROUP BY ALL), gaps AS ({gap}), judged AS (
+), same AS (SELECT {keys}, source_file AS sf, count(*) AS same_source FROM items GROUP BY ALL), gaps AS ({gap}), judged AS (
   SELECT g.*, same_source, gap, round(abs((tp - {_mid("t", "0", "n_items")}) / {_mid("t", "0", "n_items")} * 100), 2) AS off,
     CASE WHEN st.n < 3 OR iqr = 0 THEN 'insufficient_data' WHEN up < hard_lo OR up > hard_hi THEN 'strong_outlier'
       WHEN up < soft_lo OR up > soft_hi THEN 'moderate_deviation' ELSE 'normal' END AS kind,
     round(abs((up - round(median, 2)) / round(median, 2) * 100), 2) AS dev, st.n AS n_prices
-  FROM grouped g JOIN stats st ON {on.format("st")} JOIN same ON {on.format("same")} AND g.source_file = same.source_file JOIN gaps ON {on.format("gaps")}
+  FROM grouped g JOIN stats st ON {on.format("st")} JOIN same ON {on.format("same")} AND g.source_file = same.sf JOIN gaps ON {on.format("gaps")}
 ), legs AS (
   SELECT *, CASE WHEN kind IN ('strong_outlier', 'moderate_deviation') OR n_prices < 2 THEN 0 ELSE dev END AS legacy FROM judged
 ), scored AS (
@@ -98,13 +103,31 @@ RAW = """raw AS (
   SELECT l_orderkey, l_linenumber, l_partkey, '  ' || p_name || '  10 шт' AS name,
     CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE replace(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), '.', ',') END AS quantity,
     CASE WHEN l_orderkey % 3 = 0 THEN 'ШТ.' WHEN l_orderkey % 3 = 1 THEN 'kg' ELSE 'услуга' END AS unit,
-    CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS total_price,
-    CASE WHEN l_orderkey % 2 = 0 THEN '-5' ELSE CAST(l_partkey AS VARCHAR) END AS unit_price,
+    CASE WHEN l_orderkey % 11 = 0 THEN l_partkey END AS price, CASE WHEN l_orderkey % 22 = 0 THEN l_partkey + 7 END AS amount,
+    CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS total_price,
+    CASE WHEN l_orderkey % 2 = 0 OR l_orderkey % 11 = 0 THEN '-5' ELSE CAST(l_partkey AS VARCHAR) END AS unit_price,
     CASE WHEN l_orderkey % 4 = 0 THEN '1.2.2024' WHEN l_orderkey % 4 = 1 THEN '2024/03/05' WHEN l_orderkey % 4 = 2 THEN '31.02.2024' ELSE '07-11-2023' END AS date,
     CASE WHEN l_orderkey % 6 = 0 THEN 'не указан' ELSE 'ООО «' || CAST(l_suppkey AS VARCHAR) || '»' END AS contractor
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
 
+NORMALISED = RAW + """, n AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, trim(name) AS name, CAST(quantity AS DOUBLE) AS q, CAST(total_price AS DOUBLE) AS t, CAST(price AS DOUBLE) AS old, CAST(amount AS DOUBLE) AS alt,
+    CASE WHEN unit_price = '-5' THEN NULL ELSE CAST(unit_price AS DOUBLE) END AS u,
+    CASE unit WHEN 'ШТ.' THEN 'шт' WHEN 'kg' THEN 'кг' ELSE 'усл.' END AS unit,
+    CASE WHEN date = '1.2.2024' THEN '2024-02-01' WHEN date = '2024/03/05' THEN '2024-03-05' WHEN date = '31.02.2024' THEN '' ELSE '2023-11-07' END AS date,
+    CASE WHEN contractor = 'не указан' THEN '' ELSE contractor END AS contractor FROM raw
+), o AS (SELECT *, old IS NOT NULL AND u IS NULL AND t IS NULL AS legacy, coalesce(alt > old, false) AS explicit, coalesce(q > 0 AND q <> 1 AND old > 0, false) AS many, coalesce(q > 0 AND q <> 1 AND old = 0, false) AS odd FROM n
+), p AS (
+  SELECT * REPLACE (CASE WHEN NOT legacy THEN u WHEN explicit OR many THEN old END AS u,
+    CASE WHEN NOT legacy THEN t WHEN explicit THEN alt WHEN many THEN (round_even(old * q * 100, 0) / 100) ELSE old END AS t) FROM o
+), a AS (SELECT *, coalesce(t IS NULL AND u <> 0 AND q > 0, false) AS rt FROM p), b AS (SELECT * REPLACE (CASE WHEN rt THEN (round_even(u * q * 100, 0) / 100) ELSE t END AS t) FROM a),
+c AS (SELECT *, coalesce(u IS NULL AND t <> 0 AND q > 0, false) AS ru FROM b), d AS (SELECT * REPLACE (CASE WHEN ru THEN (round_even(t / q * 100, 0) / 100) ELSE u END AS u) FROM c),
+e AS (SELECT *, coalesce(q IS NULL AND t <> 0 AND u > 0 AND (round_even(t / u * 10000, 0) / 10000) BETWEEN 0.0001 AND 1000000, false) AS rq FROM d), f AS (SELECT * REPLACE (CASE WHEN rq THEN (round_even(t / u * 10000, 0) / 10000) ELSE q END AS q) FROM e),
+g AS (SELECT *, coalesce(t <> 0 AND q > 0 AND (round_even(u * q * 100, 0) / 100) > 0 AND abs((round_even(u * q * 100, 0) / 100) - t) / (round_even(u * q * 100, 0) / 100) > 0.05, false) AS mm, rt::INT + ru::INT + rq::INT AS n_restored, (legacy AND odd AND NOT explicit)::INT AS n_ambiguous FROM f),
+h AS (SELECT *, greatest(0, 100 - CASE WHEN coalesce(u, 0) > 0 OR coalesce(t, 0) > 0 THEN 0 ELSE 25 END - least(20, 10 * n_restored) - least(15, 5 * (mm::INT + n_ambiguous))
+  - CASE WHEN coalesce(u, 0) > 0 AND coalesce(q, 0) = 0 THEN 5 ELSE 0 END) / 100 AS confidence FROM g)"""
+
 VERDICTS = """log AS (
   SELECT event_id AS seq, p_name AS item_name, ['valid', 'false_positive', 'confirmed_fraud'][CAST(event_id % 3 AS INTEGER) + 1] AS verdict,
     ['flag_' || CAST(event_id % 4 AS VARCHAR), 'flag_' || CAST(user_id % 3 AS VARCHAR)] AS flags
@@ -112,19 +135,75 @@ VERDICTS = """log AS (
 )"""
 
 
+def _explained(scored: str) -> str:
+    """Flags in the order of their explanation, and the texts that hold no amounts."""
+    from procura.operators.explain import INTERPRETATION
+
+    order = "[" + ", ".join(f"'{f}'" for f in C.FLAG_PRIORITY) + "]"
+    texts = {
+        "single_occurrence": "'Нет базы сравнения — 1 наблюдение'",
+        "duplicate_2": "'Закупается в 2 подразделениях'",
+        "duplicate_3_plus": "'Закупается в ' || CAST(nd AS VARCHAR) || ' подразделениях (норма: 1–2)'",
+        "split_suspected": "'Повторений в одном источнике: ' || CAST(same_source AS VARCHAR) || ' (норма: 1)'",
+        "contractor_concentration": "'Единственный поставщик для всей группы документов'",
+        "unit_mismatch": "CAST(nu AS VARCHAR) || ' различных единиц (ожидается 1)'",
+        "temporal_clustering": "'Несколько закупок с интервалом ≤3 дней'",
+    }
+    said = ", ".join(f"CASE WHEN list_contains(held, '{f}') THEN {texts[f]} || ': {INTERPRETATION[f]}' END" for f in C.FLAG_PRIORITY if f in texts)
+    return f"""WITH {scored}, x AS (SELECT *, list_filter({order}, lambda f: list_contains(string_split(flags, ','), f)) AS held FROM scored)
+        SELECT name, brand, score, CAST(len(held) AS INTEGER) AS n_explained, array_to_string(held, ',') AS flag_order, array_to_string(list_filter([{said}], lambda t: t IS NOT NULL), '; ') AS said,
+          CAST(greatest(1, least(4, len(held))) AS INTEGER) AS n_parts FROM x"""
+
+
+def _betweenness() -> str:
+    """Shares of all shortest paths: their numbers level by level, up to the six steps that the network needs."""
+    levels = ["l0 AS (SELECT id AS s, id AS v, 1.0::DOUBLE AS paths FROM n)", "r0 AS (SELECT s, v, paths, 0 AS depth FROM l0)"]
+    for k in range(1, 7):
+        levels.append(f"l{k} AS (SELECT l.s, u.b AS v, sum(l.paths) AS paths FROM l{k - 1} l JOIN u ON l.v = u.a WHERE (l.s, u.b) NOT IN (SELECT s, v FROM r{k - 1}) GROUP BY ALL)")
+        levels.append(f"r{k} AS (SELECT * FROM r{k - 1} UNION ALL SELECT s, v, paths, {k} FROM l{k})")
+    return f"""WITH {ITEMS}, e AS (SELECT DISTINCT 'item:' || name AS a, unnest(['dept:' || department, 'contractor:' || contractor]) AS b FROM items),
+        u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), n AS MATERIALIZED (SELECT DISTINCT a AS id FROM u), {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in levels)},
+        c AS (SELECT x.v AS id, sum(x.paths * y.paths / z.paths) AS total FROM r6 x JOIN r6 y ON x.v = y.s JOIN r6 z ON z.s = x.s AND z.v = y.v
+          WHERE x.depth + y.depth = z.depth AND x.v <> x.s AND x.v <> y.v GROUP BY x.v)
+        SELECT n.id, round(coalesce(total, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 4) AS centrality FROM n LEFT JOIN c ON n.id = c.id"""
+
+
+#: Bits of the places in text ``a`` of every letter of ``b``, folded as the bit-parallel longest common subsequence is.
+LCS = """len(a) - bit_count(list_reduce(list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(len(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << CAST(i AS INTEGER) ELSE 0 END))::HUGEINT),
+  lambda f, m: ((f + (f & m)) | (f - (f & m))) & ((1::HUGEINT << CAST(len(a) AS INTEGER)) - 1), (1::HUGEINT << CAST(len(a) AS INTEGER)) - 1))"""
+RATIO = f"""names AS (SELECT DISTINCT p_name AS name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS t FROM part),
+  pairs AS (SELECT x.name AS x, y.name AS y, x.t AS a, y.t AS b FROM names x JOIN names y ON x.name < y.name), ratios AS (SELECT x, y, a, b, 200.0 * ({LCS}) / (len(a) + len(b)) AS score FROM pairs)"""
+
+
 def oracles() -> dict[str, str]:
     by_name, by_brand = _scored("name"), _scored("name, brand")
     split = ", ".join(f"({t})" for t in C.SPLIT_THRESHOLDS)
     out = {
         "procurement_items": f"WITH {ITEMS} SELECT name, contractor, department, source_file, quantity, unit_price, total_price, date, unit, brand FROM items",
         "group_price_stats": f"""WITH {ITEMS}, {_stats("name", "unit_price")}
-            SELECT name, n, round(mean, 4) AS mean, median, s[1] AS min, s[n] AS max, round(sd, 4) AS stdev, q1, q3, iqr, soft_lo AS fence_soft_lo,
+            SELECT name, n, round(mean, 4) AS mean, median, s[1] AS min, s[n] AS max, round(sd, 4) AS stdev, CASE WHEN n > 1 THEN round(sd / mean * 100, 1) ELSE 0 END AS cv, q1, q3, iqr, soft_lo AS fence_soft_lo,
               soft_hi AS fence_soft_hi, hard_lo AS fence_hard_lo, hard_hi AS fence_hard_hi, n < 3 OR iqr = 0 AS insufficient_for_iqr FROM stats""",
         "document_price_stats": f"""WITH {ITEMS}, {_stats("source_file", "unit_price")}
             SELECT source_file, n, median, q1, q3, iqr, n < 3 OR iqr = 0 AS insufficient_for_iqr FROM stats""",
-        "outlier_counts": f"""WITH {ITEMS}, {_stats("name", "unit_price")}
-            SELECT x.name, {CLASS} AS classification, count(*) AS n_items, round(max(abs(x.unit_price - median)), 2) AS max_away
-            FROM items x JOIN stats st ON x.name = st.name GROUP BY ALL""",
+        "outlier_counts": f"""WITH {ITEMS}, {_stats("name", "unit_price")}, c AS (
+              SELECT x.name, {CLASS} AS classification, x.unit_price < median AS low, iqr, round(abs(x.unit_price - median), 2) AS away, round(abs(x.unit_price - median) / median * 100, 2) AS pct,
+                round((x.unit_price - mean) / sd, 2) AS z FROM items x JOIN stats st ON x.name = st.name
+            ) SELECT name, classification, CASE WHEN iqr = 0 THEN 'iqr_zero' WHEN classification = 'strong_outlier' THEN if(low, 'outlier_low', 'outlier_high')
+                WHEN classification = 'moderate_deviation' THEN if(low, 'below_fence', 'above_fence') ELSE 'in_range' END AS iqr_position,
+              count(*) AS n_items, max(away) AS max_away, max(pct) AS max_pct, max(z) AS max_z FROM c GROUP BY ALL""",
+        "price_analysis": f"""WITH {ITEMS}, {_stats("name, brand", "unit_price")}, c AS (
+              SELECT x.name, x.brand, count(*) FILTER ({CLASS} = 'strong_outlier') AS outlier_count, count(*) FILTER ({CLASS} = 'moderate_deviation') AS deviation_count
+              FROM items x JOIN stats st ON x.name = st.name AND x.brand = st.brand WHERE st.n >= 2 GROUP BY ALL
+            ), r AS (
+              SELECT name, brand, unit_price AS p, row_number() OVER (PARTITION BY name, brand ORDER BY date, ordinal) AS rn, count(*) OVER (PARTITION BY name, brand) AS n FROM items
+            ), t AS (SELECT name, brand, avg(p) FILTER (rn <= greatest(1, n // 3)) AS a, avg(p) FILTER (rn > n - greatest(1, n // 3)) AS b FROM r WHERE n >= 3 GROUP BY ALL),
+            u AS (SELECT name, brand, round((b - a) / a * 100, 1) AS change_pct FROM t)
+            SELECT s.name, s.brand, s.n, coalesce(outlier_count, 0) AS outlier_count, coalesce(deviation_count, 0) AS deviation_count,
+              CASE WHEN change_pct > 15 THEN 'growing' WHEN change_pct < -15 THEN 'declining' WHEN change_pct IS NOT NULL THEN 'stable' END AS direction, change_pct,
+              CASE WHEN s.n > 1 THEN round(sd / mean * 100, 1) ELSE 0 END > 30 AS cv_signal
+            FROM stats s LEFT JOIN c ON s.name = c.name AND s.brand = c.brand LEFT JOIN u ON s.name = u.name AND s.brand = u.brand""",
+        "inconsistent_items": f"""WITH {ITEMS}, o AS (SELECT name, brand, quantity * unit_price AS e, CASE WHEN quantity % 5 = 0 THEN total_price * 1.25::DOUBLE ELSE total_price END AS t FROM items)
+            SELECT name, brand, count(*) AS n_items, min(round(abs(e - t) / t * 100, 1)) AS diff_pct FROM o WHERE abs(e - t) / t > 0.05 GROUP BY ALL""",
         "price_trend": f"""WITH {ITEMS}, r AS (
               SELECT name, unit_price AS p, date, row_number() OVER (PARTITION BY name ORDER BY date, ordinal) AS rn, count(*) OVER (PARTITION BY name) AS n FROM items
             ), t AS (SELECT name, avg(p) FILTER (rn <= greatest(1, n // 3)) AS a, avg(p) FILTER (rn > n - greatest(1, n // 3)) AS b, min(date) AS date_from, max(date) AS date_to, max(n) AS n FROM r WHERE n >= 3 GROUP BY name)
@@ -135,18 +214,33 @@ def oracles() -> dict[str, str]:
         "score_groups": f"""WITH {by_brand} SELECT name, brand, n_items, score, {_level("score")} AS risk_level, flags FROM scored""",
         "risk_distribution": f"""WITH {by_brand} SELECT {_level("score")} AS risk_level, count(*) AS n_groups, round(avg(score), 4) AS mean_score FROM scored GROUP BY ALL""",
         "top_risks": f"""WITH {by_name} SELECT name, score, {_level("score")} AS risk_level, flags FROM scored ORDER BY score DESC, first_ordinal LIMIT 10""",
-        "results_filter": f"""WITH {by_brand} SELECT name, brand, score FROM scored WHERE score BETWEEN 40 AND 90 AND contains(lower(contractor), '1')""",
+        "results_filter": f"""WITH {_scored("name, brand, source_file")} SELECT name, brand, source_file, score FROM scored WHERE score BETWEEN 5 AND 90 AND any1""",
+        "report_table": f"""WITH {by_name} SELECT name, contractor, tp AS total_price, score, {_level("score")} AS risk_level, true AS explained FROM scored""",
+        "explained_groups": _explained(by_brand),
+        "odd_flags": f"""WITH {ITEMS}, o AS (
+              SELECT * REPLACE (CASE WHEN quantity = 4 THEN 'Прочие работы' ELSE name END AS name, CASE WHEN quantity = 1 THEN 0 ELSE unit_price END AS unit_price,
+                CASE WHEN quantity = 2 THEN 0 WHEN quantity = 3 THEN NULL ELSE quantity END AS quantity) FROM items
+            ), g AS (SELECT name, brand, contractor, count(*) AS n_items, arg_min(struct_pack(q := quantity, u := unit_price), ordinal) AS f FROM o GROUP BY name, brand, contractor)
+            SELECT name, brand, contractor, n_items, array_to_string(list_filter([
+                CASE WHEN name = 'Прочие работы' THEN 'vague_item' END, CASE WHEN CAST(split_part(contractor, '#', 2) AS INTEGER) % 7 = 0 THEN 'contractor_blacklist' END,
+                CASE WHEN name LIKE 's%' THEN 'graph_central' END, CASE WHEN f.q > 0 AND f.u = 0 THEN 'volume_without_price' END,
+                CASE WHEN f.u > 0 AND f.q = 0 THEN 'zero_quantity' END, CASE WHEN f.u > 0 AND f.q IS NULL THEN 'price_without_volume' END], lambda x: x IS NOT NULL), ',') AS flags FROM g""",
         "auto_cases": f"""WITH {by_brand}, f AS (SELECT *, CASE WHEN score >= 70 THEN 'item' ELSE 'contractor' END AS for_what FROM scored WHERE score >= 40)
             SELECT for_what AS kind, CASE WHEN for_what = 'item' THEN name ELSE contractor END AS title_key, count(*) AS n_items, max(score) AS max_score, round(sum(tp), 2) AS total,
               CASE WHEN max(score) >= 70 THEN 'critical' ELSE 'high' END AS priority
             FROM f GROUP BY for_what, title_key, CASE WHEN for_what = 'item' THEN first_ordinal END""",
         "split_purchases": f"""WITH {ITEMS}, s AS (
-              SELECT name, CAST(t AS DOUBLE) AS threshold, total_price, date, ordinal FROM items JOIN (VALUES {split}) x(t)
+              SELECT concat_ws('/', name, brand, department) AS name, CAST(t AS DOUBLE) AS threshold, total_price, CASE WHEN quantity > 46 THEN date END AS date, ordinal FROM items JOIN (VALUES {split}) x(t)
               ON total_price >= t * (1 - {C.SPLIT_MARGIN}::DOUBLE) AND total_price < t
-            ), g AS (SELECT *, CASE WHEN date - lag(date) OVER w > {C.SPLIT_WINDOW_DAYS} THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY name, threshold ORDER BY date, ordinal)),
+            ), g AS (SELECT *, CASE WHEN date - lag(date) OVER w > {C.SPLIT_WINDOW_DAYS} THEN 1 ELSE 0 END AS new FROM s WHERE date IS NOT NULL WINDOW w AS (PARTITION BY name, threshold ORDER BY date, ordinal)),
             i AS (SELECT *, sum(new) OVER (PARTITION BY name, threshold ORDER BY date, ordinal) AS island FROM g)
             SELECT name, threshold, 'high' AS severity, count(*) AS item_count, round(sum(total_price), 2) AS total_split, min(date) AS date_from, max(date) AS date_to
-            FROM i GROUP BY name, threshold, island HAVING count(*) >= 2""",
+            FROM i GROUP BY name, threshold, island HAVING count(*) >= 2
+            UNION ALL SELECT name, threshold, 'medium', count(*), round(sum(total_price), 2), NULL, NULL FROM s GROUP BY name, threshold HAVING count(*) >= 2 AND count(date) < 2""",
+        "interval_pairs": f"""WITH {ITEMS}, d AS (
+              SELECT concat_ws('/', name, brand, unit) AS item_key, date, arg_min(source_file, ordinal) AS f, arg_max(source_file, ordinal) AS l FROM items GROUP BY ALL
+            ), p AS (SELECT *, lag(l) OVER w AS item1, lag(date) OVER w AS date1 FROM d WINDOW w AS (PARTITION BY item_key ORDER BY date))
+            SELECT item_key, item1, f AS item2, CAST(date - date1 AS INTEGER) AS interval_days, date1, date AS date2 FROM p WHERE date - date1 BETWEEN 1 AND 7""",
         "repeated_amounts": f"""WITH {ITEMS} SELECT round(total_price, 2) AS amount, CAST(count(*) AS BIGINT) AS item_count, count(DISTINCT name) AS name_count FROM items
             WHERE total_price > 0 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT name) >= 2""",
         "suspicious_intervals": f"""WITH {ITEMS}, d AS (SELECT DISTINCT name || brand AS name, date FROM items),
@@ -154,44 +248,47 @@ def oracles() -> dict[str, str]:
             SELECT name, count(*) AS pair_count, CAST(min(gap) AS INTEGER) AS least_days, max(date) AS last_date FROM g WHERE gap BETWEEN 1 AND 7 GROUP BY name""",
         "round_totals": f"""WITH {ITEMS} SELECT count(*) FILTER (v >= 10000 AND v % 10000 = 0) AS round_count, count(*) AS total_count,
               round(count(*) FILTER (v >= 10000 AND v % 10000 = 0) / count(*) * 100, 1) AS share_pct FROM (SELECT floor(total_price / 1000) * 1000 AS v FROM items) HAVING round_count >= 3""",
-        "supplier_shares": f"""WITH {ITEMS}, p AS (SELECT contractor, sum(total_price) AS total, count(*) AS item_count FROM items GROUP BY ALL)
+        "supplier_shares": f"""WITH {NAMED}, p AS (SELECT contractor, sum(total_price) AS total, count(*) AS item_count FROM items GROUP BY ALL)
             SELECT contractor, round(total, 2) AS total, item_count, round(total / sum(total) OVER () * 100, 6) AS share_pct FROM p""",
-        "supplier_concentration": f"""WITH {ITEMS}, p AS (SELECT contractor, sum(total_price) AS total FROM items GROUP BY ALL), s AS (SELECT total / sum(total) OVER () * 100 AS share FROM p)
+        "supplier_concentration": f"""WITH {NAMED}, p AS (SELECT contractor, sum(total_price) AS total FROM items GROUP BY ALL), s AS (SELECT total / sum(total) OVER () * 100 AS share FROM p)
             SELECT count(*) AS n_suppliers, round(sum(share * share), 6) AS hhi, round(max(share), 6) AS top_share_pct,
               CASE WHEN sum(share * share) >= 2500 THEN 'high' WHEN sum(share * share) >= 1500 THEN 'moderate' ELSE 'low' END AS level, sum(share * share) >= 2500 AS has_supplier_risk FROM s""",
-        "department_concentration": f"""WITH {ITEMS}, p AS (SELECT department, contractor, sum(total_price) AS total FROM items GROUP BY ALL),
+        "department_concentration": f"""WITH {NAMED}, p AS (SELECT department, contractor, sum(total_price) AS total FROM items GROUP BY ALL),
             s AS (SELECT department, total / sum(total) OVER (PARTITION BY department) * 100 AS share FROM p) SELECT department, round(sum(share * share), 6) AS hhi, count(*) AS n_suppliers FROM s GROUP BY department""",
-        "supplier_changes": f"""WITH {ITEMS} SELECT name, brand, count(DISTINCT contractor) AS supplier_count, CASE WHEN count(DISTINCT contractor) > 2 THEN 'high' ELSE 'medium' END AS severity
+        "supplier_changes": f"""WITH {NAMED} SELECT name, brand, count(DISTINCT contractor) AS supplier_count, CASE WHEN count(DISTINCT contractor) > 2 THEN 'high' ELSE 'medium' END AS severity
             FROM items GROUP BY name, brand HAVING count(DISTINCT contractor) > 1""",
-        "supplier_switches": f"""WITH {ITEMS}, w AS (SELECT name, brand, contractor, lag(contractor) OVER (PARTITION BY name, brand ORDER BY date, ordinal) AS before FROM items)
+        "supplier_switches": f"""WITH {NAMED}, w AS (SELECT name, brand, contractor, lag(contractor) OVER (PARTITION BY name, brand ORDER BY date, ordinal) AS before FROM items)
             SELECT name, brand, count(*) FILTER (before <> contractor) AS switches, count(*) AS purchases FROM w GROUP BY name, brand""",
         "dominant_suppliers": f"""WITH {ITEMS}, e AS (SELECT contractor, name, sum(total_price) AS w, count(*) AS c FROM items GROUP BY ALL),
             s AS (SELECT contractor, sum(w) AS total, sum(c) AS item_count, count(*) AS distinct_items FROM e GROUP BY ALL), x AS (SELECT *, round(total / sum(total) OVER () * 100, 2) AS share_pct FROM s)
             SELECT contractor, round(total, 2) AS total, CAST(item_count AS BIGINT) AS item_count, distinct_items, share_pct, round(0.6::DOUBLE * share_pct + 0.3::DOUBLE * distinct_items, 4) AS dominance FROM x ORDER BY dominance DESC, contractor LIMIT 10""",
-        "graph_edges": f"""WITH {ITEMS} SELECT 'department:' || department AS src, 'item:' || name AS dst, CAST(count(*) AS DOUBLE) AS weight, count(*) AS item_count, 'bought' AS type FROM items GROUP BY ALL
+        "graph_edges": f"""WITH {ITEMS} SELECT 'dept:' || department AS src, 'item:' || name AS dst, CAST(count(*) AS DOUBLE) AS weight, count(*) AS item_count, 'bought' AS type FROM items GROUP BY ALL
             UNION ALL SELECT 'item:' || name, 'contractor:' || contractor, round(sum(total_price), 2), count(*), 'supplies' FROM items GROUP BY ALL
-            UNION ALL SELECT 'document:' || source_file, 'item:' || name, CAST(count(*) AS DOUBLE), count(*), 'contains' FROM items GROUP BY ALL""",
+            UNION ALL SELECT 'doc:' || source_file, 'item:' || name, CAST(count(*) AS DOUBLE), count(*), 'contains' FROM items GROUP BY ALL""",
         "graph_stats": f"""WITH {ITEMS}, n AS (SELECT (SELECT count(DISTINCT name) FROM items) AS n_item, (SELECT count(DISTINCT department) FROM items) AS n_department,
               (SELECT count(DISTINCT contractor) FROM items) AS n_contractor, (SELECT count(DISTINCT source_file) FROM items) AS n_document,
               (SELECT count(*) FROM (SELECT DISTINCT department, name FROM items)) + (SELECT count(*) FROM (SELECT DISTINCT contractor, name FROM items)) + (SELECT count(*) FROM (SELECT DISTINCT source_file, name FROM items)) AS n_edges)
             SELECT n_item + n_department + n_contractor + n_document AS n_nodes, n_item, n_department, n_contractor, n_document, n_edges,
               round(n_edges / ((n_item + n_department + n_contractor + n_document) * (n_item + n_department + n_contractor + n_document - 1)), 6) AS density FROM n""",
-        "graph_components": f"""WITH {ITEMS} SELECT 1 AS n_components, (SELECT count(DISTINCT name) FROM items) + (SELECT count(DISTINCT contractor) FROM items) AS n_nodes""",
-        "shortest_path": f"""WITH RECURSIVE {ITEMS}, e AS (SELECT DISTINCT 'item:' || name AS a, 'contractor:' || contractor AS b FROM items WHERE brand = 'Brand#11'), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-            ends AS (SELECT min(a) AS s, max(a) AS t FROM e), walk(id, depth) AS (SELECT s, 0 FROM ends UNION SELECT u.b, depth + 1 FROM walk JOIN u ON walk.id = u.a WHERE depth < 8)
-            SELECT CAST(min(depth) AS BIGINT) + 1 AS n_steps FROM walk, ends WHERE id = t""",
-        "normalised_items": f"""WITH {RAW}, n AS (
-              SELECT l_orderkey, l_linenumber, l_partkey, trim(name) AS name, CAST(quantity AS DOUBLE) AS q, CAST(total_price AS DOUBLE) AS t,
-                CASE WHEN unit_price = '-5' THEN NULL ELSE CAST(unit_price AS DOUBLE) END AS u,
-                CASE unit WHEN 'ШТ.' THEN 'шт' WHEN 'kg' THEN 'кг' ELSE 'усл.' END AS unit,
-                CASE WHEN date = '1.2.2024' THEN '2024-02-01' WHEN date = '2024/03/05' THEN '2024-03-05' WHEN date = '31.02.2024' THEN '' ELSE '2023-11-07' END AS date,
-                CASE WHEN contractor = 'не указан' THEN '' ELSE contractor END AS contractor FROM raw
-            ), a AS (SELECT *, t IS NULL AND u <> 0 AND q > 0 AS rt FROM n), b AS (SELECT * REPLACE (CASE WHEN rt THEN round(u * q, 2) ELSE t END AS t) FROM a),
-            c AS (SELECT *, u IS NULL AND t <> 0 AND q > 0 AS ru FROM b), d AS (SELECT * REPLACE (CASE WHEN ru THEN round(t / q, 2) ELSE u END AS u) FROM c),
-            e AS (SELECT *, q IS NULL AND t <> 0 AND u > 0 AND round(t / u, 4) BETWEEN 0.0001 AND 1000000 AS rq FROM d), f AS (SELECT * REPLACE (CASE WHEN rq THEN round(t / u, 4) ELSE q END AS q) FROM e),
-            g AS (SELECT *, coalesce(t <> 0 AND q > 0 AND round(u * q, 2) > 0 AND abs(round(u * q, 2) - t) / round(u * q, 2) > 0.05, false) AS mm FROM f)
-            SELECT l_orderkey, l_linenumber, l_partkey, name, trim(regexp_replace(name, '10 шт', '')) AS canonical_name, unit, date, contractor, floor(q) AS quantity, floor(u) AS unit_price, floor(t) AS total_price,
-              (coalesce(rt, false)::INT + coalesce(ru, false)::INT + coalesce(rq, false)::INT) AS n_restored, mm AS mismatch FROM g""",
+        "graph_components": f"""WITH RECURSIVE {ITEMS}, e AS (SELECT DISTINCT 'doc:' || source_file AS a, 'item:' || concat_ws('/', name, brand, unit, contractor, CAST(year(date) AS VARCHAR)) AS b FROM items),
+            u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), cc(id, comp) USING KEY (id) AS (
+              SELECT DISTINCT a, a FROM u UNION SELECT u.b, min(cc.comp) FROM cc JOIN u ON cc.id = u.a JOIN recurring.cc AS old ON old.id = u.b WHERE cc.comp < old.comp GROUP BY u.b
+            ), s AS (SELECT comp, count(*) AS n_nodes FROM cc GROUP BY comp) SELECT n_nodes, count(*) AS n_components FROM s GROUP BY n_nodes""",
+        "shortest_path": f"""WITH RECURSIVE {ITEMS}, e AS (SELECT DISTINCT 'item:' || name AS a, unnest(['dept:' || department, 'contractor:' || contractor, 'doc:' || source_file]) AS b FROM items), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+            ends AS (SELECT min(b) AS s, max(b) AS t FROM e WHERE b LIKE 'doc:%'), walk(id, depth) USING KEY (id) AS (
+              SELECT s, 0 FROM ends UNION SELECT u.b, min(walk.depth) + 1 FROM walk JOIN u ON walk.id = u.a WHERE u.b NOT IN (SELECT id FROM recurring.walk) GROUP BY u.b
+            ) SELECT CAST(depth AS BIGINT) + 1 AS n_steps, s AS first, t AS last FROM walk JOIN ends ON id = t""",
+        "supply_betweenness": _betweenness(),
+        "filtered_graph": f"""WITH {by_name}, n AS (
+              SELECT 'item:' || name AS id, score AS risk_score, {_level("score")} AS risk_level, (SELECT round(sum(total_price), 2) FROM items i WHERE i.name = scored.name) AS total FROM scored WHERE score >= 80
+              UNION ALL SELECT DISTINCT 'contractor:' || contractor, 0, 'LOW', 0 FROM items
+            ) SELECT id, NULL AS target, risk_score, risk_level, total FROM n
+            UNION ALL SELECT 'item:' || name, 'contractor:' || contractor, NULL, 'supplies', round(sum(total_price), 2) FROM items WHERE 'item:' || name IN (SELECT id FROM n) GROUP BY name, contractor""",
+        "normalised_items": f"""WITH {NORMALISED} SELECT l_orderkey, l_linenumber, l_partkey, name, trim(regexp_replace(name, '10 шт', '')) AS canonical_name, unit, date, contractor,
+              q AS quantity, u AS unit_price, t AS total_price, n_restored, mm AS mismatch, n_ambiguous, confidence FROM h""",
+        "quality_report": f"""WITH {NORMALISED}, k AS (SELECT CAST(sum(n_restored) AS BIGINT) AS r, count(*) FILTER (mm) AS m, CAST(sum(n_ambiguous) AS BIGINT) AS a, count(*) AS total, avg(confidence) AS c, count(*) FILTER (confidence < 0.5) AS low FROM h)
+            SELECT total, round(c, 3) AS avg_confidence, low AS low_confidence, r + m + a AS warnings_total, round(low / total * 100, 1) AS low_confidence_pct,
+              '{{' || CASE WHEN a > 0 THEN '"ambiguous":' || CAST(a AS VARCHAR) || ',' ELSE '' END || '"mismatch":' || CAST(m AS VARCHAR) || ',"restored":' || CAST(r AS VARCHAR) || '}}' AS by_code FROM k""",
         "contractor_names": "SELECT s_suppkey, trim(regexp_replace(replace(lower(s_name), '#', ' '), '\\s+', ' ', 'g')) AS normalised FROM supplier",
         "name_overlaps": """WITH w AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS t FROM part)
             SELECT a.name AS x, b.name AS y, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
@@ -215,9 +312,23 @@ def oracles() -> dict[str, str]:
     }
     hasty = out["suspicious_intervals"].replace("name || brand AS name", "name")
     even = out["round_totals"].replace("floor(total_price / 1000) * 1000 AS v", "total_price AS v")
-    n = {k: f"(SELECT count(*) FROM ({q}))" for k, q in (("split", out["split_purchases"]), ("amounts", out["repeated_amounts"]), ("hasty", hasty), ("even", even))}
+    whole = out["split_purchases"].replace("concat_ws('/', name, brand, department) AS name", "name").replace("CASE WHEN quantity > 46 THEN date END AS date", "date")
+    n = {k: f"(SELECT count(*) FROM ({q}))" for k, q in (("split", whole), ("amounts", out["repeated_amounts"]), ("hasty", hasty), ("even", even))}
     out["pattern_summary"] = f"""SELECT high + medium + low AS pattern_count, CAST(0 AS BIGINT) AS critical, high, medium, low, false AS has_critical, high > 0 AS has_high
         FROM (SELECT {n["split"]} AS high, {n["amounts"]} AS medium, {n["hasty"]} + {n["even"]} AS low)"""
-    # The names are in no category, so the weights are the plain ones.
-    out["context_scores"] = f"""WITH {by_brand} SELECT name, brand, 'default' AS category, score, score AS context_score, {_level("score")} AS context_risk_level FROM scored"""
+    words = "CASE right(p.p_brand, 1) WHEN '1' THEN 'ремонт' WHEN '2' THEN 'лицензия' WHEN '3' THEN 'аудит' WHEN '4' THEN 'бумага' ELSE 'прибор' END"
+    kinds = "CASE right(brand, 1) WHEN '1' THEN 'строительство' WHEN '2' THEN 'ит' WHEN '3' THEN 'консалтинг' WHEN '4' THEN 'расходные материалы' ELSE 'default' END"
+    factors = {label: w for label, _, w in C.CATEGORIES}
+    factor = "CASE category " + " ".join(f"WHEN '{k}' THEN {factors[k]}::DOUBLE" for k in ("строительство", "ит", "консалтинг", "расходные материалы")) + " ELSE 1.0::DOUBLE END"
+    base = "CASE f " + " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in C.FLAG_WEIGHTS.items()) + " ELSE 0 END"
+    table = ITEMS.replace("p.p_name AS name", f"p.p_name || ' ' || {words} AS name")
+    out["context_scores"] = f"""WITH {_scored("name, brand", table)}, k AS (SELECT *, {kinds} AS category FROM scored), m AS (SELECT *, {factor} * CASE WHEN department = 'BUILDING' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM k),
+        c AS (SELECT *, CAST(least(100, coalesce(list_sum(list_transform(string_split(flags, ','), lambda f: least(100, round_even({base} * factor, 0)))), 0)) AS INTEGER) AS context_score FROM m)
+        SELECT name, brand, category, score, context_score, {_level("context_score")} AS context_risk_level FROM c"""
+    out["token_sort_scores"] = f"WITH {RATIO} SELECT x, y, round(score, 4) AS score FROM ratios WHERE score >= 40"
+    near = "round(0.5::DOUBLE * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) + 0.5::DOUBLE * score / 100, 4)"
+    out["name_clusters"] = f"""WITH RECURSIVE {ITEMS}, {RATIO}, e AS (SELECT x, y FROM ratios WHERE {near} >= {C.CLUSTER_THRESHOLD}), u AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+        f AS (SELECT name AS id, min(ordinal) AS o FROM items GROUP BY name), cc(id, comp) USING KEY (id) AS (
+          SELECT id, o FROM f UNION SELECT u.b, min(cc.comp) FROM cc JOIN u ON cc.id = u.a JOIN recurring.cc AS old ON old.id = u.b WHERE cc.comp < old.comp GROUP BY u.b
+        ) SELECT id AS name, id AS canonical_name, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster_id FROM cc"""
     return out
