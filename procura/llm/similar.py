@@ -19,10 +19,14 @@ group with that group's first text. What is linked by then needs no comparison.
 Texts of buckets that still hold several groups meet once more, at shingles:
 with shingles in one order, rarest first, two sets of similarity 0.8 share one
 of the first size - ceil(0.8 * size) + 1 of each. A shingle that many texts
-offer is mostly one group's, inside which nobody meets. This step loses no pair
-either, and a family's texts that differ offer what they don't share. So a
-bucket of any size ends with its groups and no pair of different groups goes
-unchecked.
+offer is mostly one group's, inside which nobody meets. The shingles of the texts
+that others were compared with stand last in the order. So two texts that meet
+first at one of those share no other kind, at most as many as the smaller number
+of them that either has; if that is too few for both sizes, they don't meet. In
+a family all of whose members differ from the first a little too much, they
+meet at what they share beside it, or not at all. This step loses no pair
+either. So a bucket of any size ends with its groups and no pair of different
+groups goes unchecked.
 
 Defined results: as in ``simhash``, with the hash of the shingle set in place of
 the fingerprint.
@@ -114,22 +118,24 @@ def _alone(texts: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): pairs of different groups (f, size, c) that may be similar, by the rarest shingles of each."""
-    each = materialise(_each_shingle(texts.join(groups.select("f"), "f", "left_semi")), "similar-shingles")
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(a, b): pairs of different groups (f, size, c, head) that may be similar, by the first shingles of each."""
+    each = _each_shingle(texts.join(groups.select("f"), "f", "left_semi")).join(groups.select("f", "head"), "f")
+    each = materialise(each, "similar-shingles")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("head").alias("known")).where("n > 1")
     # A shingle of one text alone comes first in the order, takes its place and meets nobody.
-    shared = each.join(counts, "shingle").join(groups, "f")
-    order = Window.partitionBy("f").orderBy("n", "shingle")
-    single = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("f"))
+    shared = each.drop("head").join(counts, "shingle").join(groups.drop("head"), "f")
+    own = Window.partitionBy("f")
+    single = F.col("size") - F.count(F.lit(1)).over(own)
     first = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
-    offered = shared.withColumn("r", F.row_number().over(order) + single).where(F.col("r") <= first).select("shingle", "f", "c", "size")
-    offered = materialise(offered, "similar-offered")
+    placed = shared.withColumn("r", F.row_number().over(own.orderBy("known", "n", "shingle")) + single).withColumn("most", F.sum(F.col("known").cast("int")).over(own))
+    offered = materialise(placed.where(F.col("r") <= first).select("shingle", "f", "c", "size", "known", "most"), "similar-offered")
     sizes = offered.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("shingle").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    most = most.select("shingle", F.col("most.c").alias("most"))
-    minor = offered.join(most, "shingle").where("c <> most").select("shingle", F.col("f").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    largest = largest.select("shingle", F.col("m.c").alias("largest"))
+    minor = offered.join(largest, "shingle").where("c <> largest").select("shingle", F.col("f").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("most").alias("ma"))
     near = (F.least("size", "sa") >= SIMILARITY * F.greatest("size", "sa") - 1e-9) & (F.col("ca") != F.col("c"))
-    return minor.join(offered, "shingle").where(near).select("a", F.col("f").alias("b"))
+    enough = F.least("most", "ma") >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("sa")) - 1e-9
+    return minor.join(offered, "shingle").where(near & (~F.col("known") | enough)).select("a", F.col("f").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,9 +201,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sizes = members.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("head"))
     most = sizes.groupBy(*bucket).agg(F.max(F.struct("n", "c", "head")).alias("most")).select(*bucket, F.col("most.c").alias("most"), F.col("most.head").alias("head"))
     best = members.join(most, bucket).where("c <> most").groupBy("f").agg(F.min("head").alias("head"))
-    edges = _linked(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, component)
+    best = materialise(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")), "similar-best")
+    edges = _linked(best, texts, component)
     members, component = _labelled(members, edges)
-    groups = materialise(members.select("f", "c").distinct().join(prints.select("f", "size"), "f"), "similar-groups")
+    heads = best.select(F.col("a").alias("f")).distinct().withColumn("head", F.lit(True))
+    groups = members.select("f", "c").distinct().join(prints.select("f", "size"), "f").join(heads, "f", "left")
+    groups = materialise(groups.withColumn("head", F.coalesce("head", F.lit(False))), "similar-groups")
     if not groups.isEmpty():
         pairs = _rare_pairs(texts, groups)
         component = materialise(connected_components(_linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, component)), "similar-components")
