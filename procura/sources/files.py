@@ -10,7 +10,9 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import os
 import re
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -47,16 +49,24 @@ def number_of(cell: object) -> float | None:
         return None
 
 
-def date_of(text: str) -> str:
-    """The first date in a text as ISO, or empty."""
+def dates_of(text: str) -> list[str]:
+    """All dates in a text as ISO, each once, in the order in which they stand."""
+    out: list[str] = []
     for found in DATE.findall(text):
         parts = [int(p) for p in re.split(r"[./\-]", found)]
         year, month, day = parts if parts[0] > 31 else parts[::-1]
         try:
-            return datetime.date(year, month, day).isoformat()
+            day_ = datetime.date(year, month, day).isoformat()
         except ValueError:
             continue
-    return ""
+        if day_ not in out:
+            out.append(day_)
+    return out
+
+
+def date_of(text: str) -> str:
+    """The first date in a text as ISO, or empty."""
+    return next(iter(dates_of(text)), "")
 
 
 def unit_of(cell: object) -> str:
@@ -107,6 +117,13 @@ def columns_by_header(headers: Rows) -> dict[str, int]:
     return taken
 
 
+def columns_by_words(header: list[object]) -> dict[str, int]:
+    """Role -> column of a header in plain text: the first column with a word of the role; one column may have several roles."""
+    texts = [text_of(cell).lower().rstrip(".") for cell in header]
+    found = {role: next((i for i, t in enumerate(texts) if any(w in t for w in words)), None) for role, words in C.TEXT_COLUMN_WORDS.items()}
+    return {role: i for role, i in found.items() if i is not None}
+
+
 def columns_by_numbers(rows: Rows) -> dict[str, int]:
     """Role -> column, from the triple with the most rows where quantity times price is the total."""
     width = max((len(r) for r in rows), default=0)
@@ -220,7 +237,7 @@ def items_of_text(text: str) -> list[dict]:
     rows = rows_of_text(text)
     meta = {"date": date_of(text)}
     for i, row in enumerate(rows[:10]):
-        columns = columns_by_header([row])
+        columns = columns_by_words(row)
         if len(columns) >= 2:
             return [item for item in (item_of(r, columns, meta) for r in rows[i + 1 :]) if item]
     columns = columns_by_numbers(rows)
@@ -348,6 +365,37 @@ def parse_content(path: str, content: bytes, pdf_reader: Callable[[bytes], tuple
         return out | {"error": f"{type(e).__name__}: {e}"}
 
 
+MAX_FILES = 15
+
+
+def distinct_files(paths: list[str]) -> list[str]:
+    """Files of different name and size, in their order: what a picker offers twice is one file."""
+    seen: dict[tuple[str, int], str] = {}
+    for path in paths:
+        seen.setdefault((os.path.basename(path), os.path.getsize(path)), path)
+    return list(seen.values())
+
+
+def stage_files(spark: SparkSession, paths: list[str], folder: str, most: int = MAX_FILES) -> list[str]:
+    """Copy files from the driver's machine to a shared folder, each behind an id of its own; the new paths."""
+    if not paths or len(paths) > most:
+        raise ValueError(f"{len(paths)} files; between 1 and {most} are taken")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    out = []
+    for one in paths:
+        target = f"{folder.rstrip('/')}/{uuid.uuid4()}_{os.path.basename(one)}"
+        files.copyFromLocalFile(False, True, path(f"file://{os.path.abspath(one)}"), path(target))
+        out.append(target)
+    return out
+
+
+def paged_text(pages: list[str]) -> str:
+    """The text of a paged document, each page behind its number; what a reader of such files returns as text."""
+    return "\n".join(f"[Стр.{n}]\n{text}" for n, text in enumerate(pages, 1) if text)
+
+
 def read_files(spark: SparkSession, path: str, pdf_reader: Callable[[bytes], tuple[str, list[Rows]]] | None = None) -> DataFrame:
     """One parse result for each file below a path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")

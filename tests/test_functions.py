@@ -64,6 +64,10 @@ def test_ratios(a, b):
 
 def test_ratios_in_sql(spark):
     sim.register(spark)
+    assert spark.sql("SELECT nfkc('ﬁ ①') AS a, nfkc(NULL) AS b").first() == ("fi 1", None)
+    text = "Наименование | Кол-во | Цена | Сумма\\nБолт М8 | 10 | 5 | 50\\nГайка М8 | 2 | 3 | 6"
+    rows = spark.sql(f"SELECT name, quantity, unit_price, total_price FROM extract_items('{text}')").collect()
+    assert [tuple(r) for r in rows] == [("Болт М8", 10.0, 5.0, 50.0), ("Гайка М8", 2.0, 3.0, 6.0)]
     row = spark.sql("SELECT indel_ratio('abcd', 'abxd') a, token_sort_ratio('b a', 'a b') b, partial_ratio('bc', 'abcd') c, match_score('', 'a') d").first()
     assert tuple(row) == (75.0, 100.0, 100.0, 0.0)
 
