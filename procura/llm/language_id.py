@@ -5,7 +5,10 @@ A document is a mixture of languages: expectation-maximisation finds the
 proportions that make its trigrams most likely, and the set of languages is the
 one with the best likelihood after a penalty for each further language: it
 grows by falling proportion until two further languages in turn don't pay. The
-predicted language has the largest proportion, which is also the score.
+predicted language has the largest proportion, which is also the score. The
+gain tells whether the text is in the learned languages at all: how much likelier
+than by chance, as a logarithm, a trigram of it is under its mixture on the
+average; below 0 it is in none of them.
 
 The model is fitted on a bounded sample: about ``docs_per_language`` training
 documents of each language, chosen by a hash of id and text. Languages count
@@ -13,8 +16,8 @@ over all training documents; of more than ``MAX_LANGUAGES`` labels the most
 frequent are learned, of equally frequent ones those that sort first. Text alone
 is the input of a prediction.
 
-Defined results: text that is null or has no letter gives ``und`` with score 0
-and no proportions, and so does every text if no language could be learned;
+Defined results: text that is null or has no letter gives ``und`` with score 0,
+no proportions and no gain, and so does every text if no language could be learned;
 ties go to the language that sorts first; a null id is never held out; repeated
 rows get equal predictions; an empty table gives an empty result; other columns
 are kept by ``identify`` and ignored by the query.
@@ -123,9 +126,9 @@ def _mixture(like: np.ndarray, weight: np.ndarray, owner: np.ndarray, starts: np
 
 
 def infer(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the chosen languages, and whether a text had a trigram at all."""
+    """Proportions of the chosen languages, and the gain of each text, not a number if it has no trigram."""
     n_lang = len(model.languages)
-    out = np.zeros((len(texts), n_lang))
+    out, gains = np.zeros((len(texts), n_lang)), np.full(len(texts), np.nan)
     features, weights, rows = [], [], []
     for i, raw in enumerate(texts):
         counts = np.bincount(trigrams(raw), minlength=1 << BITS)
@@ -135,7 +138,7 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
             weights.append(counts[mine])
             rows.append(i)
     if not rows or not n_lang:
-        return out, np.zeros(len(texts), dtype=bool)
+        return out, gains
     lengths = np.array([len(f) for f in features])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -174,16 +177,16 @@ def infer(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
         value[able[better]] = gain[better]
         paid[able[better]] = k
     out[rows] = best
-    had = np.zeros(len(texts), dtype=bool)
-    had[rows] = True
-    return out, had
+    seen = np.log((like * best[owner]).sum(axis=1)) + logs.max(axis=1)
+    gains[rows] = np.add.reduceat(weight * seen, starts) / total + BITS * np.log(2)
+    return out, gains
 
 
-SCHEMA = "lang string, score double, languages array<string>, shares array<double>"
+SCHEMA = "lang string, score double, languages array<string>, shares array<double>, gain double"
 
 
 def identify(text: Column, model: LanguageModel, spark) -> Column:
-    """struct(lang, score, languages, shares) of a string column, the chosen set by falling share."""
+    """struct(lang, score, languages, shares, gain) of a string column, the chosen set by falling share."""
     shared = broadcast_object(spark, model)
 
     def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -198,16 +201,16 @@ def identify(text: Column, model: LanguageModel, spark) -> Column:
                 while end < len(texts) and (end == at or (size + len(texts[end])) * len(names) < STEP_VALUES):
                     size += min(len(texts[end]), 1 << BITS)
                     end += 1
-                shares, had = infer(learned, texts[at:end])
-                for share, ok in zip(shares, had, strict=True):
-                    if not ok:
-                        rows.append((UNKNOWN, 0.0, [], []))
+                shares, gains = infer(learned, texts[at:end])
+                for share, gain in zip(shares, gains.tolist(), strict=True):
+                    if gain != gain:
+                        rows.append((UNKNOWN, 0.0, [], [], None))
                         continue
                     order = np.argsort(-share, kind="stable")
                     order = order[share[order] > 0]
-                    rows.append((names[order[0]], min(1.0, float(share[order[0]])), names[order].tolist(), share[order].tolist()))
+                    rows.append((names[order[0]], min(1.0, float(share[order[0]])), names[order].tolist(), share[order].tolist(), gain))
                 at = end
-            yield pd.DataFrame(rows, columns=["lang", "score", "languages", "shares"])
+            yield pd.DataFrame(rows, columns=["lang", "score", "languages", "shares", "gain"])
 
     has_letter = F.coalesce(F.rlike(text, F.lit("\\p{L}")), F.lit(False))
     return F.pandas_udf(batches, SCHEMA)(text.cast("binary"), has_letter)
