@@ -19,8 +19,8 @@ from procura.llm import decontamination, language_id, mixing, sharding, similar
 from procura.workspace import keep, scratch
 
 N_SHARDS = 24
-#: A text in which no language reaches this share is in none of the learned ones.
-MIN_SHARE = 0.3
+#: A text whose trigrams are no likelier than by chance, as a logarithm, is in none of the learned languages.
+MIN_GAIN = 0.0
 
 
 def _free(docs: DataFrame) -> str:
@@ -41,7 +41,7 @@ def _key_names(prefix: str) -> list[str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: null, without a letter, or spread over all languages.
+    """Drop texts without a language: null, without a letter, or in none of the learned languages.
 
     If no language can be learned, nothing is rejected. Repeated rows fare alike.
     """
@@ -50,7 +50,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs
     name = _free(docs) + "language"
     found = docs.withColumn(name, language_id.identify(F.col("text"), model, spark))
-    kept = (F.col(name)["lang"] != language_id.UNKNOWN) & (F.col(name)["score"] >= MIN_SHARE)
+    kept = (F.col(name)["lang"] != language_id.UNKNOWN) & (F.col(name)["gain"] >= MIN_GAIN)
     return found.where(kept).drop(name)
 
 
