@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from procura.functions.similarity import match_score, token_sort_ratio
 from procura.functions.text import general
-from procura.operators import cluster, components, explain, graph, items, patterns, resolve, risk, stats, stores, suppliers
+from procura.operators import cluster, components, explain, graph, items, numbering, patterns, resolve, risk, stats, stores, suppliers
 from procura.plans import analysis, results
 
 ITEM = "ordinal long, name string, contractor string, department string, source_file string, quantity double, unit_price double, total_price double, date date, unit string, canonical_name string"
@@ -318,6 +318,14 @@ def test_graph_of_items(spark):
     assert {r["id"] for r in graph.graph_context(vertices, central).collect()} == {"item:x", "item:y"}
 
 
+def test_numbers_in_a_global_order(spark):
+    values = [None, *(f"s{(i * 37) % 101:03}" for i in range(101))]
+    df = spark.createDataFrame([(v, "x") for v in values], "v string, n string")
+    got = numbering.numbered(df, [F.col("v").asc_nulls_last()], "place").collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == [*sorted(values[1:]), None] and [r["place"] for r in sorted(got, key=lambda r: r["place"])] == list(range(102))
+    assert numbering.numbered(df.limit(0), [F.col("v")], "place").count() == 0
+
+
 def test_a_long_path(spark):
     vertices, edges = nodes_edges(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)])
     assert [r["id"] for r in graph.shortest_path(vertices, edges, "n000", "n040").collect()] == [f"n{i:03}" for i in range(41)]
