@@ -23,9 +23,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procura.operators.numbering import numbered
 from procura.workspace import materialise
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -49,14 +50,10 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], max_epochs: flo
     above ``max_epochs`` times a source's size goes to the others by weight,
     again until none is above.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    totals = (
-        sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    )
-    totals = materialise(totals, "mix-sources")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    totals = numbered(totals, [F.col("source").asc_nulls_last()], "place").withColumn("w", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")))
+    totals = materialise(totals.drop("place"), "mix-sources")
     cap = F.col("source_size") * F.lit(float(max_epochs))
     everything = totals.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1
