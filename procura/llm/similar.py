@@ -22,8 +22,9 @@ of the first size - ceil(0.8 * size) + 1 of each. A shingle that many texts
 offer is mostly one group's, inside which nobody meets. The shingles of the texts
 that others were compared with stand last in the order. So two texts that meet
 first at one of those share no other kind, at most as many as the smaller number
-of them that either has; if that is too few for both sizes, they don't meet. In
-a family all of whose members differ from the first a little too much, they
+of them that either has; and two texts that meet first at some places of their
+orders share no more than what follows there. If either is too few for both
+sizes, they don't meet. In a family all of whose members differ from the first a little too much, they
 meet at what they share beside it, or not at all. This step loses no pair
 either. So a bucket of any size ends with its groups and no pair of different
 groups goes unchecked.
@@ -128,14 +129,15 @@ def _rare_pairs(texts: DataFrame, groups: DataFrame) -> DataFrame:
     single = F.col("size") - F.count(F.lit(1)).over(own)
     first = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
     placed = shared.withColumn("r", F.row_number().over(own.orderBy("known", "n", "shingle")) + single).withColumn("most", F.sum(F.col("known").cast("int")).over(own))
-    offered = materialise(placed.where(F.col("r") <= first).select("shingle", "f", "c", "size", "known", "most"), "similar-offered")
+    offered = materialise(placed.where(F.col("r") <= first).select("shingle", "f", "c", "size", "known", "most", (F.col("size") - F.col("r") + 1).alias("rest")), "similar-offered")
     sizes = offered.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("shingle").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     largest = largest.select("shingle", F.col("m.c").alias("largest"))
-    minor = offered.join(largest, "shingle").where("c <> largest").select("shingle", F.col("f").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("most").alias("ma"))
+    minor = offered.join(largest, "shingle").where("c <> largest").select("shingle", F.col("f").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("most").alias("ma"), F.col("rest").alias("ra"))
     near = (F.least("size", "sa") >= SIMILARITY * F.greatest("size", "sa") - 1e-9) & (F.col("ca") != F.col("c"))
-    enough = F.least("most", "ma") >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("sa")) - 1e-9
-    return minor.join(offered, "shingle").where(near & (~F.col("known") | enough)).select("a", F.col("f").alias("b"))
+    common = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("sa")) - 1e-9
+    enough = (F.least("rest", "ra") >= common) & (~F.col("known") | (F.least("most", "ma") >= common))
+    return minor.join(offered, "shingle").where(near & enough).select("a", F.col("f").alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
