@@ -87,16 +87,25 @@ def group_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         F.coalesce(_middle(n - half, half), F.max("v")).alias("q3"),
         (F.min(F.round("v", 2)) == F.max(F.round("v", 2))).alias("same"),
     )
+    base = materialise(base, "price-stats")
     flat = base.where("q3 <= q1 and not same").select(*keys, "median")
+    if flat.isEmpty():
+        return _with_fences(base.withColumn("mad", F.lit(None).cast("double")), keys)
     away = on_keys(counts, flat, keys).groupBy(*keys, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
     near = _ranked(away, keys).groupBy(*keys).agg(_middle(F.lit(0), n).alias("mad"))
+    return _with_fences(on_keys(base, near, keys, "left"), keys)
+
+
+def _with_fences(base: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics from the order statistics and, of groups without a spread, the distance ``mad``."""
+    n = F.col("n")
     spread = (
         F.when(F.col("q3") > F.col("q1"), F.col("q3") - F.col("q1"))
         .when(F.col("same"), 0.0)
         .when(F.col("mad") > 0, F.col("mad") * 1.4826)
         .otherwise(F.col("median") * 0.1)
     )
-    out = on_keys(base, near, keys, "left").withColumn("iqr", F.when(n < 2, 0.0).otherwise(spread))
+    out = base.withColumn("iqr", F.when(n < 2, 0.0).otherwise(spread))
     return out.select(
         *keys, "n", "mean", "median", "min", "max", "stdev", "q1", "q3", "iqr",
         (F.col("q1") - 1.5 * F.col("iqr")).alias("fence_soft_lo"),
