@@ -19,8 +19,9 @@ from procura.llm import decontamination, language_id, mixing, sharding, similar
 from procura.workspace import keep, scratch
 
 N_SHARDS = 24
-#: A text whose trigrams are no likelier than by chance, as a logarithm, is in none of the learned languages.
-MIN_GAIN = 0.0
+#: The gain below which a text is in none of the learned languages: its trigrams are e times less likely than by
+#: chance on the average. A short text of a language with a key or a number in it may come to less than 0.
+MIN_GAIN = -1.0
 
 
 def _free(docs: DataFrame) -> str:
