@@ -326,6 +326,10 @@ def oracles() -> dict[str, str]:
         c AS (SELECT *, CAST(least(100, coalesce(list_sum(list_transform(string_split(flags, ','), lambda f: least(100, round_even({base} * factor, 0)))), 0)) AS INTEGER) AS context_score FROM m)
         SELECT name, brand, category, score, context_score, {_level("context_score")} AS context_risk_level FROM c"""
     out["token_sort_scores"] = f"WITH {RATIO} SELECT x, y, round(score, 4) AS score FROM ratios WHERE score >= 40"
+    out["resolved_contractors"] = f"""WITH {ITEMS}, s AS (
+          SELECT contractor, CASE WHEN quantity > 25 THEN 'ООО «' || contractor || '»' ELSE upper(contractor) END AS raw, count(*) AS n FROM items GROUP BY ALL
+        ), e AS (SELECT trim(replace(lower(contractor), '#', ' ')) AS normalised, arg_max(raw, len(raw)) AS canonical_name, count(*) AS alias_count, CAST(sum(n) AS BIGINT) AS mention_count FROM s GROUP BY contractor)
+        SELECT canonical_name, normalised, CAST(NULL AS VARCHAR) AS inn, alias_count, mention_count, 'c:' || replace(left(normalised, 30), ' ', '_') || ':' || left(md5(normalised), 6) AS entity_id, 0.9 AS confidence FROM e"""
     near = "round(0.5::DOUBLE * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) + 0.5::DOUBLE * score / 100, 4)"
     out["name_clusters"] = f"""WITH RECURSIVE {ITEMS}, {RATIO}, e AS (SELECT x, y FROM ratios WHERE {near} >= {C.CLUSTER_THRESHOLD}), u AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
         f AS (SELECT name AS id, min(ordinal) AS o FROM items GROUP BY name), cc(id, comp) USING KEY (id) AS (
