@@ -59,8 +59,13 @@ def shingle_digests(raw: bytes, words_per_shingle: int) -> list[bytes]:
     return [digest(joined[a:b], SEED) for a, b in spans]
 
 
-def _fingerprint(raw: bytes | None, words_per_shingle: int, byte_place: np.ndarray, bit_of: np.ndarray) -> int:
-    digests = shingle_digests(raw, words_per_shingle) if raw else []
+#: Where each of eight bytes is counted, and the bits of every byte.
+BYTE_PLACE = (np.arange(8) * 256).astype(np.int64)
+BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def majority(digests: list[bytes], byte_place: np.ndarray = BYTE_PLACE, bit_of: np.ndarray = BIT_OF) -> int:
+    """The fingerprint of a text's shingle digests, as a signed number."""
     if not digests:
         return 0
     seen = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8) + byte_place
@@ -70,12 +75,9 @@ def _fingerprint(raw: bytes | None, words_per_shingle: int, byte_place: np.ndarr
 
 def fingerprint(text: Column, words_per_shingle: int = 4) -> Column:
     """The fingerprint as a long, of a string column."""
-    byte_place = (np.arange(8) * 256).astype(np.int64)
-    bit_of = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([_fingerprint(x, words_per_shingle, byte_place, bit_of) for x in part], dtype="int64")
+            yield pd.Series([majority(shingle_digests(x, words_per_shingle) if x else []) for x in part], dtype="int64")
 
     return F.pandas_udf(batches, T.LongType())(text.cast("binary"))
 

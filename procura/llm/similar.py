@@ -1,10 +1,11 @@
 """Groups of documents whose sets of word shingles are similar, each link checked on the shingles.
 
 The near-copy rule on shingle sets: five words, Jaccard similarity 0.8 or more.
-A SimHash of 64 bits can't find these pairs at a bounded cost: at similarity 0.8
-two fingerprints differ in ten bits on the average, and covering masks for that
-radius are some thousand tables for each row. So candidates are texts that agree
-in one of ``BANDS`` bands of ``DEPTH`` minimum hashes; a pair of similarity 0.8
+The first candidates are those of ``simhash``: fingerprints within its radius, found
+by its covering masks. A SimHash of 64 bits can't find all pairs at a bounded
+cost: at similarity 0.8 two fingerprints differ in ten bits on the average, and
+covering masks for that radius are some thousand tables for each row. So further
+candidates are texts that agree in one of ``BANDS`` bands of ``DEPTH`` minimum hashes; a pair of similarity 0.8
 does with probability 1 - (1 - 0.8**5)**25 = 0.99995, a more similar one more
 surely.
 
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procura.llm.simhash import SEED, shingle_digests
+from procura.llm.simhash import SEED, links, majority, shingle_digests
 from procura.operators.components import connected_components
 from procura.workspace import materialise
 
@@ -61,7 +62,11 @@ BLOCK, PAIRS = 4096, 512
 
 def shingles(raw: bytes | None) -> np.ndarray:
     """The set of shingle digests, sorted."""
-    return np.unique(np.frombuffer(b"".join(shingle_digests(raw or b"", WORDS)), dtype=np.uint64))
+    return _distinct(shingle_digests(raw or b"", WORDS))
+
+
+def _distinct(digests: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), dtype=np.uint64))
 
 
 def bands(own: np.ndarray, factors: np.ndarray, summands: np.ndarray) -> list[int]:
@@ -81,7 +86,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, f, size, bands): f is the hash of the shingle set, 0 without words; size counts its shingles."""
+    """(id, h, f, size, p, bands): f is the hash of the shingle set, 0 without words; size counts its shingles; p is the fingerprint."""
 
     factors, summands = FACTORS, SUMMANDS
 
@@ -89,13 +94,24 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for part in parts:
             rows = []
             for text in part:
-                own = shingles(text)
-                rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63) if len(own) else 0, len(own), bands(own, factors, summands)))
-            yield pd.DataFrame(rows, columns=["f", "size", "bands"]).astype({"f": "int64", "size": "int64"})
+                digests = shingle_digests(text or b"", WORDS)
+                own = _distinct(digests)
+                rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63) if len(own) else 0, len(own), majority(digests), bands(own, factors, summands)))
+            yield pd.DataFrame(rows, columns=["f", "size", "p", "bands"]).astype({"f": "int64", "size": "int64", "p": "int64"})
 
-    found = F.pandas_udf(batches, "f long, size long, bands array<long>")(F.col(text_col).cast("binary"))
+    found = F.pandas_udf(batches, "f long, size long, p long, bands array<long>")(F.col(text_col).cast("binary"))
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), found.alias("s"))
-    return materialise(out.select("id", "h", "s.f", "s.size", "s.bands"), "similar-rows")
+    return materialise(out.select("id", "h", "s.f", "s.size", "s.p", "s.bands"), "similar-rows")
+
+
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """(a, b): texts of one fingerprint, or of two that ``simhash`` links, by the first text of each; texts without words aside."""
+    said = prints.where("size > 0").select("f", "p")
+    first = materialise(said.groupBy("p").agg(F.min("f").alias("first")), "similar-prints")
+    equal = said.join(first, "p").where("f <> first").select(F.col("first").alias("a"), F.col("f").alias("b"))
+    linked = links(first.select(F.col("p").alias("f")))
+    ends = [first.select(F.col("p").alias(c), F.col("first").alias(n)) for c, n in (("a", "fa"), ("b", "fb"))]
+    return materialise(equal.unionByName(linked.join(ends[0], "a").join(ends[1], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct(), "similar-near")
 
 
 def _each_shingle(texts: DataFrame) -> DataFrame:
@@ -181,12 +197,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, component: DataFrame | None) ->
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes) as ``simhash.near_duplicates`` gives them, f being the hash of the shingle set."""
     rows = _signed(docs, id_col, text_col)
-    prints = rows.groupBy("f").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+    prints = rows.groupBy("f").agg(F.min("id").alias("first_id"), F.min("h").alias("h"), F.max("size").alias("size"), F.min("p").alias("p"), F.first("bands").alias("bands"))
     prints = materialise(prints, "similar-distinct")
     spread = prints.select("f", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     members = materialise(spread.join(shared, ["band", "key"]), "similar-members")
-    wanted = prints.join(members.select("f").distinct(), "f", "left_semi").select("f", "h", "size")
+    near = _near_prints(prints)
+    asked = members.select("f").unionByName(near.select(F.col("a").alias("f"))).unionByName(near.select(F.col("b").alias("f"))).distinct()
+    wanted = prints.join(asked, "f", "left_semi").select("f", "h", "size")
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("raw")).join(wanted, "h")
     texts = materialise(texts.dropDuplicates(["f"]), "similar-texts")
     share = F.coalesce("alone", F.lit(0)) / F.col("size")
@@ -197,7 +215,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Each text with the best of the first members of its buckets.
     heads = members.groupBy(*bucket).agg(F.min(first).alias("head"))
     best = members.join(heads, bucket).where("f <> head.f").groupBy("f").agg(F.min("head").alias("head"))
-    edges = _linked(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")), texts, None)
+    edges = _linked(best.select(F.col("head.f").alias("a"), F.col("f").alias("b")).unionByName(near), texts, None)
     members, component = _labelled(members, edges)
     # Those outside a bucket's largest group with the first text of that group, the best of all their buckets.
     sizes = members.groupBy(*bucket, "c").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("head"))
