@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.functions.text import rounded
+from procura.operators.scan import in_order, with_running_sum
 from procura.workspace import materialise, shuffle_partitions
 
 
@@ -183,14 +184,10 @@ def price_trend(items: DataFrame, keys: list[str]) -> DataFrame:
     Needs three dated and priced items; equal dates keep the items' order.
     """
     priced = items.withColumn("price", effective_price()).where((F.col("price") > 0) & F.col("date").isNotNull())
-    whole = Window.partitionBy(*keys)
-    ranked = (
-        priced.select(*keys, "date", "ordinal", "price")
-        .withColumn("rn", F.row_number().over(whole.orderBy("date", "ordinal")))
-        .withColumn("n", F.count(F.lit(1)).over(whole))
-        .where("n >= 3")
-        .withColumn("third", F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
-    )
+    order = ["date", "ordinal"]
+    rows = in_order(priced.select(*keys, *order, "price"), keys, order)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    ranked = with_running_sum(rows, keys, order, F.lit(1), "rn").transform(on_keys, sizes, keys).withColumn("third", F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
     both = ranked.groupBy(*keys).agg(
         F.avg(F.when(F.col("rn") <= F.col("third"), F.col("price"))).alias("first_mean"),
         F.avg(F.when(F.col("rn") > F.col("n") - F.col("third"), F.col("price"))).alias("last_mean"),

@@ -210,7 +210,7 @@ def betweenness(spark, d):
 def supply_betweenness(spark, d):
     """The network without its documents is small, so the sum runs over all sources."""
     vertices, edges = graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")))
-    return graph.betweenness(vertices, edges, exact_nodes=10_000)
+    return graph.betweenness(vertices, edges, exact_nodes=None)
 
 
 def communities(spark, d):
@@ -228,7 +228,7 @@ def filtered_graph(spark, d):
 
 def graph_export(spark, d):
     vertices, edges = graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")), _scored(spark, d, NAME))
-    return graph.export_json(vertices, edges, graph.betweenness(vertices, edges, exact_nodes=10_000), include_stats=True)
+    return graph.export_json(vertices, edges, graph.betweenness(vertices, edges, exact_nodes=None), include_stats=True)
 
 
 def _raw(spark, d) -> DataFrame:

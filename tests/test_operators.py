@@ -9,9 +9,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from procura.functions.similarity import match_score, token_sort_ratio
+from procura.functions.similarity import can_match, match_score, token_sort_ratio
 from procura.functions.text import general
-from procura.operators import cluster, components, explain, graph, items, numbering, patterns, resolve, risk, stats, stores, suppliers
+from procura.operators import cluster, components, explain, graph, items, numbering, patterns, resolve, risk, scan, stats, stores, suppliers
 from procura.plans import analysis, results
 
 ITEM = "ordinal long, name string, contractor string, department string, source_file string, quantity double, unit_price double, total_price double, date date, unit string, canonical_name string"
@@ -237,17 +237,39 @@ def test_betweenness_and_paths(spark):
     assert apart.count() == 0
 
 
-def test_matching_in_blocks_is_the_same(spark, monkeypatch):
-    """Names that go through several blocks join the leaders that one sequential pass gives them."""
-    rng = random.Random(3)
-    words = ["болт", "гайка", "шайба", "кабель", "труба", "лист", "профиль", "анкер", "винт", "м6", "м8", "м10", "медный", "стальной"]
-    names = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) + rng.choice(("", " а", "1")) for _ in range(120)))
-    df = table(spark, [{"name": n} for n in names])
+def test_betweenness_in_tables_is_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    links = list({tuple(sorted(rng.sample("abcdefghijklm", 2))) for _ in range(16)}) + [("x", "y"), ("y", "z")]
+    vertices, edges = nodes_edges(spark, links)
+    want = brute_betweenness(links)
+    assert {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges).collect()} == want
+    monkeypatch.setattr(graph, "TABLE_ROWS", len(links) * 9)  # two turns
+    assert {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges, broadcast_edges=0).collect()} == want
+    alone = nodes_edges(spark, [("a", "a"), ("b", "b"), ("c", "c")])
+    assert {r["centrality"] for r in graph.betweenness(*alone, broadcast_edges=-1).collect()} == {0.0}
+
+
+def test_scans_of_a_hot_group(spark):
+    """Nine tenths of all rows in one group, null the key of another: previous row and running sum as in one window."""
+    rows = [(("hot" if i % 10 else None if i % 20 else f"k{i % 3}"), i * 7919 % 4001, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, o int, v long").repartition(5)
+    ranged = scan.in_order(df, ["k"], ["o"])
+    out = scan.with_running_sum(scan.with_previous(ranged, ["k"], ["o"], ["v"], "before"), ["k"], ["o"], F.col("v"), "run").collect()
+    assert len({r["__part"] for r in out if r["k"] == "hot"}) >= 3
+    by = {}
+    for k, o, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        by.setdefault(k, []).append((o, v))
+    want = {(k, o): (own[i - 1][1] if i else None, sum(x for _, x in own[: i + 1])) for k, own in by.items() for i, (o, _) in enumerate(own)}
+    assert {(r["k"], r["o"]): (r["before"]["v"] if r["before"] else None, r["run"]) for r in out} == want
+
+
+def in_sequence(names):
+    """What one pass in order gives: each name's first best leader, or itself."""
     leaders, want = [], {}
     for name in names:
         best, key = 0.0, None
         for leader in leaders:
-            score = match_score(name, leader)
+            score = match_score(name, leader) if can_match(name, leader, 90.0) else 0.0
             if score > best:
                 best, key = score, leader
         if key is None or best < 90:
@@ -255,12 +277,48 @@ def test_matching_in_blocks_is_the_same(spark, monkeypatch):
             key = name
         want[name] = key
     assert 1 < len(leaders) < len(names)
-    for block in (2000, 25):
-        monkeypatch.setattr(cluster, "MATCH_BLOCK", block)
-        assert {r["canonical_name"]: r["group_key"] for r in cluster.match_names(df).collect()} == want
+    return want
+
+
+def test_matching_keeps_the_order_of_names(spark):
+    """Names join the leaders that one sequential pass gives them."""
+    rng = random.Random(3)
+    words = ["болт", "гайка", "шайба", "кабель", "труба", "лист", "профиль", "анкер", "винт", "м6", "м8", "м10", "медный", "стальной"]
+    names = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) + rng.choice(("", " а", "1")) for _ in range(120)))
+    names += ["а", "аб", "б", "абв гд", "гд абв", "абв  гд", "x" * 300, "x" * 299 + "y", "x" * 250]
+    df = table(spark, [{"name": n} for n in names]).withColumn("canonical_name", F.col("name"))
+    assert {r["canonical_name"]: r["group_key"] for r in cluster.match_names(df).collect()} == in_sequence(names)
     assert cluster.match_names(df.limit(0)).count() == 0
 
 
+def test_names_are_ruled_out_only_below_the_threshold():
+    rng = random.Random(5)
+    for _ in range(4000):
+        a = "".join(rng.choice("абв г") for _ in range(rng.randint(1, 14)))
+        b = "".join(rng.choice("абв г") for _ in range(rng.randint(1, 14))) if rng.random() < 0.5 else a[rng.randint(0, 3) :] + rng.choice(("", "а", " г"))
+        assert can_match(a, b, 90.0) or match_score(a, b) < 90
+
+
+def test_few_of_many_names_are_compared(spark):
+    rng = random.Random(11)
+    parts = ["".join(rng.choice("абвгдежзиклмнопрстуфхцчшэюя") for _ in range(rng.randint(4, 9))) for _ in range(900)]
+    names = list(dict.fromkeys(" ".join(rng.choice(parts) for _ in range(3)) for _ in range(500)))
+    names += [n[:-1] + "ъ" for n in names[:60]] + [" ".join(reversed(n.split())) for n in names[60:120]] + [n + " новый" for n in names[120:160]]
+    names = list(dict.fromkeys(names))
+    df = table(spark, [{"name": n} for n in names]).withColumn("canonical_name", F.col("name"))
+    got = {r["canonical_name"]: r["group_key"] for r in cluster.match_names(df).collect()}
+    assert got == in_sequence(names)
+    met = cluster.match_candidates(df.select(F.col("ordinal").alias("id"), F.col("name").alias("text"))).count()
+    assert met < len(names) * (len(names) - 1) / 2 * 0.1, met
+
+
+def test_a_row_of_names_that_depend_on_each_other(spark):
+    """0 - 1 - 2 - ...: every second one leads."""
+    pairs = spark.createDataFrame([(i, i + 1, 95.0) for i in range(9)] + [(0, 20, 91.0), (1, 20, 99.0)], "i long, j long, score double")
+    assert sorted(r["id"] for r in cluster.lead(pairs).collect()) == [1, 3, 5, 7, 9, 20]
+
+
+
 def test_pairs_by_sorted_word_ratio_match_brute_force(spark):
     rng = random.Random(4)
     names = sorted({"".join(rng.choice("abcd  ") for _ in range(rng.randint(3, 14))).strip() for _ in range(80)} | {"steel bolt", "steell bolts", "bolt steel"})
