@@ -14,6 +14,7 @@ from procura.operators.components import connected_components
 from procura.operators.explain import explain
 from procura.plans import oracle, results
 from procura.plans.analysis import analyse
+from procura.sources.documents import items_of_documents
 from procura.sources.report import report_rows
 from procura.sources.tables import items_view
 from procura.streaming import events as streams
@@ -292,6 +293,40 @@ def resolved_contractors(spark, d):
     return resolve.resolve_contractors(table.withColumn("contractor", spelled))[0]
 
 
+def registered_contractors(spark, d):
+    """Two batches of contractors, spelled differently: the second finds the entities of the first."""
+    table, q = items_view(spark, d), F.col("quantity")
+    spelled = table.withColumn("contractor", F.when(q > 25, F.concat(F.lit("ООО «"), "contractor", F.lit("»"))).otherwise(F.upper("contractor")))
+    first = resolve.register(None, spelled.where(q > 25))
+    return resolve.register(first, spelled.where(q <= 25)).entities
+
+
+def _documents(spark, d) -> DataFrame:
+    """Orders as documents: even ones carry items, odd ones a text with a table; contractor and date may stand in the document only."""
+    lines = items_view(spark, d)
+    even = F.substring("source_file", 7, 20).cast("long") % 2 == 0
+    cells = [F.floor(c).cast("string") for c in ("quantity", "unit_price", "total_price")]
+    empty = {c: F.lit(None).cast("string") for c in ("unit", "price", "amount", "inn", "date", "source_file")}
+    values = {"name": F.col("name"), "quantity": cells[0], "unit_price": cells[1], "total_price": cells[2], "contractor": F.when(F.col("quantity") % 2 == 1, F.col("contractor")), "department": F.col("department")}
+    names = ("name", "quantity", "unit", "unit_price", "total_price", "price", "amount", "inn", "contractor", "date", "source_file", "department")
+    item = F.struct(*[(values | empty)[n].alias(n) for n in names])
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c.alias("c")))), lambda x: x["c"])
+    docs = lines.groupBy("source_file", even.alias("even")).agg(  # a few lines an order
+        F.min_by("contractor", "ordinal").alias("contractor"), F.min("date").cast("string").alias("day"), F.min("ordinal").alias("position"),
+        listed(item).alias("items"), listed(F.concat_ws(" | ", "name", *cells)).alias("lines"),
+    )
+    head = F.lit("Наименование | Количество | Цена | Сумма")
+    return docs.select(
+        F.concat(F.lit(" "), "source_file").alias("filename"), F.lit("").alias("source_file"), F.lit(None).cast("string").alias("department"), "contractor", F.when(F.col("even"), F.col("day")).alias("date"),
+        F.when(~F.col("even"), F.concat_ws("\n", head, F.array_join("lines", "\n"))).alias("raw_text"), F.create_map(F.lit("date"), "day").alias("metadata"), F.when(F.col("even"), F.col("items")).alias("items"), "position",
+    )
+
+
+def document_items(spark, d):
+    out = items.normalise_items(items_of_documents(_documents(spark, d)))
+    return out.select("source_file", "name", "quantity", "unit_price", "total_price", "contractor", "department", "date")
+
+
 def _log(spark, d) -> DataFrame:
     part = _table(spark, d, "part")
     e = _table(spark, d, "events").join(part, F.col("p_partkey") == F.col("event_id") % 150 + 1)
@@ -360,7 +395,7 @@ QUERIES: tuple[Query, ...] = (
     results_filter, auto_cases, explained_groups, odd_flags, split_purchases, repeated_amounts, suspicious_intervals, interval_pairs, round_totals, pattern_summary, supplier_shares,
     supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
     shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
-    matched_groups, token_sort_scores, resolved_contractors, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
+    matched_groups, token_sort_scores, resolved_contractors, registered_contractors, document_items, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
     invalid_case_steps, context_scores, event_windows, event_sessions, report_table, full_analysis,
 )
 

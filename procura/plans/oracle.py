@@ -330,6 +330,10 @@ def oracles() -> dict[str, str]:
           SELECT contractor, CASE WHEN quantity > 25 THEN 'ООО «' || contractor || '»' ELSE upper(contractor) END AS raw, count(*) AS n FROM items GROUP BY ALL
         ), e AS (SELECT trim(replace(lower(contractor), '#', ' ')) AS normalised, arg_max(raw, len(raw)) AS canonical_name, count(*) AS alias_count, CAST(sum(n) AS BIGINT) AS mention_count FROM s GROUP BY contractor)
         SELECT canonical_name, normalised, CAST(NULL AS VARCHAR) AS inn, alias_count, mention_count, 'c:' || replace(left(normalised, 30), ' ', '_') || ':' || left(md5(normalised), 6) AS entity_id, 0.9 AS confidence FROM e"""
+    out["registered_contractors"] = out["resolved_contractors"]
+    out["document_items"] = f"""WITH {ITEMS}, o AS (SELECT *, CAST(substr(source_file, 7) AS BIGINT) % 2 = 0 AS even, first_value(contractor) OVER (PARTITION BY source_file ORDER BY ordinal) AS c, min(date) OVER (PARTITION BY source_file) AS d FROM items)
+        SELECT source_file, name, floor(quantity)::DOUBLE AS quantity, floor(unit_price) AS unit_price, floor(total_price) AS total_price, CASE WHEN even AND quantity % 2 = 1 THEN contractor ELSE c END AS contractor,
+          CASE WHEN even THEN department ELSE '{C.UNKNOWN_DEPARTMENT}' END AS department, strftime(d, '%Y-%m-%d') AS date FROM o"""
     near = "round(0.5::DOUBLE * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) + 0.5::DOUBLE * score / 100, 4)"
     out["name_clusters"] = f"""WITH RECURSIVE {ITEMS}, {RATIO}, e AS (SELECT x, y FROM ratios WHERE {near} >= {C.CLUSTER_THRESHOLD}), u AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
         f AS (SELECT name AS id, min(ordinal) AS o FROM items GROUP BY name), cc(id, comp) USING KEY (id) AS (

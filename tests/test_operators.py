@@ -170,6 +170,60 @@ def test_contractors_resolve(spark):
     assert resolve.resolve_contractors(with_inn)[0].count() == 2
 
 
+def groups_of(aliases, name="raw"):
+    out = {}
+    for r in aliases.collect():
+        out.setdefault(r["entity_id"], set()).add(r[name])
+    return out
+
+
+SPELLED = [
+    ("Зета", "31"), ("ООО Зета Сервис", None), ("ООО «Ромашка»", None), ("СтройИнвест Монтаж Север", None), ("Альфа", "77"), ("Бета Плюс", None), ("н/д", None), ("ООО Ромашка", None),
+    ("Север СтройИнвест Монтаж", None), ("Гамма Сервис", "77"), ("РОМАШКА ООО", "55"), ("Дельта", None), ("Бета-Плюс", None), ("Новая Дельта", "90"), ("Дельта", "90"), ("Эпсилон", "55"), ("Зета Сервис", "31"),
+]
+
+
+def mentions(spark, rows):
+    """Items of contractors with tax numbers, in order."""
+    return spark.createDataFrame([(n, "x", c, i) for n, (c, i) in enumerate(rows)], "ordinal long, name string, contractor string, inn string")
+
+
+@pytest.mark.parametrize("cuts", [(3, 9), (1, 13)])
+def test_a_registry_in_batches_is_that_of_one_run(spark, cuts):
+    rows = SPELLED
+    whole = mentions(spark, rows)
+    want = groups_of(resolve.resolve_contractors(whole)[1])
+    stored, before, merged = None, {}, {}
+    for a, b in zip((0, *cuts), (*cuts, len(rows)), strict=True):
+        stored = resolve.register(stored, mentions(spark, rows[a:b]))
+        merged |= {r["secondary_id"]: r["primary_id"] for r in stored.merges.collect()}
+        ids = {raw: i for i, raws in groups_of(stored.spellings).items() for raw in raws}
+        for raw, i in before.items():  # an id stays, unless its entity was taken in
+            assert ids[raw] == i or merged[i] == ids[raw]
+        before = ids
+    assert {frozenset(g) for g in groups_of(stored.spellings).values()} == {frozenset(g) for g in want.values()}
+    entities = stored.entities.collect()
+    assert len({r["entity_id"] for r in entities}) == len(entities) == len(want)
+    assert sum(r["mention_count"] for r in entities) == len(rows) - 1  # one is junk
+    assert merged and all(r["inn"] for r in entities if r["entity_id"].startswith("inn:"))
+    again = resolve.register(stored, whole.limit(0))
+    assert groups_of(again.spellings) == groups_of(stored.spellings) and again.merges.count() == 0
+
+
+def test_entities_merged_by_hand(spark):
+    stored = resolve.register(None, mentions(spark, [("Альфа", None), ("Бета Плюс", "5"), ("Гамма", None)]))
+    ids = {r["raw"]: r["entity_id"] for r in stored.spellings.collect()}
+    one = resolve.merge_entities(stored, ids["Альфа"], ids["Бета Плюс"])
+    assert groups_of(one.spellings) == {ids["Альфа"]: {"Альфа", "Бета Плюс"}, ids["Гамма"]: {"Гамма"}}
+    row = one.entities.where(F.col("entity_id") == ids["Альфа"]).first()
+    assert (row["canonical_name"], row["inn"], row["mention_count"], row["alias_count"]) == ("Бета Плюс", "5", 2, 2)
+    assert resolve.merge_entities(stored, ids["Альфа"], "nobody").merges.count() == 0
+    later = resolve.register(one, mentions(spark, [("ООО Бета Плюс", None)]))
+    assert groups_of(later.spellings)[ids["Альфа"]] == {"Альфа", "Бета Плюс", "ООО Бета Плюс"}
+    raw = {r["raw"]: r["canonical_name"] for r in resolve.known_aliases(later).collect()}
+    assert raw["Альфа"] == raw["ООО Бета Плюс"]
+
+
 def test_clusters_and_matching(spark):
     names = ["цемент м400", "цемент м400 мешок", "кирпич красный", "красный кирпич", "болт"]
     df = table(spark, [{"name": n, "unit_price": float(i + 1)} for i, n in enumerate(names)])
