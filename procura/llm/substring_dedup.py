@@ -45,8 +45,7 @@ from procura.workspace import materialise
 
 REACH = 24
 LONGEST = 4096
-WINDOW_BYTES = 96
-MIN_BYTES = 128
+WINDOW_BYTES = MIN_BYTES = 96
 #: Windows that a task looks at together, occurrences of a digest among them that still travel one by one, and keys that share the others.
 FLUSH, CROWD, SALTS = 400_000, 4, 16
 #: The gear table: 16 random bits for each byte.
@@ -245,16 +244,25 @@ def find_repeats(
     return holders.join(passages, "h").select("id", "start_byte", "n_bytes", "n_chunks", "first_id")
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A name that no column has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"
+
+
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every passage removed that an earlier document holds first.
 
-    All columns stay; a null id or null text passes unchanged.
+    All columns stay, whatever their names; a null id or null text passes unchanged.
     """
+    own_id, own_spans = _free("id", docs), _free("spans", docs)
     spans = (
         repeats.where("first_id < id")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("start_byte", "n_bytes"))).alias("__spans"))
-        .withColumnRenamed("id", "__id")
+        .agg(F.array_sort(F.collect_list(F.struct("start_byte", "n_bytes"))).alias(own_spans))
+        .withColumnRenamed("id", own_id)
     )
 
     def cut(raws: pd.Series, spans: pd.Series) -> pd.Series:
@@ -270,9 +278,9 @@ def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id",
             out.append(b"".join([*keep, raw[at:]]).decode())
         return pd.Series(out, dtype="object")
 
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    cleaned: Column = F.pandas_udf(cut, "string")(F.col(text_col).cast("binary"), F.col("__spans"))
-    return joined.withColumn(text_col, cleaned).drop("__id", "__spans")
+    joined = docs.join(spans, F.col(id_col) == F.col(own_id), "left")
+    cleaned: Column = F.pandas_udf(cut, "string")(F.col(text_col).cast("binary"), F.col(own_spans))
+    return joined.withColumn(text_col, cleaned).drop(own_id, own_spans)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

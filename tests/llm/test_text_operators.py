@@ -314,7 +314,7 @@ def test_a_chunk_held_earlier_does_not_name_the_passage(spark, words):
     repeats = substring_dedup.find_repeats(docs)
     for r in repeats.collect():
         assert texts[r["id"]][r["start_byte"] : r["start_byte"] + r["n_bytes"]] in texts[r["first_id"]]
-    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs, repeats).collect()}
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs.withColumn("__id", F.lit(1)).withColumn("__SPANS", F.lit("clash")), repeats).collect()}
     assert out[1] == rows[0][1] and out[2] == rows[1][1] and out[9] == ""
     assert say(0, 60) in out[5] and say(60, 90) in out[5] and say(205, 235) not in out[5]
 
