@@ -33,7 +33,7 @@ from procura.workspace import broadcast_object, materialise, shuffle_partitions
 
 UNKNOWN = "und"
 MIN_COUNT = 10
-TOP = 2000
+TOP, DEALT = 2000, 32
 #: Buckets: one for every so many bytes of text, a power of two within these bounds.
 BYTES_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 8, 1 << 16, 1 << 28
 #: Of a task: words with a number of their own, phrases not handed on yet, bytes of a stretch of text.
@@ -317,7 +317,11 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = MIN_COUNT
     longer = parts.groupBy("lang", _words(F.col("at"), F.col("m")).alias("phrase")).agg(F.max("a").alias("longer"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("cut.a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    shown = kept.select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
+    # The first of each of ``DEALT`` parts of a language, then the first of those: no task sorts all of a language's phrases.
+    dealt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALT))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    leading = shown.withColumn("rank", F.row_number().over(dealt)).where(F.col("rank") <= top)
+    ranked = leading.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
