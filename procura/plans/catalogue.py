@@ -18,6 +18,7 @@ from procura.sources.documents import items_of_documents
 from procura.sources.report import report_rows
 from procura.sources.tables import items_view
 from procura.streaming import events as streams
+from procura.streaming.purchases import running_prices as running_history
 
 NAME, BRAND = ["name"], ["name", "brand"]
 #: A word of a category for the last figure of a brand.
@@ -378,6 +379,13 @@ def event_sessions(spark, d):
     return streams.sessions(_table(spark, d, "events")).withColumn("sum_value", F.round("sum_value", 4))
 
 
+def running_prices(spark, d):
+    """Events as purchases of their users; a pause of more than a day begins a new history."""
+    purchases = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    out = running_history(purchases, forget_days=1)
+    return out.select("name", "seq", "n", F.round(F.col("mean") * F.col("n") * 100).cast("long").alias("total_cents"), "previous")
+
+
 def report_table(spark, d):
     return report_rows(explain(_scored(spark, d, NAME))).withColumn("explained", F.col("explanation") != "").drop("explanation")
 
@@ -396,7 +404,7 @@ QUERIES: tuple[Query, ...] = (
     supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
     shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
     matched_groups, token_sort_scores, resolved_contractors, registered_contractors, document_items, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
-    invalid_case_steps, context_scores, event_windows, event_sessions, report_table, full_analysis,
+    invalid_case_steps, context_scores, event_windows, event_sessions, running_prices, report_table, full_analysis,
 )
 
 

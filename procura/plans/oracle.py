@@ -330,6 +330,10 @@ def oracles() -> dict[str, str]:
           SELECT contractor, CASE WHEN quantity > 25 THEN 'ООО «' || contractor || '»' ELSE upper(contractor) END AS raw, count(*) AS n FROM items GROUP BY ALL
         ), e AS (SELECT trim(replace(lower(contractor), '#', ' ')) AS normalised, arg_max(raw, len(raw)) AS canonical_name, count(*) AS alias_count, CAST(sum(n) AS BIGINT) AS mention_count FROM s GROUP BY contractor)
         SELECT canonical_name, normalised, CAST(NULL AS VARCHAR) AS inn, alias_count, mention_count, 'c:' || replace(left(normalised, 30), ' ', '_') || ':' || left(md5(normalised), 6) AS entity_id, 0.9 AS confidence FROM e"""
+    out["running_prices"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS name, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, value AS price FROM events WHERE value > 0 AND user_id IS NOT NULL AND ts IS NOT NULL),
+        b AS (SELECT *, lag(ts) OVER w AS bt, lag(price) OVER w AS bp FROM e WINDOW w AS (PARTITION BY name ORDER BY ts, seq)),
+        s AS (SELECT *, sum(CASE WHEN ts - bt > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER w AS span, CASE WHEN ts - bt <= INTERVAL 1 DAY THEN bp END AS previous FROM b WINDOW w AS (PARTITION BY name ORDER BY ts, seq))
+        SELECT name, seq, count(*) OVER o AS n, CAST(round(sum(price) OVER o * 100) AS BIGINT) AS total_cents, previous FROM s WINDOW o AS (PARTITION BY name, span ORDER BY ts, seq)"""
     out["registered_contractors"] = out["resolved_contractors"]
     out["document_items"] = f"""WITH {ITEMS}, o AS (SELECT *, CAST(substr(source_file, 7) AS BIGINT) % 2 = 0 AS even, first_value(contractor) OVER (PARTITION BY source_file ORDER BY ordinal) AS c, min(date) OVER (PARTITION BY source_file) AS d FROM items)
         SELECT source_file, name, floor(quantity)::DOUBLE AS quantity, floor(unit_price) AS unit_price, floor(total_price) AS total_price, CASE WHEN even AND quantity % 2 = 1 THEN contractor ELSE c END AS contractor,
