@@ -36,8 +36,8 @@ MIN_COUNT = 10
 TOP, DEALT = 2000, 32
 #: Buckets: one for every so many bytes of text, a power of two within these bounds.
 BYTES_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 8, 1 << 16, 1 << 28
-#: Of a task: words with a number of their own, phrases not handed on yet, bytes of a stretch of text.
-VOCABULARY, HELD, STRETCH = 1 << 19, 1 << 21, 1 << 20
+#: Of a task: words with a number of their own, phrases not handed on yet, over all languages; bytes of a stretch of text.
+VOCABULARY, HELD, STRETCH = 1 << 19, 3 << 19, 1 << 20
 #: Words counted at a time. With them, a task's words have numbers below ``BASE``; three of those fit in a long.
 WINDOW, BASE = 1 << 18, 1 << 20
 #: Bits of a bucket's number within its block.
@@ -188,6 +188,10 @@ class _Counts:
             if self.held >= HELD or len(self.words) >= VOCABULARY:
                 yield from self.partial()
 
+    def size_of(self) -> float:
+        """What it holds, as a share of what a task may."""
+        return max(self.held / HELD, len(self.words) / VOCABULARY)
+
     def _count(self, numbers: np.ndarray) -> None:
         """Phrases that begin at the first ``WINDOW`` words; those behind complete them."""
         size = self.size
@@ -260,9 +264,9 @@ def _pass(docs: DataFrame, size: int, bits: int, ahead: bool, frequent: np.ndarr
                     counts = of[lang] = _Counts(lang, size, bits, ahead, bits_frequent, bits_shorter)
                 for raw in stretches(text.as_buffer().to_pybytes()):
                     yield from counts.add(raw)
-            # Few languages are open at a time, whatever their number.
-            while len(of) > 64:
-                yield from of.pop(next(iter(of))).partial()
+                # All languages together hold what one may; each costs a little besides.
+                while sum(c.size_of() for c in of.values()) + len(of) / 64 > 1:
+                    yield from of.pop(max(of, key=lambda x: of[x].size_of())).partial()
         for counts in of.values():
             yield from counts.partial()
 
