@@ -7,8 +7,10 @@ phase moves those probabilities through the null space of two balancing
 constraints, words and documents, block by block, until at most two units of a
 block are undecided. These leftovers and a dozen units that wait meet again in
 later rounds. When a source has come down to one block, the landing phase
-decides the last units, fourteen at most, by the subset nearest to both totals;
-all other units keep their inclusion probabilities exactly.
+decides the last units, fourteen at most, by the subset nearest to both totals. Where
+that still misses the source's target by more than ``NEAR`` of it, taken units of that last block are exchanged
+for others of it, in pairs, until it is near or no exchange helps: there inclusion
+probabilities hold only nearly. All other units keep theirs exactly.
 
 Defined results: a null text or one without words has size 0 and is taken with
 0 words; a null source is a source of its own and sorts last; sources without a
