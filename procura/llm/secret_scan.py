@@ -1,6 +1,7 @@
 """Secrets in text: patterns propose candidates, a random forest drops the harmless ones.
 
-Candidates are values assigned to a telling name, long tokens with a digit, and
+Candidates are values assigned to a telling name, long tokens with a digit,
+signed web tokens in their three parts, passwords in the user part of a URL, and
 private key headers. Features of a candidate and its neighbours are column
 expressions; the forest becomes one nested CASE expression for each tree. So
 scanning is a projection and a filter: no shuffle and no Python on the
@@ -10,10 +11,12 @@ What a word looks like comes from the vocabulary file of a public tokenizer, a
 parameter that the driver reads: its ``DICTIONARY_WORDS`` most frequent words
 are the dictionary, and all its words give the chances of one letter after
 another. A candidate's runs of letters count as covered if they are a word of
-the dictionary or two in a row.
+the dictionary or two in a row. Without that file there is no dictionary: a
+FileNotFoundError says which parameter names it.
 
 The forest is fitted on the driver from ``N_FINDINGS`` labelled findings that
-``labelled_findings`` writes by rule; their features come from the same column
+``labelled_findings`` writes by rule, behind names as well as bare in prose,
+headers and URLs; their features come from the same column
 expressions as those of the texts. ``fit`` takes other labelled findings.
 
 Defined results: a null or empty text has no findings; repeated rows give
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from dataclasses import dataclass
 from functools import cache
 
@@ -34,30 +38,36 @@ from pyspark.sql import functions as F
 
 NAMED = (
     r"(?<![A-Za-z])(?i:(?:(?:api|access|secret|private|auth|client|session|bearer|refresh|signing|encryption)[_-]?)?"
-    r"(?:key|token|secret|password|passwd|pwd|credential))[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?"
+    r"(?:key|token|secret|password|passphrase|passcode|passwd|pwd|credential)s?)[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?"
 )
 VALUE = r"[^\s\"'<>,;]{8,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])"
+    r"|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2})"
+)
 HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-CANDIDATE = f"({NAMED})({VALUE})|({TOKEN}|{HEADER})"
+USER, PASSWORD = r"://[^\s/:@\"'<>]{0,64}:", r"[^\s/@\"']{3,200}(?=@[A-Za-z0-9])"
+CANDIDATE = f"({NAMED})({VALUE})|({USER})({PASSWORD})|({TOKEN}|{HEADER})"
 MARK = "\x01"
 
 BEFORE, AFTER = 60, 40
 #: Lines of a token in base64 and its rank. Words below are tokens of lower-case letters that begin with a space.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DICTIONARY_WORDS, LEAST_LETTERS, MOST_LETTERS = 3000, 3, 32
-NAMES = "token|secret|key|passw|pwd|auth|bearer|credential"
+NAMES = "token|secret|key|passw|passp|passc|pwd|auth|bearer|credential"
 HARMLESS = (
     "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|rev|build|ref|id|isbn|example|sample|dummy|"
     "placeholder|fingerprint|integrity|version|src|href"
 )
-PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|-----BEGIN"
+PREFIX = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|npm_|hf_|pypi-|-----BEGIN"
 
 
 @cache
 def vocabulary(path: str = VOCABULARY) -> tuple[tuple[str, ...], tuple[float, ...]]:
     """The dictionary, and for each pair of letters how much likelier the second is after the first than by chance, as a logarithm."""
     words = []
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: the parameter `path` names a file of a public tokenizer, each line a token in base64 and its rank")
     with open(path, "rb") as lines:
         for token, rank in map(bytes.split, lines):
             text = base64.b64decode(token).decode("utf-8", "replace")
@@ -130,12 +140,15 @@ def features(value: Column, before: Column, after: Column, path: str = VOCABULAR
         "repeats": F.regexp_count(value, F.lit("(.)\\1\\1")) / n,
         "sequence": flag(low, "0123|1234|abcd|xxxx|\\*\\*\\*|\\$\\{|<"),
         "prefix": flag(value, f"^({PREFIX})"),
+        "signed": flag(value, "^eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\."),
+        "login": flag(left, "://[^\\s/:@]*:$") * flag(right, "^@"),
+        "sent": flag(left, "(bearer|basic|authorization:?( token)?|x-[a-z-]*(key|token):)\\s*[\"']?$"),
     }
 
 
 # --- labelled findings ----------------------------------------------------
 
-N_FINDINGS = 3000
+N_FINDINGS = 5000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX, BASE64 = "0123456789abcdef", LETTERS + LETTERS.upper() + "0123456789+/"
 
@@ -148,6 +161,9 @@ def labelled_findings(seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULAR
     def pick(options):
         return options[int(rng.integers(len(options)))]
 
+    def chance(p: float) -> bool:
+        return bool(rng.random() < p)
+
     def chars(alphabet: str, count: int) -> str:
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), count))
 
@@ -159,15 +175,48 @@ def labelled_findings(seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULAR
     def prose() -> str:
         return " ".join(word() for _ in range(int(rng.integers(2, 8))))
 
+    def issued() -> str:
+        """A key in a format that tells who issued it."""
+        many = lambda low, high: chars(BASE64[:62], int(rng.integers(low, high)))
+        return pick((
+            lambda: pick(("ghp_", "gho_", "ghs_", "npm_", "hf_")) + many(30, 40),
+            lambda: "github_pat_" + many(20, 24) + "_" + many(40, 60),
+            lambda: "glpat-" + many(18, 26),
+            lambda: pick(("sk_live_", "rk_live_")) + many(20, 50),
+            lambda: pick(("sk-", "sk-", "sk-proj-")) + many(32, 52),
+            lambda: pick(("xoxb-", "xoxp-", "xoxa-")) + chars(BASE64[52:62], 11) + "-" + chars(BASE64[52:62], 12) + "-" + many(22, 26),
+            lambda: "xoxb-" + many(22, 40),
+            lambda: pick(("AKIA", "ASIA")) + chars(LETTERS.upper() + "234567", 16),
+            lambda: "AIza" + chars(BASE64[:62] + "_-", 35),
+            lambda: "eyJ" + base64.urlsafe_b64encode(chars(HEX, 60).encode()).decode().rstrip("="),
+            lambda: ".".join(("eyJ" + many(15, 40), "eyJ" + many(20, 120), chars(BASE64[:62] + "_-", 43))),
+        ))()
+
+    def bare_secret() -> tuple[str, str, str]:
+        """A secret without an assigned name: in prose, a header, a command or a URL."""
+        kind = int(rng.integers(0, 10))
+        if kind < 5:
+            end = pick((" ", " ", "\n", "", " the key was ", " we pushed ", " use ", ": ", " (", " `", ' "', " key ", " token "))
+            before, value, after = prose() * (end != "\n") + end, issued(), pick((" ", "\n", ". ", ", ", ") ", "` ", '" ', "")) + prose()
+            return before[-BEFORE:] if chance(0.9) else "", value, after[:AFTER] if chance(0.9) else ""
+        if kind < 7:
+            before = f"{prose()} {pick(('Authorization: Bearer ', 'authorization: token ', 'Authorization: Basic ', 'X-Api-Key: ', 'x-auth-token: ', 'Bearer '))}"
+            value = pick((issued, lambda: chars(BASE64[:62], int(rng.integers(24, 60))), lambda: chars(BASE64, int(rng.integers(24, 50))) + pick(("", "=", "=="))))()
+            return before[-BEFORE:], value, pick(("", "'", '"', "\n")) + " " + prose()[: AFTER - 2]
+        user = f"{pick(('postgres', 'mysql', 'https', 'amqp', 'redis', 'mongodb+srv', 'ftp', 'http'))}://{pick(('', word(), 'admin', 'root', 'user'))}:"
+        value = pick((lambda: chars(BASE64[:62] + "!#%^&*-_", int(rng.integers(7, 24))), lambda: word() + chars("0123456789!#$", int(rng.integers(2, 5))), issued))()
+        return f"{prose()} {user}"[-BEFORE:], value, f"@{pick(('db', 'localhost', word(), '10.0.0.5'))}{pick((':5432', '/', '.internal', ''))}{word()} {prose()}"[:AFTER]
+
     def secret() -> tuple[str, str, str]:
+        if chance(0.5):
+            return bare_secret()
         name = pick(("token", "api_key", "API_KEY", "secret", "password", "access_token", "auth_token", "client_secret", "apikey", "private_key"))
         value = pick((
             lambda: chars(HEX, int(pick((32, 40, 40, 48, 64)))),
             lambda: chars(BASE64[:62], int(rng.integers(20, 60))),
             lambda: chars(BASE64, int(rng.integers(24, 70))) + pick(("", "=", "==")),
-            lambda: pick(("ghp_", "gho_", "glpat-", "sk_live_", "xoxb-")) + chars(BASE64[:62], int(rng.integers(24, 40))),
-            lambda: pick(("AKIA", "ASIA")) + chars(LETTERS[:26].upper() + "234567", 16),
-            lambda: "eyJ" + base64.urlsafe_b64encode(chars(HEX, 60).encode()).decode().rstrip("="),
+            issued,
+            issued,
             lambda: chars(BASE64[:62] + "!@#%^&*", int(rng.integers(10, 24))) + pick("0123456789"),
         ))()
         quote = pick(('"', '"', "'", ""))
@@ -176,7 +225,7 @@ def labelled_findings(seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULAR
 
     def harmless() -> tuple[str, str, str]:
         quote = pick(('"', "'", "", ""))
-        kind = int(rng.integers(0, 9))
+        kind = int(rng.integers(0, 14))
         if kind == 0:
             before, value = f"{prose()} {pick(('commit', 'commit:', 'rev', 'sha1:', 'sha256:', 'md5 =', 'checksum:', 'etag: ', 'digest='))} ", chars(HEX, int(pick((32, 40, 64))))
         elif kind == 1:
@@ -194,6 +243,27 @@ def labelled_findings(seed: int = 11, n: int = N_FINDINGS, path: str = VOCABULAR
             before, value = f"{prose()} {pick(('nr. ', 'isbn ', 'order ', 'card ', ''))}", chars("0123456789", int(rng.integers(20, 30)))
         elif kind == 7:
             before, value = f"{prose()} {pick(('key', 'password', 'token', 'secret'))}{pick((': ', ' = '))}{quote}", word() + word() + word() + "s"
+        elif kind == 8:  # begins like an issued key, but consists of words
+            link = pick("-_")
+            before = prose() + pick((" ", "\n", " `", " in ", " run "))
+            value = pick(("sk-", "npm_", "hf_", "pypi-", "xoxb-", "glpat-", "ghp_", "sk_live_")) + link.join(word() for _ in range(int(rng.integers(3, 7)))) + pick(("", link)) + str(rng.integers(1, 3000))
+            if chance(0.25):
+                value = pick(("ASIA", "AKIA")) + ("".join(word() for _ in range(5)).upper())[:20] + str(rng.integers(1, 99))
+            elif chance(0.25):
+                value = pick(("ghp_", "sk_live_", "glpat-", "AKIA", "xoxb-")) + pick("xX*0") * int(rng.integers(16, 36))
+        elif kind == 9:  # a digest or a number without a name
+            before = prose() + pick((" ", "\n", " at ", " see ", " (", " `", " from "))
+            value = pick((lambda: chars(HEX, int(pick((32, 40, 64)))), lambda: "-".join(chars(HEX, k) for k in (8, 4, 4, 4, 12)), lambda: chars("0123456789", 22)))()
+        elif kind == 10:  # a place-holder for a password in a URL
+            before = f"{prose()} {pick(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{pick(('user', 'username', word(), ''))}:"
+            value = pick(("password", "pass", "passwd", "secret", "changeme", "xxxx", "xxxxxxxx", "****", "<password>", "${DB_PASSWORD}", "$PASSWORD", "{password}", "your_password", "PASSWORD", "pwd", "%s"))
+            return before[-BEFORE:], value, f"@{pick(('host', 'localhost', word()))}/{word()} {prose()}"[:AFTER]
+        elif kind == 11:  # a place-holder in a header
+            before = f"{prose()} {pick(('Authorization: Bearer ', 'authorization: token ', 'X-Api-Key: '))}"
+            value = pick(("your_access_token_goes_here_1", "YOUR-API-TOKEN-FROM-STEP-2", "xxxxxxxxxxxxxxxxxxxx1234", "access_token_from_response_1", "0123456789abcdef01234567", "EXAMPLE_TOKEN_0123456789"))
+        elif kind == 12:  # a path or file name
+            before = prose() + pick((" ", " in ", " /", "\n", " from "))
+            value = pick("/_-").join(word() for _ in range(int(rng.integers(4, 8)))) + pick(("_", "-", "/", "")) + str(rng.integers(1, 3000))
         else:
             before, value = f"{prose()} {pick(('integrity=', 'fingerprint: ', 'hash: ', 'version='))}{quote}", chars(BASE64, int(rng.integers(28, 60)))
         return before[-BEFORE:], value, f"{quote} {prose()}"[:AFTER]
@@ -289,7 +359,7 @@ def trained_forest(spark: SparkSession, seed: int = 11, n: int = N_FINDINGS, pat
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, value, before, after): every candidate and its neighbours; start counts code points."""
     text = F.col(text_col)
-    marked = F.regexp_replace(F.translate(text, MARK, " "), F.lit(CANDIDATE), F.lit(f"$1{MARK}$2$3{MARK}"))
+    marked = F.regexp_replace(F.translate(text, MARK, " "), F.lit(CANDIDATE), F.lit(f"$1$3{MARK}$2$4$5{MARK}"))
     found = docs.where(F.rlike(text, F.lit(CANDIDATE))).select(F.col(id_col).alias("id"), F.split(marked, MARK, -1).alias("p"))
 
     # Places of all pieces; then neighbours from as many pieces as can fill them, candidates of eight characters or more among them.
@@ -318,7 +388,7 @@ def scan_secrets(
     columns = features(F.col("value"), F.col("before"), F.col("after"), path)
     scored = found.select("id", "start", "value", *[c.alias(f"f_{name}") for name, c in columns.items()])
     header = F.col("value").startswith("-----BEGIN")
-    kind = F.when(header, "private_key").when(F.col("f_named") > 0, "assigned").otherwise("token")
+    kind = F.when(header, "private_key").when(F.col("f_named") > 0, "assigned").when(F.col("f_login") > 0, "login").otherwise("token")
     score = F.when(header, 1.0).otherwise(F.expr(forest.sql("f_")))
     return scored.select("id", "start", F.char_length("value").cast("long").alias("length"), kind.alias("kind"), "value", score.alias("score")).where(
         F.col("score") >= threshold
