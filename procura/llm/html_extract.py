@@ -2,7 +2,7 @@
 
 A page becomes its sequence of leaf blocks. Each block is a vector: hashed tag
 path with class and id words, hashed words of its text, and a few numbers such
-as length and share of links. A bidirectional LSTM in numpy reads the sequence
+as length, share of links and how much of the path the blocks beside it have in common. A bidirectional LSTM in numpy reads the sequence
 both ways, so that every block is judged in the context of the whole page.
 
 The network is trained on the driver from ``N_PAGES`` pages that a seeded
@@ -136,9 +136,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 # --- vectors --------------------------------------------------------------
 
-PATH_DIM, WORD_DIM, NUMBERS = 160, 24, 8
+PATH_DIM, WORD_DIM, NUMBERS = 160, 24, 10
 DIM = PATH_DIM + WORD_DIM + NUMBERS
-SPLIT = re.compile(r"[^a-z0-9]+")
+SPLIT, VOWEL = re.compile(r"[^a-z0-9]+"), re.compile("[a-z][aeiou]|[aeiou][a-z]")
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
@@ -146,7 +146,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     for depth, label in enumerate(path):
         last = depth == len(path) - 1
         name, _, rest = label.partition(" ")
-        words = [f"<{name}>"] + [f".{w}" for w in SPLIT.split(rest) if len(w) > 1 and w.isalpha()]  # made-up names have digits
+        words = [f"<{name}>"] + [f".{w}" for w in SPLIT.split(rest) if VOWEL.search(w) and w.isalpha()]  # made-up names have digits, or no vowel
         for word in words + ([f"leaf <{name}>"] if last else []):
             code = zlib.crc32(word.encode())
             for k in range(2):
@@ -154,6 +154,18 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
+def _shared(path: tuple[str, ...], other: tuple[str, ...]) -> float:
+    """The share of a path that another has in common, from the top."""
+    if path == other:
+        return 1.0
+    depth = 0
+    for a, b in zip(path, other):  # noqa: B905
+        if a != b:
+            break
+        depth += 1
+    return depth / max(len(path), len(other))
+
+
 def _word_index(word: str) -> int:
     return zlib.crc32(word.lower().strip(".,;:!?()[]\"'").encode()) % WORD_DIM
 
@@ -184,6 +196,7 @@ def vectors(found: list[tuple[tuple[str, ...], str, int]], paths: dict, words: d
         row[PATH_DIM + WORD_DIM :] = (
             np.log1p(len(text)) / 8, np.log1p(n) / 6, linked / len(text), ends / n, float(text[-1] in ".!?"), i / len(found),
             (len(found) - i) / len(found), np.log1p(len(found)) / 8,
+            _shared(path, found[i - 1][0]) if i else 0.0, _shared(path, found[i + 1][0]) if i + 1 < len(found) else 0.0,
         )
     return out
 
@@ -300,7 +313,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages -------------------------------------------------------
 
-N_PAGES = 1500
+N_PAGES = 2200
 #: Class and id words that pages use for what isn't main text, by kind.
 FRAME_WORDS = {
     "menu": "menu nav navbar navigation breadcrumb topbar tabs toolbar site-nav links",
@@ -318,7 +331,10 @@ BODY_WORDS = (
     "main-column single detail post-body the-content"
 )
 #: Words that say nothing about what is inside.
-NEUTRAL_WORDS = "wrap wrapper container row col col-8 inner outer box block panel grid page site layout left center right clearfix section"
+NEUTRAL_WORDS = (
+    "wrap wrapper container row col col-8 inner outer box block panel grid page site layout left center right clearfix section "
+    "app root view shell frame"
+)
 
 
 def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
@@ -332,6 +348,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
     def chance(p: float) -> bool:
         return bool(rng.random() < p)
 
+    brief, verse, root = chance(0.25), chance(0.12), chance(0.2)
+
     def text(low: int, high: int, stop: float = 0.9) -> str:
         n = int(rng.integers(low, high + 1))
         said = ["".join(pick(syllables) for _ in range(int(rng.integers(1, 5)))) for _ in range(n)]
@@ -355,6 +373,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
             return f'<{tag} role="{FRAME_ROLES[kind]}">', f"</{tag}>"
         if tag in ("div", "section", "ul", "p") or always or chance(0.5):
             return f'<{tag} {pick(("class", "class", "id"))}="{word}{pick(("", "", "-1", " box"))}">', f"</{tag}>"
+        if chance(0.4):
+            return f'<{tag} class="{neutral()}">', f"</{tag}>"
         return f"<{tag}>", f"</{tag}>"
 
     def link_list(n: int) -> str:
@@ -367,7 +387,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
     def neutral() -> str:
         """A class that is a common word or what a build tool made up."""
         made_up = "css-" + "".join(pick("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(6))
-        return pick((pick(NEUTRAL_WORDS.split()), pick(NEUTRAL_WORDS.split()), made_up))
+        letters = "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 8))))
+        return pick((pick(NEUTRAL_WORDS.split()), pick(NEUTRAL_WORDS.split()), made_up, pick(("", "", "sc-", "styles_", "x-")) + letters))
 
     def wrapped(inner: str, p: float) -> str:
         while chance(p):
@@ -383,6 +404,13 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
             return a + pick((link_list, link_lines))(int(rng.integers(3, 9))) + b
         return a + (link_list(int(rng.integers(2, 9))) if chance(0.8) else "".join(f'<a href="#">{mark(text(1, 2, 0), 0)}</a><br>' for _ in range(4))) + b
 
+    def banner() -> str:
+        """The name of the site, in a header or in a block that says so."""
+        tag = pick(("header", "header", "div"))
+        name = pick(("", "", f' class="{neutral()}"')) if tag == "header" else f' {pick(("id", "class"))}="{pick(("header", "head", "masthead", "logo", "site-title"))}"'
+        shown = mark(text(1, 4, 0), 0)
+        return f"<{tag}{name}>{pick((shown, f'<a href=/>{shown}</a>', f'<p>{shown}</p>', f'<h2><a href=/>{shown}</a></h2>'))}</{tag}>"
+
     def heading(low: int, high: int, p: float) -> str:
         tag = pick(("h2", "h3", "h3", "h4", "h5", "strong"))
         return f"<{tag}>{mark(text(low, high, 0), 0)}</{tag}>" if chance(p) else ""
@@ -421,7 +449,10 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
         return a + mark(text(1, 6, 0.2), 0) + b
 
     def paragraph() -> str:
-        long = chance(0.75)
+        if verse and chance(0.85):
+            lines = [mark(text(1, 7, 0.15), 1) for _ in range(int(rng.integers(2, 9)))]
+            return pick(("<p>{}</p>", "<p>{}<br></p>", "{}<br><br>", "<div>{}</div>")).format(pick(("<br>", "<br>", "<br/>\n")).join(lines))
+        long = chance(0.15 if brief else 0.75)
         said = mark(text(12, 140) if long else text(1, 10), 1)
         form_ = int(rng.integers(0, 19))
         if form_ == 0:
@@ -453,7 +484,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
         return f"<p>{said}</p>"
 
     def body() -> str:
-        way = int(rng.integers(0, 15))
+        way = int(rng.integers(0, 19))
         word = pick(BODY_WORDS.split())
         a, b = [
             ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
@@ -461,18 +492,22 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
             (f'<article class="{word}">', "</article>"), (f'<div class="{neutral()}"><div class="{word}">', "</div></div>"), ("", ""),
             ('<div role="main">', "</div>"), (f'<{pick(("main", "section", "div"))} role="main" class="{neutral()}">', "</div>"),
             (f'<div class="{neutral()}">', "</div>"), (f'<div class="{neutral()}">', "</div>"), (f'<div class="{word} {neutral()}">', "</div>"),
+            (f'<div class="{neutral()}"><div class="{neutral()}">', "</div></div>"), (f'<section class="{neutral()}">', "</section>"),
+            (f'<div id="{neutral()}">', "</div>"), ("<div>", "</div>"),
         ][way]
         title = mark(text(2, 12, 0.3), 1)
         head = pick((f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>" if a.endswith("article>") else f"<h1>{title}</h1>"))
-        inner = [paragraph() for _ in range(int(rng.integers(0, 14)))]
+        inner = [paragraph() for _ in range(int(rng.integers(2, 7) if brief or verse else rng.integers(0, 14)))]
         for extra, p in ((ad, 0.3), (share, 0.2), (side, 0.12), (form, 0.1), (talk, 0.08)):
             if a and chance(p):
                 inner.insert(int(rng.integers(0, len(inner) + 1)), extra())
+        if inner and chance(0.3):
+            inner.append(f"<p>{mark(text(1, 6), 1)}</p>")
         return a + head * (chance(0.95) or not inner) + "".join(inner) + b
 
-    before = [f() for f, p in ((notice, 0.25), (menu, 0.85), (form, 0.2), (ad, 0.5), (side, 0.2), (menu, 0.15)) if chance(p)]
+    before = [f() for f, p in ((notice, 0.25), (banner, 0.25), (menu, 0.85), (form, 0.2), (ad, 0.5), (side, 0.2), (menu, 0.15)) if chance(p)]
     after = [f() for f, p in ((share, 0.2), (talk, 0.35), (side, 0.35), (ad, 0.25), (foot, 0.85), (notice, 0.1)) if chance(p)]
-    top = "<header>" + before.pop(0) + "</header>" if before and chance(0.25) else ""
+    top = f"<header{pick(('', f' class={chr(34)}{neutral()}{chr(34)}'))}>" + before.pop(0) + "</header>" if before and chance(0.3) else ""
     page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a='<p>';</script></head><body>"
     if chance(0.12):  # a table as the frame of the page
         links = pick((link_list, link_lines))(int(rng.integers(3, 9)))
@@ -484,7 +519,9 @@ def training_page(rng: np.random.Generator) -> tuple[str, dict[str, int]]:
         inner = top + "<table" + pick(("", ' width="100%"')) + "><tr>" + "</td>".join(cells) + "</td></tr></table>" + "".join(after)
     else:
         inner = top + wrapped("".join(before), 0.2) + "<!-- x -->" + wrapped(body(), 0.4) + wrapped("".join(after), 0.15)
-    page += wrapped(inner, 0.25) + pick(("</body></html>", ""))
+    if root:
+        inner = f'<div {pick(("id", "class"))}="{neutral()}">{inner}</div>'
+    page += wrapped(inner, 0.2) + pick(("</body></html>", ""))
     return page, labels
 
 
@@ -492,7 +529,7 @@ _trained: dict[tuple[int, int], BlockLabeller] = {}
 
 
 def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 28) -> BlockLabeller:
-    """Fit by Adam until 99.9 % of the blocks are right or the epochs are used up."""
+    """Fit by Adam until 99.9 % of the blocks are right or the epochs are used up; the weights are a running mean over the last steps."""
     if (seed, n_pages) in _trained:
         return _trained[seed, n_pages]
     rng = np.random.default_rng(seed)
@@ -506,6 +543,7 @@ def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 28
             data.append((vectors(found, paths, words), np.array([labels.get(text, 0) for _, text, _ in found], np.float32)))
     net = BlockLabeller(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    mean = BlockLabeller(seed)
     data.sort(key=lambda d: len(d[1]))
     batches = [data[i : i + 32] for i in range(0, len(data), 32)]
     step = 0
@@ -525,12 +563,13 @@ def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 28
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                mean.p[name] += np.float32(max(0.01, 1 / step)) * (net.p[name] - mean.p[name])
         if epoch % 4 == 3:
-            right = sum(int((a == (d[1] > 0)).sum()) for a, d in zip(net.label([d[0] for d in data]), data, strict=True))
+            right = sum(int((a == (d[1] > 0)).sum()) for a, d in zip(mean.label([d[0] for d in data]), data, strict=True))
             if right >= 0.999 * sum(len(d[1]) for d in data):
                 break
-    _trained[seed, n_pages] = net
-    return net
+    _trained[seed, n_pages] = mean
+    return mean
 
 
 # --- extraction -----------------------------------------------------------

@@ -46,3 +46,29 @@ def test_the_article_and_nothing_else(name):
 def test_unclosed_paragraphs_and_a_list():
     want = f"New bridge to open in spring {P1} {P2} One lane stays open Buses can pass Trees along the bank {P3}"
     assert html_extract.extract([LISTED], html_extract.trained_labeller(), {}, {}) == [want]
+
+
+SITE = f'<div class="sc-abc"><header class="sc-1"><a href="/">Home</a><a href="/n">News</a></header><div class="sc-2">{BODY}</div><footer class="sc-3">{FOOT}</footer></div>'
+MORE = {
+    "made-up classes": (SITE, WANT),
+    "an app's root": (f'<div id="app"><nav><a href="/">Home</a> <a href="/n">News</a></nav><div class="view">{BODY}</div></div>', WANT),
+    "header of text": (f'<header>My site</header><div class="abcd">{BODY}</div><div id="comments"><h3>2 comments</h3><div class="comment"><p>{P2}</p></div></div>', WANT),
+    "recipe": (
+        '<header><a href="/">Home</a></header><article><h1>Soup for four</h1><p>Take this from the cellar:</p><ul><li>two onions</li><li>one carrot</li><li>salt</li></ul><p>Serve hot.</p></article><footer>© 2024</footer>',
+        "Soup for four Take this from the cellar: two onions one carrot salt Serve hot.",
+    ),
+    "verse": (
+        '<nav><a href="/">Home</a><a href="/p">Poems</a></nav><main><h1>Rain</h1><p>The rain came down<br>upon the town<br>and no one heard<br>a single bird<br></p><p>until the sun<br>said it was done</p></main><footer>Imprint</footer>',
+        "Rain The rain came down upon the town and no one heard a single bird until the sun said it was done",
+    ),
+    "opening hours": (
+        '<div class="wrap"><ul class="menu"><li><a href="/">Home</a></li><li><a href="/x">Shop</a></li></ul><div class="content"><h2>Opening hours</h2><p>Monday to Friday: 9 to 5</p><p>Saturday: closed</p><p>Ring twice.</p></div><div class="footer">Contact us</div></div>',
+        "Opening hours Monday to Friday: 9 to 5 Saturday: closed Ring twice.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_short_articles_verse_and_names_that_say_nothing(name):
+    page, want = MORE[name]
+    assert html_extract.extract([f"<html><body>{page}</body></html>"], html_extract.trained_labeller(), {}, {}) == [want]
