@@ -11,7 +11,7 @@ Only automata go to the executors, as arrays of some 80 bytes an item word.
 Items are counted first and dealt to blocks of at most ``BLOCK_WORDS`` words,
 one automaton each, built on the driver one after the other. Texts pass through
 ``PASS_BLOCKS`` of them at a time; a larger benchmark takes further passes, each
-of which adds its spans to the ones before. So the memory of the driver and of a
+of which writes spans by digest of the text, for the end to put together. So the memory of the driver and of a
 worker stays the same however large the benchmark is.
 
 Defined results: a null or wordless text has no words, no hits and isn't
@@ -26,6 +26,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -227,48 +228,78 @@ def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str
             yield found
 
 
-def measure(text: Column, automata: Iterable[ItemAutomaton], spark, before: Column | None = None) -> Column:
-    """struct(n_words, spans, items, longest) of a string column; spans count words.
+def _joined(spans: Iterable[tuple[int, int]]) -> list[dict]:
+    """Spans in order, those that meet as one."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return [{"start": a, "end": b} for a, b in merged]
 
-    ``before`` is what another pass found in the same text, for this one to add to.
-    """
+
+def measure(text: Column, automata: Iterable[ItemAutomaton], spark) -> Column:
+    """struct(n_words, spans, items, longest) of a string column; spans count words."""
     shared = [broadcast_object(spark, a) for a in automata]
-    none = F.lit(None).cast(f"struct<{MEASURE.replace(' ', ':').replace(',:', ',')}>")
 
-    def batches(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = [get() for get in shared]
-        for texts, earlier in parts:
+        for texts in parts:
             rows = []
-            for raw, known_spans, known_items, known_longest in zip(texts, earlier["spans"], earlier["items"], earlier["longest"], strict=True):
+            for raw in texts:
                 words = words_of(raw)
                 spans, items, longest = [], set(), 0
-                if known_spans is not None:
-                    spans, items, longest = [(x["start"], x["end"]) for x in known_spans], set(known_items), int(known_longest)
                 for automaton in own:
                     more, names, most = automaton.scan_words(words)
                     spans, items, longest = spans + more, items | names, max(longest, most)
-                merged: list[tuple[int, int]] = []
-                for a, b in sorted(spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                    else:
-                        merged.append((a, b))
-                rows.append((len(words), [{"start": a, "end": b} for a, b in merged], sorted(items), longest))
+                rows.append((len(words), _joined(spans), sorted(items), longest))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "longest"])
 
-    return F.pandas_udf(batches, MEASURE)(text.cast("binary"), none if before is None else before)
+    return F.pandas_udf(batches, MEASURE)(text.cast("binary"))
+
+
+def merged(found: Column) -> Column:
+    """One measure from those of several passes over the same text."""
+
+    def together(parts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for passes in parts:
+            spans = [(x["start"], x["end"]) for p in passes for x in p["spans"]]
+            items = {name for p in passes for name in p["items"]}
+            rows.append((passes[0]["n_words"], _joined(spans), sorted(items), max(p["longest"] for p in passes)))
+        return pd.DataFrame(rows, columns=["n_words", "spans", "items", "longest"])
+
+    return F.pandas_udf(together, MEASURE)(found)
 
 
 def measured(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``name`` of ``measure``, over as many passes as the benchmark needs."""
+    """``docs`` with a column ``name`` of ``measure``, over as many passes as the benchmark needs.
+
+    One pass needs no shuffle. With more, each pass reads the texts where they are
+    and writes what it found by the text's digest, equal texts once; a text's
+    passes are then put together and joined to ``docs``. No pass writes a text.
+    """
     automata = build_automata(benchmark)
-    before, batch = None, list(islice(automata, PASS_BLOCKS))
-    while True:
-        found = docs.withColumn(name, measure(F.col(text_col), batch, docs.sparkSession, before))
-        batch = list(islice(automata, PASS_BLOCKS))
-        if not batch:
-            return found
-        docs, before = materialise(found, "decontamination-pass"), F.col(name)
+    spark, text = docs.sparkSession, F.col(text_col)
+    batch = list(islice(automata, PASS_BLOCKS))
+    more = list(islice(automata, PASS_BLOCKS))
+    if not more:
+        return docs.withColumn(name, measure(text, batch, spark))
+    digest = F.sha2(text.cast("binary"), 256)
+    parts = []
+    while batch:
+        found = docs.where(text.isNotNull()).select(digest.alias("key"), measure(text, batch, spark).alias("m"))
+        parts.append(materialise(found.groupBy("key").agg(F.first("m").alias("m")), "decontamination-pass"))
+        batch, more = more, list(islice(automata, PASS_BLOCKS))
+    all_passes = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.collect_list("m").alias("m"))  # one entry a pass
+    key, measures = f"__{name}_key", f"__{name}_found"
+    while key in docs.columns or measures in docs.columns:
+        key, measures = key + "_", measures + "_"
+    known = all_passes.select(F.col("key").alias(key), merged(F.col("m")).alias(measures))
+    wordless = F.from_json(F.lit('{"n_words":0,"spans":[],"items":[],"longest":0}'), MEASURE)
+    joined = docs.withColumn(key, digest).join(known, key, "left")
+    return joined.withColumn(name, F.coalesce(measures, wordless)).drop(key, measures)
 
 
 def hit_words(measured: Column) -> Column:

@@ -1,6 +1,7 @@
 """Language, contamination, near copies, repeats and secrets against brute force and on odd rows."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -159,6 +160,11 @@ def test_passes_over_a_large_benchmark_add_up(spark, sf_dir, monkeypatch, words)
     monkeypatch.setattr(decontamination, "PASS_BLOCKS", 2)
     assert len(list(decontamination.build_automata(bench))) > 4
     assert get() == want
+    clashing = docs_of(spark, rows).withColumn("__m_key", F.lit("own")).withColumn("key", F.lit(1))
+    found = decontamination.measured(clashing, bench, "m")
+    assert found.columns == [*clashing.columns, "m"] and {r["__m_key"] for r in found.collect()} == {"own"}
+    written = found.select("doc_id", "m.n_words")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join.*\n\s*:- Project \[doc_id#\d+L?, sha2\(", written)  # digests go to the join, not texts
     assert want[100]["items"] == ["3", "30"] and want[0]["items"] == ["0", "90"] and want[101]["n_words"] == 0 and want[102]["spans"] == []
 
 
