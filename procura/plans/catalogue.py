@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from procura.operators.explain import explain
 from procura.plans import oracle, results
 from procura.plans.analysis import analyse
 from procura.sources.documents import items_of_documents
+from procura.sources.event_log import EventLog
 from procura.sources.report import report_rows
 from procura.sources.tables import items_view
 from procura.streaming import events as streams
 from procura.streaming.purchases import running_prices as running_history
+from procura.workspace import shared_dir
 
 NAME, BRAND = ["name"], ["name", "brand"]
 #: A word of a category for the last figure of a brand.
@@ -355,6 +358,19 @@ def historical_prices(spark, d):
     return out.withColumn("mean", F.round("mean", 4)).withColumn("stdev", F.round("stdev", 4))
 
 
+def stored_prices(spark, d):
+    """The history by way of a store: two batches, a snapshot between them, the first batch sent again."""
+    log = EventLog(spark, f"{shared_dir(spark)}/procura-{spark.sparkContext.applicationId}/prices-{uuid.uuid4().hex}", stores.PRICE)
+    history = stores.price_history(items_view(spark, d))
+    early = F.coalesce(F.year("date") < 1995, F.lit(False))
+    log.append(history.where(early), "early")
+    log.compact()
+    log.append(history.where(~early), "late")
+    log.append(history.where(early), "early")
+    out = stores.historical_summary(log.read())
+    return out.withColumn("mean", F.round("mean", 4)).withColumn("stdev", F.round("stdev", 4))
+
+
 def invalid_case_steps(spark, d):
     status = F.get(F.array(*[F.lit(s) for s in C.STATUS_STEPS]), (F.col("event_id") % 5).cast("int"))
     e = _table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("case_id"), F.lit("status").alias("kind"), status.alias("status"))
@@ -404,7 +420,7 @@ QUERIES: tuple[Query, ...] = (
     supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
     shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
     matched_groups, token_sort_scores, resolved_contractors, registered_contractors, document_items, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
-    invalid_case_steps, context_scores, event_windows, event_sessions, running_prices, report_table, full_analysis,
+    stored_prices, invalid_case_steps, context_scores, event_windows, event_sessions, running_prices, report_table, full_analysis,
 )
 
 

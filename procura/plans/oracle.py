@@ -299,8 +299,8 @@ def oracles() -> dict[str, str]:
         "feedback_suppression": f"""WITH {by_name}, {VERDICTS}, v AS (SELECT item_name, arg_max(verdict, seq) AS verdict FROM log GROUP BY item_name),
             j AS (SELECT name, CASE WHEN verdict = 'false_positive' THEN least(score, 15) ELSE score END AS score, verdict AS user_verdict FROM scored LEFT JOIN v ON name = item_name)
             SELECT name, score, user_verdict, {_level("score")} AS risk_level FROM j""",
-        "historical_prices": f"""WITH {ITEMS}, h AS (SELECT lower(trim(name)) AS item_name, unit_price FROM items), {_stats("item_name", "unit_price", "h")}
-            SELECT item_name, n, median, round(mean, 4) AS mean, round(sd, 4) AS stdev, s[1] AS min, s[n] AS max FROM stats""",
+        **dict.fromkeys(("historical_prices", "stored_prices"), f"""WITH {ITEMS}, h AS (SELECT lower(trim(name)) AS item_name, unit_price FROM items), {_stats("item_name", "unit_price", "h")}
+            SELECT item_name, n, median, round(mean, 4) AS mean, round(sd, 4) AS stdev, s[1] AS min, s[n] AS max FROM stats"""),
         "invalid_case_steps": """WITH e AS (SELECT event_id AS seq, user_id AS case_id, ['new', 'in_review', 'confirmed', 'false_positive', 'closed'][CAST(event_id % 5 AS INTEGER) + 1] AS now FROM events),
             l AS (SELECT *, lag(now) OVER (PARTITION BY case_id ORDER BY seq) AS before FROM e)
             SELECT before, now, count(*) AS n FROM l WHERE before IS NOT NULL AND NOT ((before = 'new' AND now IN ('in_review', 'closed')) OR (before = 'in_review' AND now IN ('confirmed', 'false_positive', 'closed', 'new'))

@@ -3,6 +3,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from procura.operators import stores
+from procura.sources.event_log import EventLog
 from procura.streaming import purchases
 
 SCHEMA = "name string, seq long, ts timestamp, price double"
@@ -61,3 +65,47 @@ def test_hasty_purchases_on_a_stream_are_those_of_the_table(spark, tmp_path):
     table = purchases.hasty_purchases(spark.createDataFrame(rows, SCHEMA))
     assert table.count() > 10
     assert plain(got.select(table.columns)) == plain(table)
+
+
+def test_event_log_keeps_what_two_writers_append(spark, tmp_path):
+    """Claims are taken before either writes; a snapshot between them loses neither; a batch sent again changes nothing."""
+    log = EventLog(spark, str(tmp_path / "log"), stores.PRICE)
+    assert log.read().count() == 0 and log.compact() == 0
+    one = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "item_name string, price double")
+    first, second = log._claim("w1-0"), EventLog(spark, str(tmp_path / "log"), stores.PRICE)._claim("w2-0")
+    assert first != second
+    assert log.append(one.withColumn("extra", F.lit(1)), "w2-0", ["price"]) == second
+    assert log.compact() == second and log._manifest()["missing"] == [first]
+    assert log.append(one.withColumn("price", F.col("price") * 10), "w1-0", ["price"]) == first
+    assert log.append(one, "w1-0") == first and log.append(one, "w2-0") == second
+    third = log.add(item_name="b", price=5.0)
+    read = lambda: [(r["item_name"], r["price"]) for r in log.read().orderBy("seq").collect()]
+    want = [("a", 10.0), ("a", 20.0), ("a", 1.0), ("a", 2.0), ("b", 5.0)]
+    assert read() == want and third == 3
+    assert log.compact() == third and read() == want
+    assert log.append(one, "w1-0") == first and log.compact() == third and read() == want
+    assert log.append(one.limit(0), "empty") == 4 and read() == want and log.compact() == 4 and read() == want
+    assert log.read().select("seq").distinct().count() == 5
+
+
+def test_event_log_behind_a_stream(spark, tmp_path):
+    """Three runs from one checkpoint, a snapshot between them, the last batch sent twice."""
+    log = EventLog(spark, str(tmp_path / "log"), stores.PRICE)
+    schema = "item_name string, price double"
+    put = log.sink("prices", ["price"])
+    seen = []
+
+    def both(batch, batch_id):
+        seen.append((batch.collect(), batch_id))
+        put(batch, batch_id)
+
+    for run in range(3):
+        spark.createDataFrame([(f"i{run}", float(run)), ("x", float(run))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(both).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+        if run == 1:
+            log.compact()
+    rows, batch_id = seen[-1]
+    put(spark.createDataFrame(rows, schema), batch_id)
+    assert sorted((r["item_name"], r["price"]) for r in log.read().collect()) == [("i0", 0.0), ("i1", 1.0), ("i2", 2.0), ("x", 0.0), ("x", 1.0), ("x", 2.0)]
