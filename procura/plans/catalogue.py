@@ -155,6 +155,11 @@ def round_totals(spark, d):
     return patterns.round_totals(items_view(spark, d).withColumn("total_price", F.floor(F.col("total_price") / 1000) * 1000))
 
 
+def finding_items(spark, d):
+    keyed = items_view(spark, d).withColumn("canonical_name", F.concat_ws("/", "name", "brand", "unit"))
+    return patterns.finding_items(keyed).withColumn("ordinal", F.col("ordinal").cast("string"))
+
+
 def pattern_summary(spark, d):
     return patterns.pattern_summary(patterns.all_patterns(items_view(spark, d).withColumn("canonical_name", F.col("name"))))
 
@@ -416,7 +421,7 @@ def full_analysis(spark, d):
 
 QUERIES: tuple[Query, ...] = (
     procurement_items, group_price_stats, document_price_stats, outlier_counts, price_analysis, inconsistent_items, price_trend, total_anomalies, score_groups, risk_distribution, top_risks,
-    results_filter, auto_cases, explained_groups, odd_flags, split_purchases, repeated_amounts, suspicious_intervals, interval_pairs, round_totals, pattern_summary, supplier_shares,
+    results_filter, auto_cases, explained_groups, odd_flags, split_purchases, repeated_amounts, suspicious_intervals, interval_pairs, round_totals, finding_items, pattern_summary, supplier_shares,
     supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
     shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
     matched_groups, token_sort_scores, resolved_contractors, registered_contractors, document_items, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,

@@ -310,6 +310,22 @@ def oracles() -> dict[str, str]:
             s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
             SELECT user_id, min(ts) AS session_start, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM s GROUP BY user_id, k""",
     }
+    out["finding_items"] = f"""WITH {ITEMS}, k AS (SELECT *, concat_ws('/', name, brand, unit) AS key FROM items),
+        s AS (SELECT key AS name, CAST(t AS DOUBLE) AS threshold, date, ordinal FROM k JOIN (VALUES {split}) x(t) ON total_price >= t * (1 - {C.SPLIT_MARGIN}::DOUBLE) AND total_price < t),
+        g AS (SELECT *, CASE WHEN date - lag(date) OVER w > {C.SPLIT_WINDOW_DAYS} THEN 1 ELSE 0 END AS new FROM s WHERE date IS NOT NULL WINDOW w AS (PARTITION BY name, threshold ORDER BY date, ordinal)),
+        i AS (SELECT *, sum(new) OVER (PARTITION BY name, threshold ORDER BY date, ordinal) AS island FROM g),
+        high AS (SELECT name, threshold, ordinal FROM i QUALIFY count(*) OVER (PARTITION BY name, threshold, island) >= 2),
+        medium AS (SELECT name, threshold, ordinal FROM s QUALIFY count(*) OVER (PARTITION BY name, threshold) >= 2 AND count(date) OVER (PARTITION BY name, threshold) < 2),
+        amounts AS (SELECT round(total_price, 2) AS amount FROM items WHERE total_price > 0 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT name) >= 2),
+        d AS (SELECT key, date, min(ordinal) AS f, max(ordinal) AS l FROM k GROUP BY ALL),
+        p AS (SELECT *, lag(l) OVER w AS b, date - lag(date) OVER w AS gap FROM d WINDOW w AS (PARTITION BY key ORDER BY date)),
+        h AS (SELECT DISTINCT key, unnest([b, f]) AS ordinal FROM p WHERE gap BETWEEN 1 AND 7),
+        e AS (SELECT ordinal FROM items WHERE total_price >= 10000 AND total_price % 10000 = 0 QUALIFY count(*) OVER () >= 3)
+        SELECT 'split_procurement' AS pattern, 'high' AS severity, name, threshold AS amount, CAST(ordinal AS VARCHAR) AS ordinal FROM high
+        UNION ALL SELECT 'split_procurement', 'medium', name, threshold, CAST(ordinal AS VARCHAR) FROM medium
+        UNION ALL SELECT 'repeated_amounts', 'medium', NULL, round(total_price, 2), CAST(ordinal AS VARCHAR) FROM items WHERE round(total_price, 2) IN (SELECT amount FROM amounts)
+        UNION ALL SELECT 'suspicious_intervals', 'low', key, NULL, CAST(ordinal AS VARCHAR) FROM h
+        UNION ALL SELECT 'round_number_cluster', 'low', NULL, NULL, CAST(ordinal AS VARCHAR) FROM e"""
     hasty = out["suspicious_intervals"].replace("name || brand AS name", "name")
     even = out["round_totals"].replace("floor(total_price / 1000) * 1000 AS v", "total_price AS v")
     whole = out["split_purchases"].replace("concat_ws('/', name, brand, department) AS name", "name").replace("CASE WHEN quantity > 46 THEN date END AS date", "date")

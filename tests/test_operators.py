@@ -143,7 +143,12 @@ def test_other_patterns(spark):
     assert patterns.round_totals(df).first()["share_pct"] == 100
     summary = patterns.pattern_summary(patterns.all_patterns(df)).first()
     assert (summary["pattern_count"], summary["medium"], summary["low"]) == (3, 1, 2)
-    assert patterns.all_patterns(df.limit(0)).count() == 0
+    assert patterns.all_patterns(df.limit(0)).count() == 0 and patterns.finding_items(df.limit(0)).count() == 0
+    found = [(r["pattern"], r["name"], r["amount"]) for r in patterns.finding_items(df).collect()]
+    assert sorted(found, key=str) == [("repeated_amounts", None, 20000.0)] * 4 + [("round_number_cluster", None, None)] * 4 + [("suspicious_intervals", "x", None)] * 2
+    near = table(spark, [{"name": "x", "total_price": 90000.0, "date": day(d)} for d in ("2024-01-01", "2024-01-02", "2024-06-01")] + [{"name": "y", "total_price": 90000.0}] * 2)
+    split = [(r["name"], r["severity"]) for r in patterns.finding_items(near).where("pattern = 'split_procurement'").collect()]
+    assert sorted(split) == [("x", "high")] * 2 + [("y", "medium")] * 2
 
 
 def test_suppliers(spark):
@@ -578,7 +583,7 @@ def test_analysis(spark):
     assert set(groups) == {"цемент м400", "кирпич"} and groups["цемент м400"]["n_items"] == 3
     assert out.entities.count() == 2 and out.concentration.first()["n_suppliers"] == 2 and out.history.count() == 4
     assert results.filter_results(out.groups, contractor="ромаш").count() == 1
-    assert results.find(out.groups, "Кирпич").count() == 1 and results.sort_table(out.groups, "name").count() == 2
+    assert results.find(out.groups, "Кирпич").count() == 1 and results.find(out.groups.withColumnRenamed("name", "item"), "Кирпич").count() == 1 and results.sort_table(out.groups, "name").count() == 2
     from procura.sources.report import generate_report
 
     assert generate_report(out.groups, ["f.xlsx"])[:2] == b"PK"
