@@ -15,8 +15,11 @@ import re
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
-from itertools import permutations
+from array import array
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, permutations
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -124,44 +127,60 @@ def columns_by_words(header: list[object]) -> dict[str, int]:
     return {role: i for role, i in found.items() if i is not None}
 
 
-def columns_by_numbers(rows: Rows) -> dict[str, int]:
-    """Role -> column, from the triple with the most rows where quantity times price is the total."""
-    width = max((len(r) for r in rows), default=0)
-    values = [[number_of(r[i]) if i < len(r) else None for r in rows] for i in range(width)]
-    least = max(1, len(rows) // 3)
-    numeric = [i for i in range(width) if sum(1 for v in values[i] if v and v > 0) >= least]
-    out: dict[str, int] = {}
-    for i in range(width):
-        if i not in numeric and any(looks_like_name(text_of(r[i])) for r in rows if i < len(r)):
-            out["name"] = i
-            break
-    best = (0, None)
-    for q, u, t in permutations(numeric, 3):
-        hits = sum(1 for a, b, c in zip(values[q], values[u], values[t], strict=True) if a and b and c and abs(a * b - c) / c < 0.03)
-        if hits > best[0]:
-            best = (hits, (q, u, t))
-    if best[1]:
-        return out | dict(zip(("quantity", "unit_price", "total_price"), best[1], strict=True))
+def columns_by_numbers(rows: Iterable[list[object]]) -> dict[str, int]:
+    """Role -> column, from the triple with the most rows where quantity times price is the total.
+
+    Reads the rows twice and keeps counts of columns and of triples, no rows.
+    """
+    n_rows, positive, nonzero, named = 0, Counter(), Counter(), set()
+    sums: dict[int, float] = defaultdict(float)
+    for row in rows:
+        n_rows += 1
+        for i, cell in enumerate(row):
+            value = number_of(cell)
+            if value:
+                sums[i] += value
+                nonzero[i] += 1
+                positive[i] += value > 0
+            if i not in named and looks_like_name(text_of(cell)):
+                named.add(i)
+    numeric = sorted(i for i, n in positive.items() if n >= max(1, n_rows // 3))
+    texts = sorted(named - set(numeric))
+    out = {"name": texts[0]} if texts else {}
+    triples, hits = list(permutations(numeric, 3)), Counter()
+    for row in rows if triples else ():
+        values = {i: number_of(row[i]) if i < len(row) else None for i in numeric}
+        for triple in triples:
+            a, b, c = (values[i] for i in triple)
+            if a and b and c and abs(a * b - c) / c < 0.03:
+                hits[triple] += 1
+    if hits:
+        best = max(triples, key=lambda t: hits[t])
+        return out | dict(zip(("quantity", "unit_price", "total_price"), best, strict=True))
     if numeric:
-        mean = {i: sum(v for v in values[i] if v) / sum(1 for v in values[i] if v) for i in numeric}
+        mean = {i: sums[i] / nonzero[i] for i in numeric}
         out["total_price"] = max(numeric, key=lambda i: mean[i])
         if len(numeric) > 1:
             out["unit_price"] = min(numeric, key=lambda i: mean[i])
     return out
 
 
-def table_start(rows: Rows) -> tuple[Rows, int] | None:
-    """(header rows, first data row): after a row that numbers the columns, else after one that names items."""
+def table_start(rows: Iterable[list[object]]) -> tuple[Rows, int] | None:
+    """(header rows, first data row): after a row that numbers the columns, else after one that names items.
+
+    One pass that keeps the last six rows.
+    """
+    above: deque[list[object]] = deque(maxlen=6)
+    named = None
     for i, row in enumerate(rows):
         seen = {int(n) for n in (number_of(c) for c in [c for c in row if c is not None][:8]) if n is not None and n == int(n) and 1 <= n <= 10}
         if {1, 2, 3} <= seen:
-            above = rows[max(0, i - 6) : i]
             # A line of two cells tells something about the document, not the columns.
-            return [r for r in above if sum(c is not None for c in r) > 2] or above, i + 1
-    for i, row in enumerate(rows[:30]):
-        if any(w in text_of(c).lower() for c in row for w in ("наименование", "вид работ")):
-            return [row], i + 1
-    return None
+            return [r for r in above if sum(c is not None for c in r) > 2] or list(above), i + 1
+        if named is None and i < 30 and any(w in text_of(c).lower() for c in row for w in ("наименование", "вид работ")):
+            named = [row], i + 1
+        above.append(row)
+    return named
 
 
 def item_of(row: list[object], columns: dict[str, int], meta: dict[str, str]) -> dict | None:
@@ -208,15 +227,33 @@ def metadata_of(rows: Rows) -> dict[str, str]:
     return out
 
 
-def items_of_table(rows: Rows, meta: dict[str, str]) -> list[dict]:
+class Tail:
+    """The rows from one on, for any number of passes."""
+
+    def __init__(self, rows: Iterable[list[object]], first: int):
+        self.rows, self.first = rows, first
+
+    def __iter__(self) -> Iterator[list[object]]:
+        return islice(self.rows, self.first, None)
+
+
+def numbered_items(rows: Iterable[list[object]], meta: dict[str, str]) -> Iterator[tuple[int, dict]]:
+    """(row number from 1, item) of a table that can be read several times; no rows are kept."""
     start = table_start(rows)
     if start is None:
-        return []
+        return
     headers, first = start
     columns = columns_by_header(headers)
     if "name" not in columns or not {"unit_price", "total_price"} & columns.keys():
-        columns = columns_by_numbers(rows[first:]) | columns
-    return [item for item in (item_of(r, columns, meta) for r in rows[first:]) if item]
+        columns = columns_by_numbers(Tail(rows, first)) | columns
+    for i, row in enumerate(Tail(rows, first), first + 1):
+        item = item_of(row, columns, meta)
+        if item:
+            yield i, item
+
+
+def items_of_table(rows: Iterable[list[object]], meta: dict[str, str]) -> list[dict]:
+    return [item for _, item in numbered_items(rows, meta)]
 
 
 def rows_of_text(text: str) -> Rows:
@@ -269,17 +306,45 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_xlsx(content: bytes) -> list[Rows]:
-    """The cell values of every sheet."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
-        out = []
-        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1])):
-            rows: Rows = []
-            for row in ET.fromstring(z.read(name)).iter(f"{SHEET}row"):
+class SharedTexts:
+    """The shared texts of a workbook as one byte string with offsets."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.data, self.ends = bytearray(), array("Q", [0])
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as stream:
+                for si in _elements(stream, f"{SHEET}si"):
+                    self.data += "".join(t.text or "" for t in si.iter(f"{SHEET}t")).encode()
+                    self.ends.append(len(self.data))
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.ends) - 1:
+            raise ValueError(f"no shared text {i}")
+        return self.data[self.ends[i] : self.ends[i + 1]].decode()
+
+
+def _elements(stream: IO[bytes], tag: str) -> Iterator[ET.Element]:
+    """The elements of a tag as they end; each is dropped when the next is asked for."""
+    open_: list[ET.Element] = []
+    for event, node in ET.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            open_.append(node)
+            continue
+        open_.pop()
+        if node.tag == tag:
+            yield node
+            (open_[-1] if open_ else node).clear()
+
+
+class Sheet:
+    """The rows of cell values of one sheet, read from the file anew in each pass."""
+
+    def __init__(self, book: zipfile.ZipFile, name: str, shared: SharedTexts):
+        self.book, self.name, self.shared = book, name, shared
+
+    def __iter__(self) -> Iterator[list[object]]:
+        with self.book.open(self.name) as stream:
+            for row in _elements(stream, f"{SHEET}row"):
                 cells: list[object] = []
                 for c in row.iter(f"{SHEET}c"):
                     at = 0
@@ -288,14 +353,30 @@ def read_xlsx(content: bytes) -> list[Rows]:
                     cells += [None] * (max(at, len(cells) + 1) - len(cells) - 1)
                     value = c.find(f"{SHEET}v")
                     if c.get("t") == "s" and value is not None:
-                        cells.append(shared[int(value.text)])
+                        cells.append(self.shared[int(value.text)])
                     elif c.get("t") == "inlineStr":
                         cells.append("".join(t.text or "" for t in c.iter(f"{SHEET}t")))
                     else:
                         cells.append(None if value is None else value.text)
-                rows.append(cells)
-            out.append(rows)
-    return out
+                yield cells
+
+
+def sheets_of(book: zipfile.ZipFile) -> list[Sheet]:
+    """The sheets of a workbook by their numbers."""
+    shared = SharedTexts(book)
+    names = [n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    return [Sheet(book, n, shared) for n in sorted(names, key=lambda n: int(re.findall(r"\d+", n)[-1]))]
+
+
+def metadata_of_sheets(sheets: list[Sheet]) -> dict[str, str]:
+    """What the head of the first sheet that tells anything tells."""
+    return next((m for m in (metadata_of(list(islice(rows, 35))) for rows in sheets) if m), {})
+
+
+def read_xlsx(content: bytes) -> list[Rows]:
+    """The cell values of every sheet."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        return [list(rows) for rows in sheets_of(book)]
 
 
 def read_docx(content: bytes) -> tuple[list[str], list[Rows]]:
@@ -312,15 +393,21 @@ def read_docx(content: bytes) -> tuple[list[str], list[Rows]]:
 
 
 def parse_xlsx(content: bytes) -> tuple[str, dict, list[dict]]:
-    sheets = read_xlsx(content)
-    meta: dict[str, str] = {}
-    for rows in sheets:
-        meta = meta or metadata_of(rows)
-    items = [item for rows in sheets for item in items_of_table(rows, meta)]
-    text = "\n".join(" | ".join(text_of(c) for c in r if c is not None) for rows in sheets for r in rows if any(c is not None for c in r))
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        sheets = sheets_of(book)
+        meta = metadata_of_sheets(sheets)
+        items = [item for rows in sheets for item in items_of_table(rows, meta)]
+        text = "\n".join(" | ".join(text_of(c) for c in r if c is not None) for rows in sheets for r in rows if any(c is not None for c in r))
     return text, meta, items
 
 
+def items_below_first(rows: Rows, meta: dict[str, str]) -> list[dict]:
+    """Items of a table whose first row is the header."""
+    columns = columns_by_header(rows[:1])
+    columns = columns if "name" in columns else columns_by_numbers(rows[1:]) | columns
+    return [item for item in (item_of(r, columns, meta) for r in rows[1:]) if item]
+
+
 def parse_docx(content: bytes) -> tuple[str, dict, list[dict]]:
     paragraphs, tables = read_docx(content)
     meta: dict[str, str] = {}
@@ -335,9 +422,7 @@ def parse_docx(content: bytes) -> tuple[str, dict, list[dict]]:
     for rows in tables:
         found = items_of_table(rows, meta)
         if not found and len(rows) > 1:  # no row says where the table begins: the first row is the header
-            columns = columns_by_header(rows[:1])
-            columns = columns if "name" in columns else columns_by_numbers(rows[1:]) | columns
-            found = [item for item in (item_of(r, columns, meta) for r in rows[1:]) if item]
+            found = items_below_first(rows, meta)
         items += found
     return "\n".join([*paragraphs, *(" | ".join(map(text_of, r)) for t in tables for r in t)]), meta, items
 
@@ -407,6 +492,43 @@ def read_files(spark: SparkSession, path: str, pdf_reader: Callable[[bytes], tup
     return raw.mapInPandas(parse, PARSED)
 
 
+ROWS_A_BATCH = 5000
+SHEET_ITEM = f"path string, sheet int, row long, error string, item {ITEM}"
+
+
+def sheet_items(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row, error, item): every item of every workbook below a path, for sheets of any length.
+
+    Rows are pulled from the packed file as they are asked for, in up to five passes (head, start of the
+    table, twice the columns where the header doesn't name them, items); a task holds the packed file, the
+    shared texts and one batch of items. The items are those of ``read_files``, whose one row a file holds
+    all items and texts. A workbook that breaks off has a row with the error, besides the items that were
+    found before; a sheet without a table has no row.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("path", "content")
+    names = ["path", "sheet", "row", "error", "item"]
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as book:
+                sheets = sheets_of(book)
+                meta = metadata_of_sheets(sheets)
+                for n, rows in enumerate(sheets, 1):
+                    for row, item in numbered_items(rows, meta):
+                        yield path, n, row, None, item
+        except Exception as e:  # a broken file is a result
+            yield path, None, None, f"{type(e).__name__}: {e}", None
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, c in zip(batch["path"], batch["content"], strict=True):
+                rows = rows_of(p, bytes(c))
+                while held := list(islice(rows, ROWS_A_BATCH)):
+                    yield pd.DataFrame(held, columns=names).astype({"sheet": "Int32", "row": "Int64"})
+
+    return raw.mapInPandas(parse, SHEET_ITEM)
+
+
 def items_of_files(parsed: DataFrame) -> DataFrame:
     """One row an item of the files that could be parsed, with file and department."""
     from procura.functions.text import department_of, plain_filename
