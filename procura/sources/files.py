@@ -1,8 +1,8 @@
-"""Items from spreadsheets, word processor files and text tables.
+"""Items from spreadsheets, word processor files, PDF files and text tables.
 
 Files are read as bytes by Spark and parsed by one Python function a file; a file
-that can't be parsed becomes a row with its error. PDF needs a reader that is
-passed in, since no PDF library is at hand.
+that can't be parsed becomes a row with its error. Another reader for PDF files can
+be passed in.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura import constants as C
+from procura.sources.pdf import read_pdf
 
 ITEM = "struct<name:string,quantity:double,unit:string,unit_price:double,total_price:double,contractor:string,date:string,has_detail:boolean>"
 PARSED = f"path string, extension string, success boolean, error string, text string, metadata map<string,string>, items array<{ITEM}>"
@@ -401,29 +402,44 @@ def parse_xlsx(content: bytes) -> tuple[str, dict, list[dict]]:
     return text, meta, items
 
 
-def items_below_first(rows: Rows, meta: dict[str, str]) -> list[dict]:
-    """Items of a table whose first row is the header."""
-    columns = columns_by_header(rows[:1])
-    columns = columns if "name" in columns else columns_by_numbers(rows[1:]) | columns
-    return [item for item in (item_of(r, columns, meta) for r in rows[1:]) if item]
-
-
-def parse_docx(content: bytes) -> tuple[str, dict, list[dict]]:
-    paragraphs, tables = read_docx(content)
+def metadata_of_lines(lines: list[str]) -> dict[str, str]:
+    """Contractor, customer, project and date from lines of a text, as ``key: value``."""
     meta: dict[str, str] = {}
-    for p in paragraphs:
-        key, colon, value = p.partition(":")
+    for line in lines:
+        key, colon, value = line.partition(":")
         for kind, words in C.META_WORDS.items():
             if colon and value.strip() and kind not in meta and any(w in key.lower() for w in words):
                 meta[kind] = text_of(value)
-        if "date" not in meta and date_of(p):
-            meta["date"] = date_of(p)
+        if "date" not in meta and date_of(line):
+            meta["date"] = date_of(line)
+    return meta
+
+
+def items_of_tables(tables: list[Rows], meta: dict[str, str]) -> list[dict]:
+    """Items of all tables; where no row says where a table begins, its first row is the header."""
     items = []
     for rows in tables:
         found = items_of_table(rows, meta)
-        if not found and len(rows) > 1:  # no row says where the table begins: the first row is the header
-            found = items_below_first(rows, meta)
+        if not found and len(rows) > 1:
+            columns = columns_by_header(rows[:1])
+            columns = columns if "name" in columns else columns_by_numbers(rows[1:]) | columns
+            found = [item for item in (item_of(r, columns, meta) for r in rows[1:]) if item]
         items += found
+    return items
+
+
+def parse_pdf(content: bytes) -> tuple[str, dict, list[dict]]:
+    texts, tables = read_pdf(content)
+    meta = metadata_of_lines([line for text in texts for line in text.splitlines()])
+    for rows in tables:
+        meta = metadata_of(rows) | meta
+    return paged_text(texts), meta, items_of_tables(tables, meta)
+
+
+def parse_docx(content: bytes) -> tuple[str, dict, list[dict]]:
+    paragraphs, tables = read_docx(content)
+    meta = metadata_of_lines(paragraphs)
+    items = items_of_tables(tables, meta)
     return "\n".join([*paragraphs, *(" | ".join(map(text_of, r)) for t in tables for r in t)]), meta, items
 
 
@@ -443,6 +459,8 @@ def parse_content(path: str, content: bytes, pdf_reader: Callable[[bytes], tuple
             text, tables = pdf_reader(content)
             meta = {"date": date_of(text)} if date_of(text) else {}
             items = [item for rows in tables for item in items_of_table(rows, meta)]
+        elif extension == ".pdf":
+            text, meta, items = parse_pdf(content)
         else:
             raise ValueError(f"no reader for {extension or 'files without an extension'}")
         return out | {"success": True, "text": text, "metadata": meta, "items": items}
