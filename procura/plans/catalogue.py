@@ -197,6 +197,20 @@ def graph_stats(spark, d):
     return graph.graph_stats(*graph.build_graph(items_view(spark, d))).drop("high_centrality", "max_centrality")
 
 
+def _supply_graph(spark, d):
+    """The network without its documents, and its centrality over all sources."""
+    vertices, edges = graph.build_graph(items_view(spark, d).withColumn("source_file", F.lit("")))
+    return vertices, edges, graph.betweenness(vertices, edges, exact_nodes=None)
+
+
+def central_counts(spark, d):
+    return graph.graph_stats(*_supply_graph(spark, d)).select("n_nodes", "n_edges", "high_centrality", "max_centrality")
+
+
+def central_suppliers(spark, d):
+    return graph.dominant_suppliers(*_supply_graph(spark, d)).withColumn("total", F.round("total", 2))
+
+
 def graph_components(spark, d):
     """Documents that share an item of one name, brand, kind and supplier, over any number of steps."""
     label = F.concat_ws("/", "name", "brand", "unit", "contractor", F.year("date").cast("string"))
@@ -241,6 +255,13 @@ def graph_export(spark, d):
     return graph.export_json(vertices, edges, graph.betweenness(vertices, edges, exact_nodes=None), include_stats=True)
 
 
+def network_document(spark, d):
+    """The exported network with its documents, its JSON read back: nodes and links."""
+    exported = graph.export_json(*graph.build_graph(items_view(spark, d), _scored(spark, d, NAME)))
+    shape = "id string, source string, target string, label string, type string, color string, risk_score int, risk_level string, total_price double, weight double, item_count long"
+    return exported.select("kind", F.inline(F.array(F.from_json("json", shape)))).withColumnRenamed("source", "from").withColumnRenamed("target", "to")
+
+
 def _raw(spark, d) -> DataFrame:
     line = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     order = F.col("l_orderkey")
@@ -251,7 +272,7 @@ def _raw(spark, d) -> DataFrame:
         F.when(order % 22 == 0, (F.col("l_partkey") + 7).cast("string")).alias("amount"),
         F.when(order % 5 != 0, F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
         F.when(order % 3 == 0, "ШТ.").when(order % 3 == 1, "kg").otherwise("услуга").alias("unit"),
-        F.when((order % 7 != 0) & (order % 11 != 0), F.floor("l_extendedprice").cast("string")).alias("total_price"),
+        F.when((order % 7 != 0) & (order % 11 != 0), F.col("l_extendedprice").cast("string")).alias("total_price"),
         F.when((order % 2 == 0) | (order % 11 == 0), "-5").otherwise(F.col("l_partkey").cast("string")).alias("unit_price"),
         F.when(order % 4 == 0, "1.2.2024").when(order % 4 == 1, "2024/03/05").when(order % 4 == 2, "31.02.2024").otherwise("07-11-2023").alias("date"),
         F.when(order % 6 == 0, "не указан").otherwise(F.concat(F.lit("ООО «"), F.col("l_suppkey").cast("string"), F.lit("»"))).alias("contractor"),
@@ -422,8 +443,8 @@ def full_analysis(spark, d):
 QUERIES: tuple[Query, ...] = (
     procurement_items, group_price_stats, document_price_stats, outlier_counts, price_analysis, inconsistent_items, price_trend, total_anomalies, score_groups, risk_distribution, top_risks,
     results_filter, auto_cases, explained_groups, odd_flags, split_purchases, repeated_amounts, suspicious_intervals, interval_pairs, round_totals, finding_items, pattern_summary, supplier_shares,
-    supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, graph_components,
-    shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
+    supplier_concentration, department_concentration, supplier_changes, supplier_switches, dominant_suppliers, graph_edges, graph_stats, central_counts, central_suppliers, graph_components,
+    shortest_path, betweenness, supply_betweenness, communities, filtered_graph, graph_export, network_document, normalised_items, quality_report, contractor_names, name_overlaps, name_clusters,
     matched_groups, token_sort_scores, resolved_contractors, registered_contractors, document_items, last_verdicts, flag_recommendations, feedback_suppression, historical_prices,
     stored_prices, invalid_case_steps, context_scores, event_windows, event_sessions, running_prices, report_table, full_analysis,
 )

@@ -104,7 +104,7 @@ RAW = """raw AS (
     CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE replace(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), '.', ',') END AS quantity,
     CASE WHEN l_orderkey % 3 = 0 THEN 'ШТ.' WHEN l_orderkey % 3 = 1 THEN 'kg' ELSE 'услуга' END AS unit,
     CASE WHEN l_orderkey % 11 = 0 THEN l_partkey END AS price, CASE WHEN l_orderkey % 22 = 0 THEN l_partkey + 7 END AS amount,
-    CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) END AS total_price,
+    CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN NULL ELSE CAST(l_extendedprice AS VARCHAR) END AS total_price,
     CASE WHEN l_orderkey % 2 = 0 OR l_orderkey % 11 = 0 THEN '-5' ELSE CAST(l_partkey AS VARCHAR) END AS unit_price,
     CASE WHEN l_orderkey % 4 = 0 THEN '1.2.2024' WHEN l_orderkey % 4 = 1 THEN '2024/03/05' WHEN l_orderkey % 4 = 2 THEN '31.02.2024' ELSE '07-11-2023' END AS date,
     CASE WHEN l_orderkey % 6 = 0 THEN 'не указан' ELSE 'ООО «' || CAST(l_suppkey AS VARCHAR) || '»' END AS contractor
@@ -155,17 +155,21 @@ def _explained(scored: str) -> str:
           CAST(greatest(1, least(4, len(held))) AS INTEGER) AS n_parts FROM x"""
 
 
+def _case(column: str, table: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
 def _betweenness() -> str:
-    """Shares of all shortest paths: their numbers level by level, up to the six steps that the network needs."""
+    """``between_``: shares of all shortest paths: their numbers level by level, up to the six steps that the network needs."""
     levels = ["l0 AS (SELECT id AS s, id AS v, 1.0::DOUBLE AS paths FROM n)", "r0 AS (SELECT s, v, paths, 0 AS depth FROM l0)"]
     for k in range(1, 7):
         levels.append(f"l{k} AS (SELECT l.s, u.b AS v, sum(l.paths) AS paths FROM l{k - 1} l JOIN u ON l.v = u.a WHERE (l.s, u.b) NOT IN (SELECT s, v FROM r{k - 1}) GROUP BY ALL)")
         levels.append(f"r{k} AS (SELECT * FROM r{k - 1} UNION ALL SELECT s, v, paths, {k} FROM l{k})")
-    return f"""WITH {ITEMS}, e AS (SELECT DISTINCT 'item:' || name AS a, unnest(['dept:' || department, 'contractor:' || contractor]) AS b FROM items),
+    return f"""{ITEMS}, e AS (SELECT DISTINCT 'item:' || name AS a, unnest(['dept:' || department, 'contractor:' || contractor]) AS b FROM items),
         u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), n AS MATERIALIZED (SELECT DISTINCT a AS id FROM u), {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in levels)},
         c AS (SELECT x.v AS id, sum(x.paths * y.paths / z.paths) AS total FROM r6 x JOIN r6 y ON x.v = y.s JOIN r6 z ON z.s = x.s AND z.v = y.v
-          WHERE x.depth + y.depth = z.depth AND x.v <> x.s AND x.v <> y.v GROUP BY x.v)
-        SELECT n.id, round(coalesce(total, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 4) AS centrality FROM n LEFT JOIN c ON n.id = c.id"""
+          WHERE x.depth + y.depth = z.depth AND x.v <> x.s AND x.v <> y.v GROUP BY x.v),
+        between_ AS MATERIALIZED (SELECT n.id, round(coalesce(total, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 4) AS centrality FROM n LEFT JOIN c ON n.id = c.id)"""
 
 
 #: Bits of the places in text ``a`` of every letter of ``b``, folded as the bit-parallel longest common subsequence is.
@@ -278,7 +282,22 @@ def oracles() -> dict[str, str]:
             ends AS (SELECT min(b) AS s, max(b) AS t FROM e WHERE b LIKE 'doc:%'), walk(id, depth) USING KEY (id) AS (
               SELECT s, 0 FROM ends UNION SELECT u.b, min(walk.depth) + 1 FROM walk JOIN u ON walk.id = u.a WHERE u.b NOT IN (SELECT id FROM recurring.walk) GROUP BY u.b
             ) SELECT CAST(depth AS BIGINT) + 1 AS n_steps, s AS first, t AS last FROM walk JOIN ends ON id = t""",
-        "supply_betweenness": _betweenness(),
+        "supply_betweenness": f"WITH {_betweenness()} SELECT id, centrality FROM between_",
+        "central_counts": f"""WITH {_betweenness()} SELECT count(*) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, count(*) FILTER (centrality > {C.CENTRAL}) AS high_centrality, max(centrality) AS max_centrality FROM between_""",
+        "central_suppliers": f"""WITH {_betweenness()}, w AS (SELECT contractor, sum(total_price) AS total, count(*) AS item_count, count(DISTINCT name) AS distinct_items FROM items GROUP BY ALL),
+            x AS (SELECT w.*, centrality, round(total / sum(total) OVER () * 100, 2) AS share_pct FROM w JOIN between_ ON id = 'contractor:' || contractor)
+            SELECT contractor, round(total, 2) AS total, item_count, distinct_items, share_pct, centrality, round(0.6::DOUBLE * share_pct + 0.3::DOUBLE * distinct_items + 10 * centrality, 4) AS dominance
+            FROM x ORDER BY dominance DESC, contractor LIMIT 10""",
+        "network_document": f"""WITH {by_name}, k AS (SELECT 'item' AS type, name AS label, sum(total_price) AS total FROM items GROUP BY ALL
+              UNION ALL SELECT DISTINCT * FROM (SELECT unnest(['contractor', 'department', 'document']) AS type, unnest([contractor, department, source_file]) AS label, 0 AS total FROM items)),
+            v AS (SELECT k.*, score, {_level("score")} AS level FROM k LEFT JOIN scored ON k.type = 'item' AND k.label = scored.name),
+            l AS (SELECT 'bought' AS type, 'dept:' || department AS a, 'item:' || name AS b, count(*)::DOUBLE AS w, count(*) AS c FROM items GROUP BY ALL
+              UNION ALL SELECT 'supplies', 'item:' || name, 'contractor:' || contractor, sum(total_price), count(*) FROM items GROUP BY ALL
+              UNION ALL SELECT 'contains', 'doc:' || source_file, 'item:' || name, count(*), count(*) FROM items GROUP BY ALL)
+            SELECT 'node' AS kind, {_case("type", C.NODE_PREFIX)} || label AS id, NULL AS "from", NULL AS "to", label, type,
+              CASE WHEN type = 'item' THEN {_case("level", C.RISK_COLOURS)} ELSE {_case("type", C.NODE_COLOURS)} END AS color,
+              CASE WHEN type = 'item' THEN score END AS risk_score, CASE WHEN type = 'item' THEN level END AS risk_level, round(total, 2) AS total_price, NULL::DOUBLE AS weight, NULL::BIGINT AS item_count FROM v
+            UNION ALL SELECT 'edge', NULL, a, b, {_case("type", C.EDGE_LABELS)}, type, NULL, NULL, NULL, NULL, round(w, 2), c FROM l""",
         "filtered_graph": f"""WITH {by_name}, n AS (
               SELECT 'item:' || name AS id, score AS risk_score, {_level("score")} AS risk_level, (SELECT round(sum(total_price), 2) FROM items i WHERE i.name = scored.name) AS total FROM scored WHERE score >= 80
               UNION ALL SELECT DISTINCT 'contractor:' || contractor, 0, 'LOW', 0 FROM items

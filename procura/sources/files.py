@@ -284,21 +284,46 @@ def items_of_text(text: str) -> list[dict]:
     return [item for item in (item_of(r, columns, meta) for r in rows) if item]
 
 
-def items_of_reply(reply: str) -> list[dict]:
-    """Items from the first JSON array in a language model's reply; empty if there is none."""
+def items_of_reply(reply: str) -> list[dict] | None:
+    """Items from the first JSON array in a language model's reply; None if there is none.
+
+    Texts are trimmed, numbers read as those of cells; names of fewer than three letters make no item.
+    """
     found = re.search(r"\[.*\]", reply, re.S)
     try:
-        rows = json.loads(found[0]) if found else []
+        rows = json.loads(found[0]) if found else None
     except ValueError:
-        return []
-    names = {"price": "unit_price", "amount": "total_price", "item": "name"}
-    return [{names.get(k, k): v for k, v in row.items()} for row in rows if isinstance(row, dict)]
+        return None
+    out = []
+    for row in rows or []:
+        name = text_of(row.get("name") or row.get("item")) if isinstance(row, dict) else ""
+        if len(name) < 3:
+            continue
+        quantity, price, total = (number_of(row.get(a) or row.get(b)) for a, b in (("quantity", "quantity"), ("unit_price", "price"), ("total_price", "amount")))
+        out.append({
+            "name": name, "quantity": quantity, "unit": text_of(row.get("unit")), "unit_price": price, "total_price": total,
+            "contractor": text_of(row.get("contractor")) or None, "date": text_of(row.get("date")) or None, "has_detail": quantity is not None and price is not None,
+        })
+    return None if rows is None else out
+
+
+MODEL_CALLS = 2
 
 
-def extract_items(text: str, model: Callable[[str], str] | None = None) -> list[dict]:
-    """The table in a text; only where there is none, what ``model`` answers to it."""
+def extract_items(text: str, model: Callable[[str], str | None] | None = None) -> list[dict]:
+    """The table in a text; only where there is none, what ``model`` answers to it.
+
+    The model is asked again where its answer holds no items, and no more once it gives no answer.
+    """
     found = items_of_text(text)
-    return found if found or model is None else items_of_reply(model(text))
+    for _ in range(0 if found or model is None else MODEL_CALLS):
+        reply = model(text)
+        if not reply:
+            break
+        found = items_of_reply(reply) or []
+        if found:
+            break
+    return found
 
 
 # --- file formats -----------------------------------------------------------

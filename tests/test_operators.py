@@ -542,6 +542,11 @@ def test_context(spark):
     known = stores.item_context(df, log, market, stores.price_history(df)).first()
     assert (known["market_ref_price"], known["historical_ref_price"], known["historical_n"], known["category"]) == (2.5, 10, 3, "default")
     assert tuple(stores.context_summary(log, market, stores.price_history(df)).first())[:4] == (2, 1, 1, 1)
+    feedback = spark.createDataFrame(
+        [(i, "x", "false_positive", ["round_number", "unknown"]) for i in range(5)] + [(9, "x", "valid", ["duplicate_2"])], "seq long, item_name string, verdict string, flags array<string>"
+    )
+    assert stores.context_summary(log, market, stores.price_history(df), feedback).first()["flag_adjustments"] == {"round_number": 0.9}
+    assert stores.context_summary(log, market, stores.price_history(df), feedback.limit(0)).first()["flag_adjustments"] == {}
     row = spark.range(1).select(stores.category(F.lit("Ремонт кровли")).alias("c"), stores.effective_weights(F.lit("строительство"), F.lit(1.0))["duplicate_3_plus"].alias("w"), stores.effective_weights(F.lit("?"), F.lit(9.0))["duplicate_3_plus"].alias("m")).first()
     assert tuple(row) == ("строительство", 32, 100)
 
