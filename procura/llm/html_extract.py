@@ -11,7 +11,8 @@ generator writes in many layouts with known main text.
 Defined results: null and empty html give an empty text; so does a page in
 which no block is main text; character references are decoded, white space
 inside a block becomes one space, blocks join by one space; a page is read
-whole, whatever its length; repeated rows give equal results; an empty table
+whole, whatever its length, its vectors in stretches of ``STRETCH`` blocks whose
+states go on from one to the next, forwards and then backwards; repeated rows give equal results; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
+    same: dict[tuple[str, ...], tuple[str, ...]] = {}  # blocks of one path share it
     hidden = links = linked = 0
 
     def flush() -> None:
@@ -70,7 +72,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(label for _, label in stack), text, min(linked, len(text))))
+                path = tuple(label for _, label in stack)
+                out.append((same.setdefault(path, path), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -170,18 +173,20 @@ def _word_index(word: str) -> int:
     return zlib.crc32(word.lower().strip(".,;:!?()[]\"'").encode()) % WORD_DIM
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, int]], paths: dict, words: dict) -> np.ndarray:
-    """Blocks x DIM. paths and words remember hashes between pages."""
-    out = np.zeros((len(found), DIM), dtype=np.float32)
+def vectors(found: list[tuple[tuple[str, ...], str, int]], paths: dict, words: dict, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Blocks x DIM, of all blocks of a page or a stretch of them. paths and words remember hashes between pages."""
+    end = len(found) if end is None else end
+    out = np.zeros((end - start, DIM), dtype=np.float32)
     if len(paths) > 20_000:
         paths.clear()
     if len(words) > 200_000:
         words.clear()
-    for i, (path, text, linked) in enumerate(found):
+    for i in range(start, end):
+        path, text, linked = found[i]
         known = paths.get(path)
         if known is None:
             known = paths[path] = _path_vector(path)
-        row = out[i]
+        row = out[i - start]
         row[:PATH_DIM] = known
         said = text.split(" ")
         places = []
@@ -226,12 +231,12 @@ class BlockLabeller:
             gate[h : 2 * h] = 1.0  # remember at first
             self.p |= {f"x{way}": init(DIM, 4 * h), f"h{way}": init(h, 4 * h), f"b{way}": gate}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """x: steps x pages x DIM. Padding comes last; it leaves the state as it was."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None, carry: list | None = None) -> np.ndarray:
+        """x: steps x pages x DIM. Padding comes last; it leaves the state as it was. carry holds state and cell of the stretch before."""
         h = HIDDEN_UNITS
         steps, pages, _ = x.shape
         pre = x @ self.p[f"x{way}"] + self.p[f"b{way}"]
-        state, cell = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
+        state, cell = carry or (np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32))
         out = np.zeros((steps, pages, h), np.float32)
         rec = self.p[f"h{way}"]
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
@@ -248,6 +253,8 @@ class BlockLabeller:
                 keep.append((t, state, cell, i, f, o, g, shown, on))
             state, cell = new_state, new_cell
             out[t] = state
+        if carry is not None:
+            carry[:] = state, cell
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -283,6 +290,21 @@ class BlockLabeller:
             grad |= {f"h{way}": gh, f"x{way}": np.einsum("tpd,tpg->dg", x, d_pre), f"b{way}": d_pre.sum(axis=(0, 1))}
         return grad, loss
 
+    def label_long(self, found: list[tuple[tuple[str, ...], str, int]], paths: dict, words: dict, stretch: int) -> np.ndarray:
+        """True for the blocks of main text of one page, read in stretches forwards, then backwards; each takes over the state of the one before."""
+        h, n = HIDDEN_UNITS, len(found)
+        logit = np.zeros(n, np.float32)
+        starts = range(0, n, stretch)
+        for k, way in enumerate("fb"):
+            carry: list = []
+            for start in starts if way == "f" else reversed(starts):
+                x = vectors(found, paths, words, start, min(n, start + stretch))[:, None]
+                shown = self._run(x, np.ones(x.shape[:2], np.float32), way, carry=carry)
+                logit[start : start + stretch] += (shown @ self.p["out"][k * h : (k + 1) * h])[:, 0, 0]
+                if way == "f":
+                    logit[start : start + stretch] += (x @ self.p["skip"])[:, 0, 0] + self.p["bias"]
+        return logit > 0
+
     def label(self, pages: list[np.ndarray], limit: int = 20_000) -> list[np.ndarray]:
         """True for the blocks of main text; pages of like length run together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -575,10 +597,40 @@ def trained_labeller(seed: int = 3, n_pages: int = N_PAGES, max_epochs: int = 28
 # --- extraction -----------------------------------------------------------
 
 
-def extract(pages: list[str | None], net: BlockLabeller, paths: dict, words: dict) -> list[str]:
-    found = [blocks(p) if p else [] for p in pages]
-    kept = net.label([vectors(f, paths, words) if f else np.zeros((0, DIM), np.float32) for f in found])
-    return [" ".join(text for (_, text, _), ok in zip(f, k, strict=True) if ok) for f, k in zip(found, kept, strict=True)]
+#: Pages are labelled together up to so many blocks; a page with more is read in stretches of so many.
+STRETCH = 8192
+
+
+def extracted(pages: Iterable[str | None], net: BlockLabeller, paths: dict, words: dict, stretch: int = STRETCH) -> Iterator[str]:
+    """The main text of each page. No more than twice ``stretch`` blocks are vectors at a time, however long a page is."""
+    held: list[list] = []
+
+    def said(found: list, kept: np.ndarray) -> str:
+        return " ".join(text for (_, text, _), ok in zip(found, kept, strict=True) if ok)
+
+    def rest() -> Iterator[str]:
+        kept = net.label([vectors(f, paths, words) if f else np.zeros((0, DIM), np.float32) for f in held])
+        yield from map(said, held, kept)
+        held.clear()
+
+    size = 0
+    for page in pages:
+        found = blocks(page) if page else []
+        if len(found) > stretch:
+            yield from rest()
+            size = 0
+            yield said(found, net.label_long(found, paths, words, stretch))
+            continue
+        held.append(found)
+        size += len(found)
+        if size > stretch or len(held) == 512:
+            yield from rest()
+            size = 0
+    yield from rest()
+
+
+def extract(pages: list[str | None], net: BlockLabeller, paths: dict, words: dict, stretch: int = STRETCH) -> list[str]:
+    return list(extracted(pages, net, paths, words, stretch))
 
 
 def main_text(page: Column, net: BlockLabeller, spark) -> Column:
@@ -591,11 +643,7 @@ def main_text(page: Column, net: BlockLabeller, spark) -> Column:
         paths: dict = {}
         words: dict = {}
         for part in parts:
-            texts: list[str] = []
-            pages = part.tolist()
-            for at in range(0, len(pages), 512):
-                texts += extract(pages[at : at + 512], own, paths, words)
-            yield pd.Series(texts, dtype="object")
+            yield pd.Series(list(extracted(part, own, paths, words)), dtype="object")
 
     return F.pandas_udf(batches, "string")(page)
 

@@ -72,3 +72,28 @@ MORE = {
 def test_short_articles_verse_and_names_that_say_nothing(name):
     page, want = MORE[name]
     assert html_extract.extract([f"<html><body>{page}</body></html>"], html_extract.trained_labeller(), {}, {}) == [want]
+
+
+def test_long_pages_in_stretches():
+    """The states go on from stretch to stretch, so the cut makes no difference."""
+    net = html_extract.trained_labeller()
+    long = f"<html><body><nav>{MENU}</nav><article>" + BODY * 40 + f"</article><aside>{MENU * 5}</aside><footer>{FOOT}</footer></body></html>"
+    pages = [None, PAGES["blog"], long, "", PAGES["comments"], long, LISTED]
+    whole = html_extract.extract(pages, net, {}, {})
+    assert whole[2].count(P1) == 40 and whole[0] == ""
+    for stretch in (1, 7, 64):
+        assert html_extract.extract(pages, net, {}, {}, stretch) == whole
+        assert html_extract.extract([], net, {}, {}, stretch) == []
+
+
+def test_vectors_of_a_long_page_are_bounded():
+    import tracemalloc
+
+    net = html_extract.BlockLabeller()  # weights don't matter here
+    page = "<html><body>" + "".join(f"<p>word {i}" for i in range(20_000))
+    found = html_extract.blocks(page)
+    tracemalloc.start()
+    net.label_long(found, {}, {}, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 20_000 and peak < 12_000_000  # all vectors together would be 15 MB, with gates and states 29 MB
