@@ -308,6 +308,31 @@ def test_betweenness_in_tables_is_the_same(spark, monkeypatch):
     assert {r["centrality"] for r in graph.betweenness(*alone, broadcast_edges=-1).collect()} == {0.0}
 
 
+def test_betweenness_through_items_is_the_same(spark, monkeypatch):
+    """Neither the tables nor the adjacency are used; copies of a contractor are one search."""
+    rng = random.Random(7)
+    links = {(f"item:{rng.choice('abcdefg')}", f"doc:{rng.randrange(9)}") for _ in range(16)} | {(f"item:{i}", f"contractor:{c}") for i in "ab" for c in range(5)} | {("item:x", "doc:x"), ("item:y", "doc:x")}
+    vertices, edges = nodes_edges(spark, list(links))
+    want = brute_betweenness(links)
+    for other in ("_by_broadcast", "_by_tables"):
+        monkeypatch.setattr(graph, other, None)
+    assert {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges).collect()} == want
+    monkeypatch.setattr(graph, "HUB_CELLS", 50)  # several turns
+    monkeypatch.setattr(graph, "CHUNK_CELLS", 30)  # several chunks
+    assert {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges).collect()} == want
+
+
+def test_betweenness_of_sampled_sources_through_items(spark, monkeypatch):
+    rng = random.Random(8)
+    links = list({(f"item:{rng.randrange(6)}", f"doc:{rng.randrange(40)}") for _ in range(70)})
+    vertices, edges = nodes_edges(spark, links)
+    monkeypatch.setattr(graph, "SAMPLED_SOURCES", 9)
+    got = {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges, exact_nodes=10).collect()}
+    monkeypatch.setattr(graph, "_hubs", lambda pairs: None)
+    assert got == {r["id"]: r["centrality"] for r in graph.betweenness(vertices, edges, exact_nodes=10).collect()}
+    assert len({*got.values()}) > 5
+
+
 def test_scans_of_a_hot_group(spark):
     """Nine tenths of all rows in one group, null the key of another: previous row and running sum as in one window."""
     rows = [(("hot" if i % 10 else None if i % 20 else f"k{i % 3}"), i * 7919 % 4001, i) for i in range(4000)]
