@@ -103,6 +103,33 @@ def test_flags(spark):
     assert {"contractor_blacklist", "graph_central"} <= set(listed["flags"])
 
 
+def test_groups_of_one_item_are_read_off_it(spark, monkeypatch):
+    """Their items are neither sorted nor counted, and every fact is the one that counting gives."""
+    rng = random.Random(5)
+    pick = rng.choice
+    rows = [
+        {"name": f"n{rng.randrange(60)}", "unit_price": pick([None, 0.0, -2.0, 10.0, 100000.0]), "quantity": pick([None, 0.0, -1.0, 3.0]), "total_price": pick([None, 0.0, 20.0, -5.0, 200000.0]),
+         "department": pick([None, "", "d"]), "contractor": pick([None, "", "c", "e"]), "unit": pick([None, "", "u"]), "source_file": pick([None, "", "f", "g"]), "date": pick([None, day("2024-01-01"), day("2024-01-03")])}
+        for _ in range(90)
+    ]
+    items, seen, facts = table(spark, rows).withColumn("g", F.nullif("name", F.lit("n1"))), [], risk._facts
+
+    def watched(items, keys, base):
+        seen.append(items.count())
+        return facts(items, keys, base)
+
+    monkeypatch.setattr(risk, "_facts", watched)
+    for keys in (["g"], ["g", "contractor"], ["g", "source_file"]):
+        got = risk.score_groups(items, keys)
+        want_items = items.groupBy(*keys).count().where("count > 1").agg(F.sum("count")).first()[0]
+        told_apart = sorted(map(str, got.collect()))
+        assert seen.pop() == want_items < 90
+        with monkeypatch.context() as only:
+            only.setattr(risk, "SINGLES", 0)
+            assert sorted(map(str, risk.score_groups(items, keys).select(*got.columns).collect())) == told_apart
+        assert seen.pop() == 90
+
+
 def test_median_quantity_is_imputed(spark):
     rows = [{"name": "x", "unit_price": None, "quantity": None, "total_price": 100.0}, {"name": "x", "quantity": 4.0}, {"name": "x", "quantity": 6.0}]
     assert flags_of(spark, rows)["price"] == 20
