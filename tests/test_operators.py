@@ -274,6 +274,15 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_texts_move_numbers(spark, monkeypatch):
+    types, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: types.append(dict(edges.dtypes)) or star(edges))
+    links = [("doc:9", "item:b"), ("item:b", "doc:10"), ("doc:x", "item:a"), ("item:a", "item:a"), (None, "doc:9")]
+    got = {(r["node"], r["component"]) for r in components.connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {("doc:10", "doc:10"), ("doc:9", "doc:10"), ("item:b", "doc:10"), ("doc:x", "doc:x"), ("item:a", "doc:x")}
+    assert types and all(t == {"a": "bigint", "b": "bigint"} for t in types)
+
+
 # --- graph ------------------------------------------------------------------------
 
 
