@@ -473,6 +473,26 @@ def test_greedy_modularity_matches_plain_search():
         assert sorted(graph.greedy_modularity(14, links)) == plain_modularity(14, links)
 
 
+def test_merges_cost_what_the_smaller_community_has(monkeypatch):
+    pushed, push = [], graph.heappush
+    monkeypatch.setattr(graph, "heappush", lambda heap, entry: (pushed.append(1), push(heap, entry)))
+    rng, leaves = random.Random(5), 2000
+    links = [(i, leaves + hub) for i in range(leaves) for hub in rng.sample(range(8), rng.randint(1, 3))]
+    groups = graph.greedy_modularity(leaves + 8, links)
+    assert sorted(i for g in groups for i in g) == list(range(leaves + 8)) and len(groups) <= 8
+    assert len(pushed) < 20 * len(links)
+    for few in (0, 2):
+        monkeypatch.setattr(graph, "FEW_NEIGHBOURS", few)
+        assert graph.greedy_modularity(leaves + 8, links) == groups
+        small = sorted({(i, 12 + hub) for i in range(12) for hub in rng.sample(range(3), rng.randint(1, 2))})
+        assert sorted(graph.greedy_modularity(15, small)) == plain_modularity(15, small)
+
+
+def test_nodes_without_edges_are_communities_of_their_own(spark):
+    vertices, edges = nodes_edges(spark, [("a", "b"), ("c", "d")])
+    assert [r["nodes"] for r in graph.communities(vertices, edges.where("false")).collect()] == [["a"], ["b"], ["c"], ["d"]]
+
+
 def test_communities(spark):
     links = [(x, y) for g in ("abcd", "wxyz") for x in g for y in g if x < y] + [("d", "w")]
     got = [r["nodes"] for r in graph.communities(*nodes_edges(spark, links)).collect()]
