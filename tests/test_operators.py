@@ -493,6 +493,48 @@ def test_nodes_without_edges_are_communities_of_their_own(spark):
     assert [r["nodes"] for r in graph.communities(vertices, edges.where("false")).collect()] == [["a"], ["b"], ["c"], ["d"]]
 
 
+def many_items(spark, n=600):
+    """Items of three groups on days of three years, many on one day, from a table that a plan shows as a range."""
+    k = F.col("id")
+    return spark.range(n).select(
+        k.alias("ordinal"), F.concat(F.lit("n"), (k % 3).cast("string")).alias("name"), F.lit("c").alias("contractor"), F.lit("d").alias("department"), F.lit("f").alias("source_file"),
+        F.lit(1.0).alias("quantity"), (k * 37 % 101 + 1).cast("double").alias("unit_price"), (k * 37 % 101 + 1).cast("double").alias("total_price"),
+        F.date_add(F.lit(day("2022-01-01")), F.when(k % 5 == 0, 400).otherwise(k * 7 % 1000).cast("int")).alias("date"), F.lit("u").alias("unit"),
+        F.concat(F.lit("n"), (k % 3).cast("string")).alias("canonical_name"),
+    )
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_trends_put_only_months_in_order_in_which_a_third_ends(spark, monkeypatch):
+    ordered, whole = [], stats.in_order
+    monkeypatch.setattr(stats, "in_order", lambda df, *a: (ordered.append(df.count()), whole(df, *a))[1])
+    table_ = many_items(spark)
+    got = {r["name"]: r for r in stats.price_trend(table_, ["name"]).collect()}
+    assert len(ordered) == 1 and ordered[0] < 300
+    for name, rows in {f"n{i}": sorted((r["date"], r["ordinal"], r["unit_price"]) for r in table_.collect() if r["name"] == f"n{i}") for i in range(3)}.items():
+        prices, third = [r[2] for r in rows], len(rows) // 3
+        assert got[name]["avg_first"] == pytest.approx(statistics.mean(prices[:third]), abs=0.0051) and got[name]["avg_last"] == pytest.approx(statistics.mean(prices[-third:]), abs=0.0051)
+        assert (got[name]["date_from"], got[name]["date_to"], got[name]["observations"]) == (rows[0][0], rows[-1][0], len(rows))
+
+
+def test_price_analysis_reads_its_items_once(spark):
+    assert "Range (" not in plan(stats.group_price_analysis(many_items(spark), ["name"]))
+
+
+def test_patterns_read_their_items_once(spark):
+    for found in (patterns.all_patterns, patterns.finding_items):
+        assert "Range (" not in plan(found(many_items(spark)))
+
+
+def test_first_items_of_few_groups_are_looked_up(spark):
+    base = risk.group_base(many_items(spark), ["name"])
+    assert "min_by" not in plan(base)
+    assert {(r["name"], r["n_items"], r["first"]["unit_price"]) for r in base.collect()} == {("n0", 200, 1.0), ("n1", 200, 38.0), ("n2", 200, 75.0)}
+
+
 def test_communities(spark):
     links = [(x, y) for g in ("abcd", "wxyz") for x in g for y in g if x < y] + [("d", "w")]
     got = [r["nodes"] for r in graph.communities(*nodes_edges(spark, links)).collect()]
