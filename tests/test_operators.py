@@ -61,6 +61,28 @@ def test_normalise_items(spark):
     assert items.quality_report(items.normalise_items(raw.limit(0))).first()["total"] == 0
 
 
+def test_normalising_is_compiled_and_reads_odd_texts(spark, capsys):
+    import re
+
+    texts = ["name", "quantity", "unit", "unit_price", "total_price", "price", "amount", "contractor", "date"]
+    rows = [
+        ("a\u00a0\u2003b  c", "3", " Шт..\t", "10", None, None, None, "«\u3000нет ", "31.02.2024"),
+        ("  Щебень 5-20\tфр. 10 кг  ", "3", None, "10", None, None, None, "  не  указан", "29.02.2024"),
+        ("x, y;  2 м3", "1", None, "1", None, None, None, "\u2003нет", "29.02.2023"),
+        ("  нет ", "1", None, "1", None, None, None, "A  «B»", "30/11/2023"),
+    ]
+    df = items.normalise_items(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in texts)))
+    got = [(r["name"], r["canonical_name"], r["unit"], r["contractor"], r["date"]) for r in df.collect()]
+    assert got == [
+        ("a b c", "a b c", "шт", "« нет", ""), ("Щебень 5-20 фр. 10 кг", "щебень 5 20 фр", "", "", "2024-02-29"), ("x, y; 2 м3", "x y", "", "", ""), ("", "", "", "A «B»", "2023-11-30"),
+    ]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Generate inline") == 3  # each copies rows
+    capsys.readouterr()
+    df.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # longer methods are not compiled by the JVM
+
+
 def test_document_defaults(spark):
     from procura.sources.tables import DOCUMENT
 
