@@ -179,6 +179,8 @@ class _Counts:
     def __init__(self, lang: str, size: int, bits: int, ahead: bool, frequent: np.ndarray | None, shorter: np.ndarray | None) -> None:
         self.lang, self.size, self.bits, self.ahead, self.frequent, self.shorter = lang, size, bits, ahead, frequent, shorter
         self.words, self.keys, self.next, self.held = Words(lang), [], [], 0
+        #: Counts of single words by number; they take no room beyond the vocabulary, so only buckets fill a task in the first pass.
+        self.singles = np.zeros(0, dtype=np.int64)
 
     def add(self, raw: bytes) -> Iterator[pa.RecordBatch]:
         """Count one stretch of text; hands on what is full."""
@@ -186,10 +188,10 @@ class _Counts:
         for at in range(0, len(tokens), WINDOW):
             self._count(self.words.numbers(tokens[at : at + WINDOW + self.size]))
             if self.held >= HELD or len(self.words) >= VOCABULARY:
-                yield from self.partial()
+                yield from self.drained()
 
     def size_of(self) -> float:
-        """What it holds, as a share of what a task may."""
+        """What it holds, as a share of what a task may. Words and their counts are those of the vocabulary."""
         return max(self.held / HELD, len(self.words) / VOCABULARY)
 
     def _count(self, numbers: np.ndarray) -> None:
@@ -206,19 +208,35 @@ class _Counts:
             part = bit_at(self.shorter, buckets_of(hashes, size - 1, self.bits))
             here &= part[: len(here)] & part[1 : len(here) + 1]
             here &= bit_at(self.frequent, buckets_of(hashes, size, self.bits))
-        places = np.flatnonzero(here[:WINDOW])
-        key = np.zeros(len(places), dtype=np.int64)
-        for k in range(size):
-            key = key * BASE + numbers[places + k]
-        self.keys.append(key)
-        self.held += len(key)
+        if size == 1:
+            counts = np.bincount(numbers[:WINDOW], minlength=max(len(self.words), len(self.singles)))
+            counts[: len(self.singles)] += self.singles
+            self.singles = counts
+        else:
+            places = np.flatnonzero(here[:WINDOW])
+            key = np.zeros(len(places), dtype=np.int64)
+            for k in range(size):
+                key = key * BASE + numbers[places + k]
+            self.keys.append(key)
+            self.held += len(key)
         if self.ahead:
             both = here[:-1] & here[1:]  # both phrases in it are candidates
-            self.next.append(buckets_of(hashes, size + 1, self.bits)[both])
+            self.next.append(buckets_of(hashes, size + 1, self.bits)[both].astype(np.uint32))  # ``MAX_BUCKETS`` fit
             self.held += int(both.sum())
 
+    def drained(self) -> Iterator[pa.RecordBatch]:
+        """Hand on what fills up; counts of single words stay until the vocabulary is full."""
+        if self.size == 1 and len(self.words) < VOCABULARY:
+            yield from self._cells()
+        else:
+            yield from self.partial()
+
     def partial(self) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(self.keys or [np.zeros(0, dtype=np.int64)]), return_counts=True)
+        if self.size == 1:
+            keys = np.flatnonzero(self.singles[1:]) + 1  # without ends of pieces
+            n = self.singles[keys]
+        else:
+            keys, n = np.unique(np.concatenate(self.keys or [np.zeros(0, dtype=np.int64)]), return_counts=True)
         spelled = self.words.spelled
         for at in range(0, len(keys), 1 << 16):
             left, columns = keys[at : at + (1 << 16)], []
@@ -227,6 +245,13 @@ class _Counts:
                 left = left // BASE
             phrases = [b" ".join(spelled[i] for i in of).decode("utf-8", "replace") for of in zip(*reversed(columns), strict=True)]
             yield self._rows(phrase=phrases, n=n[at : at + (1 << 16)])
+        yield from self._cells()
+        self.singles = np.zeros(0, dtype=np.int64)
+        if len(self.words) >= VOCABULARY:
+            self.words = Words(self.lang)
+
+    def _cells(self) -> Iterator[pa.RecordBatch]:
+        """Hand on the buckets and begin anew."""
         if self.next:
             blocks, cells = [], []
             for block, cell in cells_of(np.concatenate(self.next)):
@@ -235,8 +260,6 @@ class _Counts:
             if blocks:
                 yield self._rows(block=blocks, cells=cells)
         self.keys, self.next, self.held = [], [], 0
-        if len(self.words) >= VOCABULARY:
-            self.words = Words(self.lang)
 
     def _rows(self, phrase=None, block=None, cells=None, n=None) -> pa.RecordBatch:
         rows = len(phrase if phrase is not None else block)
@@ -266,7 +289,11 @@ def _pass(docs: DataFrame, size: int, bits: int, ahead: bool, frequent: np.ndarr
                     yield from counts.add(raw)
                 # All languages together hold what one may; each costs a little besides.
                 while sum(c.size_of() for c in of.values()) + len(of) / 64 > 1:
-                    yield from of.pop(max(of, key=lambda x: of[x].size_of())).partial()
+                    largest = max(of, key=lambda x: of[x].size_of())
+                    if size == 1 and of[largest].held > HELD // 8:
+                        yield from of[largest].drained()
+                    else:
+                        yield from of.pop(largest).partial()
         for counts in of.values():
             yield from counts.partial()
 

@@ -256,3 +256,15 @@ def test_urls_of_the_pages(spark, sf_dir):
     assert {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in rows} == {i: brute_url(u)[:3] for i, u in urls.items()} and len(rows) == len(urls)
     again = queries()["op13_url_filter"](spark, sf_dir).collect()
     assert sorted(rows) == sorted(again)
+
+
+def test_words_are_handed_on_once(monkeypatch):
+    from procura.llm import collocations
+
+    monkeypatch.setattr(collocations, "HELD", 50)
+    counts, out = collocations._Counts("en", 1, 16, True, None, None), []
+    for _ in range(20):
+        out += counts.add(b"a b c d e f g h. " * 5)
+    out += counts.partial()
+    rows = [(p, n) for batch in out for p, n in zip(batch["phrase"].to_pylist(), batch["n"].to_pylist(), strict=True) if p is not None]
+    assert sorted(rows) == [(w, 100) for w in "abcdefgh"]
