@@ -593,6 +593,64 @@ def test_a_long_path(spark):
     assert [r["id"] for r in graph.shortest_path(vertices, edges, "n000", "n040").collect()] == [f"n{i:03}" for i in range(41)]
 
 
+def one_sided_path(links, source, target):
+    """The path that a search from the source alone finds, each node's parent its smallest neighbour one step nearer."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    depth, front = {source: 0}, [source]
+    while front:
+        front = sorted({y for x in front for y in near.get(x, ())} - set(depth))
+        depth |= {y: max(depth.values()) + 1 for y in front}
+    path = [target] if target in depth else []
+    while path and path[-1] != source:
+        path.append(min(x for x in near[path[-1]] if depth[x] == depth[path[-1]] - 1))
+    return path[::-1]
+
+
+def test_a_search_from_both_ends_finds_the_same_path(spark):
+    rng = random.Random(5)
+    links = [tuple(rng.sample(range(10, 40), 2)) for _ in range(38)] + [(10, 10), (50, 51)]
+    links = [(f"n{a}", f"n{b}") for a, b in links]
+    vertices, edges = nodes_edges(spark, links * 2)
+    ends = [("n10", "n39"), ("n39", "n11"), ("n12", "n12"), ("n50", "n10"), *((f"n{rng.randrange(10, 40)}", f"n{rng.randrange(10, 40)}") for _ in range(2))]
+    want = [one_sided_path(links, *pair) for pair in ends]
+    assert max(map(len, want)) > 4
+    for pair, path in zip(ends, want, strict=True):
+        got = graph.shortest_path(vertices, edges, *pair).collect()
+        assert ([r["id"] for r in got], [r["step"] for r in got]) == (path, list(range(len(path)))), pair
+    assert graph.shortest_path(vertices, edges, None, "n10").count() == graph.shortest_path(vertices, edges, "n10", "away").count() == 0
+
+
+def test_a_path_search_writes_little(spark, monkeypatch):
+    """The source's neighbour has many neighbours, the target's side few: the many are not searched on, and no edge is written twice."""
+    wide = [("s", "hub"), ("s", "o"), *(("hub", f"w{i:03}") for i in range(300)), ("hub", "m"), ("m", "l"), ("l", "k"), ("k", "t")]
+    wide += [(f"w{i:03}", f"x{i:03}") for i in range(300)]
+    vertices, edges = nodes_edges(spark, wide)
+    written, write = {}, graph.materialise
+
+    def noted(df, label, codec=None):
+        out = write(df, label, codec)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(graph, "materialise", noted)
+    assert [r["id"] for r in graph.shortest_path(vertices, edges, "s", "t").collect()] == ["s", "hub", "m", "l", "k", "t"]
+    assert written.pop("path-edges") == len(wide)
+    assert sum(written.values()) < 20
+
+
+def test_links_are_those_of_the_network(spark):
+    rows = [("bolt", "A", "d1", "f1"), ("bolt", "A", "d1", "f2"), ("nut", " A ", "Не определён", "f1"), ("nut", "-", None, None), ("lone", "", "unknown", " "), ("", "B", "d2", "f3"), (None, "B", "d2", "f3")]
+    df = table(spark, [{"name": n, "contractor": c, "department": d, "source_file": f, "total_price": 1.0} for n, c, d, f in rows])
+    (nodes, links), (vertices, edges) = graph.build_links(df), graph.build_graph(df)
+    key = ("id", "label", "type")
+    assert sorted(map(tuple, nodes.select(*key).collect())) == sorted(map(tuple, vertices.select(*key).collect()))
+    assert {tuple(r) for r in links.select("src", "dst", "type").collect()} == {tuple(r) for r in edges.select("src", "dst", "type").collect()}
+    assert [r["label"] for r in graph.shortest_path(nodes, links, "item:lone", "item:lone", written=True).collect()] == ["lone"]
+
+
 def test_suppliers_that_are_none(spark):
     """Unnamed contractors, as the resolution of names writes them, supply nothing."""
     rows = [("x", "A"), ("x", "Не указан"), ("y", "A"), ("y", "-"), ("y", "B"), ("z", ""), ("z", "Не указан "), ("w", "A"), ("w", "B"), ("w", "C"), ("w", None)]
