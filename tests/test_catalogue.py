@@ -45,3 +45,13 @@ def test_entry(spark):
 
     assert contract.entry(spark).count() == 10
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_the_exported_network_has_its_documents(spark, sf_dir, duck):
+    exported = catalogue.queries()["graph_export"](spark, sf_dir)
+    found = exported.selectExpr("kind", "from_json(json, 'type string').type as type").groupBy("kind", "type").count().collect()
+    n = {(r["kind"], r["type"]): r["count"] for r in found}
+    lines = "lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey"
+    documents, links = duck.execute(f"SELECT count(DISTINCT o_orderkey), count(DISTINCT (o_orderkey, p_name)) FROM {lines}").fetchone()
+    assert n["node", "document"] == documents and n["edge", "contains"] == links
+    assert n["stats", None] == 1 and n["dominant_supplier", None] == 5
