@@ -795,3 +795,30 @@ def test_analysis(spark):
     from procura.sources.report import generate_report
 
     assert generate_report(out.groups, ["f.xlsx"])[:2] == b"PK"
+
+
+def test_communities_through_items_are_those_of_plain_merging(spark, monkeypatch):
+    import numpy as np
+
+    from procura.operators.modularity import greedy_by_hubs
+
+    luck = random.Random(11)
+    for _ in range(200):
+        n = luck.randint(3, 60)
+        nodes = list(range(n))
+        luck.shuffle(nodes)
+        hubs = sorted(nodes[: luck.randint(1, min(9, n - 1))])
+        links = [(leaf, h) for leaf in nodes if leaf not in hubs for h in luck.sample(range(len(hubs)), luck.randint(0, min(len(hubs), 4)))]
+        if links:
+            ends, codes = np.array(links).T
+            of = greedy_by_hubs(n, np.array(hubs), ends, codes).tolist()
+            plain = graph.greedy_modularity(n, [(leaf, hubs[h]) for leaf, h in links])
+            assert [[i for i in range(n) if of[i] == c] for c in range(len(plain))] == plain
+    edges = [(f"doc:{d}", f"item:{i}") for d in range(40) for i in {d % 3, d * 7 % 5}] + [(f"item:{i}", "contractor:1") for i in range(5)]
+    vertices = spark.createDataFrame([(v, v.split(":")[0]) for v in sorted({x for e in edges for x in e} | {"item:9", "doc:z"})], "id string, type string")
+    table = spark.createDataFrame(edges, "src string, dst string")
+    monkeypatch.setattr(graph, "MAX_COMMUNITY_HUBS", 0)
+    plain = graph.communities(vertices, table).collect()
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "greedy_modularity", None)  # holds dictionaries of neighbours
+    assert graph.communities(vertices, table).collect() == plain
