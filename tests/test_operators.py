@@ -822,3 +822,26 @@ def test_communities_through_items_are_those_of_plain_merging(spark, monkeypatch
     monkeypatch.undo()
     monkeypatch.setattr(graph, "greedy_modularity", None)  # holds dictionaries of neighbours
     assert graph.communities(vertices, table).collect() == plain
+
+
+def test_components_of_what_is_shared_move_it_once(spark, monkeypatch):
+    luck = random.Random(3)
+    pairs = [(luck.randint(0, 90), f"label {luck.randint(0, 120)}") for _ in range(110)]
+    rows = spark.createDataFrame([*pairs, *pairs[:9], (None, "label 1"), (5, None)], "d long, l string")
+    written = {}
+    monkeypatch.setattr(components, "materialise", lambda df, label, codec=None: written.setdefault(label, df.localCheckpoint()) if label == "shared-stars" else df.localCheckpoint())
+    found = sorted(r["n_nodes"] for r in components.shared_sizes(rows, "d", "l").collect())
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    sizes = {}
+    for x in list(parent):
+        sizes[root(x)] = sizes.get(root(x), 0) + 1
+    assert found == sorted(sizes.values())
+    assert "string" not in dict(written["shared-stars"].dtypes).values()  # neither written nor moved again
