@@ -845,3 +845,18 @@ def test_components_of_what_is_shared_move_it_once(spark, monkeypatch):
         sizes[root(x)] = sizes.get(root(x), 0) + 1
     assert found == sorted(sizes.values())
     assert "string" not in dict(written["shared-stars"].dtypes).values()  # neither written nor moved again
+
+
+def test_items_of_many_groups_move_with_a_number(spark, monkeypatch):
+    rows = [(i, f"pump {i % 40}", f"doc {i % 7}", "d", "c", "pcs", 1.0 + i % 3, 10.0 + i % 11, 10.0, dt.date(2024, 1, 1 + i % 20)) for i in [*range(40), *range(0, 60, 2)]]
+    table = spark.createDataFrame(rows, "ordinal long, name string, source_file string, department string, contractor string, unit string, quantity double, unit_price double, total_price double, date date")
+    keys = ["name", "source_file"]
+    order = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(risk, "SINGLES", 0.0)
+    plain = order(risk.score_groups(table, keys).select("name", "source_file", "n_items", "flags", "score", "dates", "same_source"))
+    monkeypatch.setattr(risk, "SINGLES", 10)
+    used = []
+    stats_of = risk.group_stats
+    monkeypatch.setattr(risk, "group_stats", lambda df, keys, value: used.append(keys) or stats_of(df, keys, value))
+    assert order(risk.score_groups(table, keys).select("name", "source_file", "n_items", "flags", "score", "dates", "same_source")) == plain
+    assert not any(set(keys) & set(k) for k in used)
